@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, toxicity
+from . import langid, secretscan, toxicity
 
-MODULES = (toxicity, langid)
+MODULES = (toxicity, secretscan, langid)
 
 
 def queries():
