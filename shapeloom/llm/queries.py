@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, secretscan, toxicity
+from . import langid, ngramjoin, secretscan, toxicity
 
-MODULES = (toxicity, secretscan, langid)
+MODULES = (ngramjoin, toxicity, secretscan, langid)
 
 
 def queries():
