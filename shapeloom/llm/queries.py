@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, ngramjoin, secretscan, toxicity
+from . import decontam, langid, mixing, ngramjoin, secretscan, toxicity
 
-MODULES = (ngramjoin, toxicity, secretscan, langid)
+MODULES = (mixing, ngramjoin, decontam, toxicity, secretscan, langid)
 
 
 def queries():
