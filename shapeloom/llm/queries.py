@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, mixing, ngramjoin, secretscan, toxicity
+from . import decontam, langid, mixing, ngramjoin, qualityrules, secretscan, toxicity
 
-MODULES = (mixing, ngramjoin, decontam, toxicity, secretscan, langid)
+MODULES = (mixing, ngramjoin, decontam, toxicity, secretscan, langid, qualityrules)
 
 
 def queries():
