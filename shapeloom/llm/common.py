@@ -42,6 +42,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def shielded(docs: DataFrame, reserved: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of reserved names renamed, and the way back for ``withColumnsRenamed``."""
+    taken = {c.lower() for c in docs.columns}
+    away = {}
+    for c in docs.columns:
+        if c.lower() in reserved:
+            new = f"_own_{c}"
+            while new.lower() in taken:
+                new = "_" + new
+            taken.add(new.lower())
+            away[c] = new
+    return docs.withColumnsRenamed(away), {v: k for k, v in away.items()}
+
+
 def words_of(text: Column) -> Column:
     """Array of words ``[^\\x20\\x09-\\x0D]+``; empty for null."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, ranked, word_count
+from .common import checkpoint, ranked, shielded, word_count
 
 LEAF = 64
 FAN = 64
@@ -240,11 +240,9 @@ def mix(docs: DataFrame, seed: int = 42, cap: float = CAP) -> DataFrame:
 
 def repeat(docs: DataFrame, seed: int = 42, cap: float = CAP) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of ``docs``."""
-    mixed = mix(docs, seed, cap).where("copies > 0")
-    spare = "_copy"
-    while spare in docs.columns:
-        spare += "_"
-    return mixed.withColumn(spare, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    safe, back = shielded(docs, ("size", "source_size", "target", "copies", "taken", "_copy"))
+    mixed = mix(safe, seed, cap).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return mixed.select(*(F.col(f"`{c}`") for c in safe.columns)).withColumnsRenamed(back)
 
 
 def op1_source_mixing(spark, sf_dir: str) -> DataFrame:
