@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import binaryoutput, decontam, langid, mixing, ngramjoin, qualityrules, secretscan, tokencount, toxicity
+from . import binaryoutput, chatformat, decontam, langid, mixing, ngramjoin, qualityrules, secretscan, tokencount, toxicity
 
-MODULES = (mixing, ngramjoin, tokencount, binaryoutput, decontam, toxicity, secretscan, langid, qualityrules)
+MODULES = (mixing, ngramjoin, tokencount, binaryoutput, decontam, toxicity, secretscan, langid, chatformat, qualityrules)
 
 
 def queries():
