@@ -473,10 +473,11 @@ def validate(graph: Graph, schema: Schema, pairs: list[tuple[DataFrame, str, str
             raise SchemaError(f"no shape {label}")
         requested.setdefault(label, []).append(nodes)
     results = v.evaluate({k: _union_nodes(x) for k, x in requested.items()})
+    asked = {x for label in v.exprs for group in (v._references(label)[0], *v._references(label)[1].values()) for x in group}
     out = None
     for nodes, label, expected in pairs:
         r = results[label]
-        if len(requested[label]) > 1:
+        if len(requested[label]) > 1 or label in asked:
             r = r.join(nodes.select("node"), "node", "left_semi")
         status = F.when(F.col("ok"), CONFORMANT).otherwise(NONCONFORMANT)
         one = r.select("node", F.lit(label).alias("shape"), status.alias("status"), "reason", (status == expected).alias("as_expected"))

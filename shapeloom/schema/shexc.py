@@ -46,29 +46,27 @@ _UCHAR = r"\\u(?!D[89A-Fa-f])[0-9A-Fa-f]{4}|\\U00(?:0[0-9A-Fa-f]|10)[0-9A-Fa-f]{
 _ESC = rf"\\[tbnrf\"'\\]|{_UCHAR}"
 _PATTERN_ESC = rf"\\[nrt\\|.?*+(){{}}$\-\[\]^/]|{_UCHAR}"
 
-TOKENS = re.compile(
-    "|".join(
-        f"(?P<{n}>{p})"
-        for n, p in [
-            ("skip", r"(?:\s|\#[^\r\n]*|/\*(?:[^*]|\*(?!/))*\*/)+"),
-            ("long", rf"'''(?:(?:'|'')?(?:[^'\\]|{_ESC}))*'''|\"\"\"(?:(?:\"|\"\")?(?:[^\"\\]|{_ESC}))*\"\"\""),
-            ("string", rf"'(?:[^'\\\n\r]|{_ESC})*'|\"(?:[^\"\\\n\r]|{_ESC})*\""),
-            ("code", r"\{(?:[^%\\]|\\.)*%\}(?<=%\})(?<!\{%\})"),
-            ("iri", r"<(?:[^\x00-\x20<>\"{}|^`\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*>"),
-            ("regexp", rf"/(?:[^/\\\n\r]|{_PATTERN_ESC})+/[smix]*"),
-            ("langtag", r"@[A-Za-z]+(?:-[A-Za-z0-9]+)*(?![:\w])"),
-            ("at", r"@"),
-            ("bnode", rf"_:[{_NAME_START}_0-9](?:[{_NAME}.]*[{_NAME}])?"),
-            ("pname", rf"{_PREFIX}:(?:{_LOCAL})?"),
-            ("double", r"[+-]?(?:[0-9]+\.[0-9]*|\.?[0-9]+)[eE][+-]?[0-9]+"),
-            ("decimal", r"[+-]?[0-9]*\.[0-9]+"),
-            ("integer", r"[+-]?[0-9]+"),
-            ("word", r"[A-Za-z]\w*"),
-            ("op", r"\^\^|//|~|<=|>=|!=|[{}()\[\]|;,.&$^!=*+?%\-<>/]"),
-        ]
-    ),
-    re.S,
-)
+_TOKENS = [
+    ("skip", r"(?:\s|\#[^\r\n]*|/\*(?:[^*]|\*(?!/))*\*/)+"),
+    ("long", rf"'''(?:(?:'|'')?(?:[^'\\]|{_ESC}))*'''|\"\"\"(?:(?:\"|\"\")?(?:[^\"\\]|{_ESC}))*\"\"\""),
+    ("string", rf"'(?:[^'\\\n\r]|{_ESC})*'|\"(?:[^\"\\\n\r]|{_ESC})*\""),
+    ("code", r"\{(?:[^%\\]|\\.)*%\}(?<=%\})(?<!\{%\})"),
+    ("iri", r"<(?:[^\x00-\x20<>\"{}|^`\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*>"),
+    ("regexp", rf"/(?:[^/\\\n\r]|{_PATTERN_ESC})+/[smix]*"),
+    ("langtag", r"@[A-Za-z]+(?:-[A-Za-z0-9]+)*(?![:\w])"),
+    ("at", r"@"),
+    ("bnode", rf"_:[{_NAME_START}_0-9](?:[{_NAME}.]*[{_NAME}])?"),
+    ("pname", rf"{_PREFIX}:(?:{_LOCAL})?"),
+    ("double", r"[+-]?(?:[0-9]+\.[0-9]*|\.?[0-9]+)[eE][+-]?[0-9]+"),
+    ("decimal", r"[+-]?[0-9]*\.[0-9]+"),
+    ("integer", r"[+-]?[0-9]+"),
+    ("word", r"[A-Za-z]\w*"),
+    ("op", r"\^\^|//|~|<=|>=|!=|[{}()\[\]|;,.&$^!=*+?%\-<>/]"),
+]
+
+TOKENS = re.compile("|".join(f"(?P<{n}>{p})" for n, p in _TOKENS), re.S)
+#: Where slashes are steps of paths.
+PATH_TOKENS = re.compile("|".join(f"(?P<{n}>{p})" for n, p in _TOKENS if n != "regexp"), re.S)
 
 FACETS = {
     "length": "length", "minlength": "minlength", "maxlength": "maxlength", "pattern": "pattern",
@@ -140,8 +138,8 @@ class Tokens:
 
 
 class Parser:
-    def __init__(self, text: str, base: str | None = None):
-        self.t = Tokens(text)
+    def __init__(self, text: str, base: str | None = None, pattern=TOKENS):
+        self.t = Tokens(text, pattern)
         self.base, self.prefixes = base, {}
         self.shapes: dict[str, Declaration] = {}
         self.start, self.start_acts, self.imports = None, [], []
@@ -277,7 +275,8 @@ class Parser:
         return self.atom(inline)
 
     def starts_shape(self) -> bool:
-        return self.t.is_op("{") or self.t.peek()[0] == "code" or self.t.word() in ("closed", "extra", "extends", "restricts") or self.t.is_op("&")
+        opens = self.t.is_op("{") and self.t.peek(1)[0] != "integer" and not self.t.is_op("|", k=1)  # else a cardinality, or qualifiers
+        return opens or self.t.peek()[0] == "code" or self.t.word() in ("closed", "extra", "extends", "restricts") or self.t.is_op("&")
 
     def starts_non_literal(self) -> bool:
         return self.t.word() in ("iri", "bnode", "nonliteral") or self.t.word() in STRING_FACETS or self.t.peek()[0] == "regexp"

@@ -12,7 +12,7 @@ from ..functions.terms import literal_id, resource, term_at, term_id, term_row
 from ..operators import paths as pp
 from ..plans.validate import CONFORMANT, NODE, NONCONFORMANT, validate
 from ..schema.ast import RDF, START, BNode, Iri, Literal, Schema, SchemaError
-from ..schema.shexc import Parser
+from ..schema.shexc import PATH_TOKENS, Parser
 from ..sources.graph import Graph
 
 UNDEFINED = "undefined"
@@ -57,7 +57,7 @@ class _Maps(Parser):
     """Compact shape maps, on the tokens of the compact schema syntax."""
 
     def __init__(self, text: str, base=None, prefixes=None, shape_base=None, shape_prefixes=None):
-        super().__init__(text, base)
+        super().__init__(text, base, PATH_TOKENS)
         self.prefixes = dict(prefixes or {})
         self.own = (base, self.prefixes)
         self.shapes_of = (shape_base, dict(shape_prefixes or prefixes or {}))
@@ -155,15 +155,13 @@ def _prepared(text: str) -> str:
     """``_`` and ``@<S>`` read as tokens of the schema syntax; ``@p:S`` is no language tag there either."""
     import re
 
-    from ..schema.shexc import TOKENS
-
     out, at = [], 0
     while at < len(text):
         if text[at] == "_" and not text.startswith("_:", at):
             out.append(" Q_Q ")
             at += 1
             continue
-        m = TOKENS.match(text, at)
+        m = PATH_TOKENS.match(text, at)
         if not m or m.end() == at:
             raise SchemaError(f"unexpected character at {at}: {text[at : at + 20]!r}")
         out.append(m[0])

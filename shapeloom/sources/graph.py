@@ -62,6 +62,12 @@ class Column_:
     lang: str | None = None  # column with the language
     iri: bool = False  # the value is an IRI itself
     expr: str | None = None  # SQL over the row; the column's own value by default
+    dt: str | None = None  # datatype IRI, where it does not follow from the column's type
+    predicate: str | None = None  # full IRI, ``<base name>`` by default
+
+    @property
+    def iri_of(self) -> str:
+        return self.predicate or BASE + self.name
 
 
 @dataclass
@@ -72,10 +78,13 @@ class TableMapping:
     key: str  # SQL of the subject's key
     columns: list[Column_] = field(default_factory=list)
     cls: str | None = None
+    about: str | None = None  # table whose subjects these rows describe
+    typed: bool = True  # gives rdf:type
+    distinct: bool = False  # several rows may give one triple
 
     @property
     def subject(self) -> str:
-        return f"concat('<{BASE}{self.table}/', {self.key}, '>')"
+        return f"concat('<{BASE}{self.about or self.table}/', {self.key}, '>')"
 
 
 class MappedGraph(Graph):
@@ -95,8 +104,8 @@ class MappedGraph(Graph):
     def triples(self, predicates: set[str] | None = None) -> DataFrame:
         out = None
         for m in self.mappings:
-            cols = [c for c in m.columns if predicates is None or BASE + c.name in predicates]
-            typed = predicates is None or TYPE in predicates
+            cols = [c for c in m.columns if predicates is None or c.iri_of in predicates]
+            typed = m.typed and (predicates is None or TYPE in predicates)
             if not cols and not typed:
                 continue
             table = self.tables[m.table]
@@ -105,6 +114,7 @@ class MappedGraph(Graph):
             if typed:
                 objects.append(_struct(F.lit(TYPE), "iri", F.lit(BASE + (m.cls or m.table)), None, None))
             one = table.select(F.expr(m.subject).alias("s"), F.explode(F.filter(F.array(*objects), lambda o: o["o_lex"].isNotNull())).alias("o")).select("s", "o.*")
+            one = one.distinct() if m.distinct else one
             out = one if out is None else out.unionByName(one)
         if out is None:
             return self._spark.createDataFrame([], TRIPLES)
@@ -118,7 +128,7 @@ class MappedGraph(Graph):
         return out
 
     def _object(self, c: Column_, kinds: dict) -> Column:
-        p, value = F.lit(BASE + c.name), F.expr(c.expr or f"`{c.name}`")
+        p, value = F.lit(c.iri_of), F.expr(c.expr or f"`{c.name}`")
         if c.to is not None:
             return _struct(p, "iri", F.when(value.isNotNull(), F.concat(F.lit(f"{BASE}{c.to.table}/"), value.cast("string"))), None, None)
         if c.iri:
@@ -128,7 +138,7 @@ class MappedGraph(Graph):
         kind = "string" if c.expr else kinds.get(c.name, "string")
         if kind == "timestamp":
             value = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
-        return _struct(p, "literal", value.cast("string"), XSD + DATATYPES.get(kind, "string"), None)
+        return _struct(p, "literal", value.cast("string"), c.dt or XSD + DATATYPES.get(kind, "string"), None)
 
 
 def _struct(p: Column, kind: str, lex: Column, dt: str | None, lang: Column | None) -> Column:
