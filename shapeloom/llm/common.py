@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -33,8 +34,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Let Spark drop shuffle and checkpoint files that nothing refers to any more."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the driver's objects go first; what they held is found by the next collection
+        gc.collect()
+        time.sleep(0.1)
+        df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
