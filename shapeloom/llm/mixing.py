@@ -80,7 +80,7 @@ def _round_rows(level: int, seed: int):
 
     def run(batches):
         held = None  # [group key, weight, p, row as a tuple]
-        rng = None
+        rng = seeded = None
         for batch in batches:
             names = batch.schema.names
             cols = {n: batch.column(n).to_pylist() for n in names}
@@ -99,8 +99,8 @@ def _round_rows(level: int, seed: int):
                     put(held[3], held[2])
                     held = None
                 if held is None:
-                    mark = zlib.crc32(repr((seed, level, leaf, item[1])).encode())
-                    rng = np.random.default_rng([seed, mark])
+                    if seeded != key:
+                        rng, seeded = np.random.default_rng([seed, zlib.crc32(repr((seed, level, leaf, item[1])).encode())]), key
                     held = [key, a, p, item]
                     continue
                 # held (b, q) and this row (a, p): move mass until one is 0 or 1
@@ -118,6 +118,7 @@ def _round_rows(level: int, seed: int):
                         put(item, p)
                         held = None
                 else:
+                    held[2] = q
                     put(item, p)
             yield _frame(out)
         if held is not None:
