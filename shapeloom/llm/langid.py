@@ -66,7 +66,7 @@ def gram_counts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             inner = np.zeros(m, bool)  # a blank is allowed at either end only
             for k in range(1, n - 1):
                 inner |= blank[k : k + m]
-            good = ~inner & ~(blank[:m] & blank[n - 1 : n - 1 + m])
+            good = ~inner if n > 2 else ~(blank[:m] & blank[1 : 1 + m])
             good[last:] = False
             found.append(code[good])
         u, c = np.unique(np.concatenate(found), return_counts=True)
