@@ -1,41 +1,44 @@
 """Token-ID output in training order.
 
-Texts are encoded whole, end with the end-of-document id and are cut into
-sequences of ``LENGTH`` ids.  Sequences are numbered densely in the order of
-(doc_id, text hash, part), by a distributed prefix sum, and a keyed Feistel
-permutation with cycle-walking gives each number its slot in training: a
-bijection of 0..N-1, computed per row, with nothing to sort or to shuffle at
+Texts are encoded whole, each ends with the end-of-document id, and the texts
+of an input partition are packed one after the other into sequences of
+``LENGTH`` ids; only a partition's last sequence is padded (by that id).
+Sequences are numbered densely in the order of the packed table, and a keyed
+Feistel permutation with cycle-walking gives each number its slot in training:
+a bijection of 0..N-1, computed per sequence, with nothing to sort or shuffle at
 random.  Slots are dealt out in ranges: shard s holds the slots from
 ``s * per_shard``, one task writes it, in order.
 
-A shard is nothing but records of one stride: slot k of the training order is
-at byte ``(k % per_shard) * stride`` of shard ``k // per_shard``, so a reader
-resumes anywhere by arithmetic.  A record is doc_id (int64; the least int64 for
-null), part and number of ids (int32 each), then LENGTH ids (uint16, padded with
-the end-of-document id).  Shards are moved to their names when complete.
+A shard is nothing but sequences of one stride: slot k is at byte
+``(k % per_shard) * stride`` of shard ``k // per_shard``, so a reader resumes
+anywhere by arithmetic.  Shards are moved to their names when complete.
 
-Defined results: null and empty texts make one sequence that holds the
-end-of-document id only; repeated rows make sequences each; an empty table
-writes no shard.  Extra columns are ignored.
+The packed table is written once to the shared folder, compressed in blocks.
+Shards are written in ``waves``, each over its range of slots, so that only a
+part of the sequences is in shuffle files at a time.
+
+Defined results: null and empty texts give the end-of-document id alone;
+repeated rows are packed each; an empty table writes no shard and returns no
+row.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, ranked, release, scratch
+from .common import checkpoint, release, scratch
 from .tokens import DTYPE, EOD, TOKENIZER, Writer, attempt_mark, encode, filesystem, string_list
 
-LENGTH = 512
-PER_SHARD = 4096
+LENGTH = 2048
+PER_SHARD = 2048
+BLOCK = 256  # sequences
+WAVES = 4
 KEY = 20240229
 ROUNDS = 4
-HEAD = np.dtype([("doc_id", "<i8"), ("part", "<i4"), ("n", "<i4")])
 
 
 def feistel(x: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.ndarray:
@@ -60,107 +63,149 @@ def feistel(x: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.n
     return out.astype(np.int64)
 
 
-def encoded(docs: DataFrame, tokenizer: str = TOKENIZER, eod: int = EOD) -> DataFrame:
-    """doc_id, h (hash of the text), n_tokens, ids (bytes, separator included)."""
+def packed(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, eod: int = EOD) -> DataFrame:
+    """Blocks of packed sequences (part, first, n, blob), each with the documents that begin in it (doc_id, start, size).
+
+    part: the input partition; first: the block's first sequence there; start:
+    a document's first id, counted in the partition.
+    """
 
     def run(batches):
+        from pyspark import TaskContext
+
+        part, zip_ = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3)
+        held, have, at, first = [], 0, 0, 0
+        begun: list[list] = [[], [], []]
+
+        def block(ids: np.ndarray):
+            n = len(ids) // length
+            kinds = (pa.int64(), pa.int64(), pa.int64())
+            row = [pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([n], pa.int32()), pa.array([zip_.compress(ids.tobytes())], pa.binary())]
+            row += [pa.array([x], pa.list_(k)) for x, k in zip(begun, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(row, names=["part", "first", "n", "blob", "doc_id", "start", "size"])
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = encode(string_list(part.column("text")), tokenizer)
-                blobs = [x.tobytes() + np.array([eod], DTYPE).tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("h"), pa.array([len(x) + 1 for x in ids], pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "h", "n_tokens", "ids"])
-
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    return keyed.mapInArrow(run, "doc_id long, h long, n_tokens long, ids binary")
-
-
-def materialise(docs: DataFrame, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, tokenizer: str = TOKENIZER, eod: int = EOD) -> DataFrame:
-    """Write the shards; returns (doc_id, part, n_tokens, slot, shard, record) of every sequence."""
-    tokens = checkpoint(encoded(docs, tokenizer, eod))
-    parts = F.ceil(F.col("n_tokens") / length).cast("long")
-    # equal (doc_id, h) are equal rows: they are numbered together, and apart by their running number
-    names = tokens.groupBy("doc_id", "h").agg(F.count("*").alias("times"), F.max(parts).alias("parts"))
-    order = [F.col("doc_id"), F.col("h")]
-    begins = checkpoint(ranked(names, order, F.col("times") * F.col("parts"), "begin"))
-    total = int(names.agg(F.sum(F.col("times") * F.col("parts"))).first()[0] or 0)
-    release(docs)
-    once = begins.where("times = 1").select("doc_id", "h", "begin")
-    many = begins.where("times > 1")
-    t, b = tokens.alias("t"), once.alias("b")
-    same = F.col("t.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("t.h").eqNullSafe(F.col("b.h"))
-    placed = t.join(b, same).select("t.doc_id", "b.begin", "t.n_tokens", "t.ids")
-    if not many.isEmpty():  # one row of each, repeated as often as it occurs
-        m = many.alias("b")
-        some = t.join(m, same).groupBy("t.doc_id", "t.h", "b.begin", "b.times", "b.parts").agg(F.first("t.n_tokens").alias("n_tokens"), F.first("t.ids").alias("ids"))
-        again = some.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
-        placed = placed.unionByName(again.select("doc_id", (F.col("begin") + F.col("i") * F.col("parts")).alias("begin"), "n_tokens", "ids"))
-    width = DTYPE.itemsize
+            for k in range(0, batch.num_rows, 256):
+                rows = batch.slice(k, 256)
+                for doc_id, ids in zip(rows.column("doc_id").to_pylist(), encode(string_list(rows.column("text")), tokenizer), strict=True):
+                    ids = np.append(ids, DTYPE.type(eod))
+                    for values, x in zip(begun, (doc_id, at, len(ids)), strict=True):
+                        values.append(x)
+                    held.append(ids)
+                    at, have = at + len(ids), have + len(ids)
+                    while have >= BLOCK * length:
+                        flat = np.concatenate(held)
+                        yield block(flat[: BLOCK * length])
+                        first += BLOCK
+                        held, have, begun = [flat[BLOCK * length :]], have - BLOCK * length, [[], [], []]
+        if have:
+            flat = np.concatenate(held)
+            yield block(np.append(flat, np.full(-len(flat) % length, eod, DTYPE)))
+
+    return docs.select("doc_id", "text").mapInArrow(run, "part int, first long, n int, blob binary, doc_id array<long>, start array<long>, size array<long>")
+
+
+def _write_wave(blocks: DataFrame, folder: str, begins: dict, total: int, low: int, high: int, length: int, per_shard: int, key: int) -> int:
+    """Write the shards low..high-1; returns how many sequences they hold."""
+    width = length * DTYPE.itemsize
 
     def cut(batches):
+        pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = []
-                for doc_id, begin, ids in zip(*(part.column(c).to_pylist() for c in ("doc_id", "begin", "ids")), strict=True):
-                    step = length * width
-                    rows += [(doc_id, j, begin + j, ids[j * step : (j + 1) * step]) for j in range(-(-len(ids) // step))]
-                cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-                slot = feistel(np.array(cols[2], np.int64), total, key)
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(slot), pa.array(slot // per_shard), pa.array(cols[3], pa.binary())], names=["doc_id", "part", "slot", "shard", "ids"])
-
-    cuts = placed.mapInArrow(cut, "doc_id long, part int, slot long, shard long, ids binary")
-    shards = max(1, -(-total // per_shard))
-    wide = max(1, min(shards, 100_000))
-    per_task = -(-shards // wide)
-    dealt = cuts.repartitionById(wide, F.floor(F.col("shard") / per_task).cast("int")).sortWithinPartitions("slot")
+            for part, first, n, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "first", "n", "blob")), strict=True):
+                slot = feistel(begins[part] + first + np.arange(n), total, key)
+                mine = np.flatnonzero((slot // per_shard >= low) & (slot // per_shard < high))
+                if len(mine):
+                    raw = unpack.decompress(blob, max_output_size=n * width)
+                    ids = [pack.compress(raw[i * width : (i + 1) * width]) for i in mine]
+                    yield pa.RecordBatch.from_arrays([pa.array(slot[mine]), pa.array(ids, pa.binary())], names=["slot", "ids"])
 
     def write(batches):
-        writer, current = None, None
+        unpack, writer, current, n = zstandard.ZstdDecompressor(), None, None, 0
         for batch in batches:
-            out = []
-            for doc_id, part, slot, shard, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "slot", "shard", "ids")), strict=True):
-                if shard != current:
+            for slot, ids in zip(batch.column("slot").to_pylist(), batch.column("ids"), strict=True):
+                if slot // per_shard != current:
                     if writer:
                         writer.close()
-                    writer, current = Writer(folder, f"shard-{shard:08d}.bin", attempt_mark()), shard
-                n = len(ids) // width
-                head = np.array([(doc_id if doc_id is not None else np.iinfo(np.int64).min, part, n)], HEAD)
-                writer.write(head.tobytes() + ids + np.full(length - n, eod, DTYPE).tobytes())
-                out.append((doc_id, part, n, slot, shard, slot - shard * per_shard, hashlib.md5(ids).hexdigest()))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 7
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "part", "n_tokens", "slot", "shard", "record", "digest"])
+                    current = slot // per_shard
+                    writer = Writer(folder, f"shard-{current:08d}.bin", attempt_mark())
+                writer.write(unpack.decompress(ids.as_buffer(), max_output_size=width))
+                n += 1
         if writer:
             writer.close()
-
-    out = checkpoint(dealt.mapInArrow(write, "doc_id long, part int, n_tokens int, slot long, shard long, record long, digest string"))
-    release(docs)
-    return out
-
-
-def read_records(folder: str, first: int, n: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> list[tuple[int | None, int, np.ndarray]]:
-    """Slots first..first+n-1 in order, by arithmetic alone: (doc_id, part, ids)."""
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    wide = min(high - low, 20_000)
+    per_task = -(-(high - low) // wide)
+    target = F.floor((F.floor(F.col("slot") / per_shard) - low) / per_task).cast("int")
+    dealt = blocks.select("part", "first", "n", "blob").mapInArrow(cut, "slot long, ids binary").repartitionById(wide, target).sortWithinPartitions("slot")
+    return dealt.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def materialise(docs: DataFrame, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, waves: int = WAVES, tokenizer: str = TOKENIZER, eod: int = EOD) -> DataFrame:
+    """Write the shards; returns where each piece of a document is: (doc_id, piece, slot, shard, record, begin, n_tokens).
+
+    A document's pieces in order are its ids and the end-of-document id.
+    """
+    blocks = checkpoint(packed(docs, length, tokenizer, eod))
+    counts = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    begins, total = {}, 0
+    for part in sorted(counts):
+        begins[part], total = total, total + counts[part]
+    shards = -(-total // per_shard)
+    written = 0
+    for w in range(waves):
+        low, high = shards * w // waves, shards * (w + 1) // waves
+        if high > low:
+            written += _write_wave(blocks, folder, begins, total, low, high, length, per_shard, key)
+            release(docs)
+    if written != total:
+        raise RuntimeError(f"{written} of {total} sequences were written")
+
+    def pieces(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                rows = batch.slice(k, 1000)
+                part, start, size = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("part", "start", "size"))
+                low, high = start // length, (start + size - 1) // length
+                times = high - low + 1
+                row = np.repeat(np.arange(len(start)), times)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                seq = low[row] + piece
+                begin = np.maximum(start[row] - seq * length, 0)
+                end = np.minimum(start[row] + size[row] - seq * length, length)
+                base = np.array([begins[p] for p in part], np.int64)
+                slot = feistel(base[row] + seq, total, key)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(slot), pa.array(slot // per_shard), pa.array(slot % per_shard), pa.array(begin.astype(np.int32)), pa.array((end - begin).astype(np.int32))],
+                    names=["doc_id", "piece", "slot", "shard", "record", "begin", "n_tokens"],
+                )
+
+    each = blocks.select("part", F.explode(F.arrays_zip("doc_id", "start", "size")).alias("d")).select("part", "d.doc_id", "d.start", "d.size")
+    return each.mapInArrow(pieces, "doc_id long, piece int, slot long, shard long, record long, begin int, n_tokens int")
+
+
+def read_sequences(folder: str, first: int, n: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> np.ndarray:
+    """Slots first..first+n-1 in order, by arithmetic alone; fewer where the data end."""
     fs, root = filesystem(folder)
-    stride, out = HEAD.itemsize + length * DTYPE.itemsize, []
+    stride, out = length * DTYPE.itemsize, []
     while n > 0:
         shard, record = divmod(first, per_shard)
         take = min(n, per_shard - record)
-        with fs.open_input_file(f"{root}/shard-{shard:08d}.bin") as f:
-            data = f.read_at(take * stride, record * stride)
-        if not data:
+        try:
+            with fs.open_input_file(f"{root}/shard-{shard:08d}.bin") as f:
+                data = f.read_at(take * stride, record * stride)
+        except FileNotFoundError:
+            break
+        out.append(np.frombuffer(data, DTYPE).reshape(-1, length))
+        if len(data) < take * stride:
             break
-        for i in range(len(data) // stride):
-            head = np.frombuffer(data, HEAD, 1, i * stride)[0]
-            ids = np.frombuffer(data, DTYPE, int(head["n"]), i * stride + HEAD.itemsize)
-            doc_id = int(head["doc_id"])
-            out.append((None if doc_id == np.iinfo(np.int64).min else doc_id, int(head["part"]), ids))
         first, n = first + take, n - take
-    return out
+    return np.concatenate(out) if out else np.zeros((0, length), DTYPE)
 
 
 def op4_binary_output(spark, sf_dir: str) -> DataFrame:
-    """Every sequence with its slot in training order and its place in the shards written."""
+    """Every piece of every document with its slot in training order and its place in the shards written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return materialise(docs, scratch(spark, "shards"))
 

@@ -9,33 +9,51 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-EOD = 50256  # <|endoftext|> of that vocabulary
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+EOD = 50256  # free in that vocabulary of ranks
 DTYPE = np.dtype("<u2")
 
+#: Fixed value: how that vocabulary's texts are cut into pieces before merging.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
 @lru_cache(maxsize=2)
 def _load(path: str):
+    """Function from a list of texts to a list of id sequences, for any of the three kinds of vocabulary files."""
+    if path.endswith(".tiktoken"):
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        t = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [t.encode_ordinary(x) for x in texts]
+    if path.endswith(".model"):
+        import sentencepiece
+
+        t = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda texts: t.encode(texts, num_threads=1)
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     os.environ.setdefault("RAYON_NUM_THREADS", "1")
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True  # a text that spells a special token is ordinary text
-    return t
+    return lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def encode(texts: list[str], path: str = TOKENIZER) -> list[np.ndarray]:
     """Token ids of whole texts.  Texts go in batches of about a megabyte."""
-    t, out, batch, size = _load(path), [], [], 0
+    run, out, batch, size = _load(path), [], [], 0
     for x in texts:
         batch.append(x)
         size += len(x)
         if size > 1 << 20:
-            out += [np.array(e.ids, DTYPE) for e in t.encode_batch_fast(batch, add_special_tokens=False)]
+            out += [np.array(ids, DTYPE) for ids in run(batch)]
             batch, size = [], 0
     if batch:
-        out += [np.array(e.ids, DTYPE) for e in t.encode_batch_fast(batch, add_special_tokens=False)]
+        out += [np.array(ids, DTYPE) for ids in run(batch)]
     return out
 
 
