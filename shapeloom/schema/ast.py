@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -220,9 +221,12 @@ class Schema:
 
 
 def resolve_iri(base: str | None, iri: str) -> str:
+    """An IRI against a base; absolute ones, with their empty fragments, stay as they are."""
     from urllib.parse import urljoin
 
-    return urljoin(base, iri) if base and ":" not in iri.split("/")[0] else iri
+    if not base or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", iri):
+        return iri
+    return urljoin(base, iri) + ("#" if iri.endswith("#") else "")
 
 
 def triple_children(te) -> tuple:

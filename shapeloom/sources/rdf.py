@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import urljoin
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import TRIPLES, literal_id, term_row
-from ..schema.ast import RDF, XSD, BNode, Iri, Literal, SchemaError
+from ..schema.ast import RDF, XSD, BNode, Iri, Literal, SchemaError, resolve_iri
 from ..schema.shexc import Tokens, unescape
 from .graph import Graph
 
@@ -84,7 +82,7 @@ class Turtle:
     def iri(self) -> str:
         kind, text = self.t.next()
         if kind == "iri":
-            return urljoin(self.base, unescape(text[1:-1])) if self.base else unescape(text[1:-1])
+            return resolve_iri(self.base, unescape(text[1:-1]))
         if kind == "pname":
             prefix, _, local = text.partition(":")
             if prefix not in self.prefixes:
