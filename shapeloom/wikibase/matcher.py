@@ -32,7 +32,7 @@ from ..schema.ast import (
     Stem,
     TripleConstraint,
 )
-from .wshex import WD, StatementConstraint, TermConstraint, property_of
+from .entityschema import WD, StatementConstraint, TermConstraint, property_of
 
 
 def _all(xs) -> Column:

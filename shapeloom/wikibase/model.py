@@ -72,7 +72,7 @@ def to_json(entities: DataFrame) -> DataFrame:
 
 def to_text(entities: DataFrame) -> DataFrame:
     """One short line per entity: id, its label and how many statements it has."""
-    label = F.coalesce(F.element_at("labels", "en"), F.element_at(F.map_values("labels"), 1), F.lit(""))
+    label = F.coalesce(F.element_at("labels", "en"), F.try_element_at(F.map_values("labels"), F.lit(1)), F.lit(""))
     return entities.select(F.concat_ws(" ", "id", label, F.concat(F.lit("("), F.size("statements"), F.lit(")"))).alias("value"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from . import model, rdf
 from .matcher import Matcher
-from .wshex import parse
+from .entityschema import parse
 
 _P = "PREFIX : <http://www.wikidata.org/entity/>\n"
 
