@@ -10,7 +10,8 @@ Every label is evaluated for all its nodes at once:
   per distinct vector of counts.
 
 Labels go in strata, dependencies first.  References are joins with the nodes
-that conform to the label.  A recursive stratum starts from all demanded pairs
+that conform to the label; those to labels of node constraints only are
+predicates, and those to labels over arcs only need no demand.  A recursive stratum starts from all demanded pairs
 and drops failing ones until nothing changes (the greatest fixpoint); demand is
 closed first by following arcs from the requested pairs.
 """
@@ -158,7 +159,7 @@ def hoist(schema: Schema) -> Schema:
 class Validator:
     """A compiled schema over a graph."""
 
-    def __init__(self, schema: Schema, graph: Graph, resolver=None, actions: Actions | None = None):
+    def __init__(self, schema: Schema, graph: Graph, resolver=None, actions: Actions | None = None, track: bool = False):
         wrong = analyze.problems(schema)
         if wrong:
             raise SchemaError("; ".join(wrong))
@@ -180,6 +181,32 @@ class Validator:
                     found.append(Atom(x, constraints, e, f"a{len(found)}"))
             self.atoms[label] = found
         self.rounds = 0
+        self.inline: set[str] = set()
+        self.default: dict[str, bool] = {}
+        if not track:
+            self._classify()
+
+    def _classify(self) -> None:
+        """Labels that need no demand.
+
+        Inline: node constraints only, so a reference is a predicate on the
+        value.  Open (``default``): shapes over arcs only, so they are
+        evaluated for every node that has arcs, and all other nodes get the
+        verdict of an empty neighbourhood.
+        """
+        for comp in self.order:
+            label = comp[0]
+            if len(comp) > 1 or label in self.recursive:
+                continue
+            here, there = self._references(label)
+            kinds = {type(x) for x in _same_node(self.exprs[label])}
+            known = self.inline | set(self.default)
+            if here or not {r for refs in there.values() for r in refs} <= known:
+                continue
+            if not self.atoms[label]:
+                self.inline.add(label)
+            elif NodeConstraint not in kinds and not any(x.acts for x in _own_shapes(self.exprs[label])):
+                self.default[label] = _on_nothing(self.exprs[label], self.atoms[label])
 
     def plan_of(self, label: str) -> str:
         """The physical template of a label."""
@@ -244,6 +271,7 @@ class Validator:
 
     def _pass_on(self, label, nodes, wanted, only: set | None = None, without: set = frozenset()) -> None:
         here, there = self._references(label)
+        without = set(without) | self.inline | set(self.default)
         for r in here:
             if (only is None or r in only) and r not in without:
                 wanted.setdefault(r, []).append(nodes)
@@ -261,6 +289,9 @@ class Validator:
         known = self._demand(requested)
         true: dict[str, DataFrame] = {}
         out: dict[str, DataFrame] = {}
+        for comp in self.order:  # plans only; what nobody refers to is never run
+            if comp[0] in self.default:
+                true[comp[0]] = self._exceptions(comp[0], true)
         for comp in self.order:
             comp = [x for x in comp if x in known]
             if not comp:
@@ -268,7 +299,8 @@ class Validator:
             if len(comp) == 1 and comp[0] not in self.recursive:
                 label = comp[0]
                 out[label] = self._label(label, known[label], true)
-                true[label] = out[label].where("ok").select("node")
+                if label not in self.default:
+                    true[label] = out[label].where("ok").select("node")
                 continue
             counts = {x: known[x].count() for x in comp}
             true |= {x: known[x].select("node") for x in comp}
@@ -284,12 +316,28 @@ class Validator:
             out |= results
         return out
 
+    def _exceptions(self, label: str, true: dict[str, DataFrame]) -> DataFrame:
+        """Nodes whose verdict differs from the default: one aggregate over the label's arcs."""
+        atoms, (_, there) = self.atoms[label], self._references(label)
+        first, *rest = self._counts(atoms, {r for refs in there.values() for r in refs}, true)
+        for part in rest:
+            first = first.join(part, "node", "left")
+        ok = self._focus(self.exprs[label], None, {id(a.shape): self._atom(a) for a in atoms}, true)
+        return first.where(~ok if self.default[label] else ok).select("node")
+
+    def _conforms(self, r: str, t: TermColumns, labels: str) -> Column:
+        """Whether a term conforms to a label: a predicate, or its presence among the joined labels."""
+        if r in self.inline:
+            return self._focus(self.exprs[r], t, {}, {})
+        found = F.coalesce(F.array_contains(labels, r), F.lit(False))
+        return ~found if self.default.get(r) else found
+
     def _label(self, label: str, nodes: DataFrame, true: dict[str, DataFrame]) -> DataFrame:
         se, atoms = self.exprs[label], self.atoms[label]
         here, there = self._references(label)
         base = nodes
-        if here:
-            base = _with_labels(base, "node", here, true, "_here")
+        if here - self.inline:
+            base = _with_labels(base, "node", here - self.inline, true, "_here")
         counted = self._counts(atoms, {r for refs in there.values() for r in refs}, true)
         for part in counted:
             base = base.join(part, "node", "left")
@@ -311,7 +359,7 @@ class Validator:
         if isinstance(se, NodeConstraint):
             return compile_constraint(se, t)
         if isinstance(se, ShapeRef):
-            return F.array_contains("_here", se.label)
+            return self._conforms(se.label, t, "_here")
         if isinstance(se, Shape):
             acts = self.actions.holds(se.acts)
             ok = next((v for k, v in verdicts.items() if k == id(se)), F.lit(True))
@@ -333,7 +381,7 @@ class Validator:
         if isinstance(se, ShapeNot):
             return ~self._value_expr(se.expr, t)
         if isinstance(se, ShapeRef):
-            return F.coalesce(F.array_contains("_labels", se.label), F.lit(False))
+            return self._conforms(se.label, t, "_labels")
         return compile_constraint(se, t)
 
     def _counts(self, atoms: list[Atom], refs: set[str], true: dict) -> list[DataFrame]:
@@ -342,6 +390,7 @@ class Validator:
             return []
         direct = None if any(a.shape.closed for a in atoms) else {p for a in atoms for p in a.direct}
         arcs = _arcs(self.graph, direct, {p for a in atoms for p in a.backward})
+        refs = refs - self.inline
         if refs:
             arcs = _with_labels(arcs.withColumn("_target", term_id(term_at(""))), "_target", refs, true, "_labels")
         t, p, inv = term_at(""), F.col("p"), F.col("inverse")
@@ -416,6 +465,17 @@ class Validator:
         return out
 
 
+def _on_nothing(se, atoms: list[Atom]) -> bool:
+    """The verdict for a node without arcs."""
+    if isinstance(se, ShapeAnd):
+        return all(_on_nothing(x, atoms) for x in se.exprs)
+    if isinstance(se, ShapeOr):
+        return any(_on_nothing(x, atoms) for x in se.exprs)
+    if isinstance(se, ShapeNot):
+        return not _on_nothing(se.expr, atoms)
+    return all(rbe.matches(a.expr, {}) for a in atoms if a.shape is se)
+
+
 def _own_shapes(se):
     return [x for x in _same_node(se) if isinstance(x, Shape)]
 
@@ -466,7 +526,7 @@ def validate(graph: Graph, schema: Schema, pairs: list[tuple[DataFrame, str, str
 
     pairs: (nodes, label, expected status); nodes have node, kind, lex, dt, lang.
     """
-    v = Validator(schema, graph, resolver, actions)
+    v = Validator(schema, graph, resolver, actions, track=include_dependents)
     requested: dict[str, list[DataFrame]] = {}
     for nodes, label, _ in pairs:
         if label not in v.exprs:
