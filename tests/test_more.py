@@ -147,3 +147,24 @@ def test_command_line(tmp_path, capsys, spark):
     assert main(["path", *s, "--path", "/@:S/:p"]) == 0 and main(["path", *s, "--path", "/@:X"]) == 1
     capsys.readouterr()
     assert main(["map", *s, "--mapping", str(tmp_path / "r.map")]) == 0 and ":new" in capsys.readouterr().out
+
+
+def test_manifest(tmp_path, spark):
+    from shapeloom.shapemap import manifest
+
+    (tmp_path / "s.shex").write_text("PREFIX : <http://e/> :S { :p . }")
+    (tmp_path / "bad.shex").write_text("PREFIX : <http://e/> :S { :p ")
+    (tmp_path / "d.ttl").write_text("PREFIX : <http://e/> :a :p 1 . :b :q 1 .")
+    (tmp_path / "m.sm").write_text("<http://e/a>@<http://e/S>, <http://e/b>@<http://e/S>")
+    (tmp_path / "r.sm").write_text("<http://e/a>@<http://e/S>, <http://e/b>@!<http://e/S>")
+    (tmp_path / "manifest.ttl").write_text(
+        "PREFIX mf: <http://www.w3.org/2001/sw/DataAccess/tests/test-manifest#> PREFIX sht: <http://www.w3.org/ns/shacl/test-suite#> PREFIX : <http://e/>\n"
+        "<> a mf:Manifest ; mf:entries ( <#1> <#2> <#3> <#4> ) .\n"
+        "<#1> a sht:ValidationTest ; mf:name 'one' ; mf:action [ sht:schema <s.shex> ; sht:data <d.ttl> ; sht:shape :S ; sht:focus :a ] .\n"
+        "<#2> a sht:ValidationFailure ; mf:name 'two' ; mf:action [ sht:schema <s.shex> ; sht:data <d.ttl> ; sht:shape :S ; sht:focus :b ] .\n"
+        "<#3> a sht:Validate ; mf:name 'three' ; mf:action [ sht:schema <s.shex> ; sht:data <d.ttl> ; sht:map <m.sm> ] ; mf:result <r.sm> .\n"
+        "<#4> a sht:NegativeSyntax ; mf:name 'four' ; sht:schema <bad.shex> .\n"
+    )
+    entries = manifest.read(str(tmp_path / "manifest.ttl"))
+    assert [e.name for e in entries] == ["one", "two", "three", "four"]
+    assert all(manifest.run(spark, e) for e in entries)
