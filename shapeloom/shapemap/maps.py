@@ -216,10 +216,7 @@ def select(graph: Graph, selector) -> DataFrame:
     path, other = selector.path, selector.other
     if selector.focus == "subject":
         if isinstance(path, pp.Step):  # no join: subjects of the predicate's triples
-            t = graph.triples({path.predicate})
-            if other is not None:
-                kind, lex, dt, lang = term_row(other)
-                t = t.where((F.col("o_kind") == kind) & (F.col("o_lex") == lex) & F.col("o_dt").eqNullSafe(dt) & F.lower("o_lang").eqNullSafe(lang.lower() if lang else None))
+            t = graph.triples({path.predicate}) if other is None else graph.triples_with(path.predicate, other)
             r = resource(F.col("s"))
             return t.select(F.col("s").alias("node"), r.kind.alias("kind"), r.lex.alias("lex"), r.dt.alias("dt"), r.lang.alias("lang")).distinct()
         path = pp.Inverse(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +31,12 @@ class Graph:
         """All triples, or those of some predicates: a filter that reaches the scan."""
         return self.df if predicates is None else self.df.where(F.col("p").isin(sorted(predicates)))
 
+    def triples_with(self, predicate: str, term) -> DataFrame:
+        """Triples of one predicate and object."""
+        kind, lex, dt, lang = term_row(term)
+        same = (F.col("o_kind") == kind) & (F.col("o_lex") == lex) & F.col("o_dt").eqNullSafe(dt) & F.lower("o_lang").eqNullSafe(lang.lower() if lang else None)
+        return self.triples({predicate}).where(same)
+
     def subjects(self) -> DataFrame:
         return self.df.select("s").distinct()
 
@@ -113,13 +119,26 @@ class MappedGraph(Graph):
             objects = [self._object(c, kinds) for c in cols]
             if typed:
                 objects.append(_struct(F.lit(TYPE), "iri", F.lit(BASE + (m.cls or m.table)), None, None))
-            one = table.select(F.expr(m.subject).alias("s"), F.explode(F.filter(F.array(*objects), lambda o: o["o_lex"].isNotNull())).alias("o")).select("s", "o.*")
+            subject = F.expr(m.subject).alias("s")
+            if len(objects) == 1:  # no array: the null test can reach the scan
+                one = table.select(subject, objects[0].alias("o")).select("s", "o.*").where("o_lex IS NOT NULL")
+            else:
+                one = table.select(subject, F.explode(F.filter(F.array(*objects), lambda o: o["o_lex"].isNotNull())).alias("o")).select("s", "o.*")
             one = one.distinct() if m.distinct else one
             out = one if out is None else out.unionByName(one)
         if out is None:
             return self._spark.createDataFrame([], TRIPLES)
         return out
 
+    def triples_with(self, predicate: str, term) -> DataFrame:
+        """A type is a table: only tables of that class are read."""
+        if predicate != TYPE:
+            return super().triples_with(predicate, term)
+        mine = [m for m in self.mappings if m.typed and term_row(term) == ("iri", BASE + (m.cls or m.table), None, None)]
+        # rdf:type as data of its own, where a mapping has it as a column
+        mine += [replace(m, typed=False) for m in self.mappings if any(c.iri_of == TYPE for c in m.columns)]
+        return Graph.triples_with(MappedGraph(self._spark, self.tables, mine), predicate, term)
+
     def subjects(self) -> DataFrame:
         out = None
         for m in self.mappings:
