@@ -5,19 +5,24 @@ sentence) and units after a number are replaced by typed placeholders, other
 words are lower-cased, punctuation goes.  Windows of ``WIDTH`` template tokens
 of all benchmark items are hashed into a table; documents probe it with the
 windows of their whole texts (a hash join with the item side built).  Hits on
-one diagonal (same document, item and offset) form runs; in a run the slot
-values must agree: one value of the item stands for one value of the document
-throughout, per type.  Runs end where that breaks.  A document leaks an item
-when a run covers ``RUN`` tokens, or the whole item if that is shorter, so
-copies and re-parameterised questions are found and chance windows are not.
-
-The item side is broadcast in blocks of at most ``max_windows`` windows (16
+one diagonal (same document, item and offset) form runs; in a run the slot values must agree: one value
+of the item stands for one value of the document throughout, per type.  Runs
+end where that breaks.  A document leaks an item when a run covers ``RUN``
+tokens, or the whole item if that is shorter, so copies and re-parameterised
+questions are found and chance windows are not.
+
+A word's type depends on where it stands, and windows of slots alone say
+little, so templates miss some copies.  Word-for-word copies are therefore
+also looked up as such: windows of ``RUN`` lower-cased words, or of the whole
+item if that is shorter, are leaks wherever they stand and whatever they hold.
+
+The item side is broadcast in blocks of at most ``max_windows`` windows (40
 bytes each and the slots), so what is broadcast is bounded; more items than
 that cost further passes over the documents, never a larger broadcast.
 
 Defined results: null and empty texts leak nothing; items with fewer than
 ``SHORTEST`` tokens, or null, cannot be told from chance and match nothing; a
-window needs ``LITERAL`` plain words; repeated rows are judged alike; a
+window of a template needs ``LITERAL`` plain words, a word-for-word copy none; repeated rows are judged alike; a
 document is listed once per item, and repeated item_ids count as one.  Extra
 columns are kept by ``clean``.
 """
@@ -28,6 +33,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,12 +62,22 @@ def _hash_of(words: list[str]) -> np.ndarray:
 _UNITS = np.sort(_hash_of(UNITS))
 
 
+def _any_case(raw, offsets, a, b, h: np.ndarray) -> np.ndarray:
+    """Word hashes of rows a..b-1 with letters of every script lower-cased; ``h`` has the ASCII ones so already."""
+    if not (raw[int(offsets[a]) : int(offsets[b])] >= 0x80).any():
+        return h
+    rows = pa.LargeStringArray.from_buffers(b - a, pa.py_buffer(np.ascontiguousarray(offsets[a : b + 1])), pa.py_buffer(raw))
+    low, bounds, _ = ts.text_buffers(pc.utf8_lower(rows))
+    return ts.words(low, bounds, 0, b - a, ts.PUNCT)[3]
+
+
 def templates(raw, offsets, a, b) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, word hash, type (0 word, 1 number, 2 name, 3 unit) and template hash of every token of rows a..b-1."""
     rows, starts, ends, h = ts.words(raw, offsets, a, b, ts.PUNCT)
     kind = np.zeros(len(rows), np.int8)
     if not len(rows):
         return rows, h, kind, h
+    h = _any_case(raw, offsets, a, b, h)
     base = int(offsets[a])
     stops = np.concatenate([[0], np.cumsum(_ENDS[raw[base : int(offsets[b])]], dtype=np.int64)])
     opens = np.ones(len(rows), bool)
@@ -104,10 +120,28 @@ class Items:
         order = np.argsort(hashes, kind="stable")
         self.hash, self.at, self.row = hashes[order], at[order], rows[at[order]]
         self.need = np.minimum(size, RUN)
+        self._copies(rows)
+
+    def _copies(self, rows) -> None:
+        """Word windows as wide as the item's run, and the first words of each as a filter."""
+        self.plain: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        heads = [np.zeros(0, np.uint64)]
+        for w in sorted({int(n) for n in self.need if n >= SHORTEST}):
+            value, start = ts.windows(self.word, rows, w)
+            keep = self.need[rows[start]] == w
+            value, start = value[keep], start[keep]
+            heads.append(ts.windows_at(self.word, start, SHORTEST))
+            order = np.lexsort((rows[start], value))
+            value, row = value[order], rows[start[order]]
+            once = np.ones(len(value), bool)
+            once[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
+            self.plain[w] = value[once], row[once]
+        self.heads = np.unique(np.concatenate(heads))
 
     def leaks(self, rows, word, kind, template) -> dict[int, set[int]]:
         """Row -> ids of the items it leaks."""
         out: dict[int, set[int]] = defaultdict(set)
+        self._find_copies(rows, word, out)
         diagonals: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
         for w in self.widths:
             value, start = ts.windows(template, rows, w)
@@ -118,24 +152,47 @@ class Items:
                     if min(int(self.first[item + 1] - self.first[item]), WIDTH) == w:
                         diagonals[int(rows[start[i]]), item, int(start[i] - self.at[j])].append((int(start[i]), w))
         for (row, item, shift), hits in diagonals.items():
-            if self.ids[item] not in out[row] and self._long_run(hits, shift, int(self.need[item]), word, kind):
+            if self.ids[item] not in out[row] and self._long_run(hits, shift, item, row, rows, word, kind):
                 out[row].add(self.ids[item])
         return {r: x for r, x in out.items() if x}
 
-    def _long_run(self, hits, shift: int, need: int, word, kind) -> bool:
-        hits.sort()
-        stands: dict[tuple[int, int], int] = {}
-        begin = reached = None
-        for start, w in hits:
-            if reached is None or start > reached:
-                begin, reached, stands = start, start, {}
-            for p in range(reached, start + w):
-                if kind[p]:
-                    key, value = (int(kind[p]), int(self.word[p - shift])), int(word[p])
-                    if stands.setdefault(key, value) != value:
+    def _find_copies(self, rows, word, out: dict[int, set[int]]) -> None:
+        head, first = ts.windows(word, rows, SHORTEST)
+        if not len(self.heads) or not len(head):
+            return
+        at = np.searchsorted(self.heads, head)
+        at[at == len(self.heads)] = 0
+        first = first[self.heads[at] == head]
+        for w, (hashes, items) in self.plain.items():
+            inside = first[first + w <= len(rows)]
+            inside = inside[rows[inside + w - 1] == rows[inside]]
+            value = ts.windows_at(word, inside, w)
+            lo, hi = np.searchsorted(hashes, value, "left"), np.searchsorted(hashes, value, "right")
+            hit = hi > lo
+            for r, x, y in set(zip(rows[inside[hit]].tolist(), lo[hit].tolist(), hi[hit].tolist(), strict=True)):
+                out[r].update(self.ids[i] for i in items[x:y])
+
+    def _long_run(self, hits, shift: int, item: int, row: int, rows, word, kind) -> bool:
+        """Whether hits of one diagonal, carried on by equal words, hold a run of consistent slots that is long enough."""
+        need = int(self.need[item])
+        lo = max(min(s for s, _ in hits) - need, int(self.first[item]) + shift, int(np.searchsorted(rows, row)))
+        hi = min(max(s + w for s, w in hits) + need, int(self.first[item + 1]) + shift, int(np.searchsorted(rows, row, "right")))
+        ours, theirs = self.word[lo - shift : hi - shift], word[lo:hi]
+        slots = (self.kind[lo - shift : hi - shift] > 0) | (kind[lo:hi] > 0)
+        hit = np.zeros(hi - lo, bool)
+        for s, w in hits:
+            hit[s - lo : s - lo + w] = True
+        for joined in (hit,):
+            stands: dict[tuple[int, int], int] = {}
+            begin = 0
+            for p in range(hi - lo):
+                if not joined[p]:
+                    begin, stands = p + 1, {}
+                elif slots[p]:
+                    value = int(theirs[p])
+                    if stands.setdefault((int(self.kind[p + lo - shift]), int(ours[p])), value) != value:
                         begin, stands = p + 1, {}
-                reached = p + 1
-                if reached - begin >= need:
+                if p + 1 - begin >= need:
                     return True
         return False
 

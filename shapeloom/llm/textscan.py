@@ -154,6 +154,14 @@ def windows(hashes: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarra
     return mix(value[first]), first
 
 
+def windows_at(hashes: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the ``width``-word windows that begin at the given words."""
+    value = np.zeros(len(first), np.uint64)
+    for k in range(width):
+        value += hashes[first + k] * _C[k]
+    return mix(value)
+
+
 def whole(hashes: np.ndarray) -> np.uint64:
     """Hash of a sequence shorter than a window, apart from every window's hash."""
     value = np.uint64(len(hashes) * 0x632BE59BD9B4E019 & (1 << 64) - 1)

@@ -298,6 +298,26 @@ def test_inconsistent_slots_end_a_run():
         assert bool(items.leaks(*decontam.templates(raw, offsets, 0, 1))) == want
 
 
+def _leaks(item: str, text: str) -> bool:
+    import pyarrow as pa
+
+    raw, offsets, _ = textscan.text_buffers(pa.array(["before", text, item[:9]]))
+    return 1 in decontam.Items([1], [item]).leaks(*decontam.templates(raw, offsets, 0, 3))
+
+
+def test_word_for_word_copies_leak_whatever_their_place_and_case(spark):
+    item = "What is the boiling point of pure water at sea level"
+    for text in (f"Quiz. {item}.", f"see question 7 - {item} - and answer", f'They asked ("{item}") twice', item.upper(), f"so {item.lower()}"):
+        assert _leaks(item, text), text
+    assert not _leaks(item, f"a - {item.replace('pure', 'salt')} - b")
+    assert _leaks("Über Äpfel und Öl in Köln", "wer - ÜBER ÄPFEL UND ÖL IN KÖLN - fragt")
+    long = "A train leaves Boston at 60 km per hour and reaches Chicago after 5 hours, so how far is Chicago from Boston?"
+    table = spark.createDataFrame([(5, long.upper()), (6, f"b - {long[:60]}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, long), (2, long)], "item_id long, text string")
+    assert {tuple(r) for r in decontam.leaks(table, bench).collect()} == {(5, 1), (5, 2)}
+    assert [r["doc_id"] for r in decontam.clean(table, bench).collect()] == [6]
+
+
 # 6 toxicity ------------------------------------------------------------------------
 
 
