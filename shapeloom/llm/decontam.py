@@ -5,7 +5,8 @@ sentence) and units after a number are replaced by typed placeholders, other
 words are lower-cased, punctuation goes.  Windows of ``WIDTH`` template tokens
 of all benchmark items are hashed into a table; documents probe it with the
 windows of their whole texts (a hash join with the item side built).  Hits on
-one diagonal (same document, item and offset) form runs; in a run the slot values must agree: one value
+one diagonal (same document, item and offset) form runs, which equal words
+carry on whatever their types; in a run the slot values must agree: one value
 of the item stands for one value of the document throughout, per type.  Runs
 end where that breaks.  A document leaks an item when a run covers ``RUN``
 tokens, or the whole item if that is shorter, so copies and re-parameterised
@@ -182,7 +183,8 @@ class Items:
         hit = np.zeros(hi - lo, bool)
         for s, w in hits:
             hit[s - lo : s - lo + w] = True
-        for joined in (hit,):
+        # with equal words a run may begin earlier and break elsewhere, so either will do
+        for joined in (hit, hit | (ours == theirs)):
             stands: dict[tuple[int, int], int] = {}
             begin = 0
             for p in range(hi - lo):

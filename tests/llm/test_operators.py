@@ -318,6 +318,22 @@ def test_word_for_word_copies_leak_whatever_their_place_and_case(spark):
     assert [r["doc_id"] for r in decontam.clean(table, bench).collect()] == [6]
 
 
+def test_word_for_word_copies_leak_without_plain_words():
+    sums = "Compute 12 + 45 + 7 + 88 + 31 + 6 + 90 + 4"
+    assert _leaks(sums, f"a {sums} b") and not _leaks(sums, sums.replace("88", "89"))
+    names = "Ann Bob Cid Dan Eva Fay Gus Hal Ida Jon Kim Lea Max Ned"
+    assert _leaks(names, f"the list, {names}") and not _leaks(names, "the list, Xia Yan Zoe Amy Ben Cal Dov Eli Flo Gil Hua Ian Jim Kay")
+    assert _leaks("0 " * 40, "0 " * 400) and not _leaks("0 " * 40, "0 " * 12)
+
+
+def test_equal_words_carry_a_run_on():
+    item = "Count for Rome all many costs: 12 45 7 88 31 64 90 17 then say who of the many people paid"
+    text = "you shall count for Bern all many costs: 12 45 7 88 31 64 90 17 or more"
+    assert _leaks(item, text) and not _leaks(item, text.replace("88", "89"))
+    # a question with another value, its first word inside a sentence
+    assert _leaks("What is the way from here to Rome by the old road", "so - What is the way from here to Bern by the old road")
+
+
 # 6 toxicity ------------------------------------------------------------------------
 
 
