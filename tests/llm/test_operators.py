@@ -209,6 +209,28 @@ def test_hash_is_spark_s(spark):
     assert [r["h"] for r in df.collect()] == ngramjoin.xxhash64_pair(x, y).view(np.int64).tolist()
 
 
+def test_links_do_not_rest_on_short_hashes(spark):
+    import pyarrow as pa
+
+    r = random.Random(3)
+    phrases = [" ".join(f"v{r.randrange(10**6)}" for _ in range(5)) for _ in range(300_000)]
+    raw, offsets, _ = textscan.text_buffers(pa.array(phrases))
+    rows, t = ngramjoin.doc_sets(raw, offsets, 0, len(phrases))
+    short = t >> np.uint64(29)
+    order = np.argsort(short, kind="stable")
+    i = np.flatnonzero(short[order][1:] == short[order][:-1])[0]
+    x, y = (phrases[rows[order[i + d]]] for d in (0, 1))
+    # 36 of 46 shingles are common, 37 of 45 by the upper halves
+    for k, want in ((40, {0, 1}), (60, {0})):
+        head = " ".join(f"u{j}" for j in range(k))
+        docs = spark.createDataFrame([(0, f"{head} {x}"), (1, f"{head} {y}")], "doc_id long, text string")
+        assert {z["component_id"] for z in ngramjoin.similar_groups(docs).collect()} == want
+
+
+def test_spare_covers_chance_collisions():
+    assert ngramjoin.spare(10, 100) == 1 and ngramjoin.spare(2_000, 20_000) >= 4 and ngramjoin.spare(111_000, 1_000_000) >= 80
+
+
 # 3 and 4 tokens ---------------------------------------------------------------------
 
 
