@@ -1,22 +1,31 @@
-"""Secret scans: fixed rules, then a character convolutional network over candidates.
+"""Secret scans: fixed rules, then a character convolutional network over every candidate.
 
 Base rules give the kinds ``assign``, ``access`` and ``hex``: per kind, leftmost
 non-overlapping matches of the whole text, of which those that are too short
 are dropped.  A span is the whole match, in code points, end exclusive.
 
-Every run of 16 or more of ``A-Z a-z 0-9 + / _ = -`` that holds a digit and
-touches no base span is a candidate.  A small network (character embedding,
-one convolution, max-pooling, one output) in numpy scores it together with the
-characters around it; a longer run is scored in overlapping pieces and takes
-the highest.  Candidates at or above the threshold become spans of kind
-``model``; base spans always stay.
-
-The tables carry no labelled findings, so the network learns from findings
-that ``labelled`` generates from a fixed seed: keys, tokens and digests in
-assignments, headers, addresses and prose against long words, paths, dates,
-telephone and card numbers, version strings and identifiers.  A held-out part
-of them calibrates the logit (Platt scaling) and sets the threshold: the
-highest that still recalls ``min_recall`` of the held-out secrets.
+Candidates are, with punctuation trimmed off both ends:
+
+* what the base rules found (of an assignment its value);
+* runs of eight or more of ``A-Z a-z 0-9 + / _ . ~ ! @ # $ % ^ * -`` (and up to
+  two ``=``) that hold a digit, one of ``+ ~ ! @ # $ % ^ *`` or capitals within,
+  and any such run of sixteen or more, letters only included;
+* runs of four or more that follow a key word and ``:`` or ``=``, so also the
+  assignments that are too short for the base rule.
+
+A small network (character embedding, one convolution, max-pooling, one
+output) in numpy scores each with the ``CONTEXT`` characters on either side; a
+longer one is scored in overlapping pieces and takes the highest.  Candidates
+that overlap no base span and score at or above the threshold become spans of
+kind ``model``.  Base spans always stay; ``n_likely`` says how many of them the
+network would have called secrets too.
+
+The tables carry no labelled findings, so secrets are generated (``findings``)
+from a fixed seed, and harmless findings too; beside those stand the candidates
+of a bounded sample of the documents themselves (``background``), which count
+as harmless, as secrets are rare among them.  A held-out quarter calibrates the
+logit (Platt scaling) and sets the threshold: the highest that still recalls
+``min_recall`` of the held-out secrets, but 0.5 at most.
 
 Defined results: null text counts as empty; no findings give the digest of the
 empty string and empty ``spans``; repeated rows and null ids are judged like
@@ -32,38 +41,58 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs of 16 or more: the same as all runs without the shorter ones
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}")
+RUN = re.compile(r"[A-Za-z0-9+/_.~!@#$%^*-]{8,}={0,2}")
+KEYED = re.compile(r"""(?:pass|passwd|password|pwd|secret|token|key|credential|auth)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.~!@#$%^*-]{4,}={0,2})""", re.I | re.A)
+MIXED = re.compile(r"[0-9+~!@#$%^*]|[a-z][A-Z]")
+KEY_WORDS = ("pass", "pwd", "secret", "token", "key", "credential", "auth")
+TRIM = "./-_!@#$%^*~"
 KINDS = ("assign", "access", "hex", "model")
 CONTEXT, BODY, STEP = 24, 48, 32
 WIDTH = BODY + 2 * CONTEXT
+SHORT, LONG = 8, 16
+BACKGROUND_DOCS, BACKGROUND = 500, 3000
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind number, end) of the fixed rules, in order."""
+def base_matches(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, kind number, end, start of the value) of the fixed rules, in order."""
     found = []
     low = text.lower()
     if any(k in low for k in ("password", "passwd", "secret", "token", "apikey", "api_key")):
-        found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+        found += [(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     if "AKIA" in text:
-        found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
-    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+        found += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
+    found += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text)]
     return sorted(found)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs that look like keys and touch no base span."""
+def candidates(text: str, base: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """Runs that may be secrets and overlap no base span."""
+    found = set()
+    for m in RUN.finditer(text):
+        run = m[0]
+        left = run.lstrip(TRIM)
+        core = left.rstrip(TRIM)
+        if len(core) >= LONG or (len(core) >= SHORT and MIXED.search(core)):
+            s = m.end() - len(left)
+            found.add((s, s + len(core)))
+    low = text.lower()
+    if any(k in low for k in KEY_WORDS):
+        found |= {(m.start(1), m.start(1) + len(m[1].rstrip("."))) for m in KEYED.finditer(text)}
     out, i = [], 0
-    ends = sorted((s, e) for s, _, e in base)
-    for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        while i < len(ends) and ends[i][1] <= s:
+    taken = sorted((s, e) for s, _, e, _ in base)
+    reach = 0  # the furthest end of the base spans passed so far
+    for s, e in sorted(found):
+        while i < len(taken) and taken[i][0] < e:
+            reach = max(reach, taken[i][1])
             i += 1
-        if not any(x < e for x, _ in ends[i : i + 1]):
+        # spans that begin before e and end after s overlap; those passed earlier may still reach in
+        if reach <= s and e - s >= 4:
             out.append((s, e))
     return out
 
@@ -71,10 +100,10 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
 def encode(text: str, start: int, end: int) -> np.ndarray:
     """Code per position of one piece: 0 outside the text, 1 other characters, then ASCII; +128 inside the candidate."""
     lo = start - CONTEXT
-    part = text[max(0, lo) : end + CONTEXT].encode("utf-32-le")
+    part = text[max(0, lo) : end + CONTEXT].encode("utf-32-le", "surrogatepass")
     c = np.frombuffer(part, np.uint32)
-    c = np.where(c < 127, c, 1).astype(np.int64)
-    out = np.zeros(WIDTH, np.int64)
+    c = np.where(c < 127, np.maximum(c, 2), 1).astype(np.uint8)
+    out = np.zeros(WIDTH, np.uint8)
     shift = max(0, -lo)
     n = min(len(c), WIDTH - shift)
     out[shift : shift + n] = c[:n]
@@ -91,8 +120,8 @@ def pieces(start: int, end: int) -> list[tuple[int, int]]:
 
 @dataclass
 class Network:
-    emb: np.ndarray
-    conv: np.ndarray
+    emb: np.ndarray  # code x dim
+    conv: np.ndarray  # (width * dim) x filters
     cb: np.ndarray
     out: np.ndarray
     ob: float
@@ -117,63 +146,136 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -30, 30)))
 
 
-def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Generated findings: encoded candidates with their context, and 1 for a secret."""
+def findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np.ndarray]:
+    """Generated findings: (text, start, end) of a candidate, and 1 for a secret."""
     rng = np.random.default_rng(seed)
-    syll = [a + b for a in ("th", "st", "r", "l", "m", "n", "qu", "sch", "p", "d", "c", "v") for b in ("e", "a", "in", "on", "er", "ion", "eau", "ung", "o", "és")]
-    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    one = lambda xs: xs[int(rng.integers(0, len(xs)))]
+    upper, small, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alnum = upper + small + digits
+    onset = "b c d f g h j k l m n p r s t v w z th st sch br tr qu pl cr fl gr pr ch sh".split()
+    vowel = "a e i o u ea ie ou au ei io y".split()
+    coda = ["", "", "", "n", "r", "s", "l", "nd", "ng", "st", "t", "ch", "ck", "m", "x", "é", "ß", "ó"]
     pick = lambda s, k: "".join(s[i] for i in rng.integers(0, len(s), k))
-    word = lambda: "".join(syll[i] for i in rng.integers(0, len(syll), rng.integers(1, 4)))
-    prose = lambda k: " ".join(word() for _ in range(k))
-    digits = "0123456789"
-    xs, ys = [], []
+    word = lambda lo=1, hi=4: "".join(one(onset) + one(vowel) + one(coda) for _ in range(rng.integers(lo, hi)))
+    number = lambda lo, hi: pick(digits, int(rng.integers(lo, hi)))
+
+    def prose(k):
+        words = [word() for _ in range(k)]
+        mark = one(["", "", "", "***", "###", ",", ".", "!!"])
+        return one([" ".join(words), " ".join(words).upper(), (mark + " ").join(words), " | ".join(words), "\n".join(words)])
+
+    secret_bodies = (
+        lambda: pick(alnum, int(rng.integers(16, 64))),
+        lambda: pick(alnum + "+/", int(rng.integers(18, 64))) + "=" * int(rng.integers(0, 3)),
+        lambda: pick(alnum + "-_", int(rng.integers(16, 48))),
+        lambda: pick(digits + "ABCDEF", int(rng.integers(16, 48))),
+        lambda: pick(digits + "abcdef", int(rng.integers(20, 65))),
+        lambda: pick(small, int(rng.integers(16, 33))),
+        lambda: pick(upper, int(rng.integers(16, 33))),
+        lambda: pick(small + digits, int(rng.integers(14, 40))),
+        lambda: pick(upper + digits, int(rng.integers(16, 40))),
+        lambda: one(["ghp_", "sk-", "xoxb-", "glpat-", "eyJ", "SG.", "pk_live_", "npm_", "AIza", "ya29."]) + pick(alnum, int(rng.integers(18, 48))),
+        lambda: "eyJ" + pick(alnum, 20) + "." + pick(alnum + "-_", 20) + "." + pick(alnum + "-_", 20),
+    )
+    passwords = (
+        lambda: pick(alnum + "!@#$%^*", int(rng.integers(8, 20))),
+        lambda: word(2, 3).capitalize() + number(1, 5) + one("!@#$%*"),
+        lambda: word(1, 3) + one("!@#$%*-_.") + word(1, 3) + number(1, 4),
+        lambda: pick(alnum, int(rng.integers(8, 16))),
+    )
+    heads = ("", "Authorization: Bearer ", "_key = ", '": "', "?k=", "export ", "value ", "use ", "(", "sig=", "x-key: ", "= ", ": ")
+    keyed = ("password: ", "pwd=", "secret = '", "token=", 'api-key: "', "pass: ", "DB_PASSWORD=", "auth: ", "credential = ", "PASSWORD: ")
+    plain = (
+        lambda: word(6, 9),
+        lambda: word(6, 9).upper(),
+        lambda: word(5, 8).capitalize(),
+        lambda: "-".join(word() for _ in range(rng.integers(2, 6))) + one(["", "-" + number(1, 5)]),
+        lambda: "_".join(word() for _ in range(rng.integers(2, 6))) + one(["", number(1, 3)]),
+        lambda: f"20{pick(digits, 2)}-0{pick('123456789', 1)}-1{pick(digits, 1)}" + one(["", f"T{pick('01', 1)}{pick(digits, 1)}", f"-{word()}-{word()}"]),
+        lambda: "/".join(word() + number(0, 2) for _ in range(rng.integers(3, 6))) + one(["", ".html", ".py", ".tar.gz"]),
+        lambda: "".join(word(1, 3).capitalize() for _ in range(rng.integers(2, 5))) + number(0, 3),
+        lambda: word(1, 2) + "".join(word(1, 3).capitalize() for _ in range(rng.integers(1, 4))),
+        lambda: f"{word()}.{number(1, 4)}@{one(['mail', 'post', word()])}{number(0, 3)}.{one(['example', word()])}.{one(['com', 'org', 'de', 'net'])}",
+        lambda: f"{word()}{one(['', number(1, 4), '.' + word()])}@{word()}.{one(['com', 'org', 'de', 'net'])}",
+        lambda: ".".join(number(1, 4) for _ in range(4)),
+        lambda: f"{number(3, 4)}-{number(4, 5)}",
+        lambda: number(8, 21),
+        lambda: f"v{number(1, 2)}.{number(1, 3)}.{number(1, 3)}-{one(['beta', 'rc', 'alpha'])}{number(1, 2)}",
+        lambda: word(2, 4) + "".join(one(["***", "###", "$$$", "%%%", "!!"]) + word(1, 3) for _ in range(rng.integers(1, 3))),
+        lambda: word(2, 5) + number(1, 5),
+        lambda: f"{number(1, 4)}.{number(1, 4)}%{word(1, 2)}",
+        lambda: f"www.{word(1, 3)}.{word(1, 3)}.{one(['com', 'org', 'de'])}/{word(1, 3)}",
+    )
+    out, ys = [], []
     while len(ys) < n:
-        secret = rng.random() < 0.5
-        if secret:
-            size = int(rng.integers(18, 64))
-            body = (
-                lambda: pick(alnum, size),
-                lambda: pick(alnum + "+/", size) + "=" * int(rng.integers(0, 3)),
-                lambda: pick(alnum + "-_", size),
-                lambda: pick("0123456789ABCDEF", size),
-                lambda: ("ghp_", "sk-", "xoxb-", "glpat-", "eyJ", "SG_")[rng.integers(0, 6)] + pick(alnum, size),
-            )[rng.integers(0, 5)]()
-            before = (f"{prose(3)} ", "Authorization: Bearer ", f"{word()}_key = ", f'"{word()}": "', f"https://{word()}.example/?k=", f"export {word().upper()}=")[rng.integers(0, 6)]
+        secret, after_word = rng.random() < 0.5, rng.random() < 0.3
+        if secret and after_word:
+            body, head = one(passwords + secret_bodies)(), one(keyed)
+        elif secret and rng.random() < 0.08:
+            body, head = f"{one(passwords)()}@{word()}.{word()}.com", f"{one(['postgres', 'mysql', 'ftp', 'https'])}://{word()}:"
+        elif secret:
+            body, head = one(secret_bodies)(), one(heads)
+        elif after_word:
+            body, head = one([word(1, 4), word(2, 4), *(one(plain)() for _ in range(2))]), one(["pass: ", "key: ", "token: ", "secret: ", "secret = ", "author: ", "key="])
         else:
-            body = (
-                lambda: "".join(word() for _ in range(5)) + pick(digits, int(rng.integers(1, 3))),
-                lambda: "-".join(word() for _ in range(4)) + "-" + pick(digits, int(rng.integers(1, 5))),
-                lambda: "_".join(word() for _ in range(4)) + pick(digits, 2),
-                lambda: f"20{pick(digits, 2)}-0{pick('123456789', 1)}-1{pick(digits, 1)}-{word()}-{word()}",
-                lambda: "+" + pick(digits, 3) + "-" + pick(digits, 3) + "-" + pick(digits, 4) + "-" + pick(digits, 5),
-                lambda: "/" + "/".join(word() + pick(digits, int(rng.integers(0, 2))) for _ in range(4)) + "/" + pick(digits, 2),
-                lambda: "=" * 14 + pick(digits, 2) + "-" * 5,
-                lambda: "".join(word().capitalize() for _ in range(4)) + pick(digits, 1),
-            )[rng.integers(0, 8)]()
-            before = (f"{prose(3)} ", f"{prose(1)}: ", "https://", "see ", "")[rng.integers(0, 5)]
-        if len(body) < 16:
+            body, head = one(plain)(), one(("", "", "", "", "https://", "+1 (017) ", "see ", ": ", '"', "(", "= "))
+        lead = prose(5) + one([" ", " ", "\n", " " + word()[:3]]) + head
+        tail = one(['"', " ", " ", "\n", ", ", "&x=1 ", "'", ") ", ". ", "*** ", "!! ", "ó", "é "]) + prose(4)
+        run = body.lstrip(TRIM).rstrip(TRIM) if not (secret and after_word) else body
+        whole = re.match(r"[A-Za-z0-9+/_.~!@#$%^*-]*={0,2}", run)[0]  # a word ends at its first letter beyond ASCII
+        if len(whole) < 4 or len(whole) < SHORT and not after_word:
             continue
-        after = ('"', f" {prose(3)}", "\n", f", {prose(2)}", "&x=1")[rng.integers(0, 5)]
-        lead = prose(4) + " " + before
-        s, e = pieces(len(lead), len(lead) + len(body))[0]
-        xs.append(encode(lead + body + after, s, e))
+        at = len(lead) + body.index(run)
+        out.append((lead + body + tail, at, at + len(whole)))
         ys.append(secret)
-    return np.stack(xs), np.array(ys, float)
+    return out, np.array(ys, float)
+
+
+def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Encoded ``findings``, the first piece of each."""
+    found, y = findings(n, seed)
+    return np.stack([encode(t, *pieces(s, e)[0]) for t, s, e in found]), y
 
 
-def train(n: int = 4000, epochs: int = 6, filters: int = 24, dim: int = 10, width: int = 5, min_recall: float = 0.98, seed: int = 11) -> Network:
-    """Adam on the logistic loss; a quarter of the findings calibrates and sets the threshold."""
+def background(docs: DataFrame, most_docs: int = BACKGROUND_DOCS, most: int = BACKGROUND) -> np.ndarray:
+    """Encoded candidates of a bounded sample: ``most`` of the first ``most_docs`` documents in a hash order of doc_id."""
+    first = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
+    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("x", T.BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            rows = set()
+            for t in batch.column("text").to_pylist():
+                t = t or ""
+                for s, e in candidates(t, base_matches(t)):
+                    rows.add(encode(t, *pieces(s, e)[0]).tobytes())
+            keys = sorted((int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True), x) for x in rows)[:most]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int64()), pa.array([x for _, x in keys], pa.binary())], names=["h", "x"])
+
+    sample = docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").mapInArrow(run, schema)
+    rows = sample.distinct().orderBy("h", "x").limit(most).toArrow()["x"].to_pylist()
+    return np.stack([np.frombuffer(x, np.uint8) for x in rows]) if rows else np.zeros((0, WIDTH), np.uint8)
+
+
+def train(harmless: np.ndarray | None = None, n: int = 6000, epochs: int = 8, filters: int = 32, dim: int = 10, width: int = 5, min_recall: float = 0.98, seed: int = 11) -> Network:
+    """Adam on the logistic loss, both classes weighed alike; a quarter of the findings calibrates and sets the threshold."""
     x, y = labelled(n, seed)
-    cut = n * 3 // 4
+    if harmless is not None and len(harmless):
+        x, y = np.concatenate([x, harmless]), np.concatenate([y, np.zeros(len(harmless))])
     rng = np.random.default_rng(seed)
+    order = rng.permutation(len(y))
+    x, y = x[order], y[order]
+    cut = len(y) * 3 // 4
+    cost = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     net = Network(rng.normal(0, 0.3, (256, dim)), rng.normal(0, 0.2, (dim * width, filters)), np.zeros(filters), rng.normal(0, 0.2, filters), 0.0)
     params = [net.emb, net.conv, net.cb, net.out]
     first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(cut), cut // 64):
+    for epoch in range(epochs):
+        rate = 0.005 if epoch < epochs * 3 // 4 else 0.0015
+        for batch in np.array_split(rng.permutation(cut), max(1, cut // 64)):
             xb, yb = x[batch], y[batch]
             cols, at, top = net.hidden(xb)
-            err = (1 / (1 + np.exp(-np.clip(top @ net.out + net.ob, -30, 30))) - yb) / len(batch)
+            err = (1 / (1 + np.exp(-np.clip(top @ net.out + net.ob, -30, 30))) - yb) * cost[batch] / len(batch)
             g_out = top.T @ err
             g_top = np.outer(err, net.out) * (top > 0)
             used = np.take_along_axis(cols, at[:, :, None], 1)  # batch x filters x (width * dim)
@@ -182,47 +284,50 @@ def train(n: int = 4000, epochs: int = 6, filters: int = 24, dim: int = 10, widt
             g_emb = np.zeros_like(net.emb)
             for k in range(width):
                 np.add.at(g_emb, np.take_along_axis(xb, at + k, 1), g_cols[:, :, k])
-            net.ob -= 0.02 * err.sum()
+            net.ob -= 4 * rate * err.sum()
             t += 1
             for p, g, m, v in zip(params, (g_emb, g_conv, g_top.sum(0), g_out), first, second, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
-                p -= 0.005 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+                p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     z, yc = net.logits(x[cut:]), y[cut:]
     for _ in range(200):
         e = 1 / (1 + np.exp(-np.clip(net.scale * z + net.shift, -30, 30))) - yc
         net.scale -= 0.1 * float((e * z).mean())
         net.shift -= 0.1 * float(e.mean())
     p = np.sort(net.probability(x[cut:])[yc == 1])
-    net.threshold = float(min(p[int(len(p) * (1 - min_recall))], 0.9)) if len(p) else 0.5
+    net.threshold = float(min(p[int(len(p) * (1 - min_recall))], 0.5)) if len(p) else 0.5
     return net
 
 
-def all_spans(texts: list[str], net: Network) -> list[tuple[list, list]]:
-    """Of each text: base spans, and all spans."""
-    base = [base_spans(t) for t in texts]
-    where, codes, out = [], [], [list(b) for b in base]
+def all_spans(texts: list[str], net: Network) -> list[tuple[list, list, int, int]]:
+    """Of each text: base spans, all spans, candidates scored, and base spans that the network calls secrets."""
+    base = [base_matches(t) for t in texts]
+    where, codes = [], []
+    best: list[dict] = [{} for _ in texts]
 
     def flush():
         if codes:
-            best: dict = {}
-            for key, p in zip(where, net.probability(np.stack(codes)), strict=True):
-                best[key] = max(best.get(key, 0.0), p)
-            for (i, s, e), p in best.items():
-                if p >= net.threshold:
-                    out[i].append((s, 3, e))
+            for (i, key), p in zip(where, net.probability(np.stack(codes)).tolist(), strict=True):
+                best[i][key] = max(best[i].get(key, 0.0), p)
             where.clear()
             codes.clear()
 
     for i, (t, b) in enumerate(zip(texts, base, strict=True)):
-        for s, e in candidates(t, b):
+        spots = [((s, e, k), v, e) for s, k, e, v in b] + [((s, e, 3), s, e) for s, e in candidates(t, b)]
+        for key, s, e in spots:
             for a, z in pieces(s, e):
-                where.append((i, s, e))
+                where.append((i, key))
                 codes.append(encode(t, a, z))
-            if len(codes) >= 2048:
-                flush()
+                if len(codes) >= 2048:
+                    flush()
     flush()
-    return [(b, sorted(o)) for b, o in zip(base, out, strict=True)]
+    out = []
+    for b, scores in zip(base, best, strict=True):
+        spans = [(s, k, e) for s, k, e, _ in b]
+        added = [(s, 3, e) for (s, e, k), p in scores.items() if k == 3 and p >= net.threshold]
+        out.append((spans, sorted(spans + added), len(scores), sum(p >= net.threshold for (_, _, k), p in scores.items() if k != 3)))
+    return out
 
 
 def _joined(spans: list) -> str:
@@ -230,10 +335,10 @@ def _joined(spans: list) -> str:
 
 
 def scan(docs: DataFrame, net: Network) -> DataFrame:
-    """``docs`` with n_assign, n_access, n_hex, base_sha256 and spans."""
-    names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    """``docs`` with n_assign, n_access, n_hex, base_sha256, spans, n_candidates (scored) and n_likely."""
+    names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_candidates", "n_likely"]
     docs = docs.drop(*names)
-    kinds = [T.LongType()] * 3 + [T.StringType()] * 2
+    kinds = [T.LongType()] * 3 + [T.StringType()] * 2 + [T.LongType()] * 2
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))])
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -243,9 +348,10 @@ def scan(docs: DataFrame, net: Network) -> DataFrame:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 found = all_spans([t or "" for t in batch.column("text").to_pylist()], model)
-                counts = [pa.array([sum(k == j for _, k, _ in b) for b, _ in found], pa.int64()) for j in range(3)]
-                digests = pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b, _ in found], pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.columns, *counts, digests, pa.array([_joined(a) for _, a in found], pa.string())], names=[*batch.schema.names, *names])
+                counts = [pa.array([sum(k == j for _, k, _ in f[0]) for f in found], pa.int64()) for j in range(3)]
+                texts = [pa.array([hashlib.sha256(_joined(f[0]).encode()).hexdigest() for f in found], pa.string()), pa.array([_joined(f[1]) for f in found], pa.string())]
+                scored = [pa.array([f[j] for f in found], pa.int64()) for j in (2, 3)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *counts, *texts, *scored], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
@@ -253,8 +359,33 @@ def scan(docs: DataFrame, net: Network) -> DataFrame:
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
     """Secrets of every document's whole text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return scan(docs, train()).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
-
-
-QUERIES = {"op7_secret_scan": op7_secret_scan}
-ORACLE: dict[str, str] = {}
+    return scan(docs, train(background(docs)))
+
+
+def secret_base_rules(spark, sf_dir: str) -> DataFrame:
+    """What the fixed rules find: the columns of op7 that SQL can express."""
+    return op7_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+QUERIES = {"op7_secret_scan": op7_secret_scan, "secret_base_rules": secret_base_rules}
+ORACLE = {
+    "secret_base_rules": r"""
+WITH p AS (
+  SELECT unnest([0, 1, 2]) AS k, unnest(['assign', 'access', 'hex']) AS kind, unnest([
+    '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)',
+    '(AKIA)([A-Z0-9]+)', '()([0-9a-f]+)']) AS pattern, unnest([12, 14, 16]) AS least
+), d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
+), m AS (
+  SELECT doc_id, k, kind, least, regexp_extract_all(text, pattern) AS found, regexp_extract_all(text, pattern, 2) AS body, regexp_split_to_array(text, pattern) AS gaps
+  FROM d, p
+), l AS (SELECT doc_id, k, kind, least, body, list_transform(found, lambda x: length(x)) AS fl, list_transform(gaps, lambda x: length(x)) AS gl, unnest(range(1, len(found) + 1)) AS i FROM m
+), s AS (
+  SELECT doc_id, k, kind, CAST(list_sum(gl[1:i]) + coalesce(list_sum(fl[1:i - 1]), 0) AS BIGINT) AS a, fl[i] AS n FROM l WHERE length(body[i]) >= least
+), g AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, k) AS spans FROM s GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+}
