@@ -1,24 +1,24 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Every source has a target in words (``targets``).  A document's expected number
-of copies is its source's target over the source's size; the whole part is
-taken, the rest is a probability to round.  Rounding is pivotal and weighted by
-size: of two fractional documents of a source, mass moves from one to the
-other, in a random direction with the odds that keep both expectations, until
-one of them is whole; ``size_a * p_a + size_b * p_b`` stays as it is.  So a
-source's words stay at its target but for the one document left at the end.
-A document with more than 1/``LARGE`` of its source's words (there are fewer
-than ``LARGE`` of those) could not be made up for by single smaller ones, so it
-is paired with all smaller documents of its source as one unit, largest first;
-the unit's probabilities take up the mass.
-
-Pairs meet in a reduction tree: documents are dealt by a hash of their key to
-leaves of about ``LEAF``; every leaf rounds its documents source by source, in
-one pass over sorted rows, and hands on at most one fractional document per
-source; ``FAN`` leaves meet at the next level, until one group per source is
-left.  Larger documents come first, so what is handed on tends to be small.
-Draws come from a generator seeded by (seed, level, leaf, source): reruns agree,
-whatever the partitions.
+of copies is its source's target over the source's size; where that is not
+whole it has to be rounded.  Rounding is pivotal and weighted by size: of two
+undecided units of a source mass moves from one to the other, in a random
+direction with the odds that keep both expectations, until one of them is
+whole, so words and expectations stay as they are.  In a group documents take
+turns, the largest first, each paired with all smaller undecided ones as one
+unit, which share evenly in what the unit gives or takes; the pair ends when
+the document is whole, or when one of the unit is at 0 or at ``cap`` (it then
+leaves the unit, decided).  A large document is thus made up for by many small
+ones, whatever the sizes, and at most one document of a group stays open.
+
+Groups form a reduction tree: a source's documents are dealt by a hash of their
+key to leaves of about ``LEAF``; ``FAN`` leaves hand their open documents to a
+group of the next level, until one group per source is left, whose last open
+document is drawn.  What a source misses its target by is less than that one
+document: as a rule one of its smallest, and a large one only where it holds
+more words than a whole leaf beside it.  Draws come from a generator seeded by
+(seed, level, source, group): reruns agree, whatever the partitions.
 
 Only keys and sizes travel, never texts.  Rows of the same doc_id, source and
 size are one item with their sizes added up and share a number of copies.
@@ -36,16 +36,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, ranked, shielded, word_count
 
-LEAF = 64
+LEAF = 4096
 FAN = 64
 CAP = 3.0
-LARGE = 2000
 WEIGHTS = (1, 2, 3)
+SALT = 64
+BROADCAST_BYTES = 32 << 20
 
 
 def targets(sizes: DataFrame, cap: float = CAP) -> DataFrame:
@@ -74,154 +76,117 @@ def targets(sizes: DataFrame, cap: float = CAP) -> DataFrame:
     return table.select("source", "source_size", F.least(share, cap * F.col("source_size")).alias("target"))
 
 
-def _round_rows(level: int, seed: int):
-    """One pass over rows sorted by (leaf, source, ...): sets ``whole`` where decided; a group's last fraction stays open."""
-    last = level < 0
-
-    def run(batches):
-        held = None  # [group key, weight, p, row as a tuple]
-        rng = seeded = None
-        for batch in batches:
-            names = batch.schema.names
-            cols = {n: batch.column(n).to_pylist() for n in names}
-            out = []
-
-            def put(row, p, out=out):
-                done = p in (0.0, 1.0)
-                out.append((*row, p, done))
-
-            for row in zip(cols["doc_id"], cols["source"], cols["size"], cols["rows"], cols["h"], cols["p"], cols["leaf"], strict=True):
-                *item, p, leaf = row
-                key, a = (leaf, item[1]), float(item[2] * item[3])
-                if held is not None and held[0] != key:
-                    if last:
-                        held[2] = 1.0 if rng.random() < held[2] else 0.0
-                    put(held[3], held[2])
-                    held = None
-                if held is None:
-                    if seeded != key:
-                        rng, seeded = np.random.default_rng([seed, zlib.crc32(repr((seed, level, leaf, item[1])).encode())]), key
-                    held = [key, a, p, item]
-                    continue
-                # held (b, q) and this row (a, p): move mass until one is 0 or 1
-                b, q = held[1], held[2]
-                up, down = min((1 - q) * b, p * a), min(q * b, (1 - p) * a)  # words moved to, from the held one
-                if rng.random() * (up + down) < down:
-                    q, p = (1.0, p - up / a) if up == (1 - q) * b else (q + up / b, 0.0)
-                else:
-                    q, p = (0.0, p + down / a) if down == q * b else (q - down / b, 1.0)
-                p, q = (0.0 if x < 1e-12 else 1.0 if x > 1 - 1e-12 else x for x in (p, q))
-                if q in (0.0, 1.0):
-                    put(held[3], q)
-                    held = [key, a, p, item]
-                    if p in (0.0, 1.0):
-                        put(item, p)
-                        held = None
-                else:
-                    held[2] = q
-                    put(item, p)
-            yield _frame(out)
-        if held is not None:
-            if last:
-                held[2] = 1.0 if rng.random() < held[2] else 0.0
-            yield _frame([(*held[3], held[2], held[2] in (0.0, 1.0))])
+def settle(weight: list[float], expected: list[float], cap: float, rng) -> list[float]:
+    """Copies of the members of one group, heaviest first: whole numbers, but for at most one that stays open."""
+    e, n = list(expected), len(weight)
+    alive = [True] * n
+
+    def suffixes():
+        low, high, rest = [cap] * (n + 1), [0.0] * (n + 1), [0.0] * (n + 1)
+        for j in range(n - 1, -1, -1):
+            low[j], high[j], rest[j] = (min(low[j + 1], e[j]), max(high[j + 1], e[j]), rest[j + 1] + weight[j]) if alive[j] else (low[j + 1], high[j + 1], rest[j + 1])
+        return low, high, rest
+
+    def spread():  # what the unit has shared so far becomes each member's own
+        for j in range(i + 1, n):
+            if alive[j]:
+                e[j] += shift
+                if e[j] < 1e-9 or e[j] > cap - 1e-9:
+                    e[j], alive[j] = round(e[j]) * 1.0, False
+
+    low, high, rest = suffixes()
+    shift = 0.0
+    for i in range(n):
+        if not alive[i]:
+            continue
+        alive[i] = False
+        x, a = e[i] + shift, weight[i]
+        while True:
+            whole = float(round(x))
+            if abs(x - whole) < 1e-9:
+                x = whole
+                break
+            words = rest[i + 1]
+            if words <= 0:
+                break
+            f = x - int(x)
+            up, down = min(a * (1 - f), words * (low[i + 1] + shift)), min(a * f, words * (cap - high[i + 1] - shift))
+            rises = rng.random() * (up + down) < down
+            moved = up if rises else -down
+            x += moved / a
+            shift -= moved / words
+            if low[i + 1] + shift < 1e-9 or cap - high[i + 1] - shift < 1e-9:  # members at a bound are decided
+                spread()
+                shift = 0.0
+                low, high, rest = suffixes()
+        e[i] = x
+    return e
+
+
+_SCHEMA = "doc_id long, source string, size long, rows long, h long, groups long, e double"
+
+
+def _level(level: int, seed: int, cap: float):
+    """Function over one group (an Arrow table): ``e`` after the group's pairs; of a source's only group the last one is drawn."""
+
+    def run(table):
+        table = table.append_column("weight", pc.multiply(table["size"], table["rows"]).cast(pa.float64())).sort_by([("weight", "descending"), ("h", "ascending"), ("doc_id", "ascending"), ("rows", "ascending")])
+        key = (seed, level, table["source"][0].as_py(), table["leaf"][0].as_py())
+        rng = np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
+        e = settle(table["weight"].to_pylist(), table["e"].to_pylist(), cap, rng)
+        if table["groups"][0].as_py() == 1:
+            e = [x if x == int(x) else int(x) + float(rng.random() < x - int(x)) for x in e]
+        names = [n.split()[0] for n in _SCHEMA.split(", ")]
+        return table.select(names[:-1]).append_column("e", pa.array(e, pa.float64()))
 
     return run
 
 
-_KINDS = [("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64()), ("rows", pa.int64()), ("h", pa.int64()), ("p", pa.float64()), ("done", pa.bool_())]
-_SCHEMA = "doc_id long, source string, size long, rows long, h long, p double, done boolean"
-
-
-def _frame(rows: list) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[] for _ in _KINDS]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, _KINDS, strict=True)], names=[n for n, _ in _KINDS])
-
-
-def round_fractions(items: DataFrame, seed: int = 42) -> DataFrame:
-    """(doc_id, source, size, up): whether each item's fraction ``p`` becomes 1; items: doc_id, source, size, rows, p in (0, 1)."""
-    items = items.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    n, leaves = items.count(), 1
-    while leaves * LEAF < n:
-        leaves *= FAN
+def round_copies(items: DataFrame, seed: int = 42, cap: float = CAP) -> DataFrame:
+    """(doc_id, source, size, copies) of items: doc_id, source, size, rows, groups (of their source), e (expected copies)."""
+    e = F.col("e")
+    open_items = items.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")).select("doc_id", "source", "size", "rows", "h", "groups", "e")
     decided, level = [], 0
-    open_items = items.withColumn("leaf", F.pmod("h", F.lit(leaves)))
     while True:
-        final = leaves == 1
-        dealt = open_items.select("doc_id", "source", "size", "rows", "h", "p", "leaf").repartition("leaf", "source").sortWithinPartitions("leaf", "source", F.desc(F.col("size") * F.col("rows")), "h", "doc_id")
-        out = checkpoint(dealt.mapInArrow(_round_rows(-1 if final else level, seed), _SCHEMA))
-        decided.append(out.where("done"))
-        if final:
+        leaf = F.pmod("h", F.col("groups")).alias("leaf")
+        out = checkpoint(open_items.select("*", leaf).groupBy("source", "leaf").applyInArrow(_level(level, seed, cap), _SCHEMA))
+        decided.append(out.where(e == F.round(e)))
+        open_items = out.where(e != F.round(e)).withColumn("groups", F.ceil(F.col("groups") / FAN))
+        if open_items.isEmpty():
             break
-        leaves //= FAN
         level += 1
-        open_items = out.where("not done").withColumn("leaf", F.pmod("h", F.lit(leaves)))
     result = decided[0]
     for d in decided[1:]:
         result = result.unionByName(d)
-    return result.select("doc_id", "source", "size", (F.col("p") == 1.0).alias("up"))
+    return result.select("doc_id", "source", "size", e.cast("long").alias("copies"))
 
 
-def _round_large(seed: int, cap: float):
-    """One pass over rows sorted by (source, size falling): each is paired with all smaller documents of its source as one unit.
+def with_source(items: DataFrame, per: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``items`` beside the columns of ``per``, which has one row a source.
 
-    Mass moves between the document and that unit until the document is whole;
-    the unit's expected copies per word, which start at target over size,
-    follow.  Ends each source with a row that holds them.
+    A table of sources of a checked size is broadcast; a larger one is repeated
+    ``SALT`` times, so that a hot source's items meet it in as many tasks.
     """
-
-    def run(batches):
-        source, rng, words, target = None, None, 0.0, 0.0
-        begun = False
-
-        def rest():
-            return (None, source, None, None, min(max(target / words, 0.0), cap) if words > 0 else 0.0)
-
-        for batch in batches:
-            out = []
-            for doc_id, name, size, rows, total, aim in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "size", "rows", "source_size", "target")), strict=True):
-                if not begun or name != source:
-                    if begun:
-                        out.append(rest())
-                    begun, source, words, target = True, name, float(total), float(aim)
-                    rng = np.random.default_rng([seed, zlib.crc32(repr((seed, "large", name)).encode())])
-                e = min(max(target / words, 0.0), cap)
-                whole = int(e + 1e-9)
-                n = whole + int(rng.random() < e - whole)
-                target, words = target - n * size * rows, words - size * rows
-                out.append((doc_id, name, size, n, None))
-            yield _arrow(out)
-        if begun:
-            yield _arrow([rest()])
-
-    def _arrow(rows):
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "source", "size", "copies", "e"])
-
-    return run
+    per = per.withColumnRenamed("source", "_s")
+    same = F.col("source").eqNullSafe(F.col("_s"))
+    if (per.agg(F.sum(F.coalesce(F.octet_length("_s"), F.lit(0)) + 64)).first()[0] or 0) <= most_bytes:
+        return items.join(F.broadcast(per), same).drop("_s")
+    salted = per.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    dealt = items.withColumn("_salt_of", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALT)))
+    return dealt.join(salted, same & (F.col("_salt_of") == F.col("_salt"))).drop("_s", "_salt", "_salt_of")
 
 
 def copies(sizes: DataFrame, seed: int = 42, cap: float = CAP) -> tuple[DataFrame, DataFrame]:
     """Copies of every item (doc_id, source, size) of ``sizes``, and the table of targets."""
-    plan = checkpoint(targets(sizes, cap))
-    per = plan.select(F.col("source").alias("s"), "source_size", "target")
-    grouped = sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
-    items = checkpoint(grouped.join(per, F.col("source").eqNullSafe(F.col("s"))).drop("s"))
-    big = F.col("size") * F.col("rows") * F.lit(LARGE) > F.col("source_size")
-    large = items.where(big).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    dealt = large.repartition("source").sortWithinPartitions("source", F.desc(F.col("size") * F.col("rows")), "h", "doc_id").select("doc_id", "source", "size", "rows", "source_size", "target")
-    first = checkpoint(dealt.mapInArrow(_round_large(seed, cap), "doc_id long, source string, size long, copies long, e double"))
-    rate = first.where("e is not null").select(F.col("source").alias("s"), "e")
-    small = items.where(~big).join(rate, F.col("source").eqNullSafe(F.col("s")), "left")
-    expected = F.coalesce("e", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    expected = F.when(F.col("size") > 0, expected).otherwise(0.0)
-    whole = F.floor(expected + 1e-9)
-    frac = expected - whole
-    small = checkpoint(small.select("doc_id", "source", "size", "rows", whole.alias("whole"), F.when((frac > 1e-9) & (frac < 1), frac).otherwise(0.0).alias("p")))
-    ups = round_fractions(small.where("p > 0").select("doc_id", "source", "size", "rows", "p"), seed).where("up").drop("up")
-    raised = small.alias("i").join(ups.alias("u"), _same("i", "u"), "left").select("i.doc_id", "i.source", "i.size", (F.col("i.whole") + F.when(F.col("u.size").isNotNull(), 1).otherwise(0)).cast("long").alias("copies"))
-    return raised.unionByName(first.where("e is null").select("doc_id", "source", "size", "copies")), plan
+    grouped = checkpoint(sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")))
+    groups = grouped.groupBy("source").agg(F.greatest(F.ceil(F.count_if(F.col("size") > 0) / LEAF), F.lit(1)).alias("groups"))
+    plan = targets(sizes, cap)
+    plan = checkpoint(plan.alias("p").join(groups.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source"))).select("p.*", "groups"))
+    some = grouped.where("size > 0")
+    expected = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(cap))).otherwise(0.0)
+    items = with_source(some, plan).select("doc_id", "source", "size", "rows", "groups", expected.alias("e"))
+    none = grouped.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("copies"))
+    return round_copies(items, seed, cap).unionByName(none), plan.drop("groups")
 
 
 def _same(x: str, y: str):
@@ -233,8 +198,7 @@ def mix(docs: DataFrame, seed: int = 42, cap: float = CAP) -> DataFrame:
     docs = docs.drop("size", "source_size", "target", "copies", "taken") if "size" not in docs.columns or "text" in docs.columns else docs
     sized = docs.withColumn("size", word_count(F.col("text"))) if "text" in docs.columns else docs
     made, plan = copies(checkpoint(sized.select("doc_id", "source", "size")), seed, cap)
-    per = plan.select("source", "source_size", "target")
-    full = made.alias("m").join(per.alias("p"), F.col("m.source").eqNullSafe(F.col("p.source"))).select("m.doc_id", "m.source", "m.size", "p.source_size", "p.target", "m.copies")
+    full = with_source(made, plan)
     keep = [F.col(f"d.`{c}`") for c in sized.columns]
     return sized.alias("d").join(full.alias("f"), _same("d", "f")).select(*keep, "f.source_size", "f.target", "f.copies", (F.col("f.copies") * F.col("d.size")).alias("taken"))
 
@@ -252,5 +216,23 @@ def op1_source_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {"op1_source_mixing": op1_source_mixing}
-ORACLE: dict[str, str] = {}
+def mixing_targets(spark, sf_dir: str) -> DataFrame:
+    """The columns of op1 that SQL can express."""
+    return op1_source_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+QUERIES = {"op1_source_mixing": op1_source_mixing, "mixing_targets": mixing_targets}
+ORACLE = {
+    # of the sources in the order of size over weight the first k stop at their caps: the fewest that leave the next one below its own
+    "mixing_targets": r"""
+WITH z AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS DOUBLE) AS w FROM z GROUP BY source
+), o AS (SELECT *, row_number() OVER (ORDER BY source_size / w, source) AS k FROM s
+), c AS (SELECT 0 AS k UNION ALL SELECT k FROM o
+), r AS (
+  SELECT c.k, ((SELECT sum(source_size) FROM o) - coalesce(sum(3.0 * source_size) FILTER (o.k <= c.k), 0)) / nullif(sum(w) FILTER (o.k > c.k), 0) AS rate FROM c, o GROUP BY c.k
+), f AS (SELECT min(r.k) AS k FROM r LEFT JOIN o ON o.k = r.k + 1 WHERE o.k IS NULL OR rate * w <= 3 * source_size
+), t AS (SELECT source, source_size, CASE WHEN o.k <= f.k THEN 3.0 * source_size ELSE rate * w END AS target FROM o, f JOIN r ON r.k = f.k)
+SELECT doc_id, size, source_size, round(target, 3) AS target FROM z JOIN t ON t.source IS NOT DISTINCT FROM z.source
+"""
+}

@@ -132,13 +132,50 @@ def test_mixing_repeats_rows_with_their_columns(docs, empty):
     assert {r["score"] for r in out.collect()} <= {"keep", None}
 
 
-def test_pivotal_tree_keeps_the_sum(spark):
-    items = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("string").alias("source"), (F.col("id") % 7 + 1).alias("size"), F.lit(1).cast("long").alias("rows"), F.lit(0.3).alias("p"))
-    out = mixing.round_fractions(items).collect()
-    assert len(out) == 3000
-    for s in "01":
-        mine = [r for r in out if r["source"] == s]
-        assert abs(sum(r["size"] for r in mine if r["up"]) - 0.3 * sum(r["size"] for r in mine)) <= 7
+@pytest.mark.parametrize("leaf, fan, largest", [(4096, 64, 90_000), (32, 4, 300)])
+def test_pivotal_tree_keeps_the_sum(spark, monkeypatch, leaf, fan, largest):
+    monkeypatch.setattr(mixing, "LEAF", leaf)
+    monkeypatch.setattr(mixing, "FAN", fan)
+    sizes = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, None).otherwise((F.col("id") % 2).cast("string")).alias("source"), F.when(F.col("id") < 2, largest).otherwise(F.col("id") % 7 * F.col("id") % 97).alias("size"))
+    made, plan = mixing.copies(sizes)
+    out, want = made.collect(), {r["source"]: r["target"] for r in plan.collect()}
+    assert len(out) == 3000 and all(0 <= r["copies"] <= 3 for r in out) and all(r["copies"] == 0 for r in out if not r["size"])
+    for s in want:
+        assert abs(sum(r["size"] * r["copies"] for r in out if r["source"] == s) - want[s]) <= 97
+    again = mixing.copies(sizes.repartition(7))[0]
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, out), key=str)
+
+
+def test_sources_meet_their_targets(spark):
+    for sf in ("0.001", "0.01"):
+        out = mixing.op1_source_mixing(spark, f"/root/testdata/sf{sf}").collect()
+        taken, target, size = collections.Counter(), {}, collections.defaultdict(list)
+        for r in out:
+            taken[r["source"]] += r["taken"]
+            target[r["source"]] = r["target"]
+            size[r["source"]].append(r["size"])
+        for s, want in target.items():
+            assert abs(taken[s] - want) <= min(max(size[s]), 0.05 * want)
+
+
+def test_pairs_keep_expectations_and_words():
+    r = random.Random(4)
+    for weight, e in (([900.0, 50, 40, 30, 20, 10], [1.4] * 6), ([5.0, 4, 3, 3, 1], [0.2, 2.7, 1.5, 0.6, 1.1]), ([1000.0, 1], [2.5, 2.5])):
+        total, n = np.zeros(len(e)), 4000
+        for seed in range(n):
+            out = mixing.settle(weight, e, 3.0, np.random.default_rng([r.randrange(10**9), seed]))
+            assert sum(x != round(x) for x in out) <= 1 and all(-1e-9 <= x <= 3 + 1e-9 for x in out)
+            assert abs(np.dot(out, weight) - np.dot(e, weight)) < 1e-6
+            total += out
+        assert np.abs(total / n - e).max() < 0.08
+    assert mixing.settle([], [], 3.0, None) == [] and mixing.settle([7.0], [1.25], 3.0, None) == [1.25]
+
+
+def test_many_sources_meet_their_items_salted(spark):
+    sizes = spark.range(100).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 9 > 0, (F.col("id") % 9).cast("string")).alias("source"), F.lit(3).cast("long").alias("size"))
+    per = sizes.groupBy("source").agg(F.count("*").alias("n"))
+    want = sorted(map(str, mixing.with_source(sizes, per).collect()))
+    assert sorted(map(str, mixing.with_source(sizes, per, most_bytes=0).collect())) == want and len(want) == 100
 
 
 # 2 n-gram join --------------------------------------------------------------------
