@@ -208,7 +208,9 @@ def brute_components(rows):
 def test_join_finds_every_link(spark, docs, boundary, monkeypatch):
     if boundary is not None:
         real = ngramjoin.frequency_map
-        monkeypatch.setattr(ngramjoin, "frequency_map", lambda d: (real(d)[0], boundary, None))
+        monkeypatch.setattr(ngramjoin, "frequency_map", lambda d: (real(d)[0], boundary, {}))
+        monkeypatch.setattr(ngramjoin, "HUB", 4)
+        monkeypatch.setattr(ngramjoin, "HUBS_BROADCAST", 0 if boundary == 64 else 9)
     rows = make()
     r = random.Random(9)
     base = [f"w{i}" for i in range(30)]
@@ -265,6 +267,21 @@ def test_links_do_not_rest_on_short_hashes(spark):
         assert {z["component_id"] for z in ngramjoin.similar_groups(docs).collect()} == want
 
 
+@pytest.mark.parametrize("most", [5, 1 << 22])
+def test_map_of_frequent_shingles_holds_the_most_frequent(spark, monkeypatch, most):
+    monkeypatch.setattr(ngramjoin, "FREQUENT_MOST", most)
+    counts = {(i * 0x9E3779B97F4A7C15 % (1 << 61)): c for i, c in enumerate([4, 5, 8, 9, 17, 40, 300, 1000, 70_000], 1)}
+    frequent = ngramjoin.levels_of(spark.createDataFrame(list(counts.items()), "t long, count long"))
+    tokens_ = np.array(list(counts), np.uint64)
+    _, level = ngramjoin.rank_order(np.zeros(len(tokens_), int), tokens_, frequent)
+    want = [c.bit_length() for c in counts.values()]
+    if most == 5:
+        assert [x > 0 for x in level] == [c >= 16 for c in counts.values()]
+    else:
+        assert (level == np.array(want) - 2).all() and len(frequent) >= 16 * 9
+    assert not ngramjoin.levels_of(spark.createDataFrame([], "t long, count long")).any()
+
+
 def test_spare_covers_chance_collisions():
     assert ngramjoin.spare(10, 100) == 1 and ngramjoin.spare(2_000, 20_000) >= 4 and ngramjoin.spare(111_000, 1_000_000) >= 80
 
