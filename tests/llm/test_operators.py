@@ -651,17 +651,40 @@ def test_quality_figures(docs, empty):
     assert qualityrules.rules(empty).count() == 0
 
 
-def test_quality_removes_common_lines(spark):
+def common_rows():
     r = random.Random(8)
     own = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(60))
     common = " ".join(f"c{i}" for i in range(300))
     rows = [(i, "h", own() + "\n" + own()) for i in range(100)] + [(100 + i, "h", f"{common.upper() if i % 2 else common}!\n{own()}") for i in range(40)]
     rows += [(200 + i, "other", common + "\n" + own()) for i in range(10)] + [(300 + i, "h", rows[0][2]) for i in range(50)] + [(400, None, common), (401, "h", None)]
-    out = {x["doc_id"]: x for x in qualityrules.rules(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
-    assert all(out[i]["kept"] for i in range(100)) and not any(out[100 + i]["kept"] for i in range(40))
+    return [*rows, *[(500, "rows", f"{common}\n{own()}")] * 30]
+
+
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_quality_removes_common_lines(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(qualityrules, "LINES_BROADCAST", broadcast)
+    table = spark.createDataFrame(common_rows(), "doc_id long, source string, text string")
+    out = {x["doc_id"]: x for x in qualityrules.rules(table).collect()}
+    assert not any(out[100 + i]["kept"] for i in range(40)) and all(out[i]["kept"] for i in range(1, 100))
     assert all(out[200 + i]["kept"] for i in range(10)), "a line is common per host"
-    assert all(out[300 + i]["kept"] for i in range(50)), "copies of one text are one document"
-    assert out[400]["kept"] and not out[401]["kept"]
+    assert not any(out[i]["kept"] for i in (0, *range(300, 350))), "copies count as documents"
+    assert out[400]["kept"] and not out[401]["kept"] and out[500]["kept"], "repeated rows are one document"
+    assert out[500]["kept_words"] == 360 and out[100]["kept_words"] == 60 and out[300]["kept_words"] == 0
+
+
+def test_quality_options(spark):
+    table = spark.createDataFrame(common_rows(), "doc_id long, source string, text string")
+    out = {x["doc_id"]: x["kept"] for x in qualityrules.rules(table, copies_count=False).collect()}
+    assert out[0] and all(out[300 + i] for i in range(50)) and not out[100]
+    out = {x["doc_id"]: x["kept"] for x in qualityrules.rules(table, max_share=0.25).collect()}
+    assert all(out[100 + i] for i in range(40)) and not out[300], "40 of 191 documents are below the share, 51 are above it"
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    names = [*qualityrules.PRIVATE, "kept", "docs", "h"]
+    table = spark.createDataFrame([(1, "s", "a b", *range(len(names)))], "doc_id long, source string, text string, " + ", ".join(f"`{n}` int" for n in names))
+    out = qualityrules.rules(table)
+    assert {c: out.first()[c] for c in table.columns if c not in ("text", "kept")} == {c: table.first()[c] for c in table.columns if c not in ("text", "kept")}
 
 
 def test_quality_has_no_python(docs):
