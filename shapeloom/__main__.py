@@ -22,7 +22,8 @@ def validate(args) -> int:
 
     spark = SparkSession.builder.appName("shapeloom").getOrCreate()
     schema = _schema(args)
-    graph = rdf.read_ntriples(spark, args.data) if args.data.endswith(".nt") else rdf.read_turtle(spark, args.data, args.base)
+    form = args.data_format or {"nt": "ntriples", "rdf": "rdfxml", "xml": "rdfxml", "jsonld": "jsonld", "json": "jsonld"}.get(args.data.rsplit(".", 1)[-1], "turtle")
+    graph = rdf.read(spark, args.data, form, args.base)
     text = Path(args.map).read_text(encoding="utf-8")
     wanted = maps.from_json(text, schema.prefixes) if args.map.endswith(".json") else maps.parse(text, args.base, schema.prefixes, schema.base or args.base, schema.prefixes)
     result = maps.run(graph, schema, wanted)
@@ -80,7 +81,7 @@ def main(argv=None) -> int:
     top = argparse.ArgumentParser(prog="shapeloom")
     sub = top.add_subparsers(required=True)
     for name, run, more in (
-        ("validate", validate, [("--data", {"required": True}), ("--map", {"required": True}), ("--form", {"default": "compact", "choices": ["compact", "details", "json"]}), ("--output", {})]),
+        ("validate", validate, [("--data", {"required": True}), ("--data-format", {"choices": ["ntriples", "turtle", "rdfxml", "jsonld"]}), ("--map", {"required": True}), ("--form", {"default": "compact", "choices": ["compact", "details", "json"]}), ("--output", {})]),
         ("schema", schema, []),
         ("convert", convert, [("--to", {"default": "shexj", "choices": ["shexc", "shexj"]})]),
         ("path", path, [("--path", {"required": True})]),

@@ -56,7 +56,7 @@ def term_at(prefix: str = "o_", of: str = "") -> TermColumns:
     return TermColumns(*(F.col(f"{of}{prefix}{x}") for x in ("kind", "lex", "dt", "lang")))
 
 
-def _escaped(lex: Column) -> Column:
+def escaped(lex: Column) -> Column:
     x = F.replace(lex, F.lit("\\"), F.lit("\\\\"))
     for raw, shown in (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         x = F.replace(x, F.lit(raw), F.lit(shown))
@@ -66,7 +66,7 @@ def _escaped(lex: Column) -> Column:
 def term_id(t: TermColumns) -> Column:
     """Canonical N-Triples form; the key of a node."""
     tail = F.when(t.lang.isNotNull(), F.concat(F.lit("@"), F.lower(t.lang))).when(t.dt.isNull() | (t.dt == XSD + "string"), F.lit("")).otherwise(F.concat(F.lit("^^<"), t.dt, F.lit(">")))
-    return F.when(t.kind == "iri", F.concat(F.lit("<"), t.lex, F.lit(">"))).when(t.kind == "bnode", t.lex).otherwise(F.concat(F.lit('"'), _escaped(t.lex), F.lit('"'), tail))
+    return F.when(t.kind == "iri", F.concat(F.lit("<"), t.lex, F.lit(">"))).when(t.kind == "bnode", t.lex).otherwise(F.concat(F.lit('"'), escaped(t.lex), F.lit('"'), tail))
 
 
 def resource(node: Column) -> TermColumns:

@@ -33,14 +33,21 @@ class Graph:
 
     def triples_with(self, predicate: str, term) -> DataFrame:
         """Triples of one predicate and object."""
-        kind, lex, dt, lang = term_row(term)
-        same = (F.col("o_kind") == kind) & (F.col("o_lex") == lex) & F.col("o_dt").eqNullSafe(dt) & F.lower("o_lang").eqNullSafe(lang.lower() if lang else None)
-        return self.triples({predicate}).where(same)
+        return self.triples({predicate}).where(_is_object(term))
+
+    def triples_to(self, term) -> DataFrame:
+        """Triples of one object, whatever their predicates."""
+        return self.triples().where(_is_object(term))
 
     def subjects(self) -> DataFrame:
         return self.df.select("s").distinct()
 
 
+def _is_object(term) -> Column:
+    kind, lex, dt, lang = term_row(term)
+    return (F.col("o_kind") == kind) & (F.col("o_lex") == lex) & F.col("o_dt").eqNullSafe(dt) & F.lower("o_lang").eqNullSafe(lang.lower() if lang else None)
+
+
 def of_terms(spark: SparkSession, triples: list[tuple]) -> Graph:
     """A graph of driver-side terms: (subject, predicate IRI, object)."""
     rows = [(literal_id(s), p, *term_row(o)) for s, p, o in triples]

@@ -1,25 +1,31 @@
-"""RDF files as graphs: N-Triples by lines, Turtle by files."""
+"""RDF files as graphs: N-Triples by lines; Turtle, RDF/XML and JSON-LD by files."""
 
 from __future__ import annotations
 
 import re
+from itertools import islice
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.terms import TRIPLES, literal_id, term_row
+from ..functions.terms import TRIPLES, escaped, literal_id, term_at, term_id, term_row
 from ..schema.ast import RDF, XSD, BNode, Iri, Literal, SchemaError, resolve_iri
 from ..schema.shexc import Tokens, unescape
+from . import jsonld, rdfxml
 from .graph import Graph
 
 _LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|(_:[^\s.]\S*)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?)\s*\.\s*(?:#.*)?$'
 
 
 def _unescape(c):
-    """N-Triples escapes, in the order that keeps a doubled backslash apart."""
-    x = F.replace(c, F.lit("\\\\"), F.lit(""))
-    for shown, raw in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
-        x = F.replace(x, F.lit(shown), F.lit(raw))
-    return F.replace(x, F.lit(""), F.lit("\\"))
+    """N-Triples escapes, each decoded once from left to right: the text is cut at escapes and put together again."""
+    parts = F.regexp_extract_all(c, F.lit(r"(\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+)"), F.lit(1))
+    code = lambda x: F.conv(F.substr(x, F.lit(3)), 16, 10).cast("long")
+    # four bytes of big-endian UTF-32, read back as text
+    letter = lambda x: F.decode(F.unhex(F.lpad(F.hex(code(x)), 8, "0")), "UTF-32")
+    plain = F.create_map(*(F.lit(y) for pair in (("\\t", "\t"), ("\\b", "\b"), ("\\n", "\n"), ("\\r", "\r"), ("\\f", "\f")) for y in pair))
+    one = lambda x: F.when(~x.startswith("\\"), x).when(x.rlike(r"^\\[uU]."), letter(x)).otherwise(F.coalesce(F.try_element_at(plain, x), F.substr(x, F.lit(2))))
+    return F.when(F.contains(c, F.lit("\\")), F.array_join(F.transform(parts, one), "")).otherwise(c)
 
 
 def ntriples_lines(lines: DataFrame, scope=None) -> DataFrame:
@@ -32,40 +38,78 @@ def ntriples_lines(lines: DataFrame, scope=None) -> DataFrame:
     literal = part(3).isNull() & part(4).isNull()
     iri_empty = F.col("value").rlike(r">\s+<>\s*\.")
     return rows.select(
-        name(ok).alias("s"), part(2).alias("p"),
+        name(_unescape(ok)).alias("s"), _unescape(part(2)).alias("p"),
         F.when(part(3).isNotNull() | iri_empty, "iri").when(part(4).isNotNull(), "bnode").otherwise("literal").alias("o_kind"),
-        F.coalesce(part(3), name(part(4)), F.when(iri_empty, ""), _unescape(F.regexp_extract("value", _LINE, 5))).alias("o_lex"),
-        F.when(literal & ~iri_empty, F.when(part(7).isNotNull(), RDF + "langString").otherwise(F.coalesce(part(6), F.lit(XSD + "string")))).alias("o_dt"),
+        F.coalesce(_unescape(part(3)), name(part(4)), F.when(iri_empty, ""), _unescape(F.regexp_extract("value", _LINE, 5))).alias("o_lex"),
+        F.when(literal & ~iri_empty, F.when(part(7).isNotNull(), RDF + "langString").otherwise(F.coalesce(_unescape(part(6)), F.lit(XSD + "string")))).alias("o_dt"),
         part(7).alias("o_lang"),
     )
 
 
-def read_ntriples(spark: SparkSession, path: str) -> Graph:
+def read_ntriples(spark: SparkSession, path: str, base: str | None = None) -> Graph:
     """Lines of any number of files, split as text; a file's hash names its blank nodes."""
-    lines = spark.read.text(path)
-    return Graph(ntriples_lines(lines, F.concat(F.lit("b"), F.hex(F.crc32(F.input_file_name())), F.lit("_"))))
+    return Graph(ntriples_lines(spark.read.text(path), F.concat(_scope(), F.lit("_"))))
 
 
-def read_turtle(spark: SparkSession, path: str, base: str | None = None) -> Graph:
-    """Turtle has document-wide state (prefixes, nesting), so a file is one unit of work; many files go in parallel."""
-    files = spark.read.text(path, wholetext=True).select(F.hex(F.crc32(F.input_file_name())).alias("name"), "value")
+def to_ntriples(triples: DataFrame) -> DataFrame:
+    """One line of text (``value``) a triple."""
+    # ids have languages in lower case
+    o = F.when(F.col("o_lang").isNotNull(), F.concat(F.lit('"'), escaped(F.col("o_lex")), F.lit('"@'), F.col("o_lang"))).otherwise(term_id(term_at()))
+    return triples.select(F.concat(F.col("s"), F.lit(" <"), F.col("p"), F.lit("> "), o, F.lit(" .")).alias("value"))
+
+
+def _scope():
+    """128 bits of the file's name."""
+    return F.concat(F.lit("b"), F.md5(F.input_file_name()))
+
+
+def of_documents(documents: DataFrame, parse) -> Graph:
+    """Triples of documents (name, value) with a state of their own (prefixes, nesting): one is a unit of work, many go in parallel.
+
+    Blank nodes are named apart by ``name``.
+    """
+    names = [c.split()[0] for c in TRIPLES.split(", ")]
 
     def run(frames):
         import pandas as pd
 
         for pdf in frames:
             for name, text in zip(pdf["name"], pdf["value"], strict=True):
-                rows = [(_scoped(s, name), p, *term_row(_scope_term(o, name))) for s, p, o in parse_turtle(text, base)]
-                yield pd.DataFrame([(literal_id(s), *rest) for s, *rest in rows], columns=[c.split()[0] for c in TRIPLES.split(", ")])
+                rows = ((_scope_term(s, name), p, *term_row(_scope_term(o, name))) for s, p, o in parse(text))
+                while part := list(islice(rows, 10_000)):
+                    yield pd.DataFrame([(literal_id(s), *rest) for s, *rest in part], columns=names)
 
-    return Graph(files.mapInPandas(run, TRIPLES))
+    return Graph(documents.select("name", "value").mapInPandas(run, TRIPLES))
 
 
-def _scope_term(t, name: str):
-    return BNode(f"_:b{name}_{t.value[2:]}") if isinstance(t, BNode) else t
+def _read_whole(spark: SparkSession, path: str, parse) -> Graph:
+    return of_documents(spark.read.text(path, wholetext=True).select(_scope().alias("name"), "value"), parse)
+
+
+def read_turtle(spark: SparkSession, path: str, base: str | None = None) -> Graph:
+    return _read_whole(spark, path, lambda text: parse_turtle(text, base))
+
+
+def read_rdfxml(spark: SparkSession, path: str, base: str | None = None) -> Graph:
+    return _read_whole(spark, path, lambda text: rdfxml.parse(text, base))
+
+
+def read_jsonld(spark: SparkSession, path: str, base: str | None = None) -> Graph:
+    return _read_whole(spark, path, lambda text: jsonld.parse(text, base))
 
 
-_scoped = _scope_term
+#: Reader by the name of a format.
+READERS = {"ntriples": read_ntriples, "turtle": read_turtle, "rdfxml": read_rdfxml, "jsonld": read_jsonld}
+
+
+def read(spark: SparkSession, path: str, form: str, base: str | None = None) -> Graph:
+    if form not in READERS:
+        raise ValueError(f"no format {form}; there are {', '.join(READERS)}")
+    return READERS[form](spark, path, base)
+
+
+def _scope_term(t, name: str):
+    return BNode(f"_:{name}_{t.value[2:]}") if isinstance(t, BNode) else t
 
 
 class Turtle:
