@@ -1,7 +1,9 @@
 """Matching entities against entity schemas: a boolean column over the nested row, without a shuffle.
 
-References between entities count statements only in a local match; ``match_graph``
-follows them: local conditions per row, then rounds of joins along references.
+References between entities count statements only in a local match.  ``match_graph``
+follows them: each entity gets a map from the entities that its statements name
+to the labels known of those, and references become look-ups in the same
+expressions, so choices, negation, EXTRA and cardinalities hold as they do locally.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.nodeconstraint import facet
 from ..functions.terms import TermColumns
 from ..plans.storage import keep
+from ..schema import analyze
 from ..schema.ast import (
     START,
     XSD,
@@ -31,6 +34,7 @@ from ..schema.ast import (
     ShapeRef,
     Stem,
     TripleConstraint,
+    walk_shapes,
 )
 from .entityschema import WD, StatementConstraint, TermConstraint, property_of
 
@@ -39,18 +43,24 @@ def _all(xs) -> Column:
     return reduce(lambda a, b: a & b, xs, F.lit(True))
 
 
-def snak_matches(nc, snak: Column) -> Column:
-    """A local value constraint on one snak; entities are IRIs, other values literals."""
-    if nc is None or isinstance(nc, ShapeRef):  # what a reference leads to is not looked at here
+def snak_matches(nc, snak: Column, refs=None) -> Column:
+    """A value constraint on one snak; entities are IRIs, other values literals.
+
+    refs: what tells whether a snak's entity has a label; without it, what a
+    reference leads to is not looked at.
+    """
+    if nc is None:
         return F.lit(True)
+    if isinstance(nc, ShapeRef):
+        return F.lit(True) if refs is None else refs(nc.label, snak)
     if isinstance(nc, Shape) and nc == Shape():
         return F.lit(True)
     if isinstance(nc, ShapeAnd):
-        return _all(snak_matches(x, snak) for x in nc.exprs)
+        return _all(snak_matches(x, snak, refs) for x in nc.exprs)
     if isinstance(nc, ShapeOr):
-        return reduce(lambda a, b: a | b, (snak_matches(x, snak) for x in nc.exprs))
+        return reduce(lambda a, b: a | b, (snak_matches(x, snak, refs) for x in nc.exprs))
     if isinstance(nc, ShapeNot):
-        return ~snak_matches(nc.expr, snak)
+        return ~snak_matches(nc.expr, snak, refs)
     if not isinstance(nc, NodeConstraint):
         raise SchemaError(f"no local constraint: {type(nc).__name__}")
     entity = snak["vtype"] == "entity"
@@ -81,15 +91,15 @@ def _value(v, snak: Column) -> Column:
     raise SchemaError(f"no entity value: {v}")
 
 
-def _counted(te, snaks: Column) -> Column:
+def _counted(te, snaks: Column, refs=None) -> Column:
     """A triple expression over snaks of qualifiers or of one reference: per constraint the matching ones are counted."""
     if isinstance(te, EachOf):
-        return _all(_counted(x, snaks) for x in te.exprs)
+        return _all(_counted(x, snaks, refs) for x in te.exprs)
     if isinstance(te, OneOf):
-        return reduce(lambda a, b: a | b, (_counted(x, snaks) for x in te.exprs))
+        return reduce(lambda a, b: a | b, (_counted(x, snaks, refs) for x in te.exprs))
     p = property_of(te.predicate)
-    mine = F.size(F.filter(snaks, lambda s: (s["property"] == p) & snak_matches(te.value, s)))
-    others = F.exists(snaks, lambda s: (s["property"] == p) & ~snak_matches(te.value, s))
+    mine = F.size(F.filter(snaks, lambda s: (s["property"] == p) & snak_matches(te.value, s, refs)))
+    others = F.exists(snaks, lambda s: (s["property"] == p) & ~snak_matches(te.value, s, refs))
     return _bounds(mine, te.min, te.max) & ~others
 
 
@@ -98,36 +108,41 @@ def _bounds(n: Column, lo: int, hi: int | None) -> Column:
     return ok if hi is None else ok & (n <= hi)
 
 
-def statement_matches(tc: TripleConstraint, s: Column) -> Column:
-    ok = snak_matches(tc.value, s["snak"])
+def statement_matches(tc: TripleConstraint, s: Column, refs=None) -> Column:
+    ok = snak_matches(tc.value, s["snak"], refs)
     if isinstance(tc, StatementConstraint):
         if tc.qualifiers is not None:
-            ok = ok & _counted(tc.qualifiers, s["qualifiers"])
-        for spec, lo, hi in tc.references[:1] if len(tc.references) == 1 else ():
-            ok = ok & _bounds(F.size(F.filter(s["refs"], lambda r: _counted(spec, r))), lo, hi)
-        if len(tc.references) > 1:
-            ok = ok & reduce(lambda a, b: a | b, (_bounds(F.size(F.filter(s["refs"], lambda r, e=e: _counted(e, r))), lo, hi) for e, lo, hi in tc.references))
+            ok = ok & _counted(tc.qualifiers, s["qualifiers"], refs)
+        if tc.references:
+            ok = ok & reduce(lambda a, b: a | b, (_bounds(F.size(F.filter(s["refs"], _of_reference(spec, refs))), lo, hi) for spec, lo, hi in tc.references))
     return ok
 
 
-def constraint_matches(tc: TripleConstraint, extra: set[str]) -> Column:
-    """Matching statements within the cardinality; others of the property only under EXTRA."""
+def _of_reference(spec, refs):
+    return lambda r: _counted(spec, r, refs)
+
+
+def _statements(tc: TripleConstraint, matching: bool, refs=None):
+    """Function from a statement to whether it is of the constraint's property and matches it, or does not."""
     p = property_of(tc.predicate)
-    s = F.col("statements")
-    n = F.size(F.filter(s, lambda x: (x["property"] == p) & statement_matches(tc, x)))
-    ok = _bounds(n, tc.min, tc.max)
-    if p not in extra:
-        ok = ok & ~F.exists(s, lambda x: (x["property"] == p) & ~statement_matches(tc, x))
+    return lambda s: (s["property"] == p) & (statement_matches(tc, s, refs) if matching else ~statement_matches(tc, s, refs))
+
+
+def constraint_matches(tc: TripleConstraint, extra: set[str], refs=None) -> Column:
+    """Matching statements within the cardinality; others of the property only under EXTRA."""
+    ok = _bounds(F.size(F.filter("statements", _statements(tc, True, refs))), tc.min, tc.max)
+    if property_of(tc.predicate) not in extra:
+        ok = ok & ~F.exists("statements", _statements(tc, False, refs))
     return ok
 
 
-def _triples(te, extra: set[str]) -> Column:
+def _triples(te, extra: set[str], refs=None) -> Column:
     if isinstance(te, EachOf | OneOf):
         if (te.min, te.max) != (1, 1):
             raise SchemaError("groups of statements have no cardinality here")
-        parts = [_triples(x, extra) for x in te.exprs]
+        parts = [_triples(x, extra, refs) for x in te.exprs]
         return _all(parts) if isinstance(te, EachOf) else reduce(lambda a, b: a | b, parts)
-    return constraint_matches(te, extra)
+    return constraint_matches(te, extra, refs)
 
 
 def term_matches(c: TermConstraint) -> Column:
@@ -166,26 +181,26 @@ class Matcher:
         """Whether an entity matches, looking at its own row only."""
         return self._expr(self.exprs[label or self.first()], ())
 
-    def _expr(self, se, trail: tuple) -> Column:
+    def _expr(self, se, trail: tuple, refs=None) -> Column:
         if isinstance(se, ShapeAnd):
-            return _all(self._expr(x, trail) for x in se.exprs)
+            return _all(self._expr(x, trail, refs) for x in se.exprs)
         if isinstance(se, ShapeOr):
-            return reduce(lambda a, b: a | b, (self._expr(x, trail) for x in se.exprs))
+            return reduce(lambda a, b: a | b, (self._expr(x, trail, refs) for x in se.exprs))
         if isinstance(se, ShapeNot):
-            return ~self._expr(se.expr, trail)
+            return ~self._expr(se.expr, trail, refs)
         if isinstance(se, ShapeRef):
             if se.label in trail:
                 raise SchemaError(f"shape {se.label} refers to itself")
             if se.label not in self.exprs:
                 raise SchemaError(f"no shape {se.label}")
-            return self._expr(self.exprs[se.label], (*trail, se.label))
+            return self._expr(self.exprs[se.label], (*trail, se.label), refs)
         if isinstance(se, Shape):
-            return self._shape(se)
+            return self._shape(se, refs)
         raise SchemaError(f"cannot match {type(se).__name__} with an entity")
 
-    def _shape(self, se: Shape) -> Column:
+    def _shape(self, se: Shape, refs=None) -> Column:
         extra = {property_of(e) for e in se.extra}
-        ok = F.lit(True) if se.expression is None else _triples(se.expression, extra)
+        ok = F.lit(True) if se.expression is None else _triples(se.expression, extra, refs)
         for c in getattr(se, "terms", ()):
             ok = ok & term_matches(c)
         if se.closed and self.check_closed:
@@ -200,9 +215,39 @@ class Matcher:
         return {property_of(te.predicate)}
 
     def kept(self, label: str | None = None) -> Column:
-        """The statements that the shape's constraints matched: the projected entity's."""
-        parts = [tc for tc in self._constraints(self.exprs[label or self.first()], ())]
-        return F.filter("statements", lambda s: reduce(lambda a, b: a | b, ((s["property"] == property_of(tc.predicate)) & statement_matches(tc, s) for tc in parts), F.lit(False)))
+        """The statements that the shape's constraints matched: the projected entity's.  Of a choice, those of the operands that hold."""
+        return F.filter("statements", self._keeps(self.exprs[label or self.first()], ()))
+
+    def _keeps(self, se, trail):
+        """Function from a statement to whether the expression matched it."""
+        if isinstance(se, ShapeAnd | ShapeOr):
+            parts = [self._keeps(x, trail) for x in se.exprs]
+            whole = [F.coalesce(self._expr(x, trail), F.lit(False)) if isinstance(se, ShapeOr) else F.lit(True) for x in se.exprs]
+            return lambda s: reduce(lambda a, b: a | b, (w & p(s) for w, p in zip(whole, parts, strict=True)))
+        if isinstance(se, ShapeRef) and se.label not in trail:
+            return self._keeps(self.exprs[se.label], (*trail, se.label))
+        mine = list(self._constraints(se, trail))
+        return lambda s: reduce(lambda a, b: a | b, ((s["property"] == property_of(tc.predicate)) & statement_matches(tc, s) for tc in mine), F.lit(False))
+
+    def reasons(self, label: str | None = None) -> Column:
+        """Why an entity fails: codes with their properties, by constraint; empty where the shape holds."""
+        se = self.exprs[label or self.first()]
+        found = []
+        for shape in [x for x in analyze.same_node(se) if isinstance(x, Shape)]:
+            extra = {property_of(e) for e in shape.extra}
+            for tc in self._constraints(shape, ()):
+                p = property_of(tc.predicate)
+                mine = F.size(F.filter("statements", _statements(tc, True)))
+                other = F.exists("statements", _statements(tc, False))
+                found.append(F.when(mine < tc.min, F.lit(f"too-few {p}")))
+                if tc.max is not None:
+                    found.append(F.when(mine > tc.max, F.lit(f"too-many {p}")))
+                if p not in extra:
+                    found.append(F.when(other, F.lit(f"no-match {p}")))
+            for c in getattr(shape, "terms", ()):
+                found.append(F.when(~term_matches(c), F.lit(f"{c.what} {c.lang}")))
+        none = F.array().cast("array<string>")
+        return F.when(F.coalesce(self._expr(se, ()), F.lit(False)), none).otherwise(F.array_sort(F.array_compact(F.array(*found))) if found else none)
 
     def _constraints(self, se, trail):
         if isinstance(se, ShapeAnd | ShapeOr):
@@ -234,32 +279,82 @@ class Matcher:
         """Aggregates over matching entities: what a caller's monoid is to a dump reader."""
         return self.filter(entities, label).agg(*aggregates)
 
-    def match_graph(self, entities: DataFrame, label: str | None = None) -> DataFrame:
+    def _asked(self, se) -> set[str]:
+        """Labels that an expression asks of other entities, those of its own entity's references included."""
+        out, todo, seen = set(), [se], set()
+        while todo:
+            e = todo.pop()
+            if isinstance(e, ShapeAnd | ShapeOr | EachOf | OneOf):
+                todo += e.exprs
+            elif isinstance(e, ShapeNot):
+                todo.append(e.expr)
+            elif isinstance(e, ShapeRef) and e.label not in seen:
+                if e.label not in self.exprs:
+                    raise SchemaError(f"no shape {e.label}")
+                seen.add(e.label)
+                todo.append(self.exprs[e.label])
+            elif isinstance(e, Shape) and e.expression is not None:
+                todo.append(e.expression)
+            elif isinstance(e, TripleConstraint):
+                inner = [e]
+                while inner:
+                    x = inner.pop()
+                    if isinstance(x, EachOf | OneOf):
+                        inner += x.exprs
+                        continue
+                    out |= {y.label for y in walk_shapes(x.value) if isinstance(y, ShapeRef)} if x.value is not None else set()
+                    if isinstance(x, StatementConstraint):
+                        inner += [q for q in (x.qualifiers, *(r[0] for r in x.references)) if q is not None]
+        return out
+
+    def match_graph(self, entities: DataFrame) -> DataFrame:
         """(id, ok_shapes): labels whose shapes hold, references followed.
 
-        Starts from the labels that hold locally and drops an entity's label
-        while a statement refers to an entity without the wanted label, until
-        nothing changes.
+        Labels go in strata, those asked first.  Labels that ask each other
+        start as held by all entities and lose those whose expressions fail,
+        until nothing changes; negation inside such a cycle is refused.
+        Entities that are named but not among ``entities`` have no label.
         """
-        del label
-        local = F.array_compact(F.array(*(F.when(F.coalesce(self.column(x), F.lit(False)), F.lit(x)) for x in self.exprs)))
-        typed = keep(entities.select("id", F.explode(local).alias("label")))
-        needs = []
-        for x in self.exprs:
-            for tc in self._constraints(self.exprs[x], ()):
-                if isinstance(tc.value, ShapeRef):
-                    needs.append((x, property_of(tc.predicate), tc.value.label))
-        if needs:
-            wanted = F.array(*(F.struct(F.lit(a).alias("label"), F.lit(p).alias("p"), F.lit(b).alias("target_label")) for a, p, b in needs))
-            links = entities.select("id", F.explode(F.filter("statements", lambda s: s["snak"]["vtype"] == "entity")).alias("s")).select("id", F.col("s.property").alias("p"), F.col("s.snak.value").alias("target"))
-            links = keep(links.withColumn("w", F.explode(F.filter(wanted, lambda w: w["p"] == F.col("p")))).select("id", F.col("w.label").alias("label"), "target", F.col("w.target_label").alias("target_label")).distinct())
-            before = typed.count()
-            while True:
-                have = typed.select(F.col("id").alias("target"), F.col("label").alias("target_label"))
-                bad = links.join(have, ["target", "target_label"], "left_anti").select("id", "label").distinct()
-                typed = keep(typed.join(bad, ["id", "label"], "left_anti"))
-                now = typed.count()
-                if now == before:
-                    break
-                before = now
+        wrong = analyze.negative_cycles(analyze.dependencies(self.schema))
+        if wrong:
+            raise SchemaError(f"negation through the cycle {', '.join(wrong[0])}")
+        asked = {x: self._asked(e) for x, e in self.exprs.items()}
+        used = set().union(*(self._properties(x.expression) for e in self.exprs.values() for x in analyze.same_node(e) if isinstance(x, Shape)))
+        mine = entities if self.check_closed else entities.withColumn("statements", F.filter("statements", lambda s: s["property"].isin(sorted(used))))
+        mine = keep(mine.select("id", "labels", "descriptions", "aliases", "statements"))
+        named = lambda s: F.transform(F.filter(F.concat(F.array(s["snak"]), s["qualifiers"], F.flatten(s["refs"])), lambda x: x["vtype"] == "entity"), lambda x: x["value"])
+        links = keep(mine.select("id", F.explode(F.array_distinct(F.flatten(F.transform("statements", named)))).alias("target"))) if any(asked.values()) else None
+        typed = None
+
+        def known(labels: set[str]) -> DataFrame:
+            have = typed.where(F.col("label").isin(sorted(labels))).groupBy("id").agg(F.collect_set("label").alias("has")).withColumnRenamed("id", "target")
+            return links.join(have, "target").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("target", "has"))).alias("_known"))
+
+        def refs(label: str, snak: Column) -> Column:
+            return (snak["vtype"] == "entity") & F.coalesce(F.array_contains(F.try_element_at("_known", snak["value"]), label), F.lit(False))
+
+        def verdicts(labels: list[str]) -> DataFrame:
+            wanted = set().union(*(asked[x] for x in labels))
+            rows = mine.join(known(wanted), "id", "left") if wanted else mine
+            holds = F.array_compact(F.array(*(F.when(F.coalesce(self._expr(self.exprs[x], (), refs), F.lit(False)), F.lit(x)) for x in labels)))
+            return keep(rows.select("id", F.explode(holds).alias("label")))
+
+        for group in analyze.strongly_connected(asked):
+            done = typed
+            if any(asked[x] & set(group) for x in group):
+                typed = self._with(done, mine.select("id", F.explode(F.array(*map(F.lit, group))).alias("label")))
+                held = None
+                while True:
+                    now = verdicts(group)
+                    n = now.count()
+                    typed = self._with(done, now)
+                    if n == held:
+                        break
+                    held = n
+            else:
+                typed = self._with(done, verdicts(group))
         return entities.select("id").join(typed.groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("ok_shapes")), "id", "left").select("id", F.coalesce("ok_shapes", F.array().cast("array<string>")).alias("ok_shapes"))
+
+    @staticmethod
+    def _with(a: DataFrame | None, b: DataFrame) -> DataFrame:
+        return b if a is None else a.unionByName(b)

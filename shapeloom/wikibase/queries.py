@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import paths as pp
+from ..schema.shexc import parse as plain
+from ..shapemap import maps
+from ..sources.graph import Graph
+from ..sources.rdf import ntriples_lines, to_ntriples
 from . import model, rdf
+from .entityschema import from_plain, parse, to_plain
 from .matcher import Matcher
-from .entityschema import parse
 
 _P = "PREFIX : <http://www.wikidata.org/entity/>\n"
 
 
-def entities(spark, sf_dir: str):
-    """A part is an item: P1 brand and P2 type (strings), P3 size (quantity, with qualifier P4 and, beyond 10, a reference P5), P6 the next part."""
+def entities(spark, sf_dir: str, more_links: tuple = ()):
+    """A part is an item: P1 brand and P2 type (strings), P3 size (quantity, with qualifier P4 and, beyond 10, a reference P5), P6 the next part.
+
+    more_links: further steps to parts that P6 leads to.
+    """
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     top = part.agg(F.max("p_partkey").alias("top"))
     snak = lambda p, t, v: F.struct(F.lit(p).alias("property"), F.lit("value").alias("kind"), F.lit(t).alias("vtype"), v.cast("string").alias("value"))
@@ -27,7 +35,7 @@ def entities(spark, sf_dir: str):
         statement(snak("P2", "string", F.col("p_type")), rank, none, no_refs),
         statement(snak("P2", "string", F.lit("ANY")), normal, none, no_refs),
         statement(snak("P3", "quantity", size), normal, F.array(snak("P4", "string", F.col("p_brand"))), F.when(F.col("p_size") > 10, F.array(F.array(snak("P5", "string", F.col("p_name"))))).otherwise(no_refs)),
-        statement(snak("P6", "entity", F.concat(F.lit("Q"), (F.col("p_partkey") + 1) % (F.col("top") + 1))), normal, none, no_refs),
+        *(statement(snak("P6", "entity", F.concat(F.lit("Q"), (F.col("p_partkey") + step) % (F.col("top") + 1))), normal, none, no_refs) for step in (1, *more_links)),
     )
     return part.crossJoin(F.broadcast(top)).select(  # one row: the greatest key
         F.concat(F.lit("Q"), "p_partkey").alias("id"), F.lit("item").alias("type"), F.create_map(F.lit("en"), F.col("p_name")).alias("labels"),
@@ -46,10 +54,14 @@ def _matching(schema: str):
     return query
 
 
-def _graph(spark, sf_dir):
-    """References followed: a part of size 3 or more whose successor has a brand of the tens."""
-    schema = parse(_P + "<S> { :P3 MININCLUSIVE 3 ; :P6 @<T> } <T> { :P1 /^Brand#1/ }")
-    return Matcher(schema).match_graph(entities(spark, sf_dir)).select(_key(), F.array_contains("ok_shapes", "S").alias("s"), F.array_contains("ok_shapes", "T").alias("t"))
+def _graph(schema: str, *labels: str, more_links: tuple = ()):
+    """References followed: which parts have which labels."""
+
+    def query(spark, sf_dir):
+        held = Matcher(parse(_P + schema)).match_graph(entities(spark, sf_dir, more_links))
+        return held.select(_key(), *(F.array_contains("ok_shapes", x).alias(x.lower()) for x in labels))
+
+    return query
 
 
 def _dump_filter(spark, sf_dir):
@@ -70,8 +82,69 @@ def _truthy(spark, sf_dir):
 
 
 def _rdf(spark, sf_dir):
+    """All triples of the entities, by predicate."""
     t = rdf.full(entities(spark, sf_dir))
-    return t.groupBy(F.regexp_extract("p", r"([^/]+/[^/]+)$", 1).alias("predicate")).agg(F.count("*").alias("n")).where(F.col("predicate").isin("qualifier/P4", "statement/P3", "direct/P6", "01/rdf-schema#label"))
+    return t.groupBy(F.regexp_extract("p", r"([^/]+/[^/]+)$", 1).alias("predicate")).agg(F.count("*").alias("n"))
+
+
+def _rdf_text(spark, sf_dir):
+    """Entities as N-Triples lines, read again."""
+    again = ntriples_lines(to_ntriples(rdf.full(entities(spark, sf_dir)))).where(F.col("p").endswith("rdf-schema#label"))
+    return again.select(F.regexp_extract("s", r"/Q([0-9]+)>$", 1).cast("long").alias("p_partkey"), F.col("o_lex").alias("label"), F.col("o_lang").alias("lang"))
+
+
+def _json(spark, sf_dir):
+    """Public JSON lines of parts, as a dump has them, parsed and matched."""
+    snak = lambda kind, value: f"""'{{"snaktype": "value", "property": "{kind}", "datavalue": ', {value}, '}}'"""
+    text = """'{"type": "string", "value": "', p_brand, '"}'"""
+    size = """'{"type": "quantity", "value": {"amount": "+', p_size, '", "unit": "1"}}'"""
+    to = """'{"type": "wikibase-entityid", "value": {"entity-type": "item", "id": "Q', p_partkey + 1, '"}}'"""
+    line = f"""concat('{{"type": "item", "id": "Q', p_partkey, '", "labels": {{"en": {{"language": "en", "value": "', p_name, '"}}}}, "aliases": {{"en": [{{"language": "en", "value": "', p_type, '"}}]}}, "claims": {{',
+      '"P1": [{{"rank": "normal", "mainsnak": ', {snak("P1", text)}, '}}], "P6": [{{"rank": "normal", "mainsnak": ', {snak("P6", to)}, '}}], ',
+      '"P3": [{{"rank": "preferred", "mainsnak": ', {snak("P3", size)}, ', "qualifiers": {{"P4": [', {snak("P4", text)}, ']}}, "references": [{{"snaks": {{"P5": [', {snak("P5", text)}, ']}}}}]}}]}}}}')"""
+    lines = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.expr(line).alias("value"))
+    m = Matcher(parse(_P + "<S> LABEL (en -> /e/) { :P1 /^Brand#1/ ; :P3 MININCLUSIVE 10 {| :P4 . |} REFERENCES {| :P5 . |} ; :P6 IRI }"))
+    return m.match(model.parse_json(lines)).select(_key(), "matches", F.col("statements")[0]["property"].alias("first"), F.size("statements").cast("long").alias("statements"))
+
+
+def _projected_choice(spark, sf_dir):
+    """Of a choice only the operands that hold keep statements."""
+    m = Matcher(parse(_P + "<S> { :P3 MININCLUSIVE 20 } OR EXTRA :P2 { :P2 [ 'PROMO' ] } OR { :P1 /^Brand#3/ }"))
+    rows = m.filter(entities(spark, sf_dir), project=True)
+    return rows.select(_key(), F.array_join(F.transform("statements", lambda s: s["property"]), " ").alias("kept"))
+
+
+def _reasons(spark, sf_dir):
+    m = Matcher(parse(_P + "<S> LABEL (en -> /ring$/) { :P1 /^Brand#1/ ; :P3 MININCLUSIVE 10 ; :P2 . }"))
+    return entities(spark, sf_dir).select(_key(), F.array_join(m.reasons(), ", ").alias("reasons"))
+
+
+def _from_plain(spark, sf_dir):
+    """A plain schema over direct properties, as an entity schema."""
+    s = from_plain(plain('PREFIX wdt: <http://www.wikidata.org/prop/direct/> <S> EXTRA wdt:P2 { wdt:P2 [ "PROMO" "STANDARD" ] ; wdt:P3 MAXEXCLUSIVE 20 }'))
+    return Matcher(s).match(entities(spark, sf_dir)).select(_key(), "matches")
+
+
+def _to_plain(spark, sf_dir):
+    """An entity schema as a plain one, over the entities' truthy triples and labels."""
+    s = to_plain(parse(_P + "<S> LABEL (en -> /e/) { :P1 /^Brand#2/ ; :P3 MININCLUSIVE 10 }"))
+    about = {"http://www.w3.org/2000/01/rdf-schema#label"}
+    t = rdf.full(entities(spark, sf_dir)).where(F.col("p").startswith(rdf.PROP + "direct/") | F.col("p").isin(about))
+    result = maps.run(Graph(t, distinct=False), s, [maps.Association(maps.Triples("subject", pp.Step(rdf.PROP + "direct/P1")), s.labels[0])])
+    return result.select(F.regexp_extract("node", r"/Q([0-9]+)>$", 1).cast("long").alias("p_partkey"), "status")
+
+
+def _literals(spark, sf_dir):
+    """Times, quantities and places of many forms as literals."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    year = F.lpad((F.col("p_partkey") % 3000 + 1).cast("string"), 4, "0")
+    return part.select(
+        "p_partkey",
+        rdf.time_literal(F.concat(F.lit("+"), year, F.lit("-00-00T00:00:00Z"))).alias("year"),
+        rdf.time_literal(F.concat(F.lit("-"), year, F.lit("-05-00T00:00:00Z"))).alias("month"),
+        rdf.quantity_literal((F.col("p_size") - 25).cast("string")).alias("quantity"),
+        rdf.globe_literal(F.col("p_size").cast("string"), F.col("p_partkey").cast("string")).alias("place"),
+    )
 
 
 QUERIES = {
@@ -81,11 +154,24 @@ QUERIES = {
     "entity_qualifiers": _matching("<S> { :P3 . {| :P4 /^Brand#1/ |} }"),
     "entity_references": _matching("<S> { :P3 . REFERENCES {| :P5 /^small/ |} }"),
     "entity_labels": _matching('<S> LABEL (en -> /ring$/) DESCRIPTION (en -> [ "ECONOMY" "PROMO" ]) ALIAS (en -> /^Brand#[12]/) { :P1 . }'),
-    "entity_graph": _graph,
+    "entity_graph": _graph("<S> { :P3 MININCLUSIVE 3 ; :P6 @<T> } <T> { :P1 /^Brand#1/ }", "S", "T"),
+    "entity_graph_or": _graph("<S> { :P6 @<T> } OR { :P3 MININCLUSIVE 30 } <T> { :P1 /^Brand#1/ }", "S"),
+    "entity_graph_one_of": _graph("<S> EXTRA :P6 { :P6 @<T> | :P3 MININCLUSIVE 30 } <T> { :P1 /^Brand#1/ }", "S"),
+    "entity_graph_not": _graph("<S> NOT { :P6 @<T> } <T> { :P1 /^Brand#1/ }", "S"),
+    "entity_graph_extra": _graph("<S> EXTRA :P6 { :P6 @<T> } <U> { :P6 @<T> + } <V> EXTRA :P6 { :P6 @<T> {1,2} } <T> { :P1 /^Brand#1/ }", "S", "U", "V", more_links=(2,)),
+    "entity_graph_recursive": _graph("<S> { :P3 MAXINCLUSIVE 45 ; :P6 @<S> OR @<T> } <T> { :P1 /^Brand#1/ }", "S"),
     "dump_filter": _dump_filter,
     "dump_fold": _fold,
     "best_rank_truthy": _truthy,
     "entity_rdf": _rdf,
+    "entity_rdf_text": _rdf_text,
+    "entity_literals": _literals,
+    "entity_json": _json,
+    "entity_projected_choice": _projected_choice,
+    "entity_reasons": _reasons,
+    "entity_schema_from_plain": _from_plain,
+    "entity_schema_to_plain": _to_plain,
+    "entity_node_kinds": _matching("<S> { :P6 IRI ; :P1 LITERAL ; :P3 NOT IRI } "),
 }
 
 ORACLE = {
@@ -96,8 +182,32 @@ ORACLE = {
     "entity_references": "SELECT p_partkey, p_size > 10 AND starts_with(p_name, 'small') AS matches FROM part",
     "entity_labels": "SELECT p_partkey, regexp_matches(p_name, 'ring$') AND p_type IN ('ECONOMY', 'PROMO') AND (regexp_matches(p_brand, '^Brand#[12]') OR regexp_matches(p_name, '^Brand#[12]')) AS matches FROM part",
     "entity_graph": "SELECT a.p_partkey, a.p_size >= 3 AND starts_with(b.p_brand, 'Brand#1') AS s, starts_with(a.p_brand, 'Brand#1') AS t FROM part a JOIN part b ON b.p_partkey = (a.p_partkey + 1) % (SELECT max(p_partkey) + 1 FROM part)",
+    "entity_graph_or": "SELECT a.p_partkey, starts_with(b.p_brand, 'Brand#1') OR a.p_size >= 30 AS s FROM part a JOIN part b ON b.p_partkey = (a.p_partkey + 1) % (SELECT max(p_partkey) + 1 FROM part)",
+    "entity_graph_one_of": "SELECT a.p_partkey, starts_with(b.p_brand, 'Brand#1') OR a.p_size >= 30 AS s FROM part a JOIN part b ON b.p_partkey = (a.p_partkey + 1) % (SELECT max(p_partkey) + 1 FROM part)",
+    "entity_graph_not": "SELECT a.p_partkey, NOT starts_with(b.p_brand, 'Brand#1') AS s FROM part a JOIN part b ON b.p_partkey = (a.p_partkey + 1) % (SELECT max(p_partkey) + 1 FROM part)",
+    "entity_graph_extra": "SELECT p_partkey, x <> y AS s, x AND y AS u, x OR y AS v FROM (SELECT a.p_partkey, starts_with(b.p_brand, 'Brand#1') AS x, starts_with(c.p_brand, 'Brand#1') AS y FROM part a, part b, part c, (SELECT max(p_partkey) + 1 AS n FROM part) WHERE b.p_partkey = (a.p_partkey + 1) % n AND c.p_partkey = (a.p_partkey + 2) % n)",
+    "entity_graph_recursive": """WITH RECURSIVE o AS (
+  SELECT p_partkey AS k, (p_partkey + 1) % (SELECT max(p_partkey) + 1 FROM part) AS next, p_size <= 45 AS small, starts_with(p_brand, 'Brand#1') AS t FROM part
+), bad AS (
+  SELECT k FROM o WHERE NOT small UNION SELECT o.k FROM o JOIN bad ON o.next = bad.k JOIN o n ON n.k = o.next WHERE NOT n.t
+) SELECT k AS p_partkey, k NOT IN (SELECT k FROM bad) AS s FROM o""",
     "dump_filter": "SELECT p_partkey, CAST(2 AS BIGINT) AS statements FROM part WHERE p_type = 'PROMO' AND p_size <= 25",
     "dump_fold": "SELECT count(*) AS n, max(p_partkey) AS last FROM part WHERE p_size >= 20",
     "best_rank_truthy": "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_type WHEN 1 THEN 'ANY' ELSE least(p_type, 'ANY') END AS least, CAST(CASE p_size % 3 WHEN 2 THEN 2 ELSE 1 END AS BIGINT) AS n FROM part",
-    "entity_rdf": "SELECT unnest(['qualifier/P4', 'statement/P3', 'direct/P6', '01/rdf-schema#label']) AS predicate, (SELECT count(*) FROM part) AS n",
+    "entity_rdf": """WITH n AS (SELECT count(*) AS n, count(*) FILTER (p_size > 10) AS r, count(DISTINCT p_name) FILTER (p_size > 10) AS names,
+      sum(CASE p_size % 3 WHEN 2 THEN 2 ELSE 1 END) AS p2, sum(CASE WHEN p_name = p_brand THEN 1 ELSE 2 END) AS alt FROM part)
+SELECT unnest(['direct/P1', 'direct/P3', 'direct/P6', 'prop/P1', 'prop/P3', 'prop/P6', 'statement/P1', 'statement/P3', 'statement/P6', 'qualifier/P4', '01/rdf-schema#label', 'schema.org/description']) AS predicate, n FROM n
+UNION ALL SELECT unnest(['prop/P2', 'statement/P2']), 2 * n FROM n UNION ALL SELECT 'direct/P2', CAST(p2 AS BIGINT) FROM n UNION ALL SELECT 'skos/core#altLabel', CAST(alt AS BIGINT) FROM n
+UNION ALL SELECT 'ns/prov#wasDerivedFrom', r FROM n UNION ALL SELECT 'prop/P5', names FROM n""",
+    "entity_rdf_text": "SELECT p_partkey, p_name AS label, 'en' AS lang FROM part",
+    "entity_literals": """SELECT p_partkey, y || '-01-01T00:00:00Z' AS year, '-' || y || '-05-01T00:00:00Z' AS month, CASE WHEN p_size >= 25 THEN '+' ELSE '' END || (p_size - 25) AS quantity, 'Point(' || p_partkey || ' ' || p_size || ')' AS place
+  FROM (SELECT p_partkey, p_size, lpad(CAST(p_partkey % 3000 + 1 AS VARCHAR), 4, '0') AS y FROM part)""",
+    "entity_json": "SELECT p_partkey, contains(p_name, 'e') AND starts_with(p_brand, 'Brand#1') AND p_size >= 10 AS matches, 'P1' AS first, CAST(3 AS BIGINT) AS statements FROM part",
+    "entity_projected_choice": """SELECT p_partkey, concat_ws(' ', CASE WHEN starts_with(p_brand, 'Brand#3') THEN 'P1' END, CASE WHEN p_type = 'PROMO' THEN 'P2' END, CASE WHEN p_size >= 20 THEN 'P3' END) AS kept
+  FROM part WHERE p_size >= 20 OR p_type = 'PROMO' OR starts_with(p_brand, 'Brand#3')""",
+    "entity_reasons": """SELECT p_partkey, concat_ws(', ', CASE WHEN NOT regexp_matches(p_name, 'ring$') THEN 'label en' END, CASE WHEN NOT starts_with(p_brand, 'Brand#1') THEN 'no-match P1' END, CASE WHEN p_size < 10 THEN 'no-match P3' END,
+  CASE WHEN NOT starts_with(p_brand, 'Brand#1') THEN 'too-few P1' END, CASE WHEN p_size < 10 THEN 'too-few P3' END, 'too-many P2') AS reasons FROM part""",
+    "entity_schema_from_plain": "SELECT p_partkey, p_type IN ('PROMO', 'STANDARD') AND p_size < 20 AS matches FROM part",
+    "entity_schema_to_plain": "SELECT p_partkey, CASE WHEN contains(p_name, 'e') AND starts_with(p_brand, 'Brand#2') AND p_size >= 10 THEN 'conformant' ELSE 'nonconformant' END AS status FROM part",
+    "entity_node_kinds": "SELECT p_partkey, true AS matches FROM part",
 }
