@@ -101,11 +101,13 @@ def pairs(graph: Graph, path, starts: DataFrame | None = None) -> DataFrame:
     one = keep(pairs(graph, path.path).dropDuplicates(["start", "node"]))
     edges = one.withColumnRenamed("start", "_via")
     found = keep(one if starts is None else one.join(starts, "start", "left_semi"))
-    fresh = found
+    fresh, rounds = found, 0
     while not fresh.isEmpty():  # semi-naive: only what the last round added grows
+        rounds += 1
         grown = fresh.select("start", F.col("node").alias("_via")).join(edges, "_via").select("start", *END).dropDuplicates(["start", "node"])
         fresh = keep(grown.join(found.select("start", "node"), ["start", "node"], "left_anti"))
-        found = keep(found.unionByName(fresh))
+        found = found.unionByName(fresh)  # written parts; put together now and then, as plans grow with them
+        found = keep(found) if rounds % 16 == 0 else found
     if path.zero:
         same = _identity(graph)
         same = same if starts is None else same.join(starts, "start", "left_semi")
@@ -113,6 +115,30 @@ def pairs(graph: Graph, path, starts: DataFrame | None = None) -> DataFrame:
     return found
 
 
+def ends(graph: Graph, path) -> DataFrame:
+    """Distinct nodes (node, kind, lex, dt, lang) from which a path leads anywhere.  No pairs are made where a closure stands alone or last."""
+    if isinstance(path, Step):
+        s = resource(F.col("s"))
+        return graph.triples({path.predicate}).select(F.col("s").alias("node"), s.kind.alias("kind"), s.lex.alias("lex"), s.dt.alias("dt"), s.lang.alias("lang")).dropDuplicates(["node"])
+    if isinstance(path, Inverse):
+        if isinstance(path.path, Step):
+            o = term_at()
+            return graph.triples({path.path.predicate}).select(term_id(o).alias("node"), o.kind.alias("kind"), o.lex.alias("lex"), o.dt.alias("dt"), o.lang.alias("lang")).dropDuplicates(["node"])
+        return ends(graph, _turned(path.path))
+    if isinstance(path, Alternative):
+        out = ends(graph, path.paths[0])
+        for p in path.paths[1:]:
+            out = out.unionByName(ends(graph, p))
+        return out.dropDuplicates(["node"])
+    if isinstance(path, Sequence):
+        first, *rest = path.paths
+        inner = ends(graph, Sequence(tuple(rest))) if len(rest) > 1 else ends(graph, rest[0])
+        return pairs(graph, _turned(first), inner.select(F.col("node").alias("start"))).select(*END).dropDuplicates(["node"])
+    if isinstance(path, Maybe) or path.zero:
+        return _identity(graph).select(*END)
+    return ends(graph, path.path)
+
+
 def _turned(path):
     """A path read backwards, inverses pushed down to single steps."""
     if isinstance(path, Step):

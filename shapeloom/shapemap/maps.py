@@ -176,23 +176,50 @@ def parse(text: str, base=None, prefixes=None, shape_base=None, shape_prefixes=N
     return p.parse()
 
 
+def show_path(path) -> str:
+    """A property path in the compact syntax."""
+    if isinstance(path, pp.Step):
+        return f"<{path.predicate}>"
+    if isinstance(path, pp.Inverse):
+        return f"^{_grouped(path.path)}"
+    if isinstance(path, pp.Sequence | pp.Alternative):
+        return ("/" if isinstance(path, pp.Sequence) else "|").join(_grouped(p) for p in path.paths)
+    if isinstance(path, pp.Closure):
+        return _grouped(path.path) + ("*" if path.zero else "+")
+    return f"{_grouped(path.path)}?"
+
+
+def _grouped(path) -> str:
+    return show_path(path) if isinstance(path, pp.Step) else f"({show_path(path)})"
+
+
 def from_json(text: str, prefixes=None) -> list[Association]:
-    """The JSON form: objects with node, shape and status."""
+    """The JSON form: objects with node (a term, a pattern of subject, path and object, or a query), shape and status."""
     out = []
     for x in json.loads(text):
-        node = parse(f"{x['node']}@<x>", prefixes=prefixes)[0].selector
+        node = x["node"]
+        if isinstance(node, dict):
+            node = f"SQL {json.dumps(node['sparql'])}" if "sparql" in node else f"{{{node['subject']} {node['path']} {node['object']}}}"
         label = x["shape"]
         label = START if label in ("START", "Start") else label[1:-1] if label.startswith("<") else label
-        out.append(Association(node, label, x.get("status", CONFORMANT)))
+        out.append(Association(parse(f"{node}@<x>", prefixes=prefixes)[0].selector, label, x.get("status", CONFORMANT)))
     return out
 
 
 def to_json(associations: list[Association]) -> str:
     rows = []
     for a in associations:
-        if not isinstance(a.selector, Node):
-            raise SchemaError("only fixed maps have this JSON form")
-        rows.append({"node": literal_id(a.selector.term), "shape": a.label, "status": a.status})
+        s = a.selector
+        if isinstance(s, Node):
+            node: object = literal_id(s.term)
+        elif isinstance(s, Sql):
+            node = {"sparql": s.query}
+        elif isinstance(s, Triples):
+            other = "_" if s.other is None else literal_id(s.other)
+            node = {"subject": "FOCUS" if s.focus == "subject" else other, "path": show_path(s.path), "object": other if s.focus == "subject" else "FOCUS"}
+        else:
+            raise SchemaError("a generic selector has no JSON form")
+        rows.append({"node": node, "shape": a.label, "status": a.status})
     return json.dumps(rows)
 
 
@@ -219,8 +246,12 @@ def select(graph: Graph, selector) -> DataFrame:
             t = graph.triples({path.predicate}) if other is None else graph.triples_with(path.predicate, other)
             r = resource(F.col("s"))
             return t.select(F.col("s").alias("node"), r.kind.alias("kind"), r.lex.alias("lex"), r.dt.alias("dt"), r.lang.alias("lang")).distinct()
+        if other is None:
+            return pp.ends(graph, path)
         path = pp.Inverse(path)
-    starts = None if other is None else graph.spark.createDataFrame([(literal_id(other),)], "start string")
+    elif other is None:
+        return pp.ends(graph, pp.Inverse(path))
+    starts = graph.spark.createDataFrame([(literal_id(other),)], "start string")
     return pp.pairs(graph, path, starts).select(*_NODE).dropDuplicates(["node"])
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from shapeloom.operators import bags
+from shapeloom.operators import bags, paths
 from shapeloom.schema.ast import SchemaError
 from shapeloom.shapemap import maps
 from shapeloom.sources import graph, rdf
@@ -91,3 +91,20 @@ def test_files(spark, tmp_path):
     assert len(nt) == 3 and {r["o_lex"] for r in nt if r["o_lang"]} == {'x"\\n\n'}
     assert len({r["s"] for r in nt if r["s"].startswith("_:")} | {r["o_lex"] for r in nt if r["o_kind"] == "bnode"}) == 1
     assert rdf.read_turtle(spark, str(tmp_path / "a.ttl")).df.count() == 7
+
+
+@pytest.mark.parametrize("path", [":p", "^:p", ":p+", ":p*", ":p?", "^(:p/:q)", ":p+/:q", ":p/:q+", ":p*/:q", "(:p|:q)+/^:q", "^(:p+)", "(:q?/:p)"])
+@pytest.mark.parametrize("pattern", ["{{FOCUS {} _}}", "{{_ {} FOCUS}}"])
+def test_ends_of_a_path_are_those_of_its_pairs(spark, path, pattern):
+    g = graph.of_terms(spark, rdf.parse_turtle("PREFIX : <http://e/> :a :p :b . :b :p :c . :c :q :d . :d :p :a . :e :q 'x' . :b :q 1 . :f :p :f ."))
+    selector = maps.parse(pattern.format(path) + "@:S", "http://e/", {"": "http://e/"})[0].selector
+    pairs = paths.pairs(g, selector.path)
+    want = {r[0] for r in pairs.select("start" if selector.focus == "subject" else "node").collect()}
+    got = [r["node"] for r in maps.select(g, selector).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_json_of_selectors():
+    text = "{FOCUS (:p/^:q)+|:r? _}@:S, {:x :p* FOCUS}@!:T, 'a'@en@:S, SQL 'SELECT s FROM triples'@?:S"
+    found = maps.parse(text, "http://e/", {"": "http://e/"}, "http://e/", {"": "http://e/"})
+    assert maps.from_json(maps.to_json(found)) == found
