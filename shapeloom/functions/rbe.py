@@ -235,17 +235,17 @@ def assignable(e, options: list[tuple[tuple, int]]) -> bool:
         if i == len(options):
             return matches(e, dict(bag))
         names, n = options[i]
-        return any(go(i + 1, _added(bag, names, split)) for split in _splits(n, len(names)))
+        return any(go(i + 1, _added(bag, names, split)) for split in splits(n, len(names)))
 
     return go(0, ())
 
 
-def _splits(n: int, k: int):
+def splits(n: int, k: int):
     if k == 1:
         yield (n,)
         return
     for first in range(n, -1, -1):
-        for rest in _splits(n - first, k - 1):
+        for rest in splits(n - first, k - 1):
             yield (first, *rest)
 
 

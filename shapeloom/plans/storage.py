@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Write a table of an iteration to ``spark.checkpoint.dir`` (one of our own where it is unset) and go on from there."""
+    """Write a table of an iteration to ``spark.checkpoint.dir`` and go on from there.
+
+    Where it is unset a local session uses a folder of its own; a cluster has none that all its machines reach.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="shapeloom-checkpoints-"))
     return df.checkpoint(eager=True)

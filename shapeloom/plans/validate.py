@@ -6,25 +6,33 @@ Every label is evaluated for all its nodes at once:
   flag per triple constraint;
 * one ``groupBy(node)`` counts flags, with map-side partial sums;
 * the bag expression is interval arithmetic over those counts;
-* only arcs that several constraints of one path may take go to a solver, once
-  per distinct vector of counts.
+* arcs that several constraints of one path may take are counted by set of
+  constraints: a conjunction has an assignment if no set of constraints gets
+  more arcs that fit no others than it may hold, nor fewer that fit it than it
+  needs, so this too is a condition on counts;
+* only other expressions over such arcs, and bases with conditions of their own
+  (``ShapeParts``), go to a solver, once per distinct vector of counts.
 
 Labels go in strata, dependencies first.  References are joins with the nodes
 that conform to the label; those to labels of node constraints only are
-predicates, and those to labels over arcs only need no demand.  A recursive stratum starts from all demanded pairs
-and drops failing ones until nothing changes (the greatest fixpoint); demand is
-closed first by following arcs from the requested pairs.
+predicates, and those to labels over arcs only need no demand.  A recursive
+stratum starts from all demanded pairs and drops failing ones until nothing
+changes (the greatest fixpoint); a round looks again only at nodes with arcs to
+what the last one dropped.  A label that refers to itself by one arc at most is
+a chain: pointers double, so n hops take log n rounds.  Demand is closed first
+by following arcs from the requested pairs.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rbe
+from ..functions import parts, rbe
 from ..functions.nodeconstraint import compile_constraint
 from ..functions.terms import TermColumns, resource, term_at, term_id
 from ..schema import analyze
@@ -40,6 +48,7 @@ from ..schema.ast import (
     ShapeAnd,
     ShapeNot,
     ShapeOr,
+    ShapeParts,
     ShapeRef,
     TripleConstraint,
     ValueExpr,
@@ -51,6 +60,7 @@ from .storage import keep
 CONFORMANT, NONCONFORMANT = "conformant", "nonconformant"
 TEST = "http://shex.io/extensions/Test/"
 
+_NODE = ("node", "kind", "lex", "dt", "lang")
 NODE = "node string, kind string, lex string, dt string, lang string"
 
 
@@ -69,19 +79,45 @@ class Actions:
         return reduce(lambda a, b: a & b, found) if found else None
 
 
+#: Constraints of one path whose assignment is decided by counts; there are two for each set of them.
+HALL = 5
+
+
 @dataclass
 class Atom:
     """One shape of a label: its constraints (symbols of ``expr`` are their positions)."""
 
-    shape: Shape
+    shape: Shape | ShapeParts
     constraints: list[TripleConstraint]
     expr: object
     name: str
 
     @property
-    def ambiguous(self) -> bool:
-        keys = [(c.predicate, c.inverse) for c in self.constraints]
-        return len(keys) != len(set(keys))
+    def dealt(self) -> bool:
+        """Whether arcs are dealt to bases."""
+        return isinstance(self.shape, ShapeParts)
+
+    @property
+    def paths(self) -> list[tuple[str, bool]]:
+        return list(dict.fromkeys((c.predicate, c.inverse) for c in self.constraints))
+
+    def of_path(self, path: tuple[str, bool]) -> list[int]:
+        return [i for i, c in enumerate(self.constraints) if (c.predicate, c.inverse) == path]
+
+    @property
+    def conjunction(self) -> bool:
+        e = self.expr
+        return isinstance(e, rbe.Symbol | rbe.Empty) or isinstance(e, rbe.And) and all(isinstance(x, rbe.Symbol) for x in e.items)
+
+    @property
+    def solved(self) -> bool:
+        """Whether it takes the solver."""
+        most = max((len(self.of_path(p)) for p in self.paths), default=0)
+        return self.dealt or most > (HALL if self.conjunction else 1)
+
+    def on_nothing(self) -> bool:
+        """The verdict for a node without arcs."""
+        return parts.holds(self.expr, []) if self.dealt else rbe.matches(self.expr, {})
 
     @property
     def direct(self) -> set[str]:
@@ -94,10 +130,9 @@ class Atom:
     @property
     def plan(self) -> str:
         """FLAT: a conjunction of counts; SORBE: intervals; GENERAL: assignment."""
-        if self.ambiguous:
+        if self.solved:
             return "GENERAL"
-        flat = isinstance(self.expr, rbe.Symbol | rbe.Empty) or isinstance(self.expr, rbe.And) and all(isinstance(x, rbe.Symbol) for x in self.expr.items)
-        return "FLAT" if flat else "SORBE"
+        return "FLAT" if self.conjunction else "SORBE"
 
 
 def bag_expression(te, constraints: list[TripleConstraint]):
@@ -116,6 +151,22 @@ def bag_expression(te, constraints: list[TripleConstraint]):
     return e if (te.min, te.max) == (1, 1) else rbe.Repeat(e, te.min, te.max)
 
 
+def part_tree(se, constraints: list[TripleConstraint]):
+    """Tree of shapes over parts; appends their constraints."""
+    if isinstance(se, ShapeParts):
+        return parts.Parts(tuple(part_tree(x, constraints) for x in (*se.bases, se.own)))
+    if isinstance(se, ShapeAnd | ShapeOr):
+        return (parts.All if isinstance(se, ShapeAnd) else parts.Any)(tuple(part_tree(x, constraints) for x in se.exprs))
+    if isinstance(se, ShapeNot):
+        return parts.Not(part_tree(se.expr, constraints))
+    if not isinstance(se, Shape):
+        raise SchemaError(f"a base cannot hold {type(se).__name__}")
+    at = len(constraints)
+    e = bag_expression(se.expression, constraints)
+    mine = frozenset((c.predicate, c.inverse) for c in constraints[at:])
+    return parts.Flat(e, mine, frozenset((x, False) for x in se.extra))
+
+
 def hoist(schema: Schema) -> Schema:
     """Shapes nested in values become labels of their own, so that values are constraints and references only."""
     added: list[Declaration] = []
@@ -147,6 +198,8 @@ def hoist(schema: Schema) -> Schema:
             return type(se)(tuple(outer(x) for x in se.exprs))
         if isinstance(se, ShapeNot):
             return ShapeNot(outer(se.expr))
+        if isinstance(se, ShapeParts):
+            return ShapeParts(tuple(outer(x) for x in se.bases), outer(se.own))
         if isinstance(se, Shape) and se.expression is not None:
             return replace(se, expression=triple(se.expression))
         return se
@@ -175,12 +228,13 @@ class Validator:
         for label, se in self.exprs.items():
             found = []
             for x in _own_shapes(se):
-                if x != Shape() and (x.expression is not None or x.closed):
+                if isinstance(x, ShapeParts) or x != Shape() and (x.expression is not None or x.closed):
                     constraints: list[TripleConstraint] = []
-                    e = bag_expression(x.expression, constraints)
+                    e = part_tree(x, constraints) if isinstance(x, ShapeParts) else bag_expression(x.expression, constraints)
                     found.append(Atom(x, constraints, e, f"a{len(found)}"))
             self.atoms[label] = found
         self.rounds = 0
+        self.chains = {} if track else {x: p for comp in self.order if len(comp) == 1 for x in comp if x in self.recursive and (p := self._chain(x))}
         self.inline: set[str] = set()
         self.default: dict[str, bool] = {}
         if not track:
@@ -208,6 +262,18 @@ class Validator:
             elif NodeConstraint not in kinds and not any(x.acts for x in _own_shapes(self.exprs[label])):
                 self.default[label] = _on_nothing(self.exprs[label], self.atoms[label])
 
+    def _chain(self, label: str) -> tuple[str, bool] | None:
+        """The path by which a label asks for itself, if that takes one arc at most and a failing target fails the node."""
+        if any(isinstance(x, ShapeOr | ShapeNot) for x in _same_node(self.exprs[label])):
+            return None
+        asking = [(a, i, c) for a in self.atoms[label] for i, c in enumerate(a.constraints) if c.value is not None and any(x == ShapeRef(label) for x in walk_shapes(c.value))]
+        if len(asking) != 1:
+            return None
+        a, _, c = asking[0]
+        path = (c.predicate, c.inverse)
+        plain = c.value == ShapeRef(label) and c.max == 1 and not c.negated and not c.acts and c.predicate not in a.shape.extra
+        return path if plain and a.plan == "FLAT" and len(a.of_path(path)) == 1 else None
+
     def plan_of(self, label: str) -> str:
         """The physical template of a label."""
         kinds = [a.plan for a in self.atoms[label]] or ["NODE"]
@@ -249,6 +315,10 @@ class Validator:
                 known[label] = _union_nodes(wanted[label])
                 self._pass_on(label, known[label], wanted)
                 continue
+            if comp[0] in self.chains:
+                known[comp[0]] = self._reached(_union_nodes(wanted[comp[0]]), self.chains[comp[0]])
+                self._pass_on(comp[0], known[comp[0]], wanted, None, set(comp))
+                continue
             done: dict[str, DataFrame] = {}
             fresh = {x: keep(_union_nodes(wanted[x])) for x in comp if x in wanted}
             while fresh:
@@ -269,6 +339,26 @@ class Validator:
                 self._pass_on(label, known[label], wanted, None, set(comp))
         return known
 
+    def _single(self, path: tuple[str, bool]) -> DataFrame:
+        """(node, target, and the target's term) of nodes with one target by a path."""
+        predicate, inverse = path
+        arcs = _arcs(self.graph, set() if inverse else {predicate}, {predicate} if inverse else set())
+        targets = arcs.select(F.col("node"), F.struct(term_id(term_at("")).alias("node"), "kind", "lex", "dt", "lang").alias("t"))
+        one = targets.groupBy("node").agg(F.min("t").alias("t"), F.max("t").alias("_last")).where(F.col("t.node") == F.col("_last.node"))
+        return one.select("node", "t")
+
+    def _reached(self, nodes: DataFrame, path: tuple[str, bool]) -> DataFrame:
+        """Nodes and all that chains of a path lead to from them: reach doubles every round."""
+        found, hop = keep(nodes), keep(self._single(path))
+        while True:
+            more = found.select("node").join(hop, "node").select("t.*").join(found.select("node"), "node", "left_anti").dropDuplicates(["node"])
+            more = keep(more)
+            if more.isEmpty():
+                return found
+            found = keep(found.unionByName(more))
+            far = hop.select(F.col("node").alias("t_node"), F.col("t").alias("t_next"))
+            hop = keep(hop.join(far, F.col("t.node") == F.col("t_node")).select("node", F.col("t_next").alias("t")))
+
     def _pass_on(self, label, nodes, wanted, only: set | None = None, without: set = frozenset()) -> None:
         here, there = self._references(label)
         without = set(without) | self.inline | set(self.default)
@@ -302,20 +392,62 @@ class Validator:
                 if label not in self.default:
                     true[label] = out[label].where("ok").select("node")
                 continue
-            counts = {x: known[x].count() for x in comp}
-            true |= {x: known[x].select("node") for x in comp}
-            while True:
-                self.rounds += 1
-                results = {x: keep(self._label(x, known[x], true)) for x in comp}
-                new = {x: results[x].where("ok").select("node") for x in comp}
-                now = {x: new[x].count() for x in comp}
-                true |= new
-                if now == counts:
-                    break
-                counts = now
-            out |= results
+            if comp[0] in self.chains:
+                out[comp[0]] = self._by_chain(comp[0], known[comp[0]], true)
+                true[comp[0]] = out[comp[0]].where("ok").select("node")
+            else:
+                out |= self._by_rounds(comp, known, true)
         return out
 
+    def _by_rounds(self, comp: list[str], known: dict, true: dict) -> dict[str, DataFrame]:
+        """The greatest fixpoint of a stratum: what fails takes along what asks for it."""
+        true |= {x: known[x].select("node") for x in comp}
+        asks = {x: self._references(x) for x in comp}
+        results = {x: keep(self._label(x, known[x], true)) for x in comp}
+        dropped = {x: results[x].where("not ok").select("node") for x in comp}
+        while True:
+            self.rounds += 1
+            dropped = {x: d for x, d in dropped.items() if not d.isEmpty()}
+            true |= {x: results[x].where("ok").select("node") for x in comp}
+            if not dropped:
+                return results
+            fresh = {}
+            for x in comp:
+                here, there = asks[x]
+                met = [dropped[r].select("node") for r in here if r in dropped]
+                for path, refs in there.items():
+                    for r in refs & set(dropped):
+                        met.append(self._sources(path, dropped[r]))
+                if met:
+                    again = results[x].where("ok").select(*_NODE).join(reduce(lambda a, b: a.unionByName(b), met).distinct(), "node", "left_semi")
+                    fresh[x] = keep(self._label(x, again, true, narrow=True).where("not ok"))
+            results |= {x: keep(results[x].join(f.select("node"), "node", "left_anti").unionByName(f)) for x, f in fresh.items() if not f.isEmpty()}
+            dropped = {x: f.select("node") for x, f in fresh.items()}
+
+    def _sources(self, path: tuple[str, bool], targets: DataFrame) -> DataFrame:
+        """Nodes that a path leads from to targets."""
+        predicate, inverse = path
+        arcs = _arcs(self.graph, set() if inverse else {predicate}, {predicate} if inverse else set())
+        return arcs.select("node", term_id(term_at("")).alias("_t")).join(targets.select(F.col("node").alias("_t")), "_t", "left_semi").select("node")
+
+    def _by_chain(self, label: str, nodes: DataFrame, true: dict) -> DataFrame:
+        """A label that asks for itself by one arc: verdicts without that arc, then failures run up the chains by pointer doubling."""
+        first = keep(self._label(label, nodes, true | {label: nodes.select("node")}))
+        hop = self._single(self.chains[label]).select("node", F.col("t.node").alias("next"))
+        state = keep(first.join(hop, "node", "left").select("node", F.when(F.col("ok"), F.col("next")).alias("next"), (~F.col("ok")).alias("bad")))
+        left = state.count()
+        while left > 0 and not state.where("next is not null").isEmpty():
+            self.rounds += 1
+            ahead = state.select(F.col("node").alias("_n"), F.col("next").alias("_next"), F.col("bad").alias("_bad"))
+            met = state.join(ahead, F.col("next") == F.col("_n"), "left")
+            bad = F.col("bad") | F.coalesce("_bad", F.lit(False))
+            state = keep(met.select("node", F.when(~bad, F.col("_next")).alias("next"), bad.alias("bad")))
+            left //= 2  # pointers now reach past all of a shorter chain; what still points on goes in circles
+        fails = state.where("bad").select("node", F.lit(True).alias("_bad"))
+        done = first.join(fails, "node", "left")
+        ok = F.col("ok") & F.col("_bad").isNull()
+        return keep(done.select(*_NODE, ok.alias("ok"), F.when(F.col("ok") & ~ok, "leads to a node that does not conform").otherwise(F.col("reason")).alias("reason")))
+
     def _exceptions(self, label: str, true: dict[str, DataFrame]) -> DataFrame:
         """Nodes whose verdict differs from the default: one aggregate over the label's arcs."""
         atoms, (_, there) = self.atoms[label], self._references(label)
@@ -332,13 +464,14 @@ class Validator:
         found = F.coalesce(F.array_contains(labels, r), F.lit(False))
         return ~found if self.default.get(r) else found
 
-    def _label(self, label: str, nodes: DataFrame, true: dict[str, DataFrame]) -> DataFrame:
+    def _label(self, label: str, nodes: DataFrame, true: dict[str, DataFrame], narrow: bool = False) -> DataFrame:
+        """Verdicts for nodes; ``narrow``: they are few of those with arcs, so only their arcs are counted."""
         se, atoms = self.exprs[label], self.atoms[label]
         here, there = self._references(label)
         base = nodes
         if here - self.inline:
             base = _with_labels(base, "node", here - self.inline, true, "_here")
-        counted = self._counts(atoms, {r for refs in there.values() for r in refs}, true)
+        counted = self._counts(atoms, {r for refs in there.values() for r in refs}, true, nodes if narrow else None)
         for part in counted:
             base = base.join(part, "node", "left")
         verdicts = {id(a.shape): self._atom(a) for a in atoms}
@@ -360,7 +493,7 @@ class Validator:
             return compile_constraint(se, t)
         if isinstance(se, ShapeRef):
             return self._conforms(se.label, t, "_here")
-        if isinstance(se, Shape):
+        if isinstance(se, Shape | ShapeParts):
             acts = self.actions.holds(se.acts)
             ok = next((v for k, v in verdicts.items() if k == id(se)), F.lit(True))
             return ok if acts is None else ok & acts
@@ -384,37 +517,50 @@ class Validator:
             return self._conforms(se.label, t, "_labels")
         return compile_constraint(se, t)
 
-    def _counts(self, atoms: list[Atom], refs: set[str], true: dict) -> list[DataFrame]:
+    def _counts(self, atoms: list[Atom], refs: set[str], true: dict, only: DataFrame | None = None) -> list[DataFrame]:
         """Per node: counts of every atom; and verdicts of the solver for those that need one."""
         if not atoms:
             return []
         direct = None if any(a.shape.closed for a in atoms) else {p for a in atoms for p in a.direct}
         arcs = _arcs(self.graph, direct, {p for a in atoms for p in a.backward})
+        if only is not None:
+            arcs = arcs.join(only.select("node"), "node", "left_semi")
         refs = refs - self.inline
         if refs:
             arcs = _with_labels(arcs.withColumn("_target", term_id(term_at(""))), "_target", refs, true, "_labels")
         t, p, inv = term_at(""), F.col("p"), F.col("inverse")
-        aggs, parts = [], []
+        aggs, parts_ = [], []
         for a in atoms:
             mine = [F.when((p == c.predicate) & (inv == F.lit(c.inverse)), self._value(c, t)).otherwise(F.lit(False)) for c in a.constraints]
             mentioned = (~inv & p.isin(sorted(a.direct)) if a.direct else F.lit(False)) | (inv & p.isin(sorted(a.backward)) if a.backward else F.lit(False))
             extra = ~inv & p.isin(list(a.shape.extra)) if a.shape.extra else F.lit(False)
             taken = reduce(lambda x, y: x | y, mine, F.lit(False))
-            aggs.append(F.count_if(mentioned & ~extra & ~taken).alias(f"{a.name}_bad"))
+            # arcs that fit nothing may stand outside a negated condition of a base, so the solver sees them
+            aggs.append((F.count_if(mentioned & ~extra & ~taken) if not a.dealt else F.lit(0).cast("long")).alias(f"{a.name}_bad"))
             if a.shape.closed:
                 aggs.append(F.count_if(~inv & ~mentioned).alias(f"{a.name}_other"))
-            if a.ambiguous:
-                mask = reduce(lambda x, y: x.bitwiseOR(y), (F.when(m, 1 << i).otherwise(0).cast("long") for i, m in enumerate(mine)))
-                parts.append(self._solved(a, arcs.select("node", mask.alias("mask")).where("mask > 0")))
-            else:
-                aggs += [F.count_if(m).alias(f"{a.name}_{i}") for i, m in enumerate(mine)]
-        return [arcs.groupBy("node").agg(*aggs), *parts]
-
-    def _solved(self, a: Atom, masks: DataFrame) -> DataFrame:
-        """(node, <atom>_fits): arcs by the set of constraints they satisfy; each distinct vector of counts is solved once."""
-        counts = masks.groupBy("node", "mask").agg(F.count("*").alias("n"))
-        vectors = counts.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("mask", "n"))).alias("v")).withColumn("k", F.to_json("v"))
-        e = a.expr
+            if a.solved:
+                mask = reduce(lambda x, y: x.bitwiseOR(y), (F.when(m, 1 << i).otherwise(0).cast("long") for i, m in enumerate(mine)), F.lit(0).cast("long"))
+                at = reduce(lambda x, y: x.when(*y), [((p == name) & (inv == F.lit(turned)), k) for k, (name, turned) in enumerate(a.paths)][1:], F.when((p == a.paths[0][0]) & (inv == F.lit(a.paths[0][1])), 0)) if a.paths else F.lit(None)
+                rows = arcs.select("node", at.cast("int").alias("path"), mask.alias("mask")).where(mentioned if a.dealt else F.col("mask") > 0)
+                parts_.append(self._solved(a, rows))
+                continue
+            for path in a.paths:
+                group = a.of_path(path)
+                if len(group) == 1:
+                    aggs.append(F.count_if(mine[group[0]]).alias(f"{a.name}_{group[0]}"))
+                    continue
+                for some in _subsets(group):
+                    inside = reduce(lambda x, y: x | y, (mine[i] for i in some))
+                    beside = reduce(lambda x, y: x | y, (mine[i] for i in group if i not in some), F.lit(False))
+                    aggs += [F.count_if(inside & ~beside).alias(f"{a.name}_only{_bits(some)}"), F.count_if(inside).alias(f"{a.name}_any{_bits(some)}")]
+        return [arcs.groupBy("node").agg(*aggs), *parts_]
+
+    def _solved(self, a: Atom, arcs: DataFrame) -> DataFrame:
+        """(node, <atom>_fits): arcs by path and the set of constraints they satisfy; each distinct vector of counts is solved once."""
+        counts = arcs.groupBy("node", "path", "mask").agg(F.count("*").alias("n"))
+        vectors = counts.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("path", "mask", "n"))).alias("v")).withColumn("k", F.to_json("v"))
+        e, paths, dealt = a.expr, a.paths, a.dealt
 
         def run(frames):
             import json
@@ -424,8 +570,8 @@ class Validator:
             for pdf in frames:
                 fits = []
                 for k in pdf["k"]:
-                    options = [(tuple(i for i in range(int(x["mask"]).bit_length()) if int(x["mask"]) >> i & 1), int(x["n"])) for x in json.loads(k)]
-                    fits.append(rbe.assignable(e, options))
+                    classes = [(paths[x["path"]], tuple(i for i in range(int(x["mask"]).bit_length()) if int(x["mask"]) >> i & 1), int(x["n"])) for x in json.loads(k)]
+                    fits.append(parts.holds(e, classes) if dealt else rbe.assignable(e, [c[1:] for c in classes]))
                 yield pd.DataFrame({"k": pdf["k"], f"{a.name}_fits": fits})
 
         solved = vectors.select("k").distinct().mapInPandas(run, f"k string, {a.name}_fits boolean")
@@ -436,18 +582,20 @@ class Validator:
         ok = zero(f"{a.name}_bad") == 0
         if a.shape.closed:
             ok = ok & (zero(f"{a.name}_other") == 0)
-        if a.ambiguous:
-            return ok & F.coalesce(F.col(f"{a.name}_fits"), F.lit(rbe.matches(a.expr, {})))
-        counts = {i: zero(f"{a.name}_{i}") for i in range(len(a.constraints))}
+        if a.solved:
+            return ok & F.coalesce(F.col(f"{a.name}_fits"), F.lit(a.on_nothing()))
         if a.plan == "FLAT":
-            for i, c in enumerate(a.constraints):
-                low, high = (0, max(c.max or 0, 1) if c.max is not None else None) if c.negated else (c.min, c.max)
-                if low:
-                    ok = ok & (counts[i] >= low)
-                if high is not None:
-                    ok = ok & (counts[i] <= high)
+            for path in a.paths:
+                group = a.of_path(path)
+                for some in _subsets(group):
+                    low, high = sum(a.constraints[i].min for i in some), [a.constraints[i].max for i in some]
+                    inside, touching = (zero(f"{a.name}_{group[0]}"),) * 2 if len(group) == 1 else (zero(f"{a.name}_{x}{_bits(some)}") for x in ("only", "any"))
+                    if low:
+                        ok = ok & (touching >= low)
+                    if None not in high:
+                        ok = ok & (inside <= sum(high))
             return ok
-        return ok & rbe.matches_columns(a.expr, counts)
+        return ok & rbe.matches_columns(a.expr, {i: zero(f"{a.name}_{i}") for i in range(len(a.constraints))})
 
     def _reasons(self, a: Atom) -> list[Column]:
         zero = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("long")
@@ -456,15 +604,25 @@ class Validator:
             out.append(F.when(zero(f"{a.name}_other") > 0, "closed: an arc of another predicate"))
         if a.plan == "FLAT":
             for i, c in enumerate(a.constraints):
+                if len(a.of_path((c.predicate, c.inverse))) > 1:
+                    continue
                 n = zero(f"{a.name}_{i}")
                 wrong = (n < c.min) | (n > c.max) if c.max is not None else n < c.min
                 if not c.negated:
                     out.append(F.when(wrong, f"cardinality of {'^' if c.inverse else ''}{c.predicate}"))
-        else:
+        if a.plan != "FLAT" or len(a.paths) < len(a.constraints):
             out.append(F.when(~self._atom(a), "no assignment of arcs matches"))
         return out
 
 
+def _subsets(items: list[int]) -> list[tuple[int, ...]]:
+    return [c for k in range(1, len(items) + 1) for c in combinations(items, k)]
+
+
+def _bits(items: tuple[int, ...]) -> int:
+    return sum(1 << i for i in items)
+
+
 def _on_nothing(se, atoms: list[Atom]) -> bool:
     """The verdict for a node without arcs."""
     if isinstance(se, ShapeAnd):
@@ -473,11 +631,11 @@ def _on_nothing(se, atoms: list[Atom]) -> bool:
         return any(_on_nothing(x, atoms) for x in se.exprs)
     if isinstance(se, ShapeNot):
         return not _on_nothing(se.expr, atoms)
-    return all(rbe.matches(a.expr, {}) for a in atoms if a.shape is se)
+    return all(a.on_nothing() for a in atoms if a.shape is se)
 
 
 def _own_shapes(se):
-    return [x for x in _same_node(se) if isinstance(x, Shape)]
+    return [x for x in _same_node(se) if isinstance(x, Shape | ShapeParts)]
 
 
 def _same_node(se):

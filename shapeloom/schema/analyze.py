@@ -21,6 +21,7 @@ from .ast import (
     ShapeExternal,
     ShapeNot,
     ShapeOr,
+    ShapeParts,
     ShapeRef,
     TripleConstraint,
     triple_map,
@@ -44,6 +45,9 @@ def dependencies(schema: Schema) -> dict[str, set[tuple[str, int]]]:
                 shape(x, sign, edges, seen)
         elif isinstance(se, ShapeNot):
             shape(se.expr, -sign, edges, seen)
+        elif isinstance(se, ShapeParts):
+            for x in (*se.bases, se.own):
+                shape(x, sign, edges, seen)
         elif isinstance(se, Shape):
             for b in se.extends:
                 edges.add((b, sign))
@@ -203,7 +207,7 @@ def inheritance(schema: Schema) -> dict[str, set[tuple[str, str]]]:
     """label -> {(kind, target)}; kinds extends, restricts, references."""
     out: dict[str, set[tuple[str, str]]] = {d.label: set() for d in schema.shapes}
     for d in schema.shapes:
-        for se in _same_node(d.expr):
+        for se in same_node(d.expr):
             if isinstance(se, Shape):
                 out[d.label] |= {("extends", b) for b in se.extends} | {("restricts", b) for b in se.restricts}
             elif isinstance(se, ShapeRef):
@@ -211,14 +215,14 @@ def inheritance(schema: Schema) -> dict[str, set[tuple[str, str]]]:
     return out
 
 
-def _same_node(se):
+def same_node(se):
     """Sub-expressions about the same node."""
     yield se
     if isinstance(se, ShapeAnd | ShapeOr):
         for x in se.exprs:
-            yield from _same_node(x)
+            yield from same_node(x)
     elif isinstance(se, ShapeNot):
-        yield from _same_node(se.expr)
+        yield from same_node(se.expr)
 
 
 def _closure(edges: dict[str, set[str]], label: str) -> set[str]:
@@ -256,7 +260,7 @@ def paths(schema: Schema, label: str) -> set[tuple[str, bool]]:
                 triple(table[t.label], seen | {t.label})
 
     for name in {label, *ancestors(schema, label)}:
-        for se in _same_node(schema.shape(name).expr):
+        for se in same_node(schema.shape(name).expr):
             if isinstance(se, Shape):
                 triple(se.expression, frozenset())
     return out
@@ -305,6 +309,45 @@ def _extended(schema: Schema, shape: Shape, trail: tuple) -> tuple[Shape, list]:
     return replace(shape, expression=expr, closed=closed, extra=tuple(dict.fromkeys(extra)), extends=(), restricts=()), rest
 
 
+def _has_conditions(schema: Schema, label: str, trail: tuple) -> bool:
+    """Whether a base, or what it extends, has conditions on arcs beside its shape."""
+    if label in trail:
+        raise SchemaError(f"shape {label} extends itself")
+    se = schema.shape(label).expr
+    if isinstance(se, Shape):
+        return any(_has_conditions(schema, b, (*trail, label)) for b in se.extends)
+    shapes = [x for x in (se.exprs if isinstance(se, ShapeAnd) else [se]) if not isinstance(x, NodeConstraint)]
+    if len(shapes) == 1 and isinstance(shapes[0], Shape):
+        return any(_has_conditions(schema, b, (*trail, label)) for b in shapes[0].extends)
+    return bool(shapes)
+
+
+def _inlined(schema: Schema, se, trail: tuple):
+    """A base with references of the same node replaced by what they refer to, since they hold on its part too."""
+    if isinstance(se, ShapeAnd | ShapeOr):
+        return type(se)(tuple(_inlined(schema, x, trail) for x in se.exprs))
+    if isinstance(se, ShapeNot):
+        return ShapeNot(_inlined(schema, se.expr, trail))
+    if isinstance(se, ShapeRef):
+        if se.label in trail:
+            raise SchemaError(f"shape {se.label} refers to itself outside of arcs")
+        return _inlined(schema, schema.shape(se.label).expr, (*trail, se.label))
+    return se
+
+
+def _lifted(se):
+    """A base's conditions on its part (None: none), and those on the node as such."""
+    if isinstance(se, NodeConstraint):
+        return None, [se]
+    if isinstance(se, ShapeAnd):
+        parts = [_lifted(x) for x in se.exprs]
+        kept = tuple(k for k, _ in parts if k is not None)
+        return (None if not kept else kept[0] if len(kept) == 1 else ShapeAnd(kept)), [n for _, ns in parts for n in ns]
+    if any(isinstance(x, NodeConstraint) for x in same_node(se)):
+        raise SchemaError("a base has node constraints inside OR or NOT")
+    return se, []
+
+
 def flatten(schema: Schema, resolver=None) -> Schema:
     """Equivalent schema without extends, abstract, external and inclusion: what the planner compiles.
 
@@ -324,11 +367,25 @@ def flatten(schema: Schema, resolver=None) -> Schema:
                 raise SchemaError(f"external shape {label} is not resolved")
             return shape(found, label, trail)
         if isinstance(se, Shape):
+            if any(_has_conditions(schema, b, trail) for b in se.extends):
+                return _over_parts(se, label, trail)
             merged, rest = _extended(schema, se, trail)
             merged = replace(merged, expression=triple(merged.expression, label, frozenset()))
             return ShapeAnd((merged, *(shape(x, label, trail) for x in rest))) if rest else merged
         return se
 
+    def _over_parts(se, label, trail):
+        bases, beside = [], []
+        for b in se.extends:
+            if b in trail:
+                raise SchemaError(f"shape {b} extends itself")
+            kept, node = _lifted(shape(_inlined(schema, schema.shape(b).expr, (b,)), label, (*trail, b)))
+            bases += [] if kept is None else [kept]
+            beside += node
+        own = shape(replace(se, extends=(), restricts=()), label, trail)
+        parts = ShapeParts(tuple(bases), own)
+        return ShapeAnd((parts, *beside)) if beside else parts
+
     def triple(te, label, seen):
         if isinstance(te, EachOf | OneOf):
             return replace(te, exprs=tuple(triple(x, label, seen) for x in te.exprs))

@@ -122,6 +122,39 @@ class Shape:
     annotations: tuple = ()
 
 
+@dataclass(frozen=True)
+class ShapeParts:
+    """Each base holds on a part of the node's arcs, and ``own`` on the rest.  No schema says so; analysis makes it of EXTENDS."""
+
+    bases: tuple
+    own: Shape
+
+    @property
+    def shapes(self) -> list[Shape]:
+        out, todo = [self.own], list(self.bases)
+        while todo:
+            x = todo.pop()
+            if isinstance(x, ShapeParts):
+                out += x.shapes
+            elif isinstance(x, Shape):
+                out.append(x)
+            else:
+                todo += shape_children(x)
+        return out
+
+    @property
+    def closed(self) -> bool:
+        return any(x.closed for x in self.shapes)
+
+    @property
+    def extra(self) -> tuple:
+        return tuple(e for x in self.shapes for e in x.extra)
+
+    @property
+    def acts(self) -> tuple:
+        return tuple(a for x in self.shapes for a in x.acts)
+
+
 # triple expressions ---------------------------------------------------------
 
 
@@ -247,6 +280,8 @@ def shape_children(se) -> tuple:
         return se.exprs
     if isinstance(se, ShapeNot):
         return (se.expr,)
+    if isinstance(se, ShapeParts):
+        return (*se.bases, se.own)
     if isinstance(se, Shape):
         return tuple(t.value for t in walk_triples(se.expression) if isinstance(t, TripleConstraint) and t.value is not None)
     return ()

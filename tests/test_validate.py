@@ -15,6 +15,11 @@ CASES = [
     ("mutual", ":a :p :b . :b :q :a . :c :p :c .", ":S { :p @:T } :T { :q @:S }", ":a@:S,:b@:T,:c@:S", ":a@:S,:b@:T,:c@!:S"),
     ("extends", ":x :p 1, 3 . :y :p 1 .", ":B { :p [1] } :A EXTENDS @:B { :p [3] }", ":x@:A,:y@:A", ":x@:A,:y@!:A"),
     ("extends base condition", ":x :p 'a', 'b' .", ":B { :p ['a'] } AND { :p ['b'] } :A EXTENDS @:B { }", ":x@:A", ":x@!:A"),
+    ("extends, condition on the base's part", ":x :p 'a', 'b' . :y :p 'a' . :z :p 'b', 'c' .", ":B { :p ['b'] } AND { :p ['b'] } :A EXTENDS @:B { :p ['a'] }", ":x@:A,:y@:A,:z@:A", ":x@:A,:y@!:A,:z@!:A"),
+    ("extends, NOT beside the base", ":x :p 1 ; :q 2 . :y :p 1 ; :q 3 . :z :p 1 .", ":B { :p [1] } AND NOT { :q [3] } :A EXTENDS @:B { :q . ? }", ":x@:A,:y@:A,:z@:A", ":x@:A,:y@:A,:z@:A"),
+    ("extends twice with conditions", ":x :p 1, 2, 3 . :y :p 1, 3 .", ":C { :p [1 2] } AND { :p [1] } :B EXTENDS @:C { :p [2] } :A EXTENDS @:B { :p [3] }", ":x@:A,:y@:A", ":x@:A,:y@!:A"),
+    ("extends a base with a node condition", ":x :p 1 ; :q 1 .", ":B IRI AND { :p [1] } AND { :p . } :C LITERAL AND { :p [1] } AND { :p . } :A EXTENDS @:B { :q . } :D EXTENDS @:C { :q . }", ":x@:A,:x@:D", ":x@:A,:x@!:D"),
+    ("three constraints of one path", ":x :p 1,2,3 . :y :p 1,4 . :z :p 2,3 .", ":S { :p [1 2] ; :p [2 3] ; :p [1 3 4] ? }", ":x@:S,:y@:S,:z@:S", ":x@:S,:y@!:S,:z@:S"),
     ("abstract", ":x :p 1 . :y :p 1 ; :q 2 .", "ABSTRACT :A { :p [1 2] } :B EXTENDS @:A { :q [2] }", ":x@:A,:y@:A,:y@:B", ":x@!:A,:y@:A,:y@:B"),
     ("list", ":l1 :first :a; :rest :l2 . :l2 :first :b; :rest :nil . :l3 :first :b; :rest :l3; :z 1 .", ":Ls CLOSED { :first IRI; :rest [:nil] OR @:Ls }", ":l1@:Ls,:l2@:Ls,:l3@:Ls", ":l1@:Ls,:l2@:Ls,:l3@!:Ls"),
     ("choice", ":x :p 1; :q 2 . :y :p 1 .", ":S { :p . | :q . }", ":x@:S,:y@:S", ":x@!:S,:y@:S"),
@@ -78,8 +83,8 @@ def test_external(spark):
 
 def test_plans(spark):
     g = graph.of_terms(spark, [])
-    v = Validator(parse(PREFIXES + ":N IRI :F { :p . ; :q .* } :O { :p . | :q . } :G { :p [1] ; :p [2] } :R { :p @:R }"), g)
-    assert [v.plan_of(f"http://e/{x}") for x in "NFOGR"] == ["NODE", "FLAT", "SORBE", "GENERAL", "RECURSIVE FLAT"]
+    v = Validator(parse(PREFIXES + ":N IRI :F { :p . ; :q .* } :O { :p . | :q . } :G { :p [1] | :p [2] } :H { :p [1] ; :p [2] } :R { :p @:R }"), g)
+    assert [v.plan_of(f"http://e/{x}") for x in "NFOGHR"] == ["NODE", "FLAT", "SORBE", "GENERAL", "FLAT", "RECURSIVE FLAT"]
 
 
 def test_flat_plan_has_one_aggregate_and_reads_two_columns(spark, tmp_path):
@@ -96,3 +101,43 @@ def test_flat_plan_has_one_aggregate_and_reads_two_columns(spark, tmp_path):
 def test_empty_graph_and_map(spark):
     rows = run(spark, "", ":S { :p . ? } :T { :p . }", ":x@:S,:x@:T").collect()
     assert {(r["shape"], r["status"]) for r in rows} == {("http://e/S", "conformant"), ("http://e/T", "nonconformant")}
+
+
+def test_count_conditions_agree_with_the_solver(spark):
+    """Every bag of arcs over three constraints of one path, by conditions on counts and by assignment."""
+    from itertools import product
+
+    from shapeloom.functions import rbe
+
+    values = [(1,), (2,), (3,), (1, 2), (2, 3), (1, 2, 3)]
+    fits = {f"v{i}": some for i, some in enumerate(values)}
+    sets = {k: " ".join(f"'{v}'" for v, some in fits.items() if k in some) for k in (1, 2, 3)}
+    bags = [b for b in product(range(2), repeat=len(values)) if any(b)]
+    ttl = " ".join(f":n{i} :p {', '.join(repr(v) for v, n in zip(fits, b, strict=True) if n)} ." for i, b in enumerate(bags))
+    for bounds in (((1, 1), (1, 2), (0, None)), ((0, 1), (2, 2), (1, 1)), ((0, None), (0, 0), (1, 3))):
+        text = " ; ".join(f":p [{sets[k]}] {{{lo},{'' if hi is None else hi}}}" for k, (lo, hi) in zip((1, 2, 3), bounds, strict=True))
+        rows = run(spark, ttl, f":S {{ {text} }}", "{FOCUS :p _}@:S").collect()
+        got = {int(r["node"].rsplit("/n", 1)[1][:-1]): r["status"] == "conformant" for r in rows}
+        e = rbe.And(tuple(rbe.Symbol(k, lo, hi) for k, (lo, hi) in zip((1, 2, 3), bounds, strict=True)))
+        want = {i: rbe.assignable(e, [(some, n) for some, n in zip(values, b, strict=True) if n]) for i, b in enumerate(bags)}
+        assert got == want
+
+
+def test_long_chains_take_few_rounds(spark):
+    n = 300
+    ttl = " ".join(f":c{i} :next :c{i + 1} ." for i in range(n)) + f" :c{n} :last 1 . :d0 :next :d1 . :d1 :next :d2 . :d2 :next :d0 . :e0 :next :e1, :e2 . :f0 :next :e0 . :g0 :next 1 ."
+    g = graph.of_terms(spark, rdf.parse_turtle(PREFIXES + ttl))
+    schema = parse(PREFIXES + ":S IRI { :next @:S ? ; :bad . {0} }", "http://e/")
+    v = Validator(schema, g)
+    ask = lambda text: {r["node"]: r["ok"] for r in v.evaluate({"http://e/S": maps.select(g, maps.parse(text + "@:S", "http://e/", {"": "http://e/"})[0].selector)})["http://e/S"].collect()}
+    one = ask(":c0")
+    assert all(one.values()) and len(one) == n + 1 and v.rounds <= 11
+    got = ask("{FOCUS :next _}")
+    assert all(got[f"<http://e/{x}>"] for x in ("c0", "d0", "d2")) and not any(got[f"<http://e/{x}>"] for x in ("e0", "f0", "g0"))
+
+
+def test_rounds_look_again_at_what_lost_a_target_only(spark):
+    ttl = ":a :p :b . :b :p :c . :c :q 1 . :d :p :e . :e :p :d . :f :p :a, :d . :g :p :d . :h :r :a ."
+    want = {"a": False, "b": False, "c": False, "d": True, "e": True, "f": False, "g": True}
+    rows = run(spark, ttl, ":S { :p @:S + } OR { :z . }", "{FOCUS :p _}@:S, :c@:S").collect()
+    assert {r["node"][10:-1]: r["status"] == "conformant" for r in rows} == want
