@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.terms import TRIPLES
+from .functions.terms import TRIPLES, term_at, term_id
 from .operators import bags
 from .operators import paths as pp
 from .plans.validate import CONFORMANT, NONCONFORMANT
@@ -45,7 +45,7 @@ GRAPH = [
     # what an order's lines say, as values of the order
     TableMapping("lineitem", "l_orderkey", [C("line_flag", expr="l_returnflag"), C("line_status", expr="l_linestatus"), C("line_no", expr="l_linenumber", dt=XSD + "integer")], about="orders", typed=False, distinct=True),
     TableMapping("events", "event_id", [C("event_type"), C("value"), C("user_id"), C("k", expr="get_json_object(props, '$.k')", dt=XSD + "integer")]),
-    TableMapping("documents", "doc_id", [C("start", expr="substr(text, 1, 20)", lang="lang"), C("source")]),
+    TableMapping("documents", "doc_id", [C("text", lang="lang"), C("source")]),
     TableMapping("labels", "doc_id", [C("toxic"), C("quality")], about="documents", typed=False),
     TableMapping("pages", "page_id", [C("url", iri=True)]),
     TableMapping("conversations", "concat(conv_id, '-', turn)", [C("role"), C("prev", Link("conversations"), expr="if(turn > 0, concat(conv_id, '-', turn - 1), null)"), C("conv", expr="conv_id", dt=XSD + "integer")]),
@@ -100,9 +100,9 @@ def validation(name: str, shape_map: str, schema: str, sql: str, key: str, mappi
 
 validation("node_kind_iri_literal", "{FOCUS rdf:type :orders}@:S", ":S { :o_custkey IRI ; :o_totalprice LITERAL ; :o_orderstatus LITERAL }", f"SELECT o_orderkey, {_case('o_custkey IS NOT NULL AND o_totalprice IS NOT NULL AND o_orderstatus IS NOT NULL')} FROM orders", "o_orderkey")
 validation("datatype_integer", "{FOCUS rdf:type :events}@:S", ":S { :k xsd:integer ; :value xsd:double }", f"""SELECT event_id, {_case("regexp_full_match(json_extract_string(props, '$.k'), '[+-]?[0-9]+') AND value IS NOT NULL")} FROM events""", "event_id")
-validation("value_set_strings", "{FOCUS rdf:type :orders}@:S", ':S { :o_orderstatus ["F" "O"] }', f"SELECT o_orderkey, {_case(chr(111) + '_orderstatus IN (' + chr(39) + 'F' + chr(39) + ', ' + chr(39) + 'O' + chr(39) + ')')} FROM orders", "o_orderkey")
-validation("language_stem", "{FOCUS rdf:type :documents}@:S", ":S { :start [@en~ @fr~] }", f"""SELECT doc_id, {_case("lower(lang) IN ('en', 'fr') OR starts_with(lower(lang), 'en-') OR starts_with(lower(lang), 'fr-')")} FROM documents""", "doc_id")
-validation("language_stem_range", "{FOCUS rdf:type :documents}@:S", ":S { :start [. - @en - @de~] }", f"""SELECT doc_id, {_case("lang IS NOT NULL AND lower(lang) <> 'en' AND NOT (lower(lang) = 'de' OR starts_with(lower(lang), 'de-'))")} FROM documents""", "doc_id")
+validation("value_set_strings", "{FOCUS rdf:type :orders}@:S", ':S { :o_orderstatus ["F" "O"] }', f"SELECT o_orderkey, {_case("o_orderstatus IN ('F', 'O')")} FROM orders", "o_orderkey")
+validation("language_stem", "{FOCUS rdf:type :documents}@:S", ":S { :text [@en~ @fr~] }", f"""SELECT doc_id, {_case("lower(lang) IN ('en', 'fr') OR starts_with(lower(lang), 'en-') OR starts_with(lower(lang), 'fr-')")} FROM documents""", "doc_id")
+validation("language_stem_range", "{FOCUS rdf:type :documents}@:S", ":S { :text [. - @en - @de~] }", f"""SELECT doc_id, {_case("lang IS NOT NULL AND lower(lang) <> 'en' AND NOT (lower(lang) = 'de' OR starts_with(lower(lang), 'de-'))")} FROM documents""", "doc_id")
 validation("iri_stem", "{FOCUS rdf:type :pages}@:S", ":S { :url [<http://t>~] }", f"SELECT page_id, {_case('starts_with(url, ' + repr('http://t') + ')')} FROM pages", "page_id")
 validation("iri_stem_range_exclusion", "{FOCUS rdf:type :pages}@:S", ":S { :url [<http://>~ - <http://th>~] }", f"SELECT page_id, {_case('starts_with(url, ' + repr('http://') + ') AND NOT starts_with(url, ' + repr('http://th') + ')')} FROM pages", "page_id")
 validation("literal_stem_range", "{FOCUS rdf:type :part}@:S", ':S { :p_type ["S"~ - "ST"~ "PROMO"] }', f"""SELECT p_partkey, {_case("(starts_with(p_type, 'S') AND NOT starts_with(p_type, 'ST')) OR p_type = 'PROMO'")} FROM part""", "p_partkey")
@@ -213,28 +213,37 @@ _register("path_optional", _closure_query(pp.Maybe(_PREV)), "SELECT conv_id, tur
 
 
 def _arcs_of(spark, sf_dir):
-    """Outgoing and incoming arcs of every nation, by predicate."""
+    """All outgoing and incoming arcs of every nation, by direction and predicate."""
     g = graph(spark, sf_dir)
     nations = maps.all_of_type(g, BASE + "nation").select("node")
-    out = g.triples({BASE + "n_name", BASE + "n_regionkey"}).withColumnRenamed("s", "node").join(nations, "node", "left_semi").select("node", F.lit("out").alias("direction"))
-    back = pp.pairs(g, pp.Inverse(pp.Step(BASE + "c_nationkey"))).select(F.col("start").alias("node")).join(nations, "node", "left_semi").select("node", F.lit("in").alias("direction"))
-    return out.unionByName(back).groupBy(key_of().alias("n_nationkey"), "direction").agg(F.count("*").alias("arcs"))
+    predicate = F.regexp_extract("p", r"([^/#]+)$", 1).alias("predicate")
+    out = g.triples().select(F.col("s").alias("node"), F.lit("out").alias("direction"), predicate)
+    back = g.triples().where("o_kind = 'iri'").select(term_id(term_at()).alias("node"), F.lit("in").alias("direction"), predicate)
+    return out.unionByName(back).join(nations, "node", "left_semi").groupBy(key_of().alias("n_nationkey"), "direction", "predicate").agg(F.count("*").alias("arcs"))
 
 
-_register("neighbourhood", _arcs_of, "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, 'out' AS direction, CAST(2 AS BIGINT) AS arcs FROM nation UNION ALL SELECT CAST(c_nationkey AS BIGINT), 'in', count(*) FROM customer GROUP BY c_nationkey")
+_register(
+    "neighbourhood",
+    _arcs_of,
+    "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, 'out' AS direction, unnest(['n_name', 'n_regionkey', 'type']) AS predicate, CAST(1 AS BIGINT) AS arcs FROM nation"
+    " UNION ALL SELECT CAST(c_nationkey AS BIGINT), 'in', 'c_nationkey', count(*) FROM customer GROUP BY c_nationkey UNION ALL SELECT CAST(s_nationkey AS BIGINT), 'in', 's_nationkey', count(*) FROM supplier GROUP BY s_nationkey",
+)
 
 
 def direct_mapping(spark, sf_dir):
-    """Triples of the mapped tables, by predicate."""
-    g = graph(spark, sf_dir, [m for m in GRAPH if m.table in ("orders", "customer")])
-    return g.triples().groupBy(F.regexp_extract("p", r"([^/#]+)$", 1).alias("predicate")).agg(F.count("*").alias("triples"))
+    """Triples of all mapped tables, by predicate."""
+    return graph(spark, sf_dir).triples().groupBy(F.regexp_extract("p", r"([^/#]+)$", 1).alias("predicate")).agg(F.count("*").alias("triples"))
 
 
+#: Columns that are mapped as they are, by table; the others are spelled out below.
+_PLAIN = {m.table: [c.name for c in m.columns if not c.expr] for m in GRAPH if m.typed} | {"labels": ["toxic", "quality"]}
 _register(
     "direct_mapping",
     direct_mapping,
-    " UNION ALL ".join(f"SELECT '{c}' AS predicate, count({c}) AS triples FROM {t}" for t, cs in (("orders", ("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")), ("customer", ("c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))) for c in cs)
-    + " UNION ALL SELECT 'type', (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer)",
+    " UNION ALL ".join(f"SELECT '{c}' AS predicate, count({c}) AS triples FROM {t}" for t, cs in _PLAIN.items() for c in cs)
+    + " UNION ALL SELECT 'type', " + " + ".join(f"(SELECT count(*) FROM {m.table})" for m in GRAPH if m.typed)
+    + "".join(f" UNION ALL SELECT '{p}', count(*) FROM (SELECT DISTINCT l_orderkey, {c} FROM lineitem WHERE {c} IS NOT NULL)" for p, c in (("line_flag", "l_returnflag"), ("line_status", "l_linestatus"), ("line_no", "l_linenumber")))
+    + " UNION ALL SELECT 'k', count(json_extract_string(props, '$.k')) FROM events UNION ALL SELECT 'prev', count(*) FROM conversations WHERE turn > 0 UNION ALL SELECT 'conv', count(conv_id) FROM conversations",
 )
 
 # result maps
@@ -326,12 +335,14 @@ _register("graph_union", graph_union, "SELECT CAST(n_nationkey AS BIGINT) AS n_n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import queries_forms as forms
     from .wikibase import queries as wb
 
-    return _QUERIES | wb.QUERIES
+    return _QUERIES | forms.QUERIES | wb.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import queries_forms as forms
     from .wikibase import queries as wb
 
-    return _ORACLE | wb.ORACLE
+    return _ORACLE | forms.ORACLE | wb.ORACLE
