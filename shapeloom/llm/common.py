@@ -103,5 +103,29 @@ def ranked(df: DataFrame, order: list[Column], value: Column, out: str) -> DataF
     return placed.mapInArrow(run, schema)
 
 
+FILTER_BITS = 1 << 30  # the most bits of a filter: 128 MB
+
+
+def bit_filter(hashes: DataFrame) -> tuple[np.ndarray, int]:
+    """A set of bits for a table of one long column, sixteen or more a row up to ``FILTER_BITS``, and how far to shift a hash to its bit.
+
+    Words of the filter are put together by Spark; the driver gets those that
+    are not 0.  A fuller filter lets more through, and never loses a row.
+    """
+    (name,) = hashes.columns
+    n = hashes.count()
+    width = min(max(20, (16 * n).bit_length()), FILTER_BITS.bit_length() - 1)
+    bit = F.shiftrightunsigned(name, 64 - width)
+    words = hashes.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(31).cast("int"))).alias("v")).toArrow()
+    bits = np.zeros(1 << (width - 5), np.uint32)
+    bits[words["w"].to_numpy()] = words["v"].to_numpy().astype(np.uint64).astype(np.uint32)
+    return bits, 64 - width
+
+
+def in_filter(bits: np.ndarray, shift: int, hashes: np.ndarray) -> np.ndarray:
+    at = (hashes >> np.uint64(shift)).astype(np.int64)
+    return ((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool)
+
+
 def total_of(df: DataFrame, value: Column) -> int:
     return df.agg(F.sum(value)).first()[0] or 0

@@ -342,73 +342,141 @@ def test_vocabulary_kinds_agree():
 
 # 5 decontamination -----------------------------------------------------------------
 
+ITEM = "A train leaves Boston at 60 km per hour and reaches Chicago after 5 hours, so how far is Chicago from Boston?"
 
-def test_decontamination(spark, docs, empty):
-    item = "A train leaves Boston at 60 km per hour and reaches Chicago after 5 hours, so how far is Chicago from Boston?"
-    bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (4, "too short"), (None, "an item without any number of its own but with enough words in it")], "item_id long, text string")
+
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_decontamination(spark, docs, empty, monkeypatch, broadcast):
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", broadcast)
+    bench = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, None), (3, ""), (4, "too short"), (None, "an item without any number of its own but with enough words in it")], "item_id long, text string")
     cases = [
-        (1, f"Before it. {item} After it.", True),
-        (2, item.replace("60", "75").replace("5 hours", "3 hours").replace("Boston", "Denver").replace("Chicago", "Dallas"), True),
+        (1, f"Before it. {ITEM} After it.", True),
+        (2, ITEM.replace("60", "75").replace("5 hours", "3 hours").replace("Boston", "Denver").replace("Chicago", "Dallas"), True),
         (3, "A train leaves Boston at 60 km", False),
         (4, None, False),
-        (5, item.upper(), True),
+        (5, ITEM.upper(), True),
         (6, "Trains and hours and words of quite another kind, with 60 km in it, and nothing of the item but that.", False),
         (7, "an item without any number of its own but with enough words in it", True),
+        (8, ITEM.lower(), True),
+        (None, ITEM, True),
     ]
-    table = spark.createDataFrame([(i, t) for i, t, _ in cases] + [(1, cases[0][1])], "doc_id long, text string")
+    table = spark.createDataFrame([(i, t, 1, 2, "k") for i, t, _ in cases] + [(1, cases[0][1], 1, 2, "k"), (1, "another text of the id", 1, 2, "k")], "doc_id long, text string, _d int, _t int, hash string")
     got = decontam.leaks(table, bench)
-    assert {r["doc_id"] for r in got.collect()} == {i for i, _, bad in cases if bad} - {5} | {5} & {r["doc_id"] for r in got.collect()}
-    assert got.count() == got.distinct().count()
-    assert {r["doc_id"] for r in decontam.leaks(table, bench, max_windows=10).collect()} == {r["doc_id"] for r in got.collect()}
-    assert {r["doc_id"] for r in decontam.clean(table, bench).collect()} >= {3, 4, 6}
+    assert sorted(map(str, got.collect())) == sorted(f"Row(doc_id={i}, item_id={None if i == 7 else 1})" for i, _, bad in cases if bad)
+    kept = decontam.clean(table, bench)
+    assert kept.columns == table.columns and sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(1, "another text of the id"), *((i, t) for i, t, bad in cases if not bad)], key=lambda r: r[0])
     assert decontam.clean(docs, bench).count() == docs.count()
     assert decontam.leaks(empty, bench).count() == 0 and decontam.leaks(docs, bench.where("false")).count() == 0
+    assert decontam.clean(table, bench.where("false")).count() == table.count()
+
+
+ROUTE = "From Rome to Oslo it takes 7 hours and from Oslo back to Rome again 7 hours by train in winter"
+BOILING = "What is the boiling point of pure water at sea level"
+SUMS = "Compute 12 + 45 + 7 + 88 + 31 + 6 + 90 + 4"
+NAMES = "Ann Bob Cid Dan Eva Fay Gus Hal Ida Jon Kim Lea Max Ned"
+COSTS = "Count for Rome all many costs: 12 45 7 88 31 64 90 17 then say who of the many people paid"
+COUNTED = "you shall count for Bern all many costs: 12 45 7 88 31 64 90 17 or more"
+LEAKS = [
+    # slots agree or do not
+    (ROUTE, ROUTE, True),
+    (ROUTE, ROUTE.replace("Rome", "Bern").replace("Oslo", "Kiel").replace("7", "9"), True),
+    (ROUTE, ROUTE.replace("Oslo back to Rome", "Wien back to Graz"), False),
+    # word for word, whatever the place and case
+    *((BOILING, t, True) for t in (f"Quiz. {BOILING}.", f"see question 7 - {BOILING} - and answer", f'They asked ("{BOILING}") twice', BOILING.upper(), f"so {BOILING.lower()}")),
+    (BOILING, f"a - {BOILING.replace('pure', 'salt')} - b", False),
+    ("Über Äpfel und Öl in Köln", "wer - ÜBER ÄPFEL UND ÖL IN KÖLN - fragt", True),
+    (ITEM, f"b - {ITEM[:60]}", False),
+    # without plain words
+    (SUMS, f"a {SUMS} b", True),
+    (SUMS, SUMS.replace("88", "89"), False),
+    (NAMES, f"the list, {NAMES}", True),
+    (NAMES, "the list, Xia Yan Zoe Amy Ben Cal Dov Eli Flo Gil Hua Ian Jim Kay", False),
+    ("0 " * 40, "0 " * 400, True),
+    ("0 " * 40, "0 " * 12, False),
+    # equal words carry a run on
+    (COSTS, COUNTED, True),
+    (COSTS, COUNTED.replace("88", "89"), False),
+    ("What is the way from here to Rome by the old road", "so - What is the way from here to Bern by the old road", True),
+    # inside long texts, and a long item of which a part is copied
+    (ROUTE, "word " * 3000 + ROUTE + " word" * 3000, True),
+    (" ".join(f"w{i}" for i in range(5000)), "x " * 50 + " ".join(f"W{i}" for i in range(4000, 4013)), True),
+    (" ".join(f"w{i}" for i in range(5000)), "x " * 50 + " ".join(f"W{i}" for i in range(4000, 4012)), False),
+]
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 200])
+def test_leaks_case_by_case(spark, monkeypatch, chunk):
+    monkeypatch.setattr(textscan, "CHUNK", chunk)
+    table = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(LEAKS)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(LEAKS)], "item_id long, text string")
+    got = {tuple(r) for r in decontam.leaks(table, bench).collect()}
+    assert [(i, i) in got for i in range(len(LEAKS))] == [bad for _, _, bad in LEAKS]
+    assert got == {(i, j) for i, (_, t, _) in enumerate(LEAKS) for j, (item, _, _) in enumerate(LEAKS) if brute_leak(item, t)}
 
 
-def test_inconsistent_slots_end_a_run():
-    import pyarrow as pa
-
-    item = "From Rome to Oslo it takes 7 hours and from Oslo back to Rome again 7 hours by train in winter"
-    items = decontam.Items([1], [item])
-    for text, want in ((item, True), (item.replace("Rome", "Bern").replace("Oslo", "Kiel").replace("7", "9"), True), (item.replace("Oslo back to Rome", "Wien back to Graz"), False)):
-        raw, offsets, _ = textscan.text_buffers(pa.array([text]))
-        assert bool(items.leaks(*decontam.templates(raw, offsets, 0, 1))) == want
-
-
-def _leaks(item: str, text: str) -> bool:
-    import pyarrow as pa
-
-    raw, offsets, _ = textscan.text_buffers(pa.array(["before", text, item[:9]]))
-    return 1 in decontam.Items([1], [item]).leaks(*decontam.templates(raw, offsets, 0, 3))
-
-
-def test_word_for_word_copies_leak_whatever_their_place_and_case(spark):
-    item = "What is the boiling point of pure water at sea level"
-    for text in (f"Quiz. {item}.", f"see question 7 - {item} - and answer", f'They asked ("{item}") twice', item.upper(), f"so {item.lower()}"):
-        assert _leaks(item, text), text
-    assert not _leaks(item, f"a - {item.replace('pure', 'salt')} - b")
-    assert _leaks("Über Äpfel und Öl in Köln", "wer - ÜBER ÄPFEL UND ÖL IN KÖLN - fragt")
-    long = "A train leaves Boston at 60 km per hour and reaches Chicago after 5 hours, so how far is Chicago from Boston?"
-    table = spark.createDataFrame([(5, long.upper()), (6, f"b - {long[:60]}")], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, long), (2, long)], "item_id long, text string")
-    assert {tuple(r) for r in decontam.leaks(table, bench).collect()} == {(5, 1), (5, 2)}
-    assert [r["doc_id"] for r in decontam.clean(table, bench).collect()] == [6]
-
-
-def test_word_for_word_copies_leak_without_plain_words():
-    sums = "Compute 12 + 45 + 7 + 88 + 31 + 6 + 90 + 4"
-    assert _leaks(sums, f"a {sums} b") and not _leaks(sums, sums.replace("88", "89"))
-    names = "Ann Bob Cid Dan Eva Fay Gus Hal Ida Jon Kim Lea Max Ned"
-    assert _leaks(names, f"the list, {names}") and not _leaks(names, "the list, Xia Yan Zoe Amy Ben Cal Dov Eli Flo Gil Hua Ian Jim Kay")
-    assert _leaks("0 " * 40, "0 " * 400) and not _leaks("0 " * 40, "0 " * 12)
-
-
-def test_equal_words_carry_a_run_on():
-    item = "Count for Rome all many costs: 12 45 7 88 31 64 90 17 then say who of the many people paid"
-    text = "you shall count for Bern all many costs: 12 45 7 88 31 64 90 17 or more"
-    assert _leaks(item, text) and not _leaks(item, text.replace("88", "89"))
-    # a question with another value, its first word inside a sentence
-    assert _leaks("What is the way from here to Rome by the old road", "so - What is the way from here to Bern by the old road")
+def brute_tokens(text):
+    """(word, type) by the rules, over strings."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9\u0080-\U0010ffff]+", text):
+        w, before = m[0], text[out[-1][2] : m.start()] if out else "."
+        name = re.match(r"[A-ZÀ-Þ]", w) and not re.search(r"[.!?:\n]", before) and re.search(r"[a-z\u0080-\U0010ffff]$", w) and len(w.encode()) > 1
+        kind = 1 if w[0] in "0123456789" else 3 if out and out[-1][1] == 1 and w.lower() in decontam.UNITS else 2 if name else 0
+        out.append((w.lower(), kind, m.end()))
+    return [(w, k) for w, k, _ in out]
+
+
+def brute_leak(item, text):
+    a, b = brute_tokens(item or ""), brute_tokens(text or "")
+    if len(a) < decontam.SHORTEST:
+        return False
+    need, width = min(len(a), decontam.RUN), min(len(a), decontam.WIDTH)
+    seen = {tuple(w for w, _ in b[i : i + need]) for i in range(len(b) - need + 1)}
+    if any(tuple(w for w, _ in a[i : i + need]) in seen for i in range(len(a) - need + 1)):
+        return True
+    canon = lambda t: t[0] if t[1] == 0 else t[1]
+    where = collections.defaultdict(list)
+    for j in range(len(b) - width + 1):
+        where[tuple(map(canon, b[j : j + width]))].append(j)
+    hits = collections.defaultdict(set)  # diagonal to the item's covered places
+    for i in range(len(a) - width + 1):
+        part = a[i : i + width]
+        if sum(k == 0 for _, k in part) >= min(decontam.LITERAL, width - 1):
+            for j in where.get(tuple(map(canon, part)), ()):
+                hits[j - i] |= set(range(i, i + width))
+    for shift, covered in hits.items():
+        for equal in (False, True):
+            stands, run = {}, 0
+            for i in range(max(0, -shift), min(len(a), len(b) - shift)):
+                (x, k), (y, m) = a[i], b[i + shift]
+                if i not in covered and not (equal and x == y):
+                    stands, run = {}, 0
+                    continue
+                run += 1
+                if (k or m) and stands.setdefault((k, x), y) != y:
+                    stands, run = {}, 0
+                if run >= need and any(p in covered for p in range(i - run + 1, i + 1)):
+                    return True
+    return False
+
+
+def test_leaks_by_brute_force(spark):
+    r = random.Random(12)
+    words_ = "the of and from to in at how many far takes hours train leaves 5 7 12 km Rome Oslo Bern kg".split()
+    pool = [" ".join(r.choice(words_) for _ in range(r.randint(3, 22))) for _ in range(60)]
+    swap = lambda t: re.sub(r"Rome|Oslo|Bern|5|7|12", lambda m: r.choice([m[0], m[0], "Kiel", "9"]), t)
+    texts = [r.choice(["", "x y. ", "so - "]) + (swap(t) if r.random() < 0.7 else t.upper()) + r.choice(["", ". " + r.choice(pool)]) for t in pool for _ in range(3)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {tuple(x) for x in decontam.leaks(table, spark.createDataFrame(list(enumerate(pool)), "item_id long, text string")).collect()}
+    want = {(i, j) for i, t in enumerate(texts) for j, item in enumerate(pool) if brute_leak(item, t)}
+    assert got == want and 60 < len(want)
+
+
+def test_items_of_the_tables_are_found_in_any_case(spark):
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    items = {x["item_id"]: x["text"] for x in bench.collect()}
+    rows = [(3 * i + k, change(t)) for i, t in items.items() for k, change in enumerate((str, str.upper, str.lower))]
+    got = {tuple(x) for x in decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert {(i, i // 3) for i, _ in rows} <= got
 
 
 # 6 toxicity ------------------------------------------------------------------------
