@@ -63,7 +63,7 @@ def feistel(x: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.n
     return out.astype(np.int64)
 
 
-def packed(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, eod: int = EOD) -> DataFrame:
+def packed(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, eod: int = EOD, dtype: np.dtype = DTYPE) -> DataFrame:
     """Blocks of packed sequences (part, first, n, blob), each with the documents that begin in it (doc_id, start, size).
 
     part: the input partition; first: the block's first sequence there; start:
@@ -87,8 +87,8 @@ def packed(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, eo
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 rows = batch.slice(k, 256)
-                for doc_id, ids in zip(rows.column("doc_id").to_pylist(), encode(string_list(rows.column("text")), tokenizer), strict=True):
-                    ids = np.append(ids, DTYPE.type(eod))
+                for doc_id, ids in zip(rows.column("doc_id").to_pylist(), encode(string_list(rows.column("text")), tokenizer, dtype), strict=True):
+                    ids = np.append(ids, dtype.type(eod))
                     for values, x in zip(begun, (doc_id, at, len(ids)), strict=True):
                         values.append(x)
                     held.append(ids)
@@ -100,14 +100,14 @@ def packed(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, eo
                         held, have, begun = [flat[BLOCK * length :]], have - BLOCK * length, [[], [], []]
         if have:
             flat = np.concatenate(held)
-            yield block(np.append(flat, np.full(-len(flat) % length, eod, DTYPE)))
+            yield block(np.append(flat, np.full(-len(flat) % length, eod, dtype)))
 
     return docs.select("doc_id", "text").mapInArrow(run, "part int, first long, n int, blob binary, doc_id array<long>, start array<long>, size array<long>")
 
 
-def _write_wave(blocks: DataFrame, folder: str, begins: dict, total: int, low: int, high: int, length: int, per_shard: int, key: int) -> int:
+def _write_wave(blocks: DataFrame, folder: str, begins: dict, total: int, low: int, high: int, length: int, per_shard: int, key: int, dtype: np.dtype) -> int:
     """Write the shards low..high-1; returns how many sequences they hold."""
-    width = length * DTYPE.itemsize
+    width = length * dtype.itemsize
 
     def cut(batches):
         pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -142,12 +142,12 @@ def _write_wave(blocks: DataFrame, folder: str, begins: dict, total: int, low: i
     return dealt.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def materialise(docs: DataFrame, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, waves: int = WAVES, tokenizer: str = TOKENIZER, eod: int = EOD) -> DataFrame:
+def materialise(docs: DataFrame, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, waves: int = WAVES, tokenizer: str = TOKENIZER, eod: int = EOD, dtype: np.dtype = DTYPE) -> DataFrame:
     """Write the shards; returns where each piece of a document is: (doc_id, piece, slot, shard, record, begin, n_tokens).
 
     A document's pieces in order are its ids and the end-of-document id.
     """
-    blocks = checkpoint(packed(docs, length, tokenizer, eod))
+    blocks = checkpoint(packed(docs, length, tokenizer, eod, dtype))
     counts = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.sum("n").alias("n")).collect()}
     begins, total = {}, 0
     for part in sorted(counts):
@@ -157,7 +157,7 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, per_shard: i
     for w in range(waves):
         low, high = shards * w // waves, shards * (w + 1) // waves
         if high > low:
-            written += _write_wave(blocks, folder, begins, total, low, high, length, per_shard, key)
+            written += _write_wave(blocks, folder, begins, total, low, high, length, per_shard, key, dtype)
             release(docs)
     if written != total:
         raise RuntimeError(f"{written} of {total} sequences were written")
@@ -185,10 +185,10 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, per_shard: i
     return each.mapInArrow(pieces, "doc_id long, piece int, slot long, shard long, record long, begin int, n_tokens int")
 
 
-def read_sequences(folder: str, first: int, n: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> np.ndarray:
+def read_sequences(folder: str, first: int, n: int, length: int = LENGTH, per_shard: int = PER_SHARD, dtype: np.dtype = DTYPE) -> np.ndarray:
     """Slots first..first+n-1 in order, by arithmetic alone; fewer where the data end."""
     fs, root = filesystem(folder)
-    stride, out = length * DTYPE.itemsize, []
+    stride, out = length * dtype.itemsize, []
     while n > 0:
         shard, record = divmod(first, per_shard)
         take = min(n, per_shard - record)
@@ -197,11 +197,11 @@ def read_sequences(folder: str, first: int, n: int, length: int = LENGTH, per_sh
                 data = f.read_at(take * stride, record * stride)
         except FileNotFoundError:
             break
-        out.append(np.frombuffer(data, DTYPE).reshape(-1, length))
+        out.append(np.frombuffer(data, dtype).reshape(-1, length))
         if len(data) < take * stride:
             break
         first, n = first + take, n - take
-    return np.concatenate(out) if out else np.zeros((0, length), DTYPE)
+    return np.concatenate(out) if out else np.zeros((0, length), dtype)
 
 
 def op4_binary_output(spark, sf_dir: str) -> DataFrame:

@@ -3,9 +3,11 @@
 A transcript is lines of text in which speakers are marked, or not, in many
 styles.  Each line is in one of six states: the start or the continuation of a
 system, user or assistant turn.  A line shows a speaker marker (one of the
-roles, or none) and a shape (a question or not, blank, short, medium or long).
+roles, or none), whether it opens a row of the transcript, and a shape (a
+question or not, blank, short, medium or long).
 How roles follow each other, how long turns are and how shapes go with roles
-is counted over all rows that name a known role; markers have fixed odds.
+is counted over all rows that name a known role, across the borders of
+partitions too; markers and rows have fixed odds.
 Viterbi's best path gives the roles, and turns are rendered as
 ``<|role|>`` line, text, ``<|end|>`` line.
 
@@ -48,6 +50,7 @@ MARKER = re.compile(rf"\s*(?:\*\*|#+\s*|\[|<\|?|>\s*)?(?P<name>{_ALL})(?:\*\*\s*
 
 RIGHT, SILENT = 0.85, 0.13  # a turn's first line shows its marker, or none; the rest is shared by wrong ones
 QUIET = 0.97  # a continued line shows no marker
+OPENS, REOPENS = 0.95, 0.02  # a turn's first line opens a row; a continued one does
 SHAPES = 8
 
 
@@ -82,9 +85,12 @@ class Hmm:
             marks[3 + r] = [QUIET, *((1 - QUIET) / 3,) * 3]
         with np.errstate(divide="ignore"):
             self.step, self.begin = np.log(step), np.log(begin)
+        opens = np.array([OPENS] * 3 + [REOPENS] * 3)[:, None]
+        marks = np.concatenate([marks * (1 - opens), marks * opens], axis=1)
         self.marks, self.shapes = np.log(marks), np.log(shapes / shapes.sum(1, keepdims=True))
 
     def emit(self, seen: list[tuple[int, int]]) -> np.ndarray:
+        """seen: marker (0 none, else role + 1; 4 more where the line opens a row) and shape of each line."""
         x = np.array(seen, int).reshape(-1, 2)
         return self.marks[:, x[:, 0]].T + self.shapes[:, x[:, 1]].T
 
@@ -115,9 +121,30 @@ class Hmm:
         return out
 
 
-def transcript(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, line): each row as transcript text, its role as a speaker marker where there is one."""
-    mark = F.when(F.col("role").isNotNull() & (F.trim("role") != ""), F.concat(F.col("role"), F.lit(": "))).otherwise("")
+STYLES = ("{}: ", "### {}: ", "[{}] ", "<|{}|> ", "**{}:** ")
+
+
+def hidden(every: int = 3):
+    """Whether a turn is one of those, one in ``every``, whose markers are held out."""
+    return F.pmod(F.crc32(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))), F.lit(every)) == 0
+
+
+def transcript(conversations: DataFrame, every: int | None = None) -> DataFrame:
+    """(conv_id, turn, line): each row as transcript text, its role as a speaker marker where there is one.
+
+    With ``every``, markers come in several styles and names, as transcripts
+    from many places have them, and one in ``every`` turns has none.
+    """
+    known = F.col("role").isNotNull() & (F.trim("role") != "")
+    if every is None:
+        mark = F.when(known, F.concat(F.col("role"), F.lit(": "))).otherwise("")
+    else:
+        h = F.crc32(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("role")))
+        names = F.create_map(*(F.lit(x) for r in ROLES for x in (r, "|".join(NAMES[r][:2]))))
+        name = F.element_at(F.split(F.coalesce(F.try_element_at(names, F.lower(F.trim("role"))), F.col("role")), r"\|"), F.when(h % 2 == 0, 1).otherwise(-1).cast("int"))
+        styles = F.array(*(F.lit(x) for x in STYLES))
+        styled = F.replace(F.element_at(styles, (F.pmod(h, F.lit(len(STYLES))) + 1).cast("int")), F.lit("{}"), name)
+        mark = F.when(known & ~hidden(every), styled).otherwise("")
     return conversations.select("conv_id", "turn", F.concat(mark, F.coalesce("text", F.lit(""))).alias("line"))
 
 
@@ -147,28 +174,32 @@ def _lines(rows) -> tuple[list[int], list[str], list[tuple[int, int]], list[str]
     for i, (_, text) in enumerate(rows):
         for line in text.split("\n"):
             m, shape, body = observe(line)
+            opens = not owner or owner[-1] != i
             owner.append(i)
             raw.append(line)
-            seen.append((m, shape))
+            seen.append((m + 4 * opens, shape))
             bodies.append(body)
     return owner, raw, seen, bodies
 
 
 def estimate(placed: DataFrame) -> Hmm:
-    """Counts over all rows whose first line is marked; conversations cut by a partition's border lose one transition there."""
+    """Counts over all rows whose first line is marked.  What a partition's border cuts is counted where the parts meet, so partitions do not matter."""
 
     def run(batches):
         first, follow, shapes, more, total = np.zeros(3), np.zeros((3, 3)), np.zeros((6, SHAPES)), 0, 0
-        for _, _, rows in _segments(batches):
-            last = None
+        edges = None  # partition, first conversation and role, last conversation and role
+        for part, key, rows in _segments(batches):
+            last, opening = None, None
             for i, (_, text) in enumerate(rows):
                 lines = text.split("\n")
                 m, shape, _ = observe(lines[0])
                 role = m - 1
+                if i == 0:
+                    opening = role
                 if role < 0:
                     last = None
                     continue
-                if i == 0:
+                if i == 0 and edges is not None:
                     first[role] += 1
                 if last is not None:
                     follow[last, role] += 1
@@ -176,12 +207,22 @@ def estimate(placed: DataFrame) -> Hmm:
                 for line in lines[1:]:
                     shapes[3 + role, observe(line)[1]] += 1
                 more, total, last = more + len(lines) - 1, total + len(lines), role
-        yield pa.RecordBatch.from_arrays([pa.array([[*first, *follow.ravel(), *shapes.ravel(), more, total]], pa.list_(pa.float64()))], names=["x"])
+            closing = -1 if last is None else last
+            edges = (part, str(key), opening, str(key), closing) if edges is None else (*edges[:3], str(key), closing)
+        if edges is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([[*first, *follow.ravel(), *shapes.ravel(), more, total]], pa.list_(pa.float64())), *(pa.array([x]) for x in edges)], names=["x", "part", "head", "opening", "tail", "closing"])
 
-    flat = placed.mapInArrow(run, "x array<double>").select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
+    rows = placed.mapInArrow(run, "x array<double>, part long, head string, opening long, tail string, closing long").orderBy("part").collect()  # one row a partition
     x = np.zeros(3 + 9 + 6 * SHAPES + 2)
-    for r in flat:
-        x[r["i"]] = r["v"]
+    tail, closing = None, -1
+    for r in rows:
+        x += r["x"]
+        if r["opening"] >= 0:
+            if r["head"] != tail:
+                x[r["opening"]] += 1
+            elif closing >= 0:
+                x[3 + 3 * closing + r["opening"]] += 1
+        tail, closing = r["tail"], r["closing"]
     return Hmm(x[:3], x[3:12].reshape(3, 3), x[12:-2].reshape(6, SHAPES), x[-2] / x[-1] if x[-1] else 0.5)
 
 
@@ -270,9 +311,18 @@ def parse(rows: DataFrame, hmm: Hmm | None = None) -> DataFrame:
     return placed.mapInArrow(run, "conv_id long, turn long, role string, new_turn boolean, n_lines long, rendered string")
 
 
+HELD_OUT = 3
+
+
 def op9_chat_format(spark, sf_dir: str) -> DataFrame:
-    """Every turn of every conversation with its recovered role and canonical text."""
-    return parse(transcript(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")))
+    """Every turn of every conversation with its recovered role and canonical text.
+
+    The transcripts show speakers in several styles, and one in ``HELD_OUT``
+    turns (``held_out``) shows none: there the role comes from context alone.
+    """
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    out = parse(transcript(turns, HELD_OUT))
+    return out.select("conv_id", "turn", F.coalesce(hidden(HELD_OUT), F.lit(False)).alias("held_out"), "role", "new_turn", "n_lines", "rendered")
 
 
 QUERIES = {"op9_chat_format": op9_chat_format}

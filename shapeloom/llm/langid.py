@@ -98,11 +98,9 @@ def train(docs: DataFrame, held: int = 2, per_lang: int = PER_LANG, size: int =
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (_fold() != held))
     # the k-th smallest hash of each language, by a partial aggregate that keeps no more than a bounded summary
     first = rows.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id")
-    total = {r["lang"]: r["n"] for r in first.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(None).cast("double")
-    for lang, n in total.items():  # about twice the bound passes; the window then sees only those
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 2.0 * per_lang / n + 50 / n))).otherwise(share)
-    few = first.where((F.col("h").cast("double") / 2.0**64 + 0.5) <= share)
+    total = F.broadcast(first.groupBy("lang").agg(F.count("*").alias("n")))  # one row a language, as the profiles have
+    # about twice the bound passes; the window then sees only those
+    few = first.join(total, "lang").where((F.col("h").cast("double") / 2.0**64 + 0.5) <= F.lit(2.0 * per_lang + 50) / F.col("n"))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     picked = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).select("doc_id").distinct()
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("code", T.LongType()), T.StructField("n", T.LongType())])

@@ -30,7 +30,7 @@ BLOCK = 1 << 20  # ids
 GROUP = 1024  # blocks
 
 
-def write_flat(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, eod: int = EOD) -> DataFrame:
+def write_flat(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, eod: int = EOD, dtype: np.dtype = DTYPE) -> DataFrame:
     """Write one flat token file per partition; returns (file, place, doc_id), the order in which documents went out."""
 
     def run(batches):
@@ -42,8 +42,8 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, eod: in
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 writer = writer or Writer(folder, name, attempt_mark())
-                for ids in encode(string_list(part.column("text")), tokenizer):
-                    writer.write(ids.tobytes() + np.array([eod], DTYPE).tobytes())
+                for ids in encode(string_list(part.column("text")), tokenizer, dtype):
+                    writer.write(ids.tobytes() + np.array([eod], dtype).tobytes())
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(place, place + n)), part.column("doc_id").cast(pa.int64())], names=["file", "place", "doc_id"])
                 place += n
@@ -53,25 +53,25 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, eod: in
     return checkpoint(docs.select("doc_id", "text").mapInArrow(run, "file string, place long, doc_id long"))
 
 
-def files_of(spark, folder: str, block: int = BLOCK) -> DataFrame:
+def files_of(spark, folder: str, block: int = BLOCK, dtype: np.dtype = DTYPE) -> DataFrame:
     """(file, block, ids): what there is to read, from the folder's listing."""
     fs, root = filesystem(folder)
     from pyarrow.fs import FileSelector
 
     found = [(i.base_name, i.size) for i in fs.get_file_info(FileSelector(root, allow_not_found=True)) if i.is_file and not i.base_name.startswith(".")]
     for name, size in found:
-        if size % DTYPE.itemsize:
-            raise ValueError(f"{name}: {size} bytes are no whole number of {DTYPE.itemsize}-byte ids")
+        if size % dtype.itemsize:
+            raise ValueError(f"{name}: {size} bytes are no whole number of {dtype.itemsize}-byte ids")
     sizes = spark.createDataFrame(sorted(found), "file string, bytes long").where("bytes > 0")
-    ids = (F.col("bytes") / DTYPE.itemsize).cast("long")
+    ids = (F.col("bytes") / dtype.itemsize).cast("long")
     return sizes.select("file", ids.alias("ids"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((ids - 1) / block))).alias("block"))
 
 
-def count(spark, folder: str, eod: int = EOD, block: int = BLOCK, group: int = GROUP) -> DataFrame:
+def count(spark, folder: str, eod: int = EOD, block: int = BLOCK, group: int = GROUP, dtype: np.dtype = DTYPE) -> DataFrame:
     """(file, place, n_tokens, ended) of every document of every token file in a folder."""
-    tasks = files_of(spark, folder, block)
+    tasks = files_of(spark, folder, block, dtype)
     wide = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    width = DTYPE.itemsize
+    width = dtype.itemsize
 
     def scan(batches):
         for batch in batches:
@@ -79,7 +79,7 @@ def count(spark, folder: str, eod: int = EOD, block: int = BLOCK, group: int = G
                 fs, root = filesystem(folder)
                 with fs.open_input_file(f"{root}/{name}") as f:
                     n = min(block, ids - number * block)
-                    x = np.frombuffer(f.read_at(n * width, number * block * width), DTYPE)
+                    x = np.frombuffer(f.read_at(n * width, number * block * width), dtype)
                 ends = np.flatnonzero(x == eod)
                 inner = np.diff(ends) - 1
                 head = int(ends[0]) if len(ends) else n

@@ -19,7 +19,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 
 @lru_cache(maxsize=2)
 def _load(path: str):
-    """Function from a list of texts to a list of id sequences, for any of the three kinds of vocabulary files."""
+    """Function from a list of texts to a list of id sequences, for any of the three kinds of vocabulary files; and the number of ids."""
     if path.endswith(".tiktoken"):
         import base64
 
@@ -28,32 +28,37 @@ def _load(path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         t = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [t.encode_ordinary(x) for x in texts]
+        return (lambda texts: [t.encode_ordinary(x) for x in texts]), max(ranks.values()) + 1
     if path.endswith(".model"):
         import sentencepiece
 
         t = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda texts: t.encode(texts, num_threads=1)
+        return (lambda texts: t.encode(texts, num_threads=1)), t.vocab_size()
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     os.environ.setdefault("RAYON_NUM_THREADS", "1")
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True  # a text that spells a special token is ordinary text
-    return lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    return (lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]), t.get_vocab_size()
 
 
-def encode(texts: list[str], path: str = TOKENIZER) -> list[np.ndarray]:
+WIDE = np.dtype("<u4")  # for vocabularies of more than 65,536 ids
+
+
+def encode(texts: list[str], path: str = TOKENIZER, dtype: np.dtype = DTYPE) -> list[np.ndarray]:
     """Token ids of whole texts.  Texts go in batches of about a megabyte."""
-    run, out, batch, size = _load(path), [], [], 0
+    (run, ids_), out, batch, size = _load(path), [], [], 0
+    if ids_ - 1 > np.iinfo(dtype).max:
+        raise ValueError(f"{path} has {ids_} ids, too many for {dtype}")
     for x in texts:
         batch.append(x)
         size += len(x)
         if size > 1 << 20:
-            out += [np.array(ids, DTYPE) for ids in run(batch)]
+            out += [np.array(ids, dtype) for ids in run(batch)]
             batch, size = [], 0
     if batch:
-        out += [np.array(ids, DTYPE) for ids in run(batch)]
+        out += [np.array(ids, dtype) for ids in run(batch)]
     return out
 
 

@@ -6,9 +6,15 @@ A document's terms are its distinct lower-cased words and the 4-, 5- and
 products of term factors, so two terms can say together (an insult and a
 mention of a group) what neither says alone.
 
+Terms are kept where they go with the label on their own (chi-square), or, of
+the ``FREQUENT`` commonest others, in a pair with another such term: where the
+label's rate with both differs from what the rates with each alone add up to.
+
 The model is fitted on a bounded sample of labelled rows: at most
 ``per_class`` documents of each label, the first in a hash order of doc_id, so
-that reruns agree.  Both labels weigh alike in it; the intercept then moves a
+that reruns agree.  Counts of the sample's terms are taken by Spark; the driver
+gets one row a bucket, and of each document only the terms that may be kept, so
+what it holds does not follow the lengths of texts.  Both labels weigh alike in it; the intercept then moves a
 quarter of the way to the labels' true base rate, which spares clean documents
 where few labels are known and costs little where many are.
 Scoring reads every whole text once, in Arrow batches, with the model (about
@@ -33,10 +39,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan as ts
+from .common import checkpoint
 
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6)
 PER_CLASS = 3000
+KEEP = 2048
+FREQUENT = 512
 
 
 @dataclass
@@ -65,8 +74,42 @@ def term_pairs(raw, offsets, a, b) -> tuple[np.ndarray, np.ndarray]:
     return key >> 18, key & (BUCKETS - 1)
 
 
-def fit(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, rate: float = 0.5, rank: int = 4, keep: int = 2048, epochs: int = 12, seed: int = 7) -> Model:
-    """Adagrad on the logistic loss, classes weighed alike; terms are kept by chi-square among those in four documents or more.
+def candidates(df: np.ndarray, pos: np.ndarray, n: int, share: float, keep: int = KEEP) -> tuple[np.ndarray, np.ndarray]:
+    """Terms that go with the label, by the documents they are in and those of them that are positive; and the commonest others."""
+    chi = np.where(df >= 4, (pos - df * share) ** 2 / np.maximum(df * share * (1 - share) * (1 - df / n), 1e-9), 0)
+    alone = np.argsort(-chi, kind="stable")[:keep]
+    alone = np.sort(alone[chi[alone] > 6.63])  # one in a hundred by chance
+    both_ways = np.where((df >= 20) & (df <= n - 20), np.minimum(df, n - df), 0)
+    both_ways[alone] = 0
+    common = np.argsort(-both_ways, kind="stable")[:FREQUENT]
+    return alone, np.sort(common[both_ways[common] > 0])
+
+
+def interacting(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Those of the common terms that go with the label in a pair: rates of both, one and neither that do not add up, by six deviations."""
+    if len(common) < 2:
+        return common[:0]
+    at = np.searchsorted(common, terms)
+    at[at == len(common)] = 0
+    mine = common[at] == terms
+    x = np.zeros((len(y), len(common)))
+    x[rows[mine], at[mine]] = 1
+    contrast = np.zeros((len(common),) * 2)
+    variance = np.zeros_like(contrast)
+    enough = np.ones_like(contrast, bool)
+    for a, sign_a in ((x, 1), (1 - x, -1)):
+        for b, sign_b in ((x, 1), (1 - x, -1)):
+            size = a.T @ b
+            rate = (a.T @ (b * y[:, None]) + 0.5) / (size + 1)
+            contrast += sign_a * sign_b * rate
+            variance += rate * (1 - rate) / np.maximum(size, 1)
+            enough &= size >= 10
+    np.fill_diagonal(enough, False)
+    return common[(enough & (np.abs(contrast) > 6 * np.sqrt(variance))).any(axis=1)]
+
+
+def fit(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, rate: float = 0.5, rank: int = 4, keep: int = KEEP, epochs: int = 12, seed: int = 7) -> Model:
+    """Adagrad on the logistic loss, classes weighed alike.
 
     rate is the share of label 1 among all labels.
     """
@@ -74,11 +117,9 @@ def fit(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, rate: float = 0.5, r
     base = np.log(max(rate, 1e-6) / max(1 - rate, 1e-6))
     if n == 0 or y.min() == y.max():
         return Model(feature, np.zeros(1), np.zeros((1, rank)), float(base))
-    df, pos = np.bincount(terms, minlength=BUCKETS), np.bincount(terms, y[rows], BUCKETS)
     share = y.mean()
-    chi = np.where(df >= 4, (pos - df * share) ** 2 / np.maximum(df * share * (1 - share) * (1 - df / n), 1e-9), 0)
-    kept = np.argsort(-chi, kind="stable")[:keep]
-    kept = np.sort(kept[chi[kept] > 6.63])  # one in a hundred by chance
+    alone, common = candidates(np.bincount(terms, minlength=BUCKETS), np.bincount(terms, y[rows], BUCKETS), n, share, keep)
+    kept = np.union1d(alone, interacting(rows, terms, y, common))
     feature[kept] = np.arange(len(kept))
     f = feature[terms]
     rows, f = rows[f >= 0], f[f >= 0]
@@ -134,11 +175,32 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, held:
                 out += [terms[cut[i] : cut[i + 1]].astype(np.uint32).tobytes() for i in range(b - a)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "toxic", "terms"])
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(run, schema).toArrow().sort_by("doc_id")
-    arrays = [np.frombuffer(x, np.uint32) for x in sample["terms"].to_pylist()]
+    sample = checkpoint(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(run, schema))
+
+    def each(batches):
+        for batch in batches:
+            arrays = [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column("terms")]
+            toxic = np.repeat(np.asarray(batch.column("toxic")), [len(x) for x in arrays])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*arrays, np.zeros(0, np.uint32)]).astype(np.int64)), pa.array(toxic.astype(np.int64))], names=["term", "toxic"])
+
+    counted = sample.mapInArrow(each, "term long, toxic long").groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("pos")).toArrow()  # one row a bucket
+    df, pos = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    df[counted["term"].to_numpy()], pos[counted["term"].to_numpy()] = counted["df"].to_numpy(), counted["pos"].to_numpy()
+    n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    wanted = np.zeros(BUCKETS, bool)
+    if 0 < positive < n:
+        wanted[np.concatenate(candidates(df, pos, n, positive / n))] = True
+
+    def chosen(batches):
+        for batch in batches:
+            few = [x[wanted[x]].tobytes() for x in (np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column("terms"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(few, pa.binary())], names=["doc_id", "toxic", "terms"])
+
+    known = sample.mapInArrow(chosen, schema).toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending")])
+    arrays = [np.frombuffer(x, np.uint32) for x in known["terms"].to_pylist()]
     rows = np.repeat(np.arange(len(arrays)), [len(x) for x in arrays])
     terms = np.concatenate(arrays).astype(np.int64) if arrays else np.zeros(0, np.int64)
-    return fit(rows, terms, np.array(sample["toxic"].to_pylist(), float), rate)
+    return fit(rows, terms, np.array(known["toxic"].to_pylist(), float), rate)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

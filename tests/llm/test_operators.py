@@ -3,8 +3,10 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -334,6 +336,19 @@ def test_shards_round_trip(spark, docs, empty):
     assert binaryoutput.materialise(empty, scratch(spark, "none")).count() == 0
 
 
+def test_wide_ids(spark, docs, monkeypatch):
+    folder, flat = scratch(spark, "wide"), scratch(spark, "wide-flat")
+    few = docs.limit(9)
+    out = binaryoutput.materialise(few, folder, length=16, per_shard=50, eod=70_000, dtype=tokens.WIDE).collect()
+    data = binaryoutput.read_sequences(folder, 0, 10**9, 16, 50, tokens.WIDE)
+    assert data.dtype.itemsize == 4 and (data == 70_000).sum() >= 9 and len(data) == len({r["slot"] for r in out})
+    order = tokencount.write_flat(few, flat, eod=70_000, dtype=tokens.WIDE)
+    assert order.join(tokencount.count(spark, flat, eod=70_000, dtype=tokens.WIDE), ["file", "place"]).count() == 9
+    monkeypatch.setattr(tokens, "_load", lambda path: (None, 100_000))
+    with pytest.raises(ValueError):
+        tokens.encode(["x"])
+
+
 def test_vocabulary_kinds_agree():
     other = "/opt/tokenizers/byte_bpe_50k.json"
     texts = ["Some text's pieces  12 éß\n\n x", "", "<|endoftext|>"]
@@ -482,16 +497,48 @@ def test_items_of_the_tables_are_found_in_any_case(spark):
 # 6 toxicity ------------------------------------------------------------------------
 
 
-def test_toxicity_learns_interactions():
+@pytest.mark.parametrize("label", ["xor", "and"])
+def test_toxicity_learns_interactions(label):
     rng = np.random.default_rng(0)
-    n = 2000
+    n = 3000
     has = rng.random((n, 2)) < 0.5
-    y = (has[:, 0] & has[:, 1]).astype(float)
-    rows, terms = np.nonzero(np.concatenate([has, rng.random((n, 6)) < 0.3], axis=1))
-    m = toxicity.fit(rows, terms, y, y.mean(), epochs=40)
+    y = (has[:, 0] ^ has[:, 1] if label == "xor" else has[:, 0] & has[:, 1]).astype(float)
+    rows, terms = np.nonzero(np.concatenate([has, rng.random((n, 60)) < 0.3], axis=1))
+    m = toxicity.fit(rows, terms, y, 0.5)
     kept = m.feature[terms]
-    p = m.scores(rows[kept >= 0], kept[kept >= 0], n)
-    assert ((p >= 0.5) == y).mean() > 0.97
+    right = lambda model: ((model.scores(rows[kept >= 0], kept[kept >= 0], n) >= 0.5) == y).mean()
+    assert right(m) > 0.99
+    if label == "xor":  # neither term says anything alone
+        linear = toxicity.Model(m.feature, m.weight, m.factor * 0, m.bias)
+        z = linear.scores(rows[kept >= 0], kept[kept >= 0], n)
+        assert max(((z >= t) == y).mean() for t in np.unique(z)) < 0.8
+        noise = toxicity.fit(rows, terms, rng.permutation(y), 0.5)
+        assert (noise.feature >= 0).sum() <= 3
+
+
+def test_scores_are_those_of_all_pairs():
+    rng = np.random.default_rng(1)
+    m = toxicity.Model(np.arange(toxicity.BUCKETS), rng.normal(size=9), rng.normal(size=(9, 4)), 0.3)
+    x = rng.random((20, 9)) < 0.5
+    rows, terms = np.nonzero(x)
+    for i, got in enumerate(m.scores(rows, terms, 20)):
+        on = np.flatnonzero(x[i])
+        z = m.bias + m.weight[on].sum() + sum(m.factor[a] @ m.factor[b] for k, a in enumerate(on) for b in on[k + 1 :])
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_training_on_spark_is_that_on_the_sample(spark):
+    """Terms that the driver never gets would not have been kept."""
+    import pyarrow as pa
+
+    folder = "/root/testdata/sf0.01"
+    table, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    m = toxicity.train(table, labels)
+    known = table.join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 5 != 0").orderBy("doc_id").select("text", "toxic").collect()
+    raw, offsets, _ = textscan.text_buffers(pa.array([r["text"] for r in known]))
+    y = np.array([r["toxic"] for r in known], float)
+    full = toxicity.fit(*toxicity.term_pairs(raw, offsets, 0, len(known)), y, y.mean())
+    assert (m.feature == full.feature).all() and np.allclose(m.weight, full.weight) and np.allclose(m.factor, full.factor)
 
 
 def test_toxicity(spark, docs, empty):
@@ -630,6 +677,38 @@ def test_gram_counts_do_not_depend_on_chunks(monkeypatch):
     assert dict(zip(*(x.tolist() for x in langid.gram_counts(np.frombuffer(text.strip(), np.uint8))), strict=True)) == want
 
 
+def brute_grams(text):
+    raw = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())
+    out = collections.Counter()
+    for w in re.findall(rb"[a-z\x80-\xff]+", raw):
+        w = b" " + w + b" "
+        out.update(w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1) if w[i : i + n] != b" ")
+    return out
+
+
+def brute_rank(counts, size=400):
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], int.from_bytes(x[0], "big")))[:size]]
+
+
+def test_out_of_place_distance_by_brute_force(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = table.collect()
+    profiles = collections.defaultdict(collections.Counter)
+    for r in rows:
+        if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            profiles[r["lang"]] += brute_grams(r["text"])
+    places = {lang: {g: i for i, g in enumerate(brute_rank(c))} for lang, c in profiles.items()}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(table, langid.train(table)).collect()}
+    for r in rows:
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        top = brute_rank(brute_grams(r["text"]))
+        cost = sorted((sum(abs(place[g] - i) if g in place else 400 for i, g in enumerate(top)), lang) for lang, place in places.items())
+        want = 1 - cost[0][0] / cost[1][0] if cost[1][0] else 0.0
+        assert got[r["doc_id"]][0] == cost[0][1] and abs(got[r["doc_id"]][1] - want) < 1e-9
+
+
 def test_languages(spark, docs, empty):
     r = random.Random(4)
     syllables = {"aa": ["ka", "ko", "ki", "tu"], "bb": ["sch", "ung", "ein", "ber"]}
@@ -678,7 +757,7 @@ def test_chat_path_does_not_depend_on_partitions(spark):
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     odds = np.random.default_rng(3)  # no two paths are equally good
     hmm = chatformat.Hmm(odds.random(3) * 9, odds.random((3, 3)) * 9, odds.random((6, chatformat.SHAPES)) * 50, 0.4)
-    whole = hmm.path([s for _, _, role, text in rows for s in [chatformat.observe(x)[:2] for x in ((f"{role}: " if role else "") + text).split("\n")]], None, None)
+    whole = hmm.path(chatformat._lines([(i, (f"{role}: " if role else "") + text) for _, i, role, text in rows])[2], None, None)
     starts = np.cumsum([0, *(len(r[3].split("\n")) for r in rows)])[:-1]
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
@@ -689,6 +768,50 @@ def test_chat_path_does_not_depend_on_partitions(spark):
     assert [r["role"] for r in out] == [chatformat.ROLES[whole[i] % 3] for i in starts]
 
 
+def test_best_path_by_trying_all():
+    odds = np.random.default_rng(5)
+    for n in (1, 2, 4, 5):
+        for _ in range(6):
+            hmm = chatformat.Hmm(odds.random(3) * 9, odds.random((3, 3)) * 9, odds.random((6, chatformat.SHAPES)) * 50, 0.4)
+            seen = [(int(odds.integers(0, 8)), int(odds.integers(0, chatformat.SHAPES))) for _ in range(n)]
+            emit = hmm.emit(seen)
+            every = np.array(list(itertools.product(range(6), repeat=n)))
+            score = hmm.begin[every[:, 0]] + emit[np.arange(n), every].sum(axis=1) + sum(hmm.step[every[:, i], every[:, i + 1]] for i in range(n - 1))
+            path = hmm.path(seen, None, None)
+            own = hmm.begin[path[0]] + emit[np.arange(n), path].sum() + sum(hmm.step[path[i], path[i + 1]] for i in range(n - 1))
+            assert abs(own - score.max()) < 1e-9
+
+
+def test_counts_do_not_depend_on_partitions(spark):
+    rows = [(c % 2, i, role if i % 5 else None, text) for i, (c, _, role, text) in enumerate(chats(40))]
+    lines = chatformat.transcript(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    before, made = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("1", "3", "11"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            made.append(chatformat.estimate(chatformat._placed(lines)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for other in made[1:]:
+        assert all(np.array_equal(getattr(made[0], k), getattr(other, k)) for k in ("step", "begin", "marks", "shapes"))
+
+
+def test_roles_of_held_out_turns(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    want = {(r["conv_id"], r["turn"]): r["role"] for r in table.collect()}
+    out = chatformat.op9_chat_format(spark, "/root/testdata/sf0.01").collect()
+    shown, kept = ([r["role"] == want[r["conv_id"], r["turn"]] for r in out if r["held_out"] == x] for x in (False, True))
+    assert len(out) == len(want) and len(kept) > 0.25 * len(out)
+    assert np.mean(shown) > 0.97 and np.mean(kept) > 0.85
+
+
+def test_chat_columns_of_any_name(spark):
+    table = spark.createDataFrame([(1, 0, "user", "hi", 7, 8, 9), (1, 1, "assistant", "yes", 7, 8, 9)], "conv_id long, turn long, role string, text string, line int, _part int, _n int")
+    for every in (None, 3):
+        out = sorted(chatformat.parse(chatformat.transcript(table, every).withColumn("_part", F.lit(5))).collect(), key=lambda r: r["turn"])
+        assert len(out) == 2 and out[0]["conv_id"] == 1
+
+
 @pytest.mark.parametrize("line, role", [("User: hi", 2), ("### Assistant: x", 3), ("<|system|> x", 1), ("**Human:** x", 2), ("[AI] x", 3), ("a user: x", 0), ("users: x", 0)])
 def test_markers(line, role):
     assert chatformat.observe(line)[0] == role
