@@ -267,7 +267,8 @@ def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     else:
         spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         met = hits.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALT)).cast("int")).join(spread, ["hash", "_salt"])
-    return _verified(met).distinct()
+    # written before it is verified, so that no task holds two Python workers at once
+    return _verified(checkpoint(met)).distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
