@@ -89,22 +89,28 @@ def interacting(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, common: np.n
     """Those of the common terms that go with the label in a pair: rates of both, one and neither that do not add up, by six deviations."""
     if len(common) < 2:
         return common[:0]
-    at = np.searchsorted(common, terms)
-    at[at == len(common)] = 0
-    mine = common[at] == terms
-    x = np.zeros((len(y), len(common)))
+    place = np.full(BUCKETS, -1, np.int16)
+    place[common] = np.arange(len(common))
+    at = place[terms]
+    mine = at >= 0
+    x = np.zeros((len(y), len(common)), np.float32)
     x[rows[mine], at[mine]] = 1
-    contrast = np.zeros((len(common),) * 2)
-    variance = np.zeros_like(contrast)
-    enough = np.ones_like(contrast, bool)
-    for a, sign_a in ((x, 1), (1 - x, -1)):
-        for b, sign_b in ((x, 1), (1 - x, -1)):
-            size = a.T @ b
-            rate = (a.T @ (b * y[:, None]) + 0.5) / (size + 1)
-            contrast += sign_a * sign_b * rate
-            variance += rate * (1 - rate) / np.maximum(size, 1)
-            enough &= size >= 10
-    np.fill_diagonal(enough, False)
+    positive = x[y == 1]
+    # documents with both of a pair, and positive ones of them; those with one and with neither follow
+    size, hits = (x.T @ x).astype(float), (positive.T @ positive).astype(float)
+    df, pos, n, p = np.diag(size).copy(), np.diag(hits).copy(), len(y), len(positive)
+    cells = (
+        (1, size, hits),
+        (-1, df[:, None] - size, pos[:, None] - hits),
+        (-1, df[None] - size, pos[None] - hits),
+        (1, n - df[:, None] - df[None] + size, p - pos[:, None] - pos[None] + hits),
+    )
+    contrast, variance, enough = np.zeros_like(size), np.zeros_like(size), ~np.eye(len(common), dtype=bool)
+    for sign, total, good in cells:
+        rate = (good + 0.5) / (total + 1)
+        contrast += sign * rate
+        variance += rate * (1 - rate) / np.maximum(total, 1)
+        enough &= total >= 10
     return common[(enough & (np.abs(contrast) > 6 * np.sqrt(variance))).any(axis=1)]
 
 
@@ -197,9 +203,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, held:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(few, pa.binary())], names=["doc_id", "toxic", "terms"])
 
     known = sample.mapInArrow(chosen, schema).toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending")])
-    arrays = [np.frombuffer(x, np.uint32) for x in known["terms"].to_pylist()]
-    rows = np.repeat(np.arange(len(arrays)), [len(x) for x in arrays])
-    terms = np.concatenate(arrays).astype(np.int64) if arrays else np.zeros(0, np.int64)
+    arrays = [np.frombuffer(x.as_buffer(), np.uint32) for x in known["terms"]]
+    rows = np.repeat(np.arange(len(arrays), dtype=np.int32), [len(x) for x in arrays])
+    terms = np.concatenate(arrays).view(np.int32) if arrays else np.zeros(0, np.int32)
     return fit(rows, terms, np.array(known["toxic"].to_pylist(), float), rate)
 
 
