@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema.ast import RDF, XSD, BNode, Iri, LanguageTag, Literal, NodeConstraint, SchemaError, Stem, StemRange
-from .terms import DECIMAL_TYPES, DOUBLE_TYPES, TermColumns, as_decimal, as_double, is_number, valid_lexical
+from .terms import DECIMAL_TYPES, DOUBLE_TYPES, TermColumns, as_double, decimal_order, is_number, valid_lexical
 
 
 def _all(xs) -> Column:
@@ -120,9 +120,7 @@ def facet(f: tuple, t: TermColumns) -> Column:
     if bound.dt in DOUBLE_TYPES:
         exact = doubles
     else:
-        from decimal import Decimal
-
-        exact = op(as_decimal(t.lex), F.lit(Decimal(bound.lex)))
+        exact = op(decimal_order(t.lex, bound.lex), F.lit(0))
     ok = F.when(t.dt.isin(DECIMAL_TYPES), exact).when(t.dt.isin(DOUBLE_TYPES), doubles)
     return (t.kind == "literal") & F.coalesce(ok, F.lit(False))
 

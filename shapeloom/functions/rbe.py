@@ -221,8 +221,10 @@ def matches_derivative(e, bag: dict) -> bool:
     return nullable(e)
 
 
-def matches(e, bag: dict) -> bool:
-    bag = {s: n for s, n in bag.items() if n}
+def matches(e, bag: dict, open_: bool = False) -> bool:
+    """Whether a bag is in the expression's language; ``open_`` lets symbols be that it does not mention."""
+    known = set(symbols(e)) if open_ else bag
+    bag = {s: n for s, n in bag.items() if n and s in known}
     return matches_interval(e, bag) if single_occurrence(e) else matches_derivative(e, bag)
 
 

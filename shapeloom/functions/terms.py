@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -116,8 +117,28 @@ def valid_lexical(dt: str, lex: Column) -> Column:
     return F.lit(True)
 
 
-def as_decimal(lex: Column) -> Column:
-    return F.when(lex.rlike(rf"\A(?:{LEXICAL['decimal']})\z"), lex.try_cast("decimal(38,15)"))
+def decimal_order(lex: Column, bound: str) -> Column:
+    """-1, 0 or 1 as a decimal is below, at or above a bound; null if it is none.  Exact for any number of digits.
+
+    Short ones go through the engine's decimals; of others sign, whole and
+    fractional digits are compared as text, without the zeros that say nothing.
+    """
+    d = Decimal(bound)
+    whole = F.regexp_extract(lex, r"^[+-]?0*([0-9]*)", 1)
+    part = F.regexp_extract(lex, r"\.([0-9]*?)0*$", 1)
+    digits = f"{d.copy_abs():f}"  # abs() would round
+    b_whole, _, b_part = digits.partition(".")
+    b_whole, b_part = b_whole.lstrip("0"), b_part.rstrip("0")
+    sign = F.when((whole == "") & (part == ""), 0).when(lex.startswith("-"), -1).otherwise(1)
+    b_sign = (d > 0) - (d < 0)
+    size = F.when(F.length(whole) != len(b_whole), F.signum(F.length(whole) - len(b_whole)).cast("int"))
+    size = size.when(whole != b_whole, F.when(whole < b_whole, -1).otherwise(1)).when(part != b_part, F.when(part < b_part, -1).otherwise(1)).otherwise(0)
+    by_text = F.when(sign != b_sign, F.signum(sign - b_sign).cast("int")).otherwise(size * b_sign)
+    ok = lex.rlike(rf"\A(?:{LEXICAL['decimal']})\z")
+    if len(b_whole) > 20 or len(b_part) > 15:
+        return F.when(ok, by_text)
+    short = lex.try_cast("decimal(38,15)")
+    return F.when(ok, F.when(F.length(lex) <= 16, F.signum(short - F.lit(d).cast("decimal(38,15)")).cast("int")).otherwise(by_text))
 
 
 def as_double(lex: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.terms import TRIPLES, term_at, term_id
+from .functions.terms import TRIPLES
 from .operators import bags
 from .operators import paths as pp
 from .plans.validate import CONFORMANT, NONCONFORMANT
@@ -217,9 +217,7 @@ def _arcs_of(spark, sf_dir):
     g = graph(spark, sf_dir)
     nations = maps.all_of_type(g, BASE + "nation").select("node")
     predicate = F.regexp_extract("p", r"([^/#]+)$", 1).alias("predicate")
-    out = g.triples().select(F.col("s").alias("node"), F.lit("out").alias("direction"), predicate)
-    back = g.triples().where("o_kind = 'iri'").select(term_id(term_at()).alias("node"), F.lit("in").alias("direction"), predicate)
-    return out.unionByName(back).join(nations, "node", "left_semi").groupBy(key_of().alias("n_nationkey"), "direction", "predicate").agg(F.count("*").alias("arcs"))
+    return g.neighbours(nations).groupBy(key_of().alias("n_nationkey"), "direction", predicate).agg(F.count("*").alias("arcs"))
 
 
 _register(

@@ -137,6 +137,37 @@ def odd_negative_cycles(deps: dict[str, set[tuple[str, int]]]) -> list[list[str]
     return [c for c in where if found & set(c)]
 
 
+def isomorphic(a: dict[str, set[tuple[str, int]]], b: dict[str, set[tuple[str, int]]]) -> dict[str, str] | None:
+    """A renaming of labels that makes two signed dependency graphs equal, or None.  Labels are matched by their edges' signs first."""
+
+    def sides(g):
+        back: dict[str, list[int]] = {v: [] for v in g}
+        for edges in g.values():
+            for t, sign in edges:
+                back.setdefault(t, []).append(sign)
+        return {v: (tuple(sorted(sign for _, sign in g.get(v, ()))), tuple(sorted(back[v])), (v, 1) in g.get(v, ()), (v, -1) in g.get(v, ())) for v in back}
+
+    left, right = sides(a), sides(b)
+    if sorted(left.values()) != sorted(right.values()):
+        return None
+    order = sorted(left, key=lambda v: (sum(w == left[v] for w in right.values()), v))
+
+    def extend(i: int, names: dict[str, str]) -> dict[str, str] | None:
+        if i == len(order):
+            return names
+        v = order[i]
+        for w in sorted(right):
+            if right[w] != left[v] or w in names.values():
+                continue
+            more = names | {v: w}
+            fits = all(((more[t], s) in b.get(more[u], ())) == ((t, s) in a.get(u, ())) for u in more for t in more for s in (1, -1) if v in (u, t))
+            if fits and (done := extend(i + 1, more)) is not None:
+                return done
+        return None
+
+    return extend(0, {})
+
+
 def references(schema: Schema) -> set[str]:
     """Every shape label that the schema mentions."""
     exprs = [d.expr for d in schema.shapes] + ([schema.start] if schema.start is not None else [])

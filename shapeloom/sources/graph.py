@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.terms import TRIPLES, literal_id, term_row
+from ..functions.terms import TRIPLES, literal_id, resource, term_at, term_id, term_row
 from ..schema.ast import RDF, XSD
 
 BASE = "http://shapes.example/"
@@ -42,6 +42,14 @@ class Graph:
     def subjects(self) -> DataFrame:
         return self.df.select("s").distinct()
 
+    def neighbours(self, nodes: DataFrame | None = None) -> DataFrame:
+        """(node, direction, p, kind, lex, dt, lang): arcs out of and into nodes (column ``node``), or all."""
+        t, s = self.triples(), resource(F.col("s"))
+        out = t.select(F.col("s").alias("node"), F.lit("out").alias("direction"), "p", *(F.col(f"o_{x}").alias(x) for x in ("kind", "lex", "dt", "lang")))
+        back = t.select(term_id(term_at()).alias("node"), F.lit("in").alias("direction"), "p", s.kind.alias("kind"), s.lex.alias("lex"), s.dt.alias("dt"), s.lang.alias("lang"))
+        both = out.unionByName(back)
+        return both if nodes is None else both.join(nodes.select("node"), "node", "left_semi")
+
 
 def _is_object(term) -> Column:
     kind, lex, dt, lang = term_row(term)
@@ -123,7 +131,11 @@ class MappedGraph(Graph):
                 continue
             table = self.tables[m.table]
             kinds = dict(table.dtypes)
-            objects = [self._object(c, kinds) for c in cols]
+            if m.distinct and not typed and all(c.lang is None for c in cols):
+                one = self._distinct(table, m, cols, kinds)
+                out = one if out is None else out.unionByName(one)
+                continue
+            objects = [self._object(c, kinds, self._value(c, kinds)) for c in cols]
             if typed:
                 objects.append(_struct(F.lit(TYPE), "iri", F.lit(BASE + (m.cls or m.table)), None, None))
             subject = F.expr(m.subject).alias("s")
@@ -153,18 +165,34 @@ class MappedGraph(Graph):
             out = one if out is None else out.unionByName(one)
         return out
 
-    def _object(self, c: Column_, kinds: dict) -> Column:
-        p, value = F.lit(c.iri_of), F.expr(c.expr or f"`{c.name}`")
+    def _distinct(self, table: DataFrame, m: TableMapping, cols: list[Column_], kinds: dict) -> DataFrame:
+        """Triples that several rows give: keys and values are made distinct before terms are built of them, so narrow rows are shuffled."""
+        each = table.select(F.expr(m.key).alias("_k"), F.posexplode(F.array(*(self._value(c, kinds) for c in cols))).alias("_i", "_v"))
+        rows = each.where("_v IS NOT NULL").distinct()
+        objects = [self._object(c, kinds, F.col("_v")) for c in cols]
+        pick = objects[0]
+        for i, o in enumerate(objects[1:], 1):
+            pick = F.when(F.col("_i") == i, o).otherwise(pick)
+        subject = F.expr(replace(m, key="_k").subject)
+        return rows.select(subject.alias("s"), pick.alias("o")).select("s", "o.*")
+
+    def _value(self, c: Column_, kinds: dict) -> Column:
+        """A column's value as text."""
+        value = F.expr(c.expr or f"`{c.name}`")
+        if c.expr is None and kinds.get(c.name) == "timestamp" and c.to is None and not c.iri and c.lang is None:
+            value = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
+        return value.cast("string")
+
+    def _object(self, c: Column_, kinds: dict, value: Column) -> Column:
+        p = F.lit(c.iri_of)
         if c.to is not None:
-            return _struct(p, "iri", F.when(value.isNotNull(), F.concat(F.lit(f"{BASE}{c.to.table}/"), value.cast("string"))), None, None)
+            return _struct(p, "iri", F.when(value.isNotNull(), F.concat(F.lit(f"{BASE}{c.to.table}/"), value)), None, None)
         if c.iri:
-            return _struct(p, "iri", value.cast("string"), None, None)
+            return _struct(p, "iri", value, None, None)
         if c.lang is not None:
-            return _struct(p, "literal", value.cast("string"), RDF + "langString", F.col(c.lang))
+            return _struct(p, "literal", value, RDF + "langString", F.col(c.lang))
         kind = "string" if c.expr else kinds.get(c.name, "string")
-        if kind == "timestamp":
-            value = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
-        return _struct(p, "literal", value.cast("string"), c.dt or XSD + DATATYPES.get(kind, "string"), None)
+        return _struct(p, "literal", value, c.dt or XSD + DATATYPES.get(kind, "string"), None)
 
 
 def _struct(p: Column, kind: str, lex: Column, dt: str | None, lang: Column | None) -> Column:

@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from shapeloom.functions import rbe
 from shapeloom.functions.rbe import And, Empty, Or, Repeat, Symbol, assignable, interval, matches, matches_columns, matches_derivative, matches_interval
 
 _cards = st.tuples(st.integers(0, 2), st.one_of(st.none(), st.integers(0, 2))).map(lambda c: (c[0], None if c[1] is None else c[0] + c[1]))
@@ -46,3 +47,8 @@ def test_columns_agree(spark):
     df = spark.createDataFrame(rows, "a long, b long, c long")
     got = df.withColumn("ok", matches_columns(e, {s: F.col(s) for s in "abc"})).collect()
     assert all(r["ok"] == matches_derivative(e, {s: r[s] for s in "abc" if r[s]}) for r in got)
+
+
+def test_open_bags():
+    e = rbe.And((rbe.Symbol("a", 1, 2), rbe.Or((rbe.Symbol("b", 1, 1), rbe.Symbol("c", 1, 1)))))
+    assert rbe.matches(e, {"a": 1, "c": 1, "z": 4}, open_=True) and not rbe.matches(e, {"a": 1, "c": 1, "z": 4}) and not rbe.matches(e, {"a": 3, "c": 1}, open_=True)

@@ -106,3 +106,14 @@ def test_shape_path_and_mapping():
     assert [t.predicate for t in changed.shape("http://e/S").expr.expression.exprs] == ["http://e/new", "http://e/q", "http://e/new"]
     with pytest.raises(SchemaError):
         mapping.parse_path("/@:S/:p | /@:T", prefixes=schema.prefixes)
+
+
+def test_isomorphic_dependencies():
+    deps = lambda text: analyze.dependencies(parse("PREFIX : <http://e/> " + text))
+    a = deps(":A { :p @:B ; :q NOT @:C } :B { :p @:B ? } :C { :x . }")
+    b = deps(":X { :x . } :Y { :p @:Y ? } :Z { :p @:Y ; :q NOT @:X }")
+    assert analyze.isomorphic(a, b) == {"http://e/A": "http://e/Z", "http://e/B": "http://e/Y", "http://e/C": "http://e/X"}
+    assert analyze.isomorphic(a, deps(":X { :x . } :Y { :p @:Y ? } :Z { :p @:Y ; :q @:X }")) is None
+    assert analyze.isomorphic(a, deps(":Y { :p @:Z ? } :X { :x . } :Z { :p @:Y ; :q NOT @:X }")) is None
+    ring = deps(":A { :p @:B } :B { :p @:C } :C { :p @:A }")
+    assert analyze.isomorphic(ring, deps(":U { :p @:V } :V { :p @:W } :W { :p @:U }")) and analyze.isomorphic({}, {}) == {}

@@ -73,3 +73,74 @@ def test_lines_round_trip(spark):
     g = graph.of_terms(spark, rdf.parse_turtle("PREFIX : <http://e/> :a :p 'q\\\\n\\n\"é\\t'@en-GB , 1.5 , _:b , :c ; :q '' ."))
     assert sorted(map(str, rdf.ntriples_lines(rdf.to_ntriples(g.df)).collect())) == sorted(map(str, g.df.collect()))
     assert g.triples_to(rdf.parse_turtle("<x> <y> 1.5 .", "http://e/")[0][2]).count() == 1
+
+
+def test_decimals_of_any_length(spark):
+    from decimal import Decimal
+
+    from shapeloom.functions.terms import decimal_order
+
+    texts = ["0", "-0.0", "+1.50", "1.5", "00012", "-3.25", "123456789012345678901234567890.000000000000000000001", "123456789012345678901234567890", "-0.00000000000000000000000000000001", ".5", "5.", "1.50000000000000000001", "-123456789012345678901234567890123456789012345"]
+    bounds = ["0", "1.5", "-3.25", "123456789012345678901234567890", "-0.00000000000000000000000000000002", "1.500000000000000000005", "100"]
+    table = spark.createDataFrame([(t,) for t in [*texts, "x", "1e3"]], "lex string")
+    for r in table.select("lex", *(decimal_order(F.col("lex"), b).alias(b) for b in bounds)).collect():
+        for b in bounds:
+            if r["lex"] not in texts:
+                assert r[b] is None
+                continue
+            x, y = Decimal(r["lex"]), Decimal(b)
+            assert r[b] == (x > y) - (x < y), (r["lex"], b)
+
+
+@pytest.fixture(scope="module")
+def server():
+    """Recorded answers behind a local address."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    term = lambda x: {"type": "uri", "value": x}
+    rows = [{"s": term(f"http://e/{i}"), "p": term("http://e/p"), "o": {"type": "literal", "value": str(i), "datatype": "http://www.w3.org/2001/XMLSchema#integer"}} for i in range(25)]
+    rows += [{"s": {"type": "bnode", "value": "x"}, "p": term("http://e/q"), "o": {"type": "literal", "value": "a", "xml:lang": "en"}}, {"s": term("http://e/0"), "p": term("http://e/r"), "o": {"type": "bnode", "value": "x"}}]
+    entity = lambda i: {"type": "item", "id": i, "labels": {"en": {"language": "en", "value": f"label {i}"}}, "claims": {"P1": [{"rank": "normal", "mainsnak": {"snaktype": "value", "property": "P1", "datavalue": {"type": "string", "value": "v"}}}]}}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            at = urlparse(self.path)
+            if at.path == "/sparql":
+                query = parse_qs(at.query)["query"][0].split()
+                limit, offset = int(query[query.index("LIMIT") + 1]), int(query[query.index("OFFSET") + 1])
+                out = {"head": {"vars": ["s", "p", "o"]}, "results": {"bindings": rows[offset : offset + limit]}}
+            else:
+                out = {"entities": {at.path[1:-5]: entity(at.path[1:-5])}}
+            data = json.dumps(out).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *_):
+            pass
+
+    s = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}"
+    s.shutdown()
+
+
+def test_endpoints(spark, server):
+    from shapeloom.schema.shexc import parse
+    from shapeloom.shapemap import maps
+    from shapeloom.sources import endpoint
+    from shapeloom.wikibase import entityschema
+    from shapeloom.wikibase.matcher import Matcher
+
+    g = endpoint.read_sparql(spark, f"{server}/sparql", "SELECT ?s ?p ?o WHERE { ?s ?p ?o } ORDER BY ?s", pages=3, page_size=10)
+    rows = g.df.collect()
+    assert len(rows) == 27 and len({r["s"] for r in rows if r["p"] == "http://e/q"} | {r["o_lex"] for r in rows if r["o_kind"] == "bnode"}) == 1
+    result = maps.run(g, parse("<S> { <http://e/p> MININCLUSIVE 20 ; <http://e/r> . * }", "http://e/"), maps.parse("{FOCUS <http://e/p> _}@<S>", "http://e/", {}, "http://e/", {}))
+    assert result.where("status = 'conformant'").count() == 5
+    found = endpoint.read_entities(spark, server + "/{}.json", ["Q1", "Q2", "Q3"])
+    m = Matcher(entityschema.parse("PREFIX : <http://www.wikidata.org/entity/> <S> LABEL (en -> /Q[12]$/) { :P1 [ 'v' ] }", "http://x/"))
+    assert {r["id"] for r in m.filter(found).collect()} == {"Q1", "Q2"}
