@@ -257,7 +257,7 @@ def background(docs: DataFrame, most_docs: int = BACKGROUND_DOCS, most: int = BA
     return np.stack([np.frombuffer(x, np.uint8) for x in rows]) if rows else np.zeros((0, WIDTH), np.uint8)
 
 
-def train(harmless: np.ndarray | None = None, n: int = 6000, epochs: int = 8, filters: int = 32, dim: int = 10, width: int = 5, min_recall: float = 0.98, seed: int = 11) -> Network:
+def train(harmless: np.ndarray | None = None, n: int = 8000, epochs: int = 8, filters: int = 32, dim: int = 10, width: int = 5, min_recall: float = 0.98, seed: int = 11) -> Network:
     """Adam on the logistic loss, both classes weighed alike; a quarter of the findings calibrates and sets the threshold."""
     x, y = labelled(n, seed)
     if harmless is not None and len(harmless):
