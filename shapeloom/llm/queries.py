@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import binaryoutput, chatformat, decontam, langid, mixing, ngramjoin, qualityrules, secretscan, tokencount, toxicity
+from . import binaryoutput, bitslices, centroids, chatformat, decontam, langid, mixing, ngramjoin, qualityrules, secretscan, tokencount, toxicity, whitening
 
-MODULES = (mixing, ngramjoin, tokencount, binaryoutput, decontam, toxicity, secretscan, langid, chatformat, qualityrules)
+MODULES = (mixing, ngramjoin, tokencount, binaryoutput, decontam, toxicity, secretscan, langid, chatformat, qualityrules, centroids, whitening, bitslices)
 
 
 def queries():
