@@ -56,7 +56,7 @@ def start(vectors: DataFrame, k: int = K, seed: str = "1:") -> np.ndarray:
     """Starting centroids: the vectors of the k smallest hashes of ``seed`` and id."""
     mark = F.sha2(F.concat(F.lit(seed), F.col("vec_id").cast("string")), 256)
     first = vectors.select(mark.alias("h"), "q").orderBy(F.col("h").asc_nulls_last(), "q").limit(k).collect()
-    return np.array([r["q"] for r in first], np.int64).reshape(len(first), -1)
+    return np.array([r["q"] for r in first], np.int64) if first else np.zeros((0, 0), np.int64)
 
 
 def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:

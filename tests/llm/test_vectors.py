@@ -161,9 +161,9 @@ def test_whitening_of_odd_rows(spark):
     assert flat[0]["identity_error"] < 1e-6
     short = whitening.whiten(whitening.integers(table(spark, [(1, [1.0, 2.0]), (2, [0.5]), (None, [0.25, -1.0])]))).collect()
     assert len(short) == 6 and sum(r["vec_id"] is None for r in short) == 2
-    wide = whitening.integers(table(spark, [(i, [float(i) * 3e7, 1.0]) for i in range(40)]))
+    wide = whitening.integers(table(spark, [(i, [float(i) * 1e6, 1.0]) for i in range(40)]))
     big = [r for r in whitening.whiten(wide).collect() if r["vec_id"] == 0]
-    x = [int(np.floor(1024 * float(np.float32(i * 3e7)))) + 100_000 for i in range(40)]
+    x = [int(np.floor(1024 * float(np.float32(i * 1e6)))) + 100_000 for i in range(40)]
     exact = (40 * x[0] - sum(x)) ** 2
     assert exact >= 1 << 63 and all(r["deviation"] is None and int(r["deviation_exact"]) == exact for r in big)
 
@@ -223,7 +223,8 @@ class _Counting:
 def test_bitmap_arithmetic():
     r = random.Random(3)
     for _ in range(50):
-        assert sum(s << k for k, s in bitslices.digits(v := r.randrange(-500, 500))) == v
+        v = r.randrange(-500, 500)
+        assert sum(s << k for k, s in bitslices.digits(v)) == v
     g = np.random.default_rng(2)
     h = g.integers(0, 64, (130, 5))
     slabs, q = bitslices.slices_of(h, 6), g.integers(-60, 60, 5)
@@ -232,7 +233,7 @@ def test_bitmap_arithmetic():
     total = sum(bits(s) << i for i, s in enumerate(slices))
     assert (total - taken == h @ q).all()
     rows = np.zeros(3 * 8, np.uint8)
-    rows[: len(m := np.packbits(np.ones(130, bool), bitorder="little"))] = m
+    rows[:17] = np.packbits(np.ones(130, bool), bitorder="little")
     rows = rows.view(np.uint64)
     ordered = sorted(total.tolist(), reverse=True)
     for k in (1, 2, 7, 130):
