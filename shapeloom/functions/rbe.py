@@ -230,16 +230,9 @@ def matches(e, bag: dict, open_: bool = False) -> bool:
 
 def assignable(e, options: list[tuple[tuple, int]]) -> bool:
     """Whether arcs can be assigned to symbols so that the bag matches; options: (symbols an arc may take, how many such arcs)."""
-    options = sorted(options, key=lambda o: len(o[0]))
+    from .assign import assignment
 
-    @lru_cache(maxsize=None)
-    def go(i: int, bag: tuple) -> bool:
-        if i == len(options):
-            return matches(e, dict(bag))
-        names, n = options[i]
-        return any(go(i + 1, _added(bag, names, split)) for split in splits(n, len(names)))
-
-    return go(0, ())
+    return assignment(e, options) is not None
 
 
 def splits(n: int, k: int):
@@ -249,11 +242,3 @@ def splits(n: int, k: int):
     for first in range(n, -1, -1):
         for rest in splits(n - first, k - 1):
             yield (first, *rest)
-
-
-def _added(bag: tuple, names: tuple, split: tuple) -> tuple:
-    out = dict(bag)
-    for s, n in zip(names, split, strict=True):
-        if n:
-            out[s] = out.get(s, 0) + n
-    return tuple(sorted(out.items()))

@@ -25,6 +25,7 @@ by following arcs from the requested pairs.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import combinations
@@ -81,6 +82,8 @@ class Actions:
 
 #: Constraints of one path whose assignment is decided by counts; there are two for each set of them.
 HALL = 5
+#: Conditions on the node inside the bases of one shape; the solver answers for each combination of them.
+CONDITIONS = 10
 
 
 @dataclass
@@ -91,6 +94,7 @@ class Atom:
     constraints: list[TripleConstraint]
     expr: object
     name: str
+    conditions: tuple = ()  # on the node itself, of bases
 
     @property
     def dealt(self) -> bool:
@@ -115,9 +119,14 @@ class Atom:
         most = max((len(self.of_path(p)) for p in self.paths), default=0)
         return self.dealt or most > (HALL if self.conjunction else 1)
 
-    def on_nothing(self) -> bool:
+    def on_nothing(self, flags: int = 0) -> bool:
         """The verdict for a node without arcs."""
-        return parts.holds(self.expr, []) if self.dealt else rbe.matches(self.expr, {})
+        return parts.holds(self.expr, [], flags) if self.dealt else rbe.matches(self.expr, {})
+
+    def deal(self, classes: list[parts.Arcs], flags: int = 0) -> list[tuple] | None:
+        """(class, constraint, first arc, arcs) of an assignment of classes of arcs, or None."""
+        tree = self.expr if self.dealt else parts.Flat(self.expr, frozenset(), frozenset())
+        return parts.deal(tree, classes, flags)
 
     @property
     def direct(self) -> set[str]:
@@ -151,14 +160,18 @@ def bag_expression(te, constraints: list[TripleConstraint]):
     return e if (te.min, te.max) == (1, 1) else rbe.Repeat(e, te.min, te.max)
 
 
-def part_tree(se, constraints: list[TripleConstraint]):
-    """Tree of shapes over parts; appends their constraints."""
+def part_tree(se, constraints: list[TripleConstraint], conditions: list[NodeConstraint]):
+    """Tree of shapes over parts; appends their constraints, and their conditions on the node."""
     if isinstance(se, ShapeParts):
-        return parts.Parts(tuple(part_tree(x, constraints) for x in (*se.bases, se.own)))
+        return parts.Parts(tuple(part_tree(x, constraints, conditions) for x in (*se.bases, se.own)))
     if isinstance(se, ShapeAnd | ShapeOr):
-        return (parts.All if isinstance(se, ShapeAnd) else parts.Any)(tuple(part_tree(x, constraints) for x in se.exprs))
+        return (parts.All if isinstance(se, ShapeAnd) else parts.Any)(tuple(part_tree(x, constraints, conditions) for x in se.exprs))
     if isinstance(se, ShapeNot):
-        return parts.Not(part_tree(se.expr, constraints))
+        return parts.Not(part_tree(se.expr, constraints, conditions))
+    if isinstance(se, NodeConstraint):
+        if se not in conditions:
+            conditions.append(se)
+        return parts.OnNode(conditions.index(se))
     if not isinstance(se, Shape):
         raise SchemaError(f"a base cannot hold {type(se).__name__}")
     at = len(constraints)
@@ -230,8 +243,11 @@ class Validator:
             for x in _own_shapes(se):
                 if isinstance(x, ShapeParts) or x != Shape() and (x.expression is not None or x.closed):
                     constraints: list[TripleConstraint] = []
-                    e = part_tree(x, constraints) if isinstance(x, ShapeParts) else bag_expression(x.expression, constraints)
-                    found.append(Atom(x, constraints, e, f"a{len(found)}"))
+                    conditions: list[NodeConstraint] = []
+                    e = part_tree(x, constraints, conditions) if isinstance(x, ShapeParts) else bag_expression(x.expression, constraints)
+                    if len(conditions) > CONDITIONS:
+                        raise SchemaError(f"the bases of {label} have more than {CONDITIONS} conditions on the node")
+                    found.append(Atom(x, constraints, e, f"a{len(found)}", tuple(conditions)))
             self.atoms[label] = found
         self.rounds = 0
         self.chains = {} if track else {x: p for comp in self.order if len(comp) == 1 for x in comp if x in self.recursive and (p := self._chain(x))}
@@ -259,7 +275,7 @@ class Validator:
                 continue
             if not self.atoms[label]:
                 self.inline.add(label)
-            elif NodeConstraint not in kinds and not any(x.acts for x in _own_shapes(self.exprs[label])):
+            elif NodeConstraint not in kinds and not any(a.conditions for a in self.atoms[label]) and not any(x.acts for x in _own_shapes(self.exprs[label])):
                 self.default[label] = _on_nothing(self.exprs[label], self.atoms[label])
 
     def _chain(self, label: str) -> tuple[str, bool] | None:
@@ -474,9 +490,10 @@ class Validator:
         counted = self._counts(atoms, {r for refs in there.values() for r in refs}, true, nodes if narrow else None)
         for part in counted:
             base = base.join(part, "node", "left")
-        verdicts = {id(a.shape): self._atom(a) for a in atoms}
-        ok = self._focus(se, TermColumns(*(F.col(c) for c in ("kind", "lex", "dt", "lang"))), verdicts, true)
-        reasons = [r for a in atoms for r in self._reasons(a)]
+        t = TermColumns(*(F.col(c) for c in ("kind", "lex", "dt", "lang")))
+        verdicts = {id(a.shape): self._atom(a, t) for a in atoms}
+        ok = self._focus(se, t, verdicts, true)
+        reasons = [r for a in atoms for r in self._reasons(a, t)]
         if any(isinstance(x, NodeConstraint) for x in _same_node(se)):
             reasons.append(F.when(~ok, "node constraint"))
         reason = F.when(~ok, F.array_join(F.array_compact(F.array(*reasons)), "; ")) if reasons else F.lit(None).cast("string")
@@ -558,32 +575,25 @@ class Validator:
 
     def _solved(self, a: Atom, arcs: DataFrame) -> DataFrame:
         """(node, <atom>_fits): arcs by path and the set of constraints they satisfy; each distinct vector of counts is solved once."""
-        counts = arcs.groupBy("node", "path", "mask").agg(F.count("*").alias("n"))
-        vectors = counts.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("path", "mask", "n"))).alias("v")).withColumn("k", F.to_json("v"))
-        e, paths, dealt = a.expr, a.paths, a.dealt
+        vectors = _vectors(arcs)
 
         def run(frames):
-            import json
-
             import pandas as pd
 
             for pdf in frames:
-                fits = []
-                for k in pdf["k"]:
-                    classes = [(paths[x["path"]], tuple(i for i in range(int(x["mask"]).bit_length()) if int(x["mask"]) >> i & 1), int(x["n"])) for x in json.loads(k)]
-                    fits.append(parts.holds(e, classes) if dealt else rbe.assignable(e, [c[1:] for c in classes]))
+                fits = [[a.deal(_classes(k, a.paths), flags) is not None for flags in range(1 << len(a.conditions))] for k in pdf["k"]]
                 yield pd.DataFrame({"k": pdf["k"], f"{a.name}_fits": fits})
 
-        solved = vectors.select("k").distinct().mapInPandas(run, f"k string, {a.name}_fits boolean")
+        solved = vectors.select("k").distinct().mapInPandas(run, f"k string, {a.name}_fits array<boolean>")
         return vectors.join(solved, "k").select("node", f"{a.name}_fits")
 
-    def _atom(self, a: Atom) -> Column:
+    def _atom(self, a: Atom, t: TermColumns | None = None) -> Column:
         zero = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("long")
         ok = zero(f"{a.name}_bad") == 0
         if a.shape.closed:
             ok = ok & (zero(f"{a.name}_other") == 0)
         if a.solved:
-            return ok & F.coalesce(F.col(f"{a.name}_fits"), F.lit(a.on_nothing()))
+            return ok & F.get(F.coalesce(F.col(f"{a.name}_fits"), F.array(*(F.lit(a.on_nothing(flags)) for flags in range(1 << len(a.conditions))))), _flags(a, t))
         if a.plan == "FLAT":
             for path in a.paths:
                 group = a.of_path(path)
@@ -597,7 +607,7 @@ class Validator:
             return ok
         return ok & rbe.matches_columns(a.expr, {i: zero(f"{a.name}_{i}") for i in range(len(a.constraints))})
 
-    def _reasons(self, a: Atom) -> list[Column]:
+    def _reasons(self, a: Atom, t: TermColumns) -> list[Column]:
         zero = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("long")
         out = [F.when(zero(f"{a.name}_bad") > 0, "an arc satisfies no constraint of its path")]
         if a.shape.closed:
@@ -611,10 +621,26 @@ class Validator:
                 if not c.negated:
                     out.append(F.when(wrong, f"cardinality of {'^' if c.inverse else ''}{c.predicate}"))
         if a.plan != "FLAT" or len(a.paths) < len(a.constraints):
-            out.append(F.when(~self._atom(a), "no assignment of arcs matches"))
+            out.append(F.when(~self._atom(a, t), "no assignment of arcs matches"))
         return out
 
 
+def _vectors(arcs: DataFrame) -> DataFrame:
+    """(node, k) of (node, path, mask): how many arcs of each path satisfy which set of constraints, as text."""
+    counts = arcs.groupBy("node", "path", "mask").agg(F.count("*").alias("n"))
+    return counts.groupBy("node").agg(F.to_json(F.array_sort(F.collect_list(F.struct("path", "mask", "n")))).alias("k"))
+
+
+def _classes(k: str, paths: list) -> list[parts.Arcs]:
+    """Classes of arcs of such a vector."""
+    return [parts.Arcs(paths[x["path"]], tuple(i for i in range(x["mask"].bit_length()) if x["mask"] >> i & 1), x["n"], c) for c, x in enumerate(json.loads(k))]
+
+
+def _flags(a: Atom, t: TermColumns) -> Column:
+    """Which of the bases' conditions the node satisfies, as bits."""
+    return reduce(lambda x, y: x + y, (F.when(compile_constraint(c, t), 1 << i).otherwise(0) for i, c in enumerate(a.conditions)), F.lit(0))
+
+
 def _subsets(items: list[int]) -> list[tuple[int, ...]]:
     return [c for k in range(1, len(items) + 1) for c in combinations(items, k)]
 

@@ -374,8 +374,6 @@ def _lifted(se):
         parts = [_lifted(x) for x in se.exprs]
         kept = tuple(k for k, _ in parts if k is not None)
         return (None if not kept else kept[0] if len(kept) == 1 else ShapeAnd(kept)), [n for _, ns in parts for n in ns]
-    if any(isinstance(x, NodeConstraint) for x in same_node(se)):
-        raise SchemaError("a base has node constraints inside OR or NOT")
     return se, []
 
 
