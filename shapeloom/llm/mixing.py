@@ -1,26 +1,29 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Every source has a target in words (``targets``).  A document's expected number
-of copies is its source's target over the source's size; where that is not
-whole it has to be rounded.  Rounding is pivotal and weighted by size: of two
-undecided units of a source mass moves from one to the other, in a random
-direction with the odds that keep both expectations, until one of them is
-whole, so words and expectations stay as they are.  In a group documents take
-turns, the largest first, each paired with all smaller undecided ones as one
-unit, which share evenly in what the unit gives or takes; the pair ends when
-the document is whole, or when one of the unit is at 0 or at ``cap`` (it then
-leaves the unit, decided).  A large document is thus made up for by many small
-ones, whatever the sizes, and at most one document of a group stays open.
+of copies is its source's target over the source's size; its fraction has to be
+rounded, so a document gets the whole number below or above.  Rounding is
+pivotal and weighted by size: of two undecided units of a source mass moves from
+one to the other, in a random direction with the odds that keep both
+expectations, until a fraction is 0 or 1, so words and expectations stay as they
+are.  In a group documents take turns, the largest first, each paired with
+all smaller undecided ones as one unit, which share evenly in what the unit
+gives or takes; the pair ends when the document is whole, or when one of the unit
+is (it then leaves the unit, decided).  A large document is thus made up for by
+many small ones, and at most one document of a group stays open.
 
 Groups form a reduction tree: a source's documents are dealt by a hash of their
 key to leaves of about ``LEAF``; ``FAN`` leaves hand their open documents to a
-group of the next level, until one group per source is left, whose last open
-document is drawn.  What a source misses its target by is less than that one
-document: as a rule one of its smallest, and a large one only where it holds
-more words than a whole leaf beside it.  Draws come from a generator seeded by
-(seed, level, source, group): reruns agree, whatever the partitions.
-
-Only keys and sizes travel, never texts.  Rows of the same doc_id, source and
+group of the next level, until one group per source is left.  Its last open
+document is drawn; where other documents can make up for one of the two
+outcomes only, it takes that one.  What a source then misses its target by is
+less than that one document.  Where this is more than ``MISS`` of the target
+(few documents, or one that outweighs the others) documents no larger
+than the miss get a copy more or less, the largest first, within 0 and ``cap``,
+until no such document is left.  Draws come from a generator seeded by (seed, level,
+source, group) or a hash of the document: reruns agree, whatever the partitions.
+
+The tree sees keys and sizes only; ``mix`` joins its copies with the rows.  Rows of the same doc_id, source and
 size are one item with their sizes added up and share a number of copies.
 
 Defined results: null text has size 0 and is taken 0 times, as is text without
@@ -33,11 +36,12 @@ and ``taken`` are replaced.
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, ranked, shielded, word_count
@@ -48,6 +52,8 @@ CAP = 3.0
 WEIGHTS = (1, 2, 3)
 SALT = 64
 BROADCAST_BYTES = 32 << 20
+MISS = 0.002
+CHANGES = 64  # documents of a source that a turn of corrections looks at; turns go on until none is of use
 
 
 def targets(sizes: DataFrame, cap: float = CAP) -> DataFrame:
@@ -77,22 +83,24 @@ def targets(sizes: DataFrame, cap: float = CAP) -> DataFrame:
 
 
 def settle(weight: list[float], expected: list[float], cap: float, rng) -> list[float]:
-    """Copies of the members of one group, heaviest first: whole numbers, but for at most one that stays open."""
+    """Copies of the members of one group, heaviest first: the whole number below or above the expected one, but for at most one that stays open."""
     e, n = list(expected), len(weight)
-    alive = [True] * n
+    base = [float(int(x + 1e-9)) for x in e]
+    alive = [1e-9 < x - b < 1 - 1e-9 for x, b in zip(e, base, strict=True)]
+    e = [x if a else float(round(x)) for x, a in zip(e, alive, strict=True)]
 
     def suffixes():
-        low, high, rest = [cap] * (n + 1), [0.0] * (n + 1), [0.0] * (n + 1)
+        low, high, rest = [1.0] * (n + 1), [0.0] * (n + 1), [0.0] * (n + 1)
         for j in range(n - 1, -1, -1):
-            low[j], high[j], rest[j] = (min(low[j + 1], e[j]), max(high[j + 1], e[j]), rest[j + 1] + weight[j]) if alive[j] else (low[j + 1], high[j + 1], rest[j + 1])
+            low[j], high[j], rest[j] = (min(low[j + 1], e[j] - base[j]), max(high[j + 1], e[j] - base[j]), rest[j + 1] + weight[j]) if alive[j] else (low[j + 1], high[j + 1], rest[j + 1])
         return low, high, rest
 
     def spread():  # what the unit has shared so far becomes each member's own
         for j in range(i + 1, n):
             if alive[j]:
                 e[j] += shift
-                if e[j] < 1e-9 or e[j] > cap - 1e-9:
-                    e[j], alive[j] = round(e[j]) * 1.0, False
+                if e[j] - base[j] < 1e-9 or e[j] - base[j] > 1 - 1e-9:
+                    e[j], alive[j] = float(round(e[j])), False
 
     low, high, rest = suffixes()
     shift = 0.0
@@ -102,20 +110,19 @@ def settle(weight: list[float], expected: list[float], cap: float, rng) -> list[
         alive[i] = False
         x, a = e[i] + shift, weight[i]
         while True:
-            whole = float(round(x))
-            if abs(x - whole) < 1e-9:
-                x = whole
+            f = x - base[i]
+            if f < 1e-9 or f > 1 - 1e-9:
+                x = float(round(x))
                 break
             words = rest[i + 1]
             if words <= 0:
                 break
-            f = x - int(x)
-            up, down = min(a * (1 - f), words * (low[i + 1] + shift)), min(a * f, words * (cap - high[i + 1] - shift))
+            up, down = min(a * (1 - f), words * (low[i + 1] + shift)), min(a * f, words * (1 - high[i + 1] - shift))
             rises = rng.random() * (up + down) < down
             moved = up if rises else -down
             x += moved / a
             shift -= moved / words
-            if low[i + 1] + shift < 1e-9 or cap - high[i + 1] - shift < 1e-9:  # members at a bound are decided
+            if low[i + 1] + shift < 1e-9 or 1 - high[i + 1] - shift < 1e-9:  # members at a bound are decided
                 spread()
                 shift = 0.0
                 low, high, rest = suffixes()
@@ -127,15 +134,13 @@ _SCHEMA = "doc_id long, source string, size long, rows long, h long, groups long
 
 
 def _level(level: int, seed: int, cap: float):
-    """Function over one group (an Arrow table): ``e`` after the group's pairs; of a source's only group the last one is drawn."""
+    """Function over one group (an Arrow table): ``e`` after the group's pairs."""
 
     def run(table):
         table = table.append_column("weight", pc.multiply(table["size"], table["rows"]).cast(pa.float64())).sort_by([("weight", "descending"), ("h", "ascending"), ("doc_id", "ascending"), ("rows", "ascending")])
         key = (seed, level, table["source"][0].as_py(), table["leaf"][0].as_py())
         rng = np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
         e = settle(table["weight"].to_pylist(), table["e"].to_pylist(), cap, rng)
-        if table["groups"][0].as_py() == 1:
-            e = [x if x == int(x) else int(x) + float(rng.random() < x - int(x)) for x in e]
         names = [n.split()[0] for n in _SCHEMA.split(", ")]
         return table.select(names[:-1]).append_column("e", pa.array(e, pa.float64()))
 
@@ -143,22 +148,69 @@ def _level(level: int, seed: int, cap: float):
 
 
 def round_copies(items: DataFrame, seed: int = 42, cap: float = CAP) -> DataFrame:
-    """(doc_id, source, size, copies) of items: doc_id, source, size, rows, groups (of their source), e (expected copies)."""
-    e = F.col("e")
+    """(doc_id, source, size, rows, h, e) of items: doc_id, source, size, rows, groups (of their source), e (expected copies); of a source at most one ``e`` is not whole."""
+    e, columns = F.col("e"), ("doc_id", "source", "size", "rows", "h", "e")
     open_items = items.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")).select("doc_id", "source", "size", "rows", "h", "groups", "e")
     decided, level = [], 0
     while True:
         leaf = F.pmod("h", F.col("groups")).alias("leaf")
         out = checkpoint(open_items.select("*", leaf).groupBy("source", "leaf").applyInArrow(_level(level, seed, cap), _SCHEMA))
-        decided.append(out.where(e == F.round(e)))
-        open_items = out.where(e != F.round(e)).withColumn("groups", F.ceil(F.col("groups") / FAN))
+        last = F.col("groups") == 1
+        decided.append(out.where((e == F.round(e)) | last).select(*columns))
+        open_items = out.where((e != F.round(e)) & ~last).withColumn("groups", F.ceil(F.col("groups") / FAN))
         if open_items.isEmpty():
             break
         level += 1
-    result = decided[0]
-    for d in decided[1:]:
-        result = result.unionByName(d)
-    return result.select("doc_id", "source", "size", e.cast("long").alias("copies"))
+    return reduce(DataFrame.unionByName, decided)
+
+
+def drawn(rounded: DataFrame, plan: DataFrame, seed: int = 42, cap: float = CAP) -> DataFrame:
+    """(doc_id, source, size, rows, h, copies): the last open document of a source takes the side that the others can make up for, or draws."""
+    words, e = (F.col("size") * F.col("rows")).cast("double"), F.col("e")
+    whole = e == F.floor(e)
+    room = rounded.groupBy("source").agg(F.sum(F.when(whole, words * e).otherwise(0.0)).alias("_less"), F.sum(F.when(whole, words * (cap - e)).otherwise(0.0)).alias("_more"), F.count_if(~whole).alias("_open"))
+    room = checkpoint(room.where("_open > 0").drop("_open"))
+    closed = rounded.where(whole).withColumn("copies", e.cast("long")).drop("e")
+    part = e - F.floor(e)
+    up, down = (1 - part) * words <= F.col("_less"), part * words <= F.col("_more")
+    chance = F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "source", "h", "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20)) < part
+    more = F.when(up & ~down, 1).when(down & ~up, 0).otherwise(chance.cast("int"))
+    opened = with_source(rounded.where(~whole), room).withColumn("copies", (F.floor(e) + more).cast("long"))
+    return closed.unionByName(opened.select(*closed.columns))
+
+
+def corrected(made: DataFrame, plan: DataFrame, cap: float = CAP, miss: float = MISS) -> DataFrame:
+    """Copies of ``made`` (doc_id, source, size, rows, h, copies), changed where a source misses its target by more than ``miss`` of it."""
+    words = F.col("size") * F.col("rows")
+    made = checkpoint(made)
+    while True:
+        taken = made.groupBy("source").agg(F.sum(words * F.col("copies")).alias("_taken"))
+        off = taken.alias("t").join(plan.alias("p"), F.col("t.source").eqNullSafe(F.col("p.source"))).select("p.source", (F.col("target") - F.col("_taken")).alias("_off"), "target")
+        off = checkpoint(off.where(F.abs("_off") > miss * F.col("target")).drop("target"))
+        if off.isEmpty():
+            return made
+        rises = F.col("_off") > 0
+        fits = (words > 0) & (words <= F.abs("_off")) & F.when(rises, F.col("copies") < cap).otherwise(F.col("copies") > 0)
+        near = with_source(made, off).where(fits)
+        place = F.row_number().over(Window.partitionBy("source").orderBy(words.desc(), "h", "doc_id"))
+        changes = checkpoint(near.withColumn("_place", place).where(F.col("_place") <= CHANGES).groupBy("source").applyInPandas(_changes, "doc_id long, source string, size long, _change long"))
+        if changes.isEmpty():
+            return made
+        joined = made.alias("d").join(changes.alias("f"), _same("d", "f"), "left")
+        made = checkpoint(joined.select(*(F.col(f"d.{c}") for c in made.columns if c != "copies"), (F.col("d.copies") + F.coalesce("f._change", F.lit(0))).alias("copies")))
+
+
+def _changes(pdf):
+    """A copy more or less of each document that still fits into what its source misses."""
+    import pandas as pd
+
+    pdf = pdf.sort_values("_place")
+    left, sign, out = abs(pdf["_off"].iloc[0]), 1 if pdf["_off"].iloc[0] > 0 else -1, []
+    for r in pdf.itertuples(index=False):
+        n = int(left >= r.size * r.rows)
+        left -= n * r.size * r.rows
+        out.append(sign * n)
+    return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "source": pdf["source"], "size": pdf["size"], "_change": out})[[n != 0 for n in out]]
 
 
 def with_source(items: DataFrame, per: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -186,7 +238,9 @@ def copies(sizes: DataFrame, seed: int = 42, cap: float = CAP) -> tuple[DataFram
     expected = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(cap))).otherwise(0.0)
     items = with_source(some, plan).select("doc_id", "source", "size", "rows", "groups", expected.alias("e"))
     none = grouped.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("copies"))
-    return round_copies(items, seed, cap).unionByName(none), plan.drop("groups")
+    plan = plan.drop("groups")
+    made = corrected(drawn(round_copies(items, seed, cap), plan, seed, cap), plan, cap)
+    return made.select(*none.columns).unionByName(none), plan
 
 
 def _same(x: str, y: str):
@@ -204,9 +258,14 @@ def mix(docs: DataFrame, seed: int = 42, cap: float = CAP) -> DataFrame:
 
 
 def repeat(docs: DataFrame, seed: int = 42, cap: float = CAP) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with the columns of ``docs``."""
+    """The mix itself: every document as often as it is taken, with the columns of ``docs``.
+
+    Rows come by number of copy, in the order of a hash: copies of a document are a whole pass over the others apart.
+    """
     safe, back = shielded(docs, ("size", "source_size", "target", "copies", "taken", "_copy"))
     mixed = mix(safe, seed, cap).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    wide, place = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(F.lit(seed), "doc_id")
+    mixed = mixed.repartition(wide, F.col("_copy"), F.pmod(place, F.lit(wide))).sortWithinPartitions("_copy", place)
     return mixed.select(*(F.col(f"`{c}`") for c in safe.columns)).withColumnsRenamed(back)
 
 

@@ -881,3 +881,47 @@ def test_quality_keeps_columns_of_any_name(spark):
 def test_quality_has_no_python(docs):
     plan = qualityrules.rules(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+# mixing: bounds of copies, large documents, copies apart
+
+
+def test_sources_meet_their_targets_at_a_larger_scale(spark):
+    test_sources_within(spark, "/root/testdata/sf0.1", 0.005)
+
+
+def test_sources_within(spark, folder="/root/testdata/sf0.001", share=0.05):
+    out = mixing.op1_source_mixing(spark, folder).collect()
+    taken = collections.Counter()
+    for r in out:
+        taken[r["source"]] += r["taken"]
+        assert 0 <= r["copies"] <= 3
+    assert all(abs(taken[r["source"]] - r["target"]) <= share * r["target"] for r in out)
+
+
+@pytest.mark.parametrize("sizes, share", [([900, 300, 200, 100, 50, 30, 20, 10], 0.02), ([5000] + [10] * 400, 0.01), ([70, 1], 0.6), ([10] * 9, 0.1)])
+def test_a_document_above_half_of_its_source(spark, sizes, share):
+    rows = [(i, "b", n) for i, n in enumerate(sizes)] + [(1000, "a", 3 * sum(sizes)), (1001, "a", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    out = mixing.mix(docs).where("source = 'b'").collect()
+    target = out[0]["target"]
+    assert abs(sum(r["taken"] for r in out) - target) <= share * target and all(0 <= r["copies"] <= 3 for r in out)
+    assert sorted(map(str, out)) == sorted(map(str, mixing.mix(docs.repartition(3)).where("source = 'b'").collect()))
+
+
+def test_most_copies_are_next_to_their_expectation(spark):
+    out = mixing.op1_source_mixing(spark, "/root/testdata/sf0.1").where("size > 0").collect()
+    near = sum(abs(r["copies"] - min(r["target"] / r["source_size"], 3)) < 1 + 1e-9 for r in out)
+    assert near >= 0.995 * len(out)
+
+
+def test_copies_lie_apart(spark):
+    docs = spark.createDataFrame([(i, f"word{i} " * 30, "a" if i % 5 else "b") for i in range(300)], "doc_id long, text string, source string")
+    rows = [r["doc_id"] for r in mixing.repeat(docs).collect()]
+    last: dict = {}
+    gaps = []
+    for at, i in enumerate(rows):
+        if i in last:
+            gaps.append(at - last[i])
+        last[i] = at
+    assert gaps and min(gaps) > 5
