@@ -18,9 +18,9 @@ group of the next level, until one group per source is left.  Its last open
 document is drawn; where other documents can make up for one of the two
 outcomes only, it takes that one.  What a source then misses its target by is
 less than that one document.  Where this is more than ``MISS`` of the target
-(few documents, or one that outweighs the others) documents no larger
-than the miss get a copy more or less, the largest first, within 0 and ``cap``,
-until no such document is left.  Draws come from a generator seeded by (seed, level,
+(few documents, or one that outweighs the others) documents below twice
+the miss get a copy more or less, the largest that fit first, within 0 and
+``cap``, until none brings the source nearer.  Draws come from a generator seeded by (seed, level,
 source, group) or a hash of the document: reruns agree, whatever the partitions.
 
 The tree sees keys and sizes only; ``mix`` joins its copies with the rows.  Rows of the same doc_id, source and
@@ -190,7 +190,7 @@ def corrected(made: DataFrame, plan: DataFrame, cap: float = CAP, miss: float =
         if off.isEmpty():
             return made
         rises = F.col("_off") > 0
-        fits = (words > 0) & (words <= F.abs("_off")) & F.when(rises, F.col("copies") < cap).otherwise(F.col("copies") > 0)
+        fits = (words > 0) & (words < 2 * F.abs("_off")) & F.when(rises, F.col("copies") < cap).otherwise(F.col("copies") > 0)
         near = with_source(made, off).where(fits)
         place = F.row_number().over(Window.partitionBy("source").orderBy(words.desc(), "h", "doc_id"))
         changes = checkpoint(near.withColumn("_place", place).where(F.col("_place") <= CHANGES).groupBy("source").applyInPandas(_changes, "doc_id long, source string, size long, _change long"))
@@ -206,10 +206,13 @@ def _changes(pdf):
 
     pdf = pdf.sort_values("_place")
     left, sign, out = abs(pdf["_off"].iloc[0]), 1 if pdf["_off"].iloc[0] > 0 else -1, []
-    for r in pdf.itertuples(index=False):
-        n = int(left >= r.size * r.rows)
-        left -= n * r.size * r.rows
-        out.append(sign * n)
+    words = (pdf["size"] * pdf["rows"]).tolist()
+    for w in words:
+        out.append(sign * int(left >= w))
+        left -= abs(out[-1]) * w
+    past = [i for i, (n, w) in enumerate(zip(out, words, strict=True)) if not n and w < 2 * left]
+    if past:  # one more goes beyond the target, but comes nearer to it
+        out[min(past, key=lambda i: abs(left - words[i]))] = sign
     return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "source": pdf["source"], "size": pdf["size"], "_change": out})[[n != 0 for n in out]]
 
 
