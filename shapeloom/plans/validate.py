@@ -18,7 +18,8 @@ that conform to the label; those to labels of node constraints only are
 predicates, and those to labels over arcs only need no demand.  A recursive
 stratum starts from all demanded pairs and drops failing ones until nothing
 changes (the greatest fixpoint); a round looks again only at nodes with arcs to
-what the last one dropped.  A label that refers to itself by one arc at most is
+what the last one dropped.  Negation inside a cycle has to come in even numbers;
+such a stratum is two-sided, and each side gets the typing most favourable to it.  A label that refers to itself by one arc at most is
 a chain: pointers double, so n hops take log n rounds.  Demand is closed first
 by following arcs from the requested pairs.
 """
@@ -30,7 +31,7 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parts, rbe
@@ -250,6 +251,8 @@ class Validator:
                     found.append(Atom(x, constraints, e, f"a{len(found)}", tuple(conditions)))
             self.atoms[label] = found
         self.rounds = 0
+        self.typing: dict[str, DataFrame] = {}
+        self.sides = analyze.sides(deps)
         self.chains = {} if track else {x: p for comp in self.order if len(comp) == 1 for x in comp if x in self.recursive and (p := self._chain(x))}
         self.inline: set[str] = set()
         self.default: dict[str, bool] = {}
@@ -411,10 +414,121 @@ class Validator:
             if comp[0] in self.chains:
                 out[comp[0]] = self._by_chain(comp[0], known[comp[0]], true)
                 true[comp[0]] = out[comp[0]].where("ok").select("node")
+            elif comp[0] in self.sides:
+                out |= self._by_sides(comp, known, true)
             else:
                 out |= self._by_rounds(comp, known, true)
+        self.typing = true
         return out
 
+    def _by_sides(self, comp: list[str], known: dict, true: dict) -> dict[str, DataFrame]:
+        """A stratum with negation: labels stand on two sides, and negation always crosses (the cycles are even).
+
+        With the other side's verdicts turned round everything is monotone, so
+        the verdicts of a side are those of the typing that says yes to it
+        wherever nothing refutes that, and no to the other side wherever nothing
+        proves it: what is asked may be assumed.  Where the other side's typing
+        says otherwise, the verdict rests on its own assumption, and the reason says so.
+        """
+        views = {}
+        for mine in (0, 1):
+            views[mine] = self._alternating(comp, known, true, {x: self.sides[x] == mine for x in comp})
+        out = {}
+        for x in comp:
+            own, other = views[self.sides[x]][x], views[1 - self.sides[x]][x].select(F.col("node").alias("_n"), F.col("ok").alias("_ok"))
+            assumed = F.col("ok") & ~F.col("_ok")
+            met = own.join(other, F.col("node") == F.col("_n"))
+            out[x] = keep(met.select(*_NODE, "ok", F.when(assumed, "holds by assumption: nothing refutes it").otherwise(F.col("reason")).alias("reason")))
+            true[x] = out[x].where("ok").select("node")
+        return out
+
+    def _alternating(self, comp: list[str], known: dict, true: dict, first: dict[str, bool]) -> dict[str, DataFrame]:
+        """The fixpoint from verdicts ``first`` of all nodes; a round looks again at nodes with arcs to those whose verdict changed."""
+        asks = {x: self._references(x) for x in comp}
+        here_true = true | {x: known[x].select("node").where(F.lit(first[x])) for x in comp}
+        results = {x: keep(self._label(x, known[x], here_true)) for x in comp}
+        changed = {x: results[x].where(F.col("ok") != F.lit(first[x])).select("node") for x in comp}
+        while True:
+            self.rounds += 1
+            changed = {x: c for x, c in changed.items() if not c.isEmpty()}
+            if not changed:
+                return results
+            here_true = true | {x: results[x].where("ok").select("node") for x in comp}
+            fresh = {}
+            for x in comp:
+                here, there = asks[x]
+                met = [changed[r].select("node") for r in here if r in changed]
+                met += [self._sources(path, changed[r]) for path, refs in there.items() for r in refs & set(changed)]
+                if met:
+                    again = results[x].select(*_NODE).join(reduce(DataFrame.unionByName, met).distinct(), "node", "left_semi")
+                    new = self._label(x, again, here_true, narrow=True)
+                    old = results[x].select(F.col("node").alias("_n"), F.col("ok").alias("_ok"))
+                    fresh[x] = keep(new.join(old, F.col("node") == F.col("_n")).where("ok != _ok").drop("_n", "_ok"))
+            results |= {x: keep(results[x].join(f.select("node"), "node", "left_anti").unionByName(f)) for x, f in fresh.items() if not f.isEmpty()}
+            changed = {x: f.select("node") for x, f in fresh.items()}
+
+    # evidence
+
+    def evidence(self, label: str, result: DataFrame) -> DataFrame:
+        """Which constraint of which shape every arc of a conforming node serves: (node, part, constraint, predicate, inverse, target).
+
+        result: the label's verdicts by ``evaluate``.  part counts the shapes of
+        the label, constraint the constraints of a shape, both from 0; shapes that a
+        choice or a negation does not need are left out where they do not hold.
+        An arc may serve in several shapes, but in one constraint of each; where
+        bases share a node's arcs it serves in one base.
+        """
+        se, true = self.exprs[label], self.typing
+        nodes = keep(result.where("ok").select(*_NODE))
+        t = TermColumns(*(F.col(c) for c in _NODE[1:]))
+        out = None
+        for part, a in enumerate(self.atoms[label]):
+            refs = {x.label for c in a.constraints if c.value is not None for x in walk_shapes(c.value) if isinstance(x, ShapeRef)}
+            held = nodes
+            if not (a.shape is se or isinstance(se, ShapeAnd) and any(x is a.shape for x in se.exprs)):
+                for counted in self._counts([a], refs, true, nodes):
+                    held = held.join(counted, "node", "left")
+                held = held.where(F.coalesce(self._atom(a, t), F.lit(False))).select(*_NODE)
+            one = self._served(a, self._marked(a, held, refs, true), held.select("node", _flags(a, t).alias("flags")))
+            one = one.select("node", F.lit(part).alias("part"), "constraint", "p", "inverse", "target")
+            out = one if out is None else out.unionByName(one)
+        if out is None:
+            return self.graph.spark.createDataFrame([], "node string, part int, constraint int, predicate string, inverse boolean, target string")
+        return out.withColumnRenamed("p", "predicate")
+
+    def _marked(self, a: Atom, nodes: DataFrame, refs: set[str], true: dict) -> DataFrame:
+        """(node, p, inverse, target, path, mask): arcs of nodes that satisfy constraints of a shape, and which."""
+        arcs = _arcs(self.graph, a.direct, a.backward).withColumn("target", term_id(term_at(""))).join(nodes.select("node"), "node", "left_semi")
+        if refs - self.inline:
+            arcs = _with_labels(arcs, "target", refs - self.inline, true, "_labels")
+        t, p, inv = term_at(""), F.col("p"), F.col("inverse")
+        mask = reduce(lambda x, y: x.bitwiseOR(y), (F.when((p == c.predicate) & (inv == F.lit(c.inverse)) & self._value(c, t), 1 << i).otherwise(0).cast("long") for i, c in enumerate(a.constraints)), F.lit(0).cast("long"))
+        path = reduce(lambda x, y: F.when((p == y[1][0]) & (inv == F.lit(y[1][1])), y[0]).otherwise(x), enumerate(a.paths), F.lit(None).cast("int"))
+        marked = arcs.select("node", "p", "inverse", "target", path.cast("int").alias("path"), mask.alias("mask"))
+        return marked if a.dealt else marked.where("mask > 0")
+
+    def _served(self, a: Atom, arcs: DataFrame, flags: DataFrame) -> DataFrame:
+        """``arcs`` with ``constraint``: the one that each serves."""
+        if not a.dealt and all(len(a.of_path(path)) == 1 for path in a.paths):
+            return arcs.withColumn("constraint", F.log2("mask").cast("int"))
+        arcs = keep(arcs)
+        vectors = keep(_vectors(arcs).join(flags, "node"))
+
+        def run(frames):
+            import pandas as pd
+
+            for pdf in frames:
+                dealt = []
+                for k, bits in zip(pdf["k"], pdf["flags"], strict=True):
+                    rows = json.loads(k)
+                    dealt.append([{"path": rows[c]["path"], "mask": rows[c]["mask"], "constraint": s, "first": first, "n": n} for c, s, first, n in a.deal(_classes(k, a.paths), int(bits)) or []])
+                yield pd.DataFrame({"k": pdf["k"], "flags": pdf["flags"], "dealt": dealt})
+
+        solved = vectors.select("k", "flags").distinct().mapInPandas(run, "k string, flags int, dealt array<struct<path: int, mask: long, constraint: int, first: long, n: long>>")
+        shares = vectors.join(solved, ["k", "flags"]).select("node", F.explode("dealt").alias("d")).select("node", "d.*")
+        met = _numbered(arcs).join(shares, ["node", "path", "mask"]).where("place >= first AND place < first + n")
+        return met.select("node", "p", "inverse", "target", "constraint")
+
     def _by_rounds(self, comp: list[str], known: dict, true: dict) -> dict[str, DataFrame]:
         """The greatest fixpoint of a stratum: what fails takes along what asks for it."""
         true |= {x: known[x].select("node") for x in comp}
@@ -641,6 +755,16 @@ def _flags(a: Atom, t: TermColumns) -> Column:
     return reduce(lambda x, y: x + y, (F.when(compile_constraint(c, t), 1 << i).otherwise(0) for i, c in enumerate(a.conditions)), F.lit(0))
 
 
+def _numbered(arcs: DataFrame, salts: int = 64) -> DataFrame:
+    """``arcs`` with ``place``: their number from 0 within (node, path, mask).  A node's arcs are numbered in ``salts`` parts, each from where the one before ends."""
+    key = ["node", "path", "mask"]
+    salted = arcs.withColumn("_salt", F.pmod(F.xxhash64("target", "p"), F.lit(salts)))
+    before = Window.partitionBy(*key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = salted.groupBy(*key, "_salt").agg(F.count("*").alias("_n")).select(*key, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy(*key, "_salt").orderBy("target", "p"))
+    return salted.withColumn("_within", within).join(starts, [*key, "_salt"]).withColumn("place", F.col("_start") + F.col("_within") - 1).drop("_salt", "_within", "_start")
+
+
 def _subsets(items: list[int]) -> list[tuple[int, ...]]:
     return [c for k in range(1, len(items) + 1) for c in combinations(items, k)]
 
@@ -731,3 +855,19 @@ def validate(graph: Graph, schema: Schema, pairs: list[tuple[DataFrame, str, str
             if label not in requested and not label.startswith(("own:", "nested:")):
                 out = out.unionByName(r.where("ok").select("node", F.lit(label).alias("shape"), F.lit(CONFORMANT).alias("status"), F.lit(None).cast("string").alias("reason"), F.lit(True).alias("as_expected")))
     return out
+
+
+def evidence(graph: Graph, schema: Schema, pairs: list[tuple[DataFrame, str]], resolver=None, actions: Actions | None = None) -> DataFrame:
+    """Why requested nodes conform: (node, shape, part, constraint, predicate, inverse, target), one row per arc and shape that it serves in.
+
+    pairs: (nodes, label); see ``Validator.evidence``.
+    """
+    v = Validator(schema, graph, resolver, actions, track=True)
+    requested: dict[str, list[DataFrame]] = {}
+    for nodes, label in pairs:
+        if label not in v.exprs:
+            raise SchemaError(f"no shape {label}")
+        requested.setdefault(label, []).append(nodes)
+    asked = {k: _union_nodes(x) for k, x in requested.items()}
+    results = v.evaluate(asked)
+    return reduce(DataFrame.unionByName, [v.evidence(label, results[label].join(nodes.select("node"), "node", "left_semi")).withColumn("shape", F.lit(label)) for label, nodes in asked.items()])

@@ -334,13 +334,15 @@ _register("graph_union", graph_union, "SELECT CAST(n_nationkey AS BIGINT) AS n_n
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from . import queries_forms as forms
+    from . import queries_more as more
     from .wikibase import queries as wb
 
-    return _QUERIES | forms.QUERIES | wb.QUERIES
+    return _QUERIES | forms.QUERIES | more.QUERIES | wb.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     from . import queries_forms as forms
+    from . import queries_more as more
     from .wikibase import queries as wb
 
-    return _ORACLE | forms.ORACLE | wb.ORACLE
+    return _ORACLE | forms.ORACLE | more.ORACLE | wb.ORACLE

@@ -137,6 +137,24 @@ def odd_negative_cycles(deps: dict[str, set[tuple[str, int]]]) -> list[list[str]
     return [c for c in where if found & set(c)]
 
 
+def sides(deps: dict[str, set[tuple[str, int]]]) -> dict[str, int]:
+    """Side 0 or 1 of every label in a component with negation inside, such that negation crosses; only where all its cycles are even."""
+    odd = {v for c in odd_negative_cycles(deps) for v in c}
+    out: dict[str, int] = {}
+    for comp in negative_cycles(deps):
+        if odd & set(comp):
+            continue
+        todo = [comp[0]]
+        out[comp[0]] = 0
+        while todo:
+            v = todo.pop()
+            for t, sign in deps[v]:
+                if t in comp and t not in out:
+                    out[t] = out[v] if sign > 0 else 1 - out[v]
+                    todo.append(t)
+    return out
+
+
 def isomorphic(a: dict[str, set[tuple[str, int]]], b: dict[str, set[tuple[str, int]]]) -> dict[str, str] | None:
     """A renaming of labels that makes two signed dependency graphs equal, or None.  Labels are matched by their edges' signs first."""
 
@@ -197,40 +215,12 @@ def problems(schema: Schema) -> list[str]:
         deps = dependencies(schema)
     except SchemaError as e:
         return [str(e)]
-    out += [f"negation through the cycle {', '.join(c)}" for c in negative_cycles(deps)]
+    out += [f"an odd number of negations through the cycle {', '.join(c)}" for c in odd_negative_cycles(deps)]
     graph = {d.label: {b for se in walk_shapes(d.expr) if isinstance(se, Shape) for b in se.extends} for d in schema.shapes}
     out += [f"extension through the cycle {', '.join(c)}" for c in strongly_connected(graph) if len(c) > 1 or c[0] in graph[c[0]]]
-    for d in schema.shapes:
-        for x in _only_references(schema, d.label):
-            out.append(f"shape {d.label} refers to itself outside of arcs ({x})")
     return out
 
 
-def _only_references(schema: Schema, label: str) -> list[str]:
-    """References that lead from a label back to it without following an arc."""
-    direct = {}
-    for d in schema.shapes:
-        found, todo = set(), [d.expr]
-        while todo:
-            e = todo.pop()
-            if isinstance(e, ShapeRef):
-                found.add(e.label)
-            elif isinstance(e, ShapeAnd | ShapeOr):
-                todo += e.exprs
-            elif isinstance(e, ShapeNot):
-                todo.append(e.expr)
-        direct[d.label] = found
-    seen, todo = set(), [label]
-    while todo:
-        for t in direct.get(todo.pop(), ()):
-            if t == label:
-                return [label]
-            if t not in seen:
-                seen.add(t)
-                todo.append(t)
-    return []
-
-
 # inheritance -----------------------------------------------------------------
 
 

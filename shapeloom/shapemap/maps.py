@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.terms import literal_id, resource, term_at, term_id, term_row
 from ..operators import paths as pp
 from ..plans.validate import CONFORMANT, NODE, NONCONFORMANT, validate
+from ..plans.validate import evidence as explain
 from ..schema.ast import RDF, START, BNode, Iri, Literal, Schema, SchemaError
 from ..schema.shexc import PATH_TOKENS, Parser
 from ..sources.graph import Graph
@@ -270,6 +271,11 @@ def run(graph: Graph, schema: Schema, associations: list[Association], **options
     return validate(graph, schema, [(select(graph, a.selector), a.label, a.status) for a in associations], **options)
 
 
+def evidence(graph: Graph, schema: Schema, associations: list[Association], **options) -> DataFrame:
+    """Why the conforming nodes of a query map conform: (node, shape, part, constraint, predicate, inverse, target), one row per arc and shape that it serves in."""
+    return explain(graph, schema, [(select(graph, a.selector), a.label) for a in associations], **options)
+
+
 def run_targets(graph: Graph, schema: Schema, **options) -> DataFrame:
     """Result map of the graph's own target declarations, for the schema's shapes."""
     t = targets(graph)

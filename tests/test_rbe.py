@@ -52,3 +52,66 @@ def test_columns_agree(spark):
 def test_open_bags():
     e = rbe.And((rbe.Symbol("a", 1, 2), rbe.Or((rbe.Symbol("b", 1, 1), rbe.Symbol("c", 1, 1)))))
     assert rbe.matches(e, {"a": 1, "c": 1, "z": 4}, open_=True) and not rbe.matches(e, {"a": 1, "c": 1, "z": 4}) and not rbe.matches(e, {"a": 3, "c": 1}, open_=True)
+
+
+def _random_expression(r, depth, names):
+    from shapeloom.functions import rbe
+
+    kind = r.random()
+    cards = [(1, 1), (0, 1), (0, None), (1, None), (2, 3), (0, 2), (2, 2), (1, 2)]
+    if depth == 0 or kind < 0.25:
+        return rbe.Symbol(names.pop(), *r.choice(cards)) if names else rbe.Empty()
+    if kind < 0.75:
+        return (rbe.And if kind < 0.5 else rbe.Or)(tuple(_random_expression(r, depth - 1, names) for _ in range(r.randint(1, 3))))
+    return rbe.Repeat(_random_expression(r, depth - 1, names), *r.choice(cards))
+
+
+def test_assignments_agree_with_all_splits():
+    import random
+    from itertools import product
+
+    from shapeloom.functions import assign, rbe
+
+    r, met = random.Random(11), 0
+    for _ in range(3000):
+        names = ["a", "b", "c", "d", *(["a"] if r.random() < 0.2 else [])]
+        r.shuffle(names)
+        e = _random_expression(r, 3, names)
+        known = sorted(set(rbe.symbols(e))) or ["z"]
+        options = [(tuple(sorted(r.sample(known, r.randint(1, len(known))))), r.randint(0, 4)) for _ in range(r.randint(0, 3))]
+        want = False
+        for dealt in product(*(list(rbe.splits(n, len(s))) for s, n in options)):
+            bag: dict = {}
+            for (s, _), split in zip(options, dealt, strict=True):
+                for name, n in zip(s, split, strict=True):
+                    bag[name] = bag.get(name, 0) + n
+            want = want or rbe.matches(e, bag)
+        got = assign.assignment(e, options)
+        assert (got is not None) == want, (e, options)
+        if got is not None:
+            bag = {}
+            for (c, s), n in got.items():
+                assert s in options[c][0]
+                bag[s] = bag.get(s, 0) + n
+            assert rbe.matches(e, bag) and all(sum(n for (c, _), n in got.items() if c == i) == n_ for i, (_, n_) in enumerate(options))
+            assert assign.possible(e, [(s, max(0, n - 1), n + 1) for s, n in options])
+        met += want
+    assert 500 < met < 2500
+
+
+def test_large_counts_are_solved_at_once():
+    import time
+
+    from shapeloom.functions import assign, parts, rbe
+
+    s = rbe.Symbol
+    e = rbe.Or((rbe.And((s(0, 1, None), s(1, 2, 4000), s(2, 0, 3000))), rbe.Repeat(rbe.And((s(3, 1, 1), s(4, 1, 2))), 1, None), s(5, 0, None)))
+    began = time.time()
+    assert assign.assignment(e, [((0, 3), 2500), ((1, 4), 3000), ((2, 3, 4), 2500), ((0, 1, 2, 3, 4, 5), 2000)])
+    assert assign.assignment(e, [((3, 4), 10_001)]) and assign.assignment(e, [((3,), 3333), ((4,), 6667)]) is None
+    pairs = rbe.Repeat(rbe.And((s(0, 2, 2), s(1, 3, 3))), 0, None)
+    assert assign.assignment(pairs, [((0, 1), 9999)]) is None and assign.assignment(pairs, [((0, 1), 10_000)]) == {(0, 0): 4000, (0, 1): 6000}
+    flat = lambda x: parts.Flat(x, frozenset("p"), frozenset())
+    tree = parts.Parts((parts.All((flat(s(0, 1, None)), parts.Not(flat(s(1, 0, 3000))))), flat(rbe.And((s(2, 2, None), s(3, 0, 5))))))
+    assert parts.holds(tree, [("p", (0, 1, 2), 9000), ("p", (0, 2, 3), 1000)]) and not parts.holds(tree, [("p", (0, 1, 2), 3000)])
+    assert time.time() - began < 5

@@ -60,7 +60,6 @@ def test_rejects(text):
         ":S { :p NOT @:S }",
         ":S { :p @:T } :T { :q NOT @:S }",
         ":S EXTRA :p { :p @:S }",
-        ":S @:S AND { :p . }",
         ":A EXTENDS @:B { } :B EXTENDS @:A { }",
     ],
 )

@@ -141,3 +141,88 @@ def test_rounds_look_again_at_what_lost_a_target_only(spark):
     want = {"a": False, "b": False, "c": False, "d": True, "e": True, "f": False, "g": True}
     rows = run(spark, ttl, ":S { :p @:S + } OR { :z . }", "{FOCUS :p _}@:S, :c@:S").collect()
     assert {r["node"][10:-1]: r["status"] == "conformant" for r in rows} == want
+
+
+EVEN = ':P { :r ["u"] ; :prev NOT @:Q ? } :Q { :r . ; :prev NOT @:P ? }'
+
+
+@pytest.mark.parametrize(
+    "ttl, schema, shape_map, want",
+    [
+        (":a :r 'u' . :b :r 'u' ; :prev :a . :c :r 'u' ; :prev :b . :d :r 'v' ; :prev :c . :e :r 'u' ; :prev :d .".replace("'", '"'), EVEN, ":a@:P,:b@:P,:b@:Q,:c@:P,:c@:Q,:d@:P,:d@:Q,:e@:P,:e@:Q", ":a@:P,:b@!:P,:b@!:Q,:c@:P,:c@:Q,:d@!:P,:d@!:Q,:e@:P,:e@:Q"),
+        # on a cycle of data each label may be assumed, when it is the one that is asked for
+        (':x :r "u" ; :prev :x . :y :r "v" ; :prev :y .', EVEN, ":x@:P,:x@:Q,:y@:P,:y@:Q", ":x@:P,:x@:Q,:y@!:P,:y@:Q"),
+        (":a :p :b . :b :p :c . :c :q 1 .", ":S NOT { :p NOT @:S } ", ":a@:S,:b@:S,:c@:S", ":a@:S,:b@:S,:c@:S"),
+        (":a :p 1 . :b :q 1 .", ":S @:S AND { :p . } :T @:U OR { :q . } :U @:T", ":a@:S,:b@:S,:a@:T,:b@:U", ":a@:S,:b@!:S,:a@:T,:b@:U"),
+    ],
+    ids=["chain", "assumed", "double", "own reference"],
+)
+def test_even_negation(spark, ttl, schema, shape_map, want):
+    rows = run(spark, ttl, schema, shape_map).collect()
+    assert sorted((r["node"], r["shape"], r["status"]) for r in rows) == expected(want)
+    assumed = {(r["node"][10:-1], r["shape"][-1]) for r in rows if "assumption" in (r["reason"] or "")}
+    assert assumed == ({("x", "P"), ("x", "Q")} if ":x :r" in ttl else set())
+
+
+def test_odd_negation_is_refused(spark):
+    for schema in (":S { :p NOT @:S }", ":S { :p NOT @:T } :T { :p NOT @:U } :U { :p NOT @:S }", ":S EXTRA :p { :p @:S }", ":S NOT @:S"):
+        with pytest.raises(SchemaError, match="odd number of negations"):
+            Validator(parse(PREFIXES + schema, "http://e/"), graph.of_terms(spark, []))
+
+
+BASE_CASES = [
+    (":B (IRI AND { :p [1] }) OR { :p [2] } :A EXTENDS @:B { :q . ? }", ":x :p 1 ; :q 5 . _:b :p 1 . :y :p 2 . :z :p 3 .", {"x": True, "b": False, "y": True, "z": False}),
+    (":B NOT LITERAL AND NOT { :p [1] } AND { :p . + } :A EXTENDS @:B { :p [1] * }", ":x :p 1, 2 . :y :p 1 . :z :p 2 .", {"x": True, "y": False, "z": True}),
+    (":B { :p [1 2] + } OR BNODE :A EXTENDS @:B { :p [2 3] }", ":x :p 1, 2 . :y :p 3 . _:b :p 3 . :z :p 1, 3 .", {"x": True, "y": False, "b": True, "z": True}),
+    (":C { :p [1 2] } :B @:C AND ({ :p [1] } OR { :p [2] ; :q [1] }) :A EXTENDS @:B { :q [1 2] * }", ":x :p 1 ; :q 2 . :y :p 2 ; :q 1 . :z :p 2 ; :q 2 .", {"x": True, "y": True, "z": False}),
+]
+
+
+@pytest.mark.parametrize("schema, ttl, want", BASE_CASES)
+def test_choices_and_node_conditions_in_bases(spark, schema, ttl, want):
+    rows = run(spark, ttl, schema, "{FOCUS :p _}@:A").collect()
+    got = {(r["node"][10:-1] if r["node"].startswith("<") else "b"): r["status"] == "conformant" for r in rows}
+    assert got == want
+
+
+def served(spark, ttl, schema, shape_map):
+    g = graph.of_terms(spark, rdf.parse_turtle(PREFIXES + ttl))
+    rows = maps.evidence(g, parse(PREFIXES + schema, "http://e/"), maps.parse(shape_map, "http://e/", {"": "http://e/"})).collect()
+    out: dict = {}
+    for r in rows:
+        out.setdefault(r["node"][10:-1], []).append((r["part"], r["constraint"], r["target"].split("^^")[0].strip('"')))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_evidence(spark):
+    flat = served(spark, ":x :p 1, 2 ; :q :y . :y :p 9 . :z :p 1 ; :q :x .", ":S EXTRA :p { :p [1 2 3] + ; :q IRI }", "{FOCUS :q _}@:S")
+    assert flat == {"x": [(0, 0, "1"), (0, 0, "2"), (0, 1, "<http://e/y>")], "z": [(0, 0, "1"), (0, 1, "<http://e/x>")]}
+    shared = served(spark, ":x :p 1, 2, 3 . :y :p 2 .", ":S { :p [1 2] ; :p [2 3] {1,2} }", "{FOCUS :p _}@:S")
+    assert set(shared) == {"x"} and len(shared["x"]) == 3 and (0, 0, "1") in shared["x"] and {(0, 1, "2"), (0, 1, "3")} < set(shared["x"])
+    inverse = served(spark, ":a :p :x . :b :p :x .", ":S { ^:p IRI {2} }", ":x@:S")
+    assert inverse == {"x": [(0, 0, "<http://e/a>"), (0, 0, "<http://e/b>")]}
+    either = served(spark, ":x :p 1 . :y :q 1 .", ":S { :p . } OR { :q . }", ":x@:S, :y@:S")
+    assert either == {"x": [(0, 0, "1")], "y": [(1, 0, "1")]}
+    bases = served(spark, ":x :p 1, 2, 3 .", ":B { :p [1 2] } AND { :p [1 2] } :A EXTENDS @:B { :p [2 3] {2} }", ":x@:A")
+    assert bases == {"x": [(0, 0, "1"), (0, 1, "1"), (0, 2, "2"), (0, 2, "3")]}
+    assert served(spark, ":x :p :y . :y :p :x .", ":S { :p @:S }", ":x@:S") == {"x": [(0, 0, "<http://e/y>")]}
+    assert served(spark, ":x :p 1 .", ":S IRI", ":x@:S") == {} and served(spark, "", ":S { :p . }", ":x@:S") == {}
+
+
+def test_many_arcs_over_six_constraints_in_a_choice(spark):
+    """A node of 10,000 arcs; its counts are solved at once and every arc gets a constraint."""
+    from pyspark.sql import functions as F
+
+    n = 10_000
+    lex = F.col("id").cast("string")
+    rows = spark.range(n).select(F.lit("<http://e/x>").alias("s"), F.lit("http://e/p").alias("p"), F.lit("literal").alias("o_kind"), lex.alias("o_lex"), F.lit("http://www.w3.org/2001/XMLSchema#integer").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
+    g = graph.Graph(rows, distinct=False)
+    c = lambda lo, hi, card: f":p xsd:integer MININCLUSIVE {lo} MAXEXCLUSIVE {hi} {card}"
+    schema = f":S {{ ( {c(0, 6000, '+')} ; {c(2500, 9000, '{1,4000}')} ; {c(5000, 10000, '{0,3000}')} ) | ( {c(0, 7000, '')} ; {c(3000, 10000, '{1,2}')} ) {{1,}} | {c(0, 100, '*')} }}"
+    rows = maps.evidence(g, parse(PREFIXES + schema, "http://e/"), maps.parse(":x@:S", "http://e/", {"": "http://e/"}))
+    got = {r["constraint"]: (r["n"], r["low"], r["high"]) for r in rows.groupBy("constraint").agg(F.count("*").alias("n"), F.min(F.regexp_extract("target", r"([0-9]+)", 1).cast("int")).alias("low"), F.max(F.regexp_extract("target", r"([0-9]+)", 1).cast("int")).alias("high")).collect()}
+    assert sum(v[0] for v in got.values()) == n == rows.select("target").distinct().count()
+    if set(got) <= {0, 1, 2}:
+        assert got[1][0] <= 4000 and got.get(2, (0,))[0] <= 3000 and got[0][2] < 6000 and 2500 <= got[1][1]
+    else:
+        assert set(got) == {3, 4} and got[3][0] <= got[4][0] <= 2 * got[3][0] and got[3][2] < 7000 and got[4][1] >= 3000
