@@ -1,4 +1,4 @@
-"""RDF files as graphs: N-Triples by lines; Turtle, RDF/XML and JSON-LD by files."""
+"""RDF files as graphs: N-Triples by lines; Turtle by blocks (``splits``); RDF/XML and JSON-LD by files."""
 
 from __future__ import annotations
 
@@ -87,7 +87,10 @@ def _read_whole(spark: SparkSession, path: str, parse) -> Graph:
 
 
 def read_turtle(spark: SparkSession, path: str, base: str | None = None) -> Graph:
-    return _read_whole(spark, path, lambda text: parse_turtle(text, base))
+    """Files of any size, each by many tasks."""
+    from . import splits
+
+    return splits.read_turtle(spark, path, base)
 
 
 def read_rdfxml(spark: SparkSession, path: str, base: str | None = None) -> Graph:
