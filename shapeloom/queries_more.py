@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .queries import _FLAGS, NAMES, PREFIXES, _case, graph, key_of
+from .operators import paths as pp
+from .operators import reach
+from .plans.storage import folder
+from .queries import _FLAGS, GRAPH, NAMES, PREFIXES, _case, graph, key_of
+from .schema import analyze, shexj
 from .schema.shexc import parse
 from .shapemap import maps
+from .sources import rdf
 from .sources.graph import BASE
 
 QUERIES: dict = {}
@@ -95,3 +100,84 @@ _validation(
     lambda: (F.regexp_extract("node", r"/([0-9]+)-", 1).cast("long").alias("conv_id"), F.regexp_extract("node", r"-([0-9]+)>$", 1).cast("long").alias("turn"), F.regexp_extract("shape", r"([^/]+)$", 1).alias("shape"), "status"),
 )
 _validation("self_reference", ":S @:S AND { :o_custkey @:C } :C @:C OR { :none . }", f"SELECT o_orderkey, {_case('o_custkey IS NOT NULL')} FROM orders")
+
+# reachability without pairs
+
+_CHATS = [m for m in GRAPH if m.table == "conversations"]
+_TURN_OF = lambda c: (F.regexp_extract(c, r"/([0-9]+)-", 1).cast("long").alias("conv_id"), F.regexp_extract(c, r"-([0-9]+)>$", 1).cast("long").alias("turn"))
+
+
+def _replies(spark, sf_dir):
+    """Arcs (start, node) from every turn to the one before it."""
+    return pp.pairs(graph(spark, sf_dir, _CHATS), pp.Step(BASE + "prev")).select("start", "node")
+
+
+def reach_counts(spark, sf_dir):
+    """How many turns each turn leads back to, by doubling pointers."""
+    return reach.counts(_replies(spark, sf_dir)).select(*_TURN_OF("start"), "reached")
+
+
+def reach_intervals(spark, sf_dir):
+    """How many turns follow each turn, by the intervals of the forest of replies."""
+    down = _replies(spark, sf_dir).select(F.col("node").alias("start"), F.col("start").alias("node"))
+    return reach.intervals(down).select(*_TURN_OF("node"), (F.col("last") - F.col("first")).alias("later"))
+
+
+_add("reach_counts", reach_counts, "SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, CAST(turn AS BIGINT) AS reached FROM conversations WHERE turn > 0")
+_add("reach_intervals", reach_intervals, "SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, max(turn) OVER (PARTITION BY conv_id) - turn AS later FROM conversations QUALIFY max(turn) OVER (PARTITION BY conv_id) > 0")
+
+# one large Turtle document in parts
+
+
+def rdf_turtle_files(spark, sf_dir):
+    """Customers written as Turtle files, long strings and nested nodes included, and read again by blocks."""
+    quoted = 'concat(\'"""\', c_name, \'. A "quote", a [ bracket.\', chr(10), \'# no comment. \', c_custkey, \'"""\')'
+    text = f"""concat('PREFIX : <{BASE}> <{BASE}customer/', c_custkey, '> :c_name ', {quoted}, '@en ; :c_acctbal ', format_string('%.2f', c_acctbal), ' ; :at [ :nation <{BASE}nation/', c_nationkey, '> ; :notes ( "a." [ :b 1.5 ] ) ] .')"""
+    path = folder(spark, "turtle")
+    spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.expr(text).alias("value")).write.text(path)
+    schema = parse(PREFIXES + ":S { :c_name [@en~] ; :c_acctbal xsd:decimal MININCLUSIVE 0 ; :at { :nation [nation:1~] ; :notes BNODE } }")
+    return maps.run(rdf.read_turtle(spark, path), schema, _map("{FOCUS :c_name _}@:S")).select(key_of().alias("c_custkey"), "status")
+
+
+_add("rdf_turtle_files", rdf_turtle_files, f"SELECT c_custkey, {_case('round(c_acctbal, 2) >= 0 AND starts_with(CAST(c_nationkey AS VARCHAR), ' + repr('1') + ')')} FROM customer")
+
+# a schema for every part, analysed where it lies
+
+_VARIANT = """concat('PREFIX : <http://e/> :A { :p ', if(p_size % 2 = 0, 'NOT ', ''), '@:B ; :q ', if(p_size % 3 = 0, 'NOT ', ''), '@:C ? } :B { :r @:C ? } :C { :s ', if(p_size % 5 = 0, 'NOT ', ''), '@:A ? } ',
+  'ABSTRACT :E { :t [', p_size, '] } :D EXTENDS @:E ', if(p_size % 7 = 0, 'RESTRICTS @:A ', ''), '{ ^:u . ; :v . }', if(p_size % 4 = 0, ' :F EXTENDS @:D { :w . }', ''))"""
+
+
+def schema_corpus(spark, sf_dir):
+    """What the analysis says of one schema a part: negation in cycles, references, inheritance, paths, forms and differences."""
+
+    def facts(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            out = []
+            for key, text, other in zip(pdf["p_partkey"], pdf["text"], pdf["other"], strict=True):
+                s, o, e = parse(text), parse(other), "http://e/"
+                deps = analyze.dependencies(s)
+                out.append(
+                    (
+                        key, bool(analyze.negative_cycles(deps)), bool(analyze.odd_negative_cycles(deps)), not analyze.problems(s), len(analyze.references(s)), sum(k == "restricts" for x in analyze.inheritance(s).values() for k, _ in x),
+                        len(analyze.descendants(s, e + "E")), len(analyze.ancestors(s, e + ("F" if e + "F" in s.labels else "D"))), len(analyze.paths(s, e + "D")), analyze.same_schema(s, shexj.loads(shexj.dumps(s))), ",".join(x.replace(f"shape {e}", "") for x in analyze.difference(s, o)),
+                    )
+                )
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _FACTS.split(", ")])
+
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.selectExpr("p_partkey", f"{_VARIANT} AS text", f"{_VARIANT.replace('p_size', '(p_size + 1)')} AS other").mapInPandas(facts, _FACTS)
+
+
+_FACTS = "p_partkey long, negative boolean, odd boolean, well_formed boolean, refs long, restricts long, descendants long, ancestors long, paths long, same_json boolean, differs string"
+_add(
+    "schema_corpus",
+    schema_corpus,
+    """
+SELECT p_partkey, n2 OR n3 OR n5 AS negative, n2 <> n5 OR n3 <> n5 AS odd, NOT (n2 <> n5 OR n3 <> n5) AS well_formed, CAST(4 + CASE WHEN f THEN 1 ELSE 0 END AS BIGINT) AS refs,
+  CAST(CASE WHEN n7 THEN 1 ELSE 0 END AS BIGINT) AS restricts, CAST(1 + CASE WHEN f THEN 1 ELSE 0 END AS BIGINT) AS descendants, CAST(1 + CASE WHEN f THEN 1 ELSE 0 END AS BIGINT) AS ancestors, CAST(3 AS BIGINT) AS paths, true AS same_json,
+  'A,' || CASE WHEN n5 OR p_size % 5 = 4 THEN 'C,' ELSE '' END || CASE WHEN n7 OR p_size % 7 = 6 THEN 'D,' ELSE '' END || 'E' || CASE WHEN f OR p_size % 4 = 3 THEN ',F' ELSE '' END AS differs
+FROM (SELECT p_partkey, p_size, p_size % 2 = 0 AS n2, p_size % 3 = 0 AS n3, p_size % 5 = 0 AS n5, p_size % 7 = 0 AS n7, p_size % 4 = 0 AS f FROM part)
+""",
+)

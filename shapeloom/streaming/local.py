@@ -2,7 +2,7 @@
 
 Node constraints are stateless predicates on each arriving row.  A flat shape
 keeps counts per node and emits a node's status whenever it changes (update
-mode); with a watermark on ``event_time`` old nodes leave the state.
+mode).
 """
 
 from __future__ import annotations
@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nodeconstraint import compile_constraint
-from ..functions.terms import TermColumns, term_at
+from ..functions.terms import TRIPLES, TermColumns, term_at
 from ..plans.validate import CONFORMANT, NONCONFORMANT, Validator
 from ..schema.ast import NodeConstraint, Schema, SchemaError, Shape, ShapeAnd, ShapeNot, ShapeOr
 from ..sources.graph import Graph
 
+_TRIPLE = [c.split()[0] for c in TRIPLES.split(", ")]
+
 
 def node_constraints(terms: DataFrame, expr, t: TermColumns | None = None) -> DataFrame:
     """Rows of terms (kind, lex, dt, lang) with ``status``; expr: boolean combinations of node constraints."""
@@ -38,22 +40,16 @@ def node_constraints(terms: DataFrame, expr, t: TermColumns | None = None) -> Da
 
 
 def flat_shape(triples: DataFrame, schema: Schema, label: str, event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """(node, status) of a streamed triples table by one flat shape over outgoing arcs."""
-    v = Validator(schema, Graph(triples.drop(event_time) if event_time else triples, distinct=False))
+    """(node, status) of a streamed triples table by one flat shape over outgoing arcs; the same counts as in batch.
+
+    Graphs are sets: a triple that comes again counts once; with ``event_time``
+    it is remembered for ``delay`` only.  All arcs of a node meet in its
+    counts, however far apart they come.
+    """
+    once = triples.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(_TRIPLE) if event_time else triples.dropDuplicates(_TRIPLE)
+    v = Validator(schema, Graph(once.select(*_TRIPLE), distinct=False))
     se, atoms = v.exprs[label], v.atoms[label]
     if not isinstance(se, Shape) or len(atoms) != 1 or atoms[0].plan == "GENERAL" or atoms[0].backward or any(v._references(label)):
         raise SchemaError("only flat shapes over outgoing arcs are streamed")
-    a, t = atoms[0], term_at("o_")
-    p = F.col("p")
-    mine = [F.when(p == c.predicate, v._value(c, t)).otherwise(F.lit(False)) for c in a.constraints]
-    taken = mine[0]
-    for m in mine[1:]:
-        taken = taken | m
-    mentioned = p.isin(sorted(a.direct))
-    extra = p.isin(list(a.shape.extra)) if a.shape.extra else F.lit(False)
-    aggs = [F.count_if(mentioned & ~extra & ~taken).alias(f"{a.name}_bad"), *(F.count_if(m).alias(f"{a.name}_{i}") for i, m in enumerate(mine))]
-    if a.shape.closed:
-        aggs.append(F.count_if(~mentioned).alias(f"{a.name}_other"))
-    rows = triples.withWatermark(event_time, delay) if event_time else triples
-    keys = [F.window(event_time, delay), F.col("s").alias("node")] if event_time else [F.col("s").alias("node")]
-    return rows.groupBy(*keys).agg(*aggs).select("node", F.when(v._atom(a), CONFORMANT).otherwise(NONCONFORMANT).alias("status"))
+    (counted,) = v._counts(atoms, set(), {})
+    return counted.select("node", F.when(v._atom(atoms[0]), CONFORMANT).otherwise(NONCONFORMANT).alias("status"))

@@ -13,9 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rbe
 from ..functions.nodeconstraint import facet
 from ..functions.terms import TermColumns
 from ..plans.storage import keep
+from ..plans.validate import bag_expression
 from ..schema import analyze
 from ..schema.ast import (
     START,
@@ -39,6 +41,9 @@ from ..schema.ast import (
 from .entityschema import WD, StatementConstraint, TermConstraint, property_of
 
 
+SALTS = 8  # a target that many entities name is met in so many parts
+
+
 def _all(xs) -> Column:
     return reduce(lambda a, b: a & b, xs, F.lit(True))
 
@@ -66,7 +71,7 @@ def snak_matches(nc, snak: Column, refs=None) -> Column:
     entity = snak["vtype"] == "entity"
     parts = []
     if nc.kind:
-        parts.append({"iri": entity, "nonliteral": entity, "literal": (snak["kind"] == "value") & ~entity, "bnode": snak["kind"] == "somevalue"}[nc.kind])
+        parts.append({"iri": entity, "nonliteral": F.coalesce(entity, F.lit(False)) | (snak["kind"] == "somevalue"), "literal": (snak["kind"] == "value") & ~entity, "bnode": snak["kind"] == "somevalue"}[nc.kind])
     if nc.datatype:
         kinds = {XSD + "string": ["string"], XSD + "decimal": ["quantity"], XSD + "dateTime": ["time"]}
         if nc.datatype not in kinds:
@@ -136,10 +141,27 @@ def constraint_matches(tc: TripleConstraint, extra: set[str], refs=None) -> Colu
     return ok
 
 
+def _grouped(te) -> bool:
+    """Whether a group of statements has a cardinality of its own."""
+    return isinstance(te, EachOf | OneOf) and ((te.min, te.max) != (1, 1) or any(_grouped(x) for x in te.exprs))
+
+
+def _repeated(te, extra: set[str], refs=None) -> Column:
+    """A group that repeats: interval arithmetic over the numbers of matching statements, as for arcs; no property may stand in it twice."""
+    constraints: list[TripleConstraint] = []
+    e = bag_expression(te, constraints)
+    properties = [property_of(c.predicate) for c in constraints]
+    if len(set(properties)) < len(properties):
+        raise SchemaError("a property stands twice in a group of statements with a cardinality")
+    counts = {i: F.size(F.filter("statements", _statements(c, True, refs))).cast("long") for i, c in enumerate(constraints)}
+    others = [~F.exists("statements", _statements(c, False, refs)) for c, p in zip(constraints, properties, strict=True) if p not in extra]
+    return rbe.matches_columns(e, counts) & _all(others)
+
+
 def _triples(te, extra: set[str], refs=None) -> Column:
+    if _grouped(te):
+        return _repeated(te, extra, refs)
     if isinstance(te, EachOf | OneOf):
-        if (te.min, te.max) != (1, 1):
-            raise SchemaError("groups of statements have no cardinality here")
         parts = [_triples(x, extra, refs) for x in te.exprs]
         return _all(parts) if isinstance(te, EachOf) else reduce(lambda a, b: a | b, parts)
     return constraint_matches(te, extra, refs)
@@ -164,7 +186,7 @@ class Matcher:
     """A compiled entity schema."""
 
     def __init__(self, schema: Schema, check_closed: bool = False):
-        self.schema, self.check_closed = schema, check_closed
+        self.schema, self.check_closed, self.rounds = schema, check_closed, 0
         self.exprs = {d.label: d.expr for d in schema.shapes}
         if schema.start is not None:
             self.exprs[START] = schema.start
@@ -312,7 +334,8 @@ class Matcher:
 
         Labels go in strata, those asked first.  Labels that ask each other
         start as held by all entities and lose those whose expressions fail,
-        until nothing changes; negation inside such a cycle is refused.
+        until nothing changes; a round looks at those only that name an entity
+        which lost a label.  Negation inside such a cycle is refused.
         Entities that are named but not among ``entities`` have no label.
         """
         wrong = analyze.negative_cycles(analyze.dependencies(self.schema))
@@ -328,29 +351,34 @@ class Matcher:
 
         def known(labels: set[str]) -> DataFrame:
             have = typed.where(F.col("label").isin(sorted(labels))).groupBy("id").agg(F.collect_set("label").alias("has")).withColumnRenamed("id", "target")
-            return links.join(have, "target").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("target", "has"))).alias("_known"))
+            spread = have.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # many may name one entity
+            return links.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(spread, ["target", "_salt"]).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("target", "has"))).alias("_known"))
 
         def refs(label: str, snak: Column) -> Column:
             return (snak["vtype"] == "entity") & F.coalesce(F.array_contains(F.try_element_at("_known", snak["value"]), label), F.lit(False))
 
-        def verdicts(labels: list[str]) -> DataFrame:
+        def verdicts(labels: list[str], only: DataFrame | None = None) -> DataFrame:
             wanted = set().union(*(asked[x] for x in labels))
-            rows = mine.join(known(wanted), "id", "left") if wanted else mine
+            rows = mine if only is None else mine.join(only, "id", "left_semi")
+            rows = rows.join(known(wanted), "id", "left") if wanted else rows
             holds = F.array_compact(F.array(*(F.when(F.coalesce(self._expr(self.exprs[x], (), refs), F.lit(False)), F.lit(x)) for x in labels)))
             return keep(rows.select("id", F.explode(holds).alias("label")))
 
         for group in analyze.strongly_connected(asked):
             done = typed
             if any(asked[x] & set(group) for x in group):
-                typed = self._with(done, mine.select("id", F.explode(F.array(*map(F.lit, group))).alias("label")))
-                held = None
-                while True:
-                    now = verdicts(group)
-                    n = now.count()
+                before = mine.select("id", F.explode(F.array(*map(F.lit, group))).alias("label"))
+                typed = self._with(done, before)
+                now = verdicts(group)
+                lost = keep(before.join(now, ["id", "label"], "left_anti"))
+                while not lost.isEmpty():  # only what names an entity that lost a label is looked at again
+                    self.rounds += 1
                     typed = self._with(done, now)
-                    if n == held:
-                        break
-                    held = n
+                    near = keep(links.join(lost.select(F.col("id").alias("target")).distinct(), "target", "left_semi").select("id").distinct())
+                    again = verdicts(group, near)
+                    lost = keep(now.join(near, "id", "left_semi").join(again, ["id", "label"], "left_anti"))
+                    now = keep(now.join(lost, ["id", "label"], "left_anti"))
+                typed = self._with(done, now)
             else:
                 typed = self._with(done, verdicts(group))
         return entities.select("id").join(typed.groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("ok_shapes")), "id", "left").select("id", F.coalesce("ok_shapes", F.array().cast("array<string>")).alias("ok_shapes"))

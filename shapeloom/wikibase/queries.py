@@ -43,6 +43,33 @@ def entities(spark, sf_dir: str, more_links: tuple = ()):
     )
 
 
+def _with_statements(spark, sf_dir, *statements):
+    """Parts with further statements, given as an array of (property, kind, type, value)."""
+    none = F.array().cast(f"ARRAY<{model.SNAK}>")
+    made = F.transform(F.concat(*statements), lambda s: F.struct(s["property"].alias("property"), s.alias("snak"), F.lit("normal").alias("rank"), none.alias("qualifiers"), F.array().cast(f"ARRAY<ARRAY<{model.SNAK}>>").alias("refs")))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("Q"), "p_partkey").alias("id"), made.alias("_more"))
+    both = entities(spark, sf_dir).join(part, "id")
+    return both.withColumn("statements", F.concat("statements", "_more")).drop("_more")
+
+
+def _snak_kinds(spark, sf_dir):
+    """P7 is an entity, a string, some unknown value or none, in turn."""
+    kind = F.when(F.col("p_size") % 4 == 2, "somevalue").when(F.col("p_size") % 4 == 3, "novalue").otherwise("value")
+    vtype = F.when(F.col("p_size") % 4 == 0, "entity").when(F.col("p_size") % 4 == 1, "string")
+    rows = _with_statements(spark, sf_dir, F.array(F.struct(F.lit("P7").alias("property"), kind.alias("kind"), vtype.alias("vtype"), F.when(vtype.isNotNull(), F.lit("Q1")).alias("value"))))
+    columns = {"iri": "IRI", "literal": "LITERAL", "bnode": "BNODE", "nonliteral": "NONLITERAL", "not_iri": "NOT IRI", "novalue": "NOT NONLITERAL AND NOT LITERAL"}
+    return rows.select(_key(), *(F.coalesce(Matcher(parse(_P + f"<S> {{ :P7 {x} }}")).column(), F.lit(False)).alias(name) for name, x in columns.items()))
+
+
+def _group_cardinality(spark, sf_dir):
+    """P7 stands p_size mod 5 times and P8 p_size mod 3 times; groups of both repeat."""
+    some = lambda p, n: F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.struct(F.lit(p).alias("property"), F.lit("value").alias("kind"), F.lit("string").alias("vtype"), i.cast("string").alias("value"), (i <= n).alias("on")))
+    snaks = lambda p, n: F.transform(F.filter(some(p, n), lambda s: s["on"]), lambda s: F.struct(s["property"].alias("property"), s["kind"].alias("kind"), s["vtype"].alias("vtype"), s["value"].alias("value")))
+    rows = _with_statements(spark, sf_dir, snaks("P7", F.col("p_size") % 5), snaks("P8", F.col("p_size") % 3))
+    columns = {"pairs": "( :P7 . ; :P8 . ){1,2}", "ranges": "( :P7 . {2,3} ; :P8 . )*", "choices": "( :P7 . | :P8 . ){2,4}"}
+    return rows.select(_key(), *(F.coalesce(Matcher(parse(_P + f"<S> {{ {x} }}")).column(), F.lit(False)).alias(name) for name, x in columns.items()))
+
+
 def _key():
     return F.substring("id", 2, 20).cast("long").alias("p_partkey")
 
@@ -171,7 +198,8 @@ QUERIES = {
     "entity_reasons": _reasons,
     "entity_schema_from_plain": _from_plain,
     "entity_schema_to_plain": _to_plain,
-    "entity_node_kinds": _matching("<S> { :P6 IRI ; :P1 LITERAL ; :P3 NOT IRI } "),
+    "entity_node_kinds": _snak_kinds,
+    "entity_group_cardinality": _group_cardinality,
 }
 
 ORACLE = {
@@ -209,5 +237,6 @@ UNION ALL SELECT 'ns/prov#wasDerivedFrom', r FROM n UNION ALL SELECT 'prop/P5',
   CASE WHEN NOT starts_with(p_brand, 'Brand#1') THEN 'too-few P1' END, CASE WHEN p_size < 10 THEN 'too-few P3' END, 'too-many P2') AS reasons FROM part""",
     "entity_schema_from_plain": "SELECT p_partkey, p_type IN ('PROMO', 'STANDARD') AND p_size < 20 AS matches FROM part",
     "entity_schema_to_plain": "SELECT p_partkey, CASE WHEN contains(p_name, 'e') AND starts_with(p_brand, 'Brand#2') AND p_size >= 10 THEN 'conformant' ELSE 'nonconformant' END AS status FROM part",
-    "entity_node_kinds": "SELECT p_partkey, true AS matches FROM part",
+    "entity_node_kinds": "SELECT p_partkey, p_size % 4 = 0 AS iri, p_size % 4 = 1 AS literal, p_size % 4 = 2 AS bnode, p_size % 4 IN (0, 2) AS nonliteral, p_size % 4 <> 0 AS not_iri, p_size % 4 = 3 AS novalue FROM part",
+    "entity_group_cardinality": "SELECT p_partkey, p_size % 5 = p_size % 3 AND p_size % 5 BETWEEN 1 AND 2 AS pairs, p_size % 5 >= 2 * (p_size % 3) AND p_size % 5 <= 3 * (p_size % 3) AS ranges, p_size % 5 + p_size % 3 BETWEEN 2 AND 4 AS choices FROM part",
 }
