@@ -187,3 +187,22 @@ def _condensed(edges: DataFrame) -> DataFrame:
     all_ = closure.unionByName(loops.select("a", F.col("a").alias("b")))
     reached = all_.join(sizes.withColumnRenamed("c", "b"), "b").groupBy("a").agg(F.sum("size").alias("reached"))
     return named.join(reached, F.col("c") == F.col("a")).select(F.col("node").alias("start"), F.col("reached").cast("long").alias("reached"))
+
+
+def undirected(edges: DataFrame) -> DataFrame:
+    """(node, component) of nodes that hang together, named by the least of them: neighbours hang on the least one they know, until nothing moves."""
+    left = keep(edges.select(F.col("start").alias("a"), F.col("node").alias("b")).where("a != b").distinct())
+    names = _nodes(edges)
+    while True:
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        far = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        near = far.where("a != b").unionByName(least.where("a != m").select("a", F.col("m").alias("b"))).distinct()
+        down = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        low = down.groupBy("a").agg(F.min("b").alias("m"))
+        new = down.join(low, "a")
+        new = keep(new.where("b != m").select("b", "m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a != b").distinct())
+        if new.exceptAll(left).isEmpty() and left.exceptAll(new).isEmpty():
+            break
+        left = new
+    return names.join(new.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

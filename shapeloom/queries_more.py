@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import paths as pp
-from .operators import reach
+from .operators import blanks, reach
 from .plans.storage import folder
 from .queries import _FLAGS, GRAPH, NAMES, PREFIXES, _case, graph, key_of
 from .schema import analyze, shexj
+from .schema.ast import XSD
 from .schema.shexc import parse
 from .shapemap import maps
 from .sources import rdf
@@ -181,3 +182,25 @@ SELECT p_partkey, n2 OR n3 OR n5 AS negative, n2 <> n5 OR n3 <> n5 AS odd, NOT (
 FROM (SELECT p_partkey, p_size, p_size % 2 = 0 AS n2, p_size % 3 = 0 AS n3, p_size % 5 = 0 AS n5, p_size % 7 = 0 AS n7, p_size % 4 = 0 AS f FROM part)
 """,
 )
+
+# equality up to the names of blank nodes
+
+
+def blank_node_equality(spark, sf_dir):
+    """Customers as blank nodes in two graphs with other names: which look the same, by label and part.  Every tenth has another balance in the second."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    lit = lambda v: F.struct(F.lit("literal").alias("o_kind"), v.cast("string").alias("o_lex"), F.lit(XSD + "string").alias("o_dt"))
+    node = lambda v: F.struct(F.lit("bnode").alias("o_kind"), v.alias("o_lex"), F.lit(None).cast("string").alias("o_dt"))
+
+    def made(name, balance):
+        me, account, twin = (F.concat(F.lit(f"_:{name}{x}"), "c_custkey") for x in "abc")
+        arcs = [(me, "name", lit(F.col("c_name"))), (me, "has", node(account)), (me, "has", node(twin)), (account, "balance", lit(balance)), (twin, "balance", lit(balance)), (account, "other", node(twin)), (twin, "other", node(account))]
+        t = customer.select(F.explode(F.array(*(F.struct(s.alias("s"), F.lit(BASE + p).alias("p"), o.alias("o")) for s, p, o in arcs))).alias("t"))
+        return t.select("t.s", "t.p", "t.o.*", F.lit(None).cast("string").alias("o_lang"))
+
+    a, b = made("x", F.col("c_acctbal")), made("y", F.when(F.col("c_custkey") % 10 == 0, -1).otherwise(F.col("c_acctbal")))
+    key = lambda t, name: blanks.labels(t).where(F.col("node").startswith(f"_:{name}a")).select(F.regexp_extract("node", "([0-9]+)$", 1).cast("long").alias("c_custkey"), F.struct("label", "part").alias(name))
+    return key(a, "x").join(key(b, "y"), "c_custkey").select("c_custkey", (F.col("x") == F.col("y")).alias("same"))
+
+
+_add("blank_node_equality", blank_node_equality, "SELECT c_custkey, c_custkey % 10 <> 0 AS same FROM customer")
