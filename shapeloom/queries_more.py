@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from .operators import paths as pp
 from .operators import blanks, reach
-from .plans.storage import folder
+from .plans.storage import folder, keep
 from .queries import _FLAGS, GRAPH, NAMES, PREFIXES, _case, graph, key_of
 from .schema import analyze, shexj
 from .schema.ast import XSD
 from .schema.shexc import parse
 from .shapemap import maps
+from .shapepath import tables
 from .sources import rdf
 from .sources.graph import BASE
 
@@ -204,3 +205,37 @@ def blank_node_equality(spark, sf_dir):
 
 
 _add("blank_node_equality", blank_node_equality, "SELECT c_custkey, c_custkey % 10 <> 0 AS same FROM customer")
+
+# shape paths over the same schemas: axes and set operations
+
+_PATHS = {
+    "constraints": "//tripleconstraint",
+    "negated": "//shapenot/shaperef",
+    "plain_refs": "//shaperef except //shapenot//shaperef",
+    "either": "/@e:A//tripleconstraint , /@e:D//descendant tripleconstraint | //nodeconstraint",
+    "both": "//tripleconstraint intersect /@e:C/*",
+    "nested": "/@e:A/nested-or-self-triple-expression *",
+}
+
+
+def shape_path_sets(spark, sf_dir):
+    """How many nodes paths with axes and set operations select in the schema of every part."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    table = keep(tables.nodes(part.selectExpr("p_partkey AS key", f"{_VARIANT} AS text")))
+    found = None
+    for name, path in _PATHS.items():
+        one = tables.evaluate(table, tables.parse(path, {"e": "http://e/"})).groupBy("key").agg(F.count("*").alias("nodes")).select(F.col("key").alias("p_partkey"), F.lit(name).alias("path"), "nodes")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+_add(
+    "shape_path_sets",
+    shape_path_sets,
+    """
+WITH v AS (SELECT p_partkey, CAST(p_size % 2 = 0 AS INTEGER) + CAST(p_size % 3 = 0 AS INTEGER) + CAST(p_size % 5 = 0 AS INTEGER) AS n, CAST(p_size % 4 = 0 AS INTEGER) AS f FROM part)
+SELECT p_partkey, path, CAST(nodes AS BIGINT) AS nodes FROM (
+  SELECT p_partkey, unnest(['constraints', 'negated', 'plain_refs', 'either', 'both', 'nested']) AS path, unnest([7 + f, n, 4 - n, 2 + 2 + 1, 1, 3]) AS nodes FROM v
+) WHERE nodes > 0
+""",
+)

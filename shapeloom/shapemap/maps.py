@@ -177,6 +177,20 @@ def parse(text: str, base=None, prefixes=None, shape_base=None, shape_prefixes=N
     return p.parse()
 
 
+def read(spark, source, base=None, prefixes=None, form: str = "compact") -> list[Association]:
+    """A shape map from an open stream, an http(s) address, or a file of any file system that Spark reads; form: compact or json."""
+    if hasattr(source, "read"):
+        text = source.read()
+        text = text.decode("utf-8") if isinstance(text, bytes) else text
+    elif source.startswith(("http://", "https://")):
+        from ..sources.endpoint import _fetch
+
+        text = _fetch(source, "*/*", 60)
+    else:
+        text = "\n".join(r["value"] for r in spark.read.text(source, wholetext=True).collect())  # a map, not data
+    return from_json(text, prefixes) if form == "json" else parse(text, base, prefixes, base, prefixes)
+
+
 def show_path(path) -> str:
     """A property path in the compact syntax."""
     if isinstance(path, pp.Step):
@@ -332,7 +346,8 @@ def render(result: DataFrame, form: str = "compact") -> DataFrame:
     if form == "details":
         return result.select(F.concat_ws(" # ", compact, F.nullif(F.col("reason"), F.lit(""))).alias("value"))
     if form == "json":
-        return result.select(F.to_json(F.struct("node", F.col("shape"), "status", "reason")).alias("value"))
+        more = [c for c in ("appInfo",) if c in result.columns]  # what an application adds, as it is
+        return result.select(F.to_json(F.struct("node", F.col("shape"), "status", "reason", *more)).alias("value"))
     raise ValueError(f"no form {form}")
 
 

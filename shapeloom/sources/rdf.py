@@ -58,6 +58,16 @@ def to_ntriples(triples: DataFrame) -> DataFrame:
     return triples.select(F.concat(F.col("s"), F.lit(" <"), F.col("p"), F.lit("> "), o, F.lit(" .")).alias("value"))
 
 
+def to_turtle(triples: DataFrame) -> DataFrame:
+    """One Turtle document (name, value) a subject, predicates and objects grouped; ``name`` is the subject."""
+    o = F.when(F.col("o_lang").isNotNull(), F.concat(F.lit('"'), escaped(F.col("o_lex")), F.lit('"@'), F.col("o_lang"))).otherwise(term_id(term_at()))
+    p = F.when(F.col("p") == RDF + "type", F.lit("a")).otherwise(F.concat(F.lit("<"), F.col("p"), F.lit(">")))
+    of_predicate = triples.select("s", p.alias("p"), o.alias("o")).groupBy("s", "p").agg(F.array_sort(F.collect_set("o")).alias("o"))
+    part = F.concat(F.lit("    "), F.col("p"), F.lit(" "), F.array_join("o", " , "))
+    whole = of_predicate.select("s", part.alias("t")).groupBy("s").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    return whole.select(F.col("s").alias("name"), F.concat(F.col("s"), F.lit("\n"), F.array_join("t", " ;\n"), F.lit(" .\n")).alias("value"))
+
+
 def _scope():
     """128 bits of the file's name."""
     return F.concat(F.lit("b"), F.md5(F.input_file_name()))

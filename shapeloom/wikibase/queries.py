@@ -8,7 +8,7 @@ from ..operators import paths as pp
 from ..schema.shexc import parse as plain
 from ..shapemap import maps
 from ..sources.graph import Graph
-from ..sources.rdf import ntriples_lines, to_ntriples
+from ..sources.rdf import ntriples_lines, of_documents, parse_turtle, to_ntriples, to_turtle
 from . import model, rdf
 from .entityschema import from_plain, parse, to_plain
 from .matcher import Matcher
@@ -120,6 +120,12 @@ def _rdf_text(spark, sf_dir):
     return again.select(F.regexp_extract("s", r"/Q([0-9]+)>$", 1).cast("long").alias("p_partkey"), F.col("o_lex").alias("label"), F.col("o_lang").alias("lang"))
 
 
+def _turtle_text(spark, sf_dir):
+    """Entities as Turtle, one document an entity, read again: all triples by predicate."""
+    again = of_documents(to_turtle(rdf.full(entities(spark, sf_dir))), parse_turtle).df
+    return again.groupBy(F.regexp_extract("p", r"([^/]+/[^/]+)$", 1).alias("predicate")).agg(F.count("*").alias("n"))
+
+
 def _json(spark, sf_dir):
     """Public JSON lines of parts, as a dump has them, parsed and matched."""
     snak = lambda kind, value: f"""'{{"snaktype": "value", "property": "{kind}", "datavalue": ', {value}, '}}'"""
@@ -199,6 +205,7 @@ QUERIES = {
     "entity_schema_from_plain": _from_plain,
     "entity_schema_to_plain": _to_plain,
     "entity_node_kinds": _snak_kinds,
+    "entity_turtle_text": _turtle_text,
     "entity_group_cardinality": _group_cardinality,
 }
 
@@ -240,3 +247,4 @@ UNION ALL SELECT 'ns/prov#wasDerivedFrom', r FROM n UNION ALL SELECT 'prop/P5',
     "entity_node_kinds": "SELECT p_partkey, p_size % 4 = 0 AS iri, p_size % 4 = 1 AS literal, p_size % 4 = 2 AS bnode, p_size % 4 IN (0, 2) AS nonliteral, p_size % 4 <> 0 AS not_iri, p_size % 4 = 3 AS novalue FROM part",
     "entity_group_cardinality": "SELECT p_partkey, p_size % 5 = p_size % 3 AND p_size % 5 BETWEEN 1 AND 2 AS pairs, p_size % 5 >= 2 * (p_size % 3) AND p_size % 5 <= 3 * (p_size % 3) AS ranges, p_size % 5 + p_size % 3 BETWEEN 2 AND 4 AS choices FROM part",
 }
+ORACLE["entity_turtle_text"] = ORACLE["entity_rdf"]

@@ -108,3 +108,35 @@ def test_json_of_selectors():
     text = "{FOCUS (:p/^:q)+|:r? _}@:S, {:x :p* FOCUS}@!:T, 'a'@en@:S, SQL 'SELECT s FROM triples'@?:S"
     found = maps.parse(text, "http://e/", {"": "http://e/"}, "http://e/", {"": "http://e/"})
     assert maps.from_json(maps.to_json(found)) == found
+
+
+def test_maps_are_read_from_streams_files_and_addresses(spark, tmp_path):
+    import io
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    text = ":a@:S, {FOCUS :p _}@!:T"
+    want = maps.parse(text, "http://e/", {"": "http://e/"}, "http://e/", {"": "http://e/"})
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(text.encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    (tmp_path / "m.sm").write_text(text)
+    (tmp_path / "m.json").write_text(maps.to_json(want))
+    for source in (io.StringIO(text), io.BytesIO(text.encode()), str(tmp_path / "m.sm"), f"http://127.0.0.1:{server.server_port}/m"):
+        assert maps.read(spark, source, "http://e/", {"": "http://e/"}) == want
+    server.shutdown()
+    assert [a.label for a in maps.read(spark, str(tmp_path / "m.json"), form="json")] == [a.label for a in want]
+
+
+def test_what_an_application_adds_is_rendered(spark):
+    result = spark.createDataFrame([("<http://e/a>", "http://e/S", "conformant", None, "v1")], "node string, shape string, status string, reason string, appInfo string")
+    assert '"appInfo":"v1"' in maps.render(result, "json").first()["value"]
