@@ -6,8 +6,8 @@ A document's terms are its distinct lower-cased words and the 4-, 5- and
 products of term factors, so two terms can say together (an insult and a
 mention of a group) what neither says alone.
 
-Terms are kept where they go with the label on their own (chi-square), or, of
-the ``FREQUENT`` commonest others, in a pair with another such term: where the
+Terms are kept where they go with the label on their own (chi-square; of more than
+``keep``, 2,048, those that do most), or, of the ``frequent`` (512) commonest others, in a pair with another such term: where the
 label's rate with both differs from what the rates with each alone add up to.
 
 The model is fitted on a bounded sample of labelled rows: at most
@@ -74,14 +74,14 @@ def term_pairs(raw, offsets, a, b) -> tuple[np.ndarray, np.ndarray]:
     return key >> 18, key & (BUCKETS - 1)
 
 
-def candidates(df: np.ndarray, pos: np.ndarray, n: int, share: float, keep: int = KEEP) -> tuple[np.ndarray, np.ndarray]:
+def candidates(df: np.ndarray, pos: np.ndarray, n: int, share: float, keep: int = KEEP, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Terms that go with the label, by the documents they are in and those of them that are positive; and the commonest others."""
     chi = np.where(df >= 4, (pos - df * share) ** 2 / np.maximum(df * share * (1 - share) * (1 - df / n), 1e-9), 0)
     alone = np.argsort(-chi, kind="stable")[:keep]
     alone = np.sort(alone[chi[alone] > 6.63])  # one in a hundred by chance
     both_ways = np.where((df >= 20) & (df <= n - 20), np.minimum(df, n - df), 0)
     both_ways[alone] = 0
-    common = np.argsort(-both_ways, kind="stable")[:FREQUENT]
+    common = np.argsort(-both_ways, kind="stable")[:frequent]
     return alone, np.sort(common[both_ways[common] > 0])
 
 
@@ -114,7 +114,7 @@ def interacting(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, common: np.n
     return common[(enough & (np.abs(contrast) > 6 * np.sqrt(variance))).any(axis=1)]
 
 
-def fit(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, rate: float = 0.5, rank: int = 4, keep: int = KEEP, epochs: int = 12, seed: int = 7) -> Model:
+def fit(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, rate: float = 0.5, rank: int = 4, keep: int = KEEP, epochs: int = 12, seed: int = 7, frequent: int = FREQUENT) -> Model:
     """Adagrad on the logistic loss, classes weighed alike.
 
     rate is the share of label 1 among all labels.
@@ -124,7 +124,7 @@ def fit(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, rate: float = 0.5, r
     if n == 0 or y.min() == y.max():
         return Model(feature, np.zeros(1), np.zeros((1, rank)), float(base))
     share = y.mean()
-    alone, common = candidates(np.bincount(terms, minlength=BUCKETS), np.bincount(terms, y[rows], BUCKETS), n, share, keep)
+    alone, common = candidates(np.bincount(terms, minlength=BUCKETS), np.bincount(terms, y[rows], BUCKETS), n, share, keep, frequent)
     kept = np.union1d(alone, interacting(rows, terms, y, common))
     feature[kept] = np.arange(len(kept))
     f = feature[terms]
@@ -159,8 +159,12 @@ def fit(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, rate: float = 0.5, r
     return Model(feature, w, v, float(b + 0.25 * base))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, held: int = 0, folds: int = 5) -> Model:
-    """Fit on labelled rows outside the held-out fold; the sample holds ``2 * per_class`` ids at most."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, held: int = 0, folds: int = 5, keep: int = KEEP, frequent: int = FREQUENT) -> Model:
+    """Fit on labelled rows outside the held-out fold; the sample holds ``2 * per_class`` ids at most.
+
+    keep and frequent bound the model: terms kept on their own, and others
+    looked at in pairs (a matrix of frequent**2 counts on the driver).
+    """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold != held)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r["toxic"]: r["n"] for r in known.where("toxic in (0, 1)").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -195,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, held:
     n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     wanted = np.zeros(BUCKETS, bool)
     if 0 < positive < n:
-        wanted[np.concatenate(candidates(df, pos, n, positive / n))] = True
+        wanted[np.concatenate(candidates(df, pos, n, positive / n, keep, frequent))] = True
 
     def chosen(batches):
         for batch in batches:
@@ -206,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, held:
     arrays = [np.frombuffer(x.as_buffer(), np.uint32) for x in known["terms"]]
     rows = np.repeat(np.arange(len(arrays), dtype=np.int32), [len(x) for x in arrays])
     terms = np.concatenate(arrays).view(np.int32) if arrays else np.zeros(0, np.int32)
-    return fit(rows, terms, np.array(known["toxic"].to_pylist(), float), rate)
+    return fit(rows, terms, np.array(known["toxic"].to_pylist(), float), rate, keep=keep, frequent=frequent)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
