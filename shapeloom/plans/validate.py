@@ -27,6 +27,7 @@ by following arcs from the requested pairs.
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import combinations
@@ -430,9 +431,8 @@ class Validator:
         proves it: what is asked may be assumed.  Where the other side's typing
         says otherwise, the verdict rests on its own assumption, and the reason says so.
         """
-        views = {}
-        for mine in (0, 1):
-            views[mine] = self._alternating(comp, known, true, {x: self.sides[x] == mine for x in comp})
+        with ThreadPoolExecutor(2) as both:  # small jobs that do not wait for each other
+            views = list(both.map(lambda mine: self._alternating(comp, known, true, {x: self.sides[x] == mine for x in comp}), (0, 1)))
         out = {}
         for x in comp:
             own, other = views[self.sides[x]][x], views[1 - self.sides[x]][x].select(F.col("node").alias("_n"), F.col("ok").alias("_ok"))
