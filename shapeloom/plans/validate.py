@@ -357,6 +357,8 @@ class Validator:
             for label, nodes in done.items():
                 known[label] = keep(nodes)
                 self._pass_on(label, known[label], wanted, None, set(comp))
+            for label in set(comp) - set(done):  # asked by the others, but of no node
+                known[label] = self.graph.spark.createDataFrame([], NODE)
         return known
 
     def _single(self, path: tuple[str, bool]) -> DataFrame:

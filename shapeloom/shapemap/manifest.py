@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from pathlib import Path
 
+from pyspark.sql import DataFrame
+
 from ..schema import resolve
 from ..schema.ast import RDF, START, Iri, Literal, SchemaError
 from ..sources import graph as graphs
@@ -93,3 +96,20 @@ def run(spark, entry: Entry) -> bool:
         expected = maps.parse(local(entry.result).read_text(encoding="utf-8"), entry.data, prefixes, entry.schema, prefixes)
         return maps.compare(result, maps.fixed(graph, expected)).where("status_a IS NOT NULL AND status_b IS NOT NULL").isEmpty()
     return maps.all_conformant(result) != (entry.kind == "ValidationFailure")
+
+
+def run_all(spark, entries: list[Entry], at_once: int = 8) -> DataFrame:
+    """(name, kind, ok, error) of all entries of a manifest; ``at_once`` of them are Spark jobs at a time.
+
+    ok is null where an entry could not be run, and error says why.
+    """
+
+    def one(e: Entry) -> tuple:
+        try:
+            return e.name, e.kind, bool(run(spark, e)), None
+        except Exception as x:  # an entry that cannot be run is a result of the suite
+            return e.name, e.kind, None, f"{type(x).__name__}: {x}"[:500]
+
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = list(pool.map(one, entries))
+    return spark.createDataFrame(rows, "name string, kind string, ok boolean, error string")

@@ -12,6 +12,7 @@ PREFIXES = "PREFIX : <http://e/>\nPREFIX xsd: <http://www.w3.org/2001/XMLSchema#
 
 CASES = [
     ("recursion", ":a :p :b . :b :p :a . :c :p :c . :d :p 1 .", ":S { :p @:S }", ":a@:S,:c@:S,:d@:S", ":a@:S,:c@:S,:d@!:S"),
+    ("mutual, nothing to ask", ":a :q 1 .", ":S { :p @:T ? ; :q . } :T { :q @:S }", ":a@:S", ":a@:S"),
     ("mutual", ":a :p :b . :b :q :a . :c :p :c .", ":S { :p @:T } :T { :q @:S }", ":a@:S,:b@:T,:c@:S", ":a@:S,:b@:T,:c@!:S"),
     ("extends", ":x :p 1, 3 . :y :p 1 .", ":B { :p [1] } :A EXTENDS @:B { :p [3] }", ":x@:A,:y@:A", ":x@:A,:y@!:A"),
     ("extends base condition", ":x :p 'a', 'b' .", ":B { :p ['a'] } AND { :p ['b'] } :A EXTENDS @:B { }", ":x@:A", ":x@!:A"),
