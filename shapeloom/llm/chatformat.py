@@ -27,6 +27,7 @@ its first line; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -230,11 +231,17 @@ def _borders(placed: DataFrame, hmm: Hmm) -> dict[int, tuple[int | None, int | N
     """Per partition the state before its first row and the state of its last line, where a conversation crosses."""
 
     def run(batches):
-        out, it = [], _segments(batches)
-        for part, key, rows in it:  # only the first and the last conversation matter
+        def ends(segment):
+            part, key, rows = segment
             seen = _lines(rows)[2]
-            item = (part, str(key), hmm.matrix(seen, False).ravel().tolist(), hmm.matrix(seen, True)[0].tolist())
-            out = [item] if not out else [out[0], item]
+            return part, str(key), hmm.matrix(seen, False).ravel().tolist(), hmm.matrix(seen, True)[0].tolist()
+
+        it = _segments(batches)
+        out, last = [ends(x) for x in itertools.islice(it, 1)], None
+        for last in it:  # only the first and the last conversation matter
+            pass
+        if last is not None:
+            out.append(ends(last))
         for k, (part, key, inner, opening) in enumerate(out):
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int64()), pa.array([key]), pa.array([inner]), pa.array([opening])], names=["part", "k", "key", "inner", "opening"])
 
