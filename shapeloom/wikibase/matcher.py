@@ -114,13 +114,18 @@ def _bounds(n: Column, lo: int, hi: int | None) -> Column:
 
 
 def statement_matches(tc: TripleConstraint, s: Column, refs=None) -> Column:
-    ok = snak_matches(tc.value, s["snak"], refs)
+    return snak_matches(tc.value, s["snak"], refs) & _all(test for _, test in _beside(tc, s, refs))
+
+
+def _beside(tc: TripleConstraint, s: Column, refs=None) -> list[tuple[str, Column]]:
+    """What a constraint asks of a statement beside its value, by name."""
+    out = []
     if isinstance(tc, StatementConstraint):
         if tc.qualifiers is not None:
-            ok = ok & _counted(tc.qualifiers, s["qualifiers"], refs)
+            out.append(("qualifiers", _counted(tc.qualifiers, s["qualifiers"], refs)))
         if tc.references:
-            ok = ok & reduce(lambda a, b: a | b, (_bounds(F.size(F.filter(s["refs"], _of_reference(spec, refs))), lo, hi) for spec, lo, hi in tc.references))
-    return ok
+            out.append(("references", reduce(lambda a, b: a | b, (_bounds(F.size(F.filter(s["refs"], _of_reference(spec, refs))), lo, hi) for spec, lo, hi in tc.references))))
+    return out
 
 
 def _of_reference(spec, refs):
@@ -251,25 +256,60 @@ class Matcher:
         mine = list(self._constraints(se, trail))
         return lambda s: reduce(lambda a, b: a | b, ((s["property"] == property_of(tc.predicate)) & statement_matches(tc, s) for tc in mine), F.lit(False))
 
-    def reasons(self, label: str | None = None) -> Column:
-        """Why an entity fails: codes with their properties, by constraint; empty where the shape holds."""
+    def reasons(self, label: str | None = None, refs=None) -> Column:
+        """Why an entity fails: codes with their properties, by constraint; empty where the shape holds.
+
+        ``too-few``, ``too-many`` and ``no-match`` count statements; ``reference``
+        (an entity lacks the label asked of it, told only with ``refs``), ``qualifiers``
+        and ``references`` say what a statement fails by; ``not`` is a negation
+        whose operand holds.  Operands of a choice that fails all tell their codes.
+        """
         se = self.exprs[label or self.first()]
         found = []
-        for shape in [x for x in analyze.same_node(se) if isinstance(x, Shape)]:
+        for shape in self._same_entity(se, (), refs):
+            if isinstance(shape, Column):
+                found.append(F.when(shape, F.lit("not")))
+                continue
             extra = {property_of(e) for e in shape.extra}
             for tc in self._constraints(shape, ()):
                 p = property_of(tc.predicate)
-                mine = F.size(F.filter("statements", _statements(tc, True)))
-                other = F.exists("statements", _statements(tc, False))
+                mine = F.size(F.filter("statements", _statements(tc, True, refs)))
                 found.append(F.when(mine < tc.min, F.lit(f"too-few {p}")))
                 if tc.max is not None:
                     found.append(F.when(mine > tc.max, F.lit(f"too-many {p}")))
+                blamed = mine < tc.min if p in extra else F.lit(True)
                 if p not in extra:
-                    found.append(F.when(other, F.lit(f"no-match {p}")))
+                    found.append(F.when(F.exists("statements", _statements(tc, False, refs)), F.lit(f"no-match {p}")))
+                found += [F.when(blamed & F.exists("statements", fails), F.lit(f"{code} {p}")) for code, fails in self._faults(tc, refs)]
             for c in getattr(shape, "terms", ()):
                 found.append(F.when(~term_matches(c), F.lit(f"{c.what} {c.lang}")))
         none = F.array().cast("array<string>")
-        return F.when(F.coalesce(self._expr(se, ()), F.lit(False)), none).otherwise(F.array_sort(F.array_compact(F.array(*found))) if found else none)
+        return F.when(F.coalesce(self._expr(se, (), refs), F.lit(False)), none).otherwise(F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))) if found else none)
+
+    @staticmethod
+    def _faults(tc: TripleConstraint, refs):
+        """Codes of what a statement can fail by, each with a function from a statement to whether it does."""
+        p = property_of(tc.predicate)
+        mine = lambda s: (s["property"] == p) & snak_matches(tc.value, s["snak"], refs)
+        if refs is not None and tc.value is not None and any(isinstance(x, ShapeRef) for x in walk_shapes(tc.value)):
+            yield "reference", lambda s: (s["property"] == p) & (s["snak"]["vtype"] == "entity") & ~snak_matches(tc.value, s["snak"], refs)
+        if isinstance(tc, StatementConstraint):
+            if tc.qualifiers is not None:
+                yield "qualifiers", lambda s: mine(s) & ~dict(_beside(tc, s, refs))["qualifiers"]
+            if tc.references:
+                yield "references", lambda s: mine(s) & ~dict(_beside(tc, s, refs))["references"]
+
+    def _same_entity(self, se, trail, refs):
+        """Shapes that the entity itself has to have, and of each negation whether its operand holds."""
+        if isinstance(se, ShapeAnd | ShapeOr):
+            for x in se.exprs:
+                yield from self._same_entity(x, trail, refs)
+        elif isinstance(se, ShapeRef) and se.label not in trail:
+            yield from self._same_entity(self.exprs[se.label], (*trail, se.label), refs)
+        elif isinstance(se, ShapeNot):
+            yield self._expr(se.expr, trail, refs)
+        elif isinstance(se, Shape):
+            yield se
 
     def _constraints(self, se, trail):
         if isinstance(se, ShapeAnd | ShapeOr):
@@ -330,7 +370,20 @@ class Matcher:
         return out
 
     def match_graph(self, entities: DataFrame) -> DataFrame:
-        """(id, ok_shapes): labels whose shapes hold, references followed.
+        """(id, ok_shapes): labels whose shapes hold, references followed."""
+        typed = self._typed(entities)[0]
+        return entities.select("id").join(typed.groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("ok_shapes")), "id", "left").select("id", F.coalesce("ok_shapes", F.array().cast("array<string>")).alias("ok_shapes"))
+
+    def reasons_graph(self, entities: DataFrame, label: str | None = None) -> DataFrame:
+        """(id, reasons): why an entity fails where references are followed; see ``reasons``."""
+        label = label or self.first()
+        _, rows, known, refs = self._typed(entities)
+        wanted = self._asked(self.exprs[label])
+        rows = rows.join(known(wanted), "id", "left") if wanted else rows
+        return rows.select("id", self.reasons(label, refs).alias("reasons"))
+
+    def _typed(self, entities: DataFrame):
+        """(id, label) of all labels that hold, the entities as far as labels look at them, what they know of labels, and the test of a reference.
 
         Labels go in strata, those asked first.  Labels that ask each other
         start as held by all entities and lose those whose expressions fail,
@@ -381,7 +434,7 @@ class Matcher:
                 typed = self._with(done, now)
             else:
                 typed = self._with(done, verdicts(group))
-        return entities.select("id").join(typed.groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("ok_shapes")), "id", "left").select("id", F.coalesce("ok_shapes", F.array().cast("array<string>")).alias("ok_shapes"))
+        return typed, mine, known, refs
 
     @staticmethod
     def _with(a: DataFrame | None, b: DataFrame) -> DataFrame:

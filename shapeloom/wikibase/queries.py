@@ -152,6 +152,12 @@ def _reasons(spark, sf_dir):
     return entities(spark, sf_dir).select(_key(), F.array_join(m.reasons(), ", ").alias("reasons"))
 
 
+def _graph_reasons(spark, sf_dir):
+    """Why a part fails: its value, qualifiers, references, or the part that it leads to."""
+    m = Matcher(parse(_P + "<S> { :P3 MININCLUSIVE 3 {| :P4 /^Brand#[12]/ |} REFERENCES {| :P5 /e/ |} ; :P6 @<T> } <T> { :P1 /^Brand#1/ }"))
+    return m.reasons_graph(entities(spark, sf_dir)).select(_key(), F.array_join("reasons", ", ").alias("reasons"))
+
+
 def _from_plain(spark, sf_dir):
     """A plain schema over direct properties, as an entity schema."""
     s = from_plain(plain('PREFIX wdt: <http://www.wikidata.org/prop/direct/> <S> EXTRA wdt:P2 { wdt:P2 [ "PROMO" "STANDARD" ] ; wdt:P3 MAXEXCLUSIVE 20 }'))
@@ -202,6 +208,7 @@ QUERIES = {
     "entity_json": _json,
     "entity_projected_choice": _projected_choice,
     "entity_reasons": _reasons,
+    "entity_graph_reasons": _graph_reasons,
     "entity_schema_from_plain": _from_plain,
     "entity_schema_to_plain": _to_plain,
     "entity_node_kinds": _snak_kinds,
@@ -242,6 +249,10 @@ UNION ALL SELECT 'ns/prov#wasDerivedFrom', r FROM n UNION ALL SELECT 'prop/P5',
   FROM part WHERE p_size >= 20 OR p_type = 'PROMO' OR starts_with(p_brand, 'Brand#3')""",
     "entity_reasons": """SELECT p_partkey, concat_ws(', ', CASE WHEN NOT regexp_matches(p_name, 'ring$') THEN 'label en' END, CASE WHEN NOT starts_with(p_brand, 'Brand#1') THEN 'no-match P1' END, CASE WHEN p_size < 10 THEN 'no-match P3' END,
   CASE WHEN NOT starts_with(p_brand, 'Brand#1') THEN 'too-few P1' END, CASE WHEN p_size < 10 THEN 'too-few P3' END, 'too-many P2') AS reasons FROM part""",
+    "entity_graph_reasons": """SELECT p_partkey, concat_ws(', ', CASE WHEN NOT (v AND q AND r) THEN 'no-match P3' END, CASE WHEN NOT t THEN 'no-match P6' END, CASE WHEN v AND NOT q THEN 'qualifiers P3' END, CASE WHEN NOT t THEN 'reference P6' END,
+  CASE WHEN v AND NOT r THEN 'references P3' END, CASE WHEN NOT (v AND q AND r) THEN 'too-few P3' END, CASE WHEN NOT t THEN 'too-few P6' END) AS reasons
+  FROM (SELECT a.p_partkey, a.p_size >= 3 AS v, regexp_matches(a.p_brand, '^Brand#[12]') AS q, a.p_size > 10 AND contains(a.p_name, 'e') AS r, starts_with(b.p_brand, 'Brand#1') AS t
+    FROM part a JOIN part b ON b.p_partkey = (a.p_partkey + 1) % (SELECT max(p_partkey) + 1 FROM part))""",
     "entity_schema_from_plain": "SELECT p_partkey, p_type IN ('PROMO', 'STANDARD') AND p_size < 20 AS matches FROM part",
     "entity_schema_to_plain": "SELECT p_partkey, CASE WHEN contains(p_name, 'e') AND starts_with(p_brand, 'Brand#2') AND p_size >= 10 THEN 'conformant' ELSE 'nonconformant' END AS status FROM part",
     "entity_node_kinds": "SELECT p_partkey, p_size % 4 = 0 AS iri, p_size % 4 = 1 AS literal, p_size % 4 = 2 AS bnode, p_size % 4 IN (0, 2) AS nonliteral, p_size % 4 <> 0 AS not_iri, p_size % 4 = 3 AS novalue FROM part",

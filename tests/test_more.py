@@ -77,6 +77,25 @@ def test_projection_graph_and_closed(entities):
     assert got == {"Q42": ["http://x/H"], "Q43": ["http://x/P"]}
 
 
+@pytest.mark.parametrize(
+    "schema, label, want",
+    [
+        ("<P> { :P40 @<H> } <H> EXTRA :P31 { :P31 [ :Q5 ] ; :P734 . + }", "P", {"Q42": ["too-few P40"], "Q43": []}),
+        ("<P> { :P40 @<N> } <N> NOT @<H> <H> { :P734 . + }", "P", {"Q42": ["too-few P40"], "Q43": ["no-match P40", "reference P40", "too-few P40"]}),
+        ("<N> NOT @<H> <H> { :P734 . + }", "N", {"Q42": ["not"], "Q43": []}),
+        ("<A> @<B> AND { :P40 . } <B> { :P734 . + }", "A", {"Q42": ["too-few P40"], "Q43": ["too-few P734"]}),
+        ("<L> { :P40 @<L> }", "L", {"Q42": ["too-few P40"], "Q43": ["no-match P40", "reference P40", "too-few P40"]}),
+        ("<L> EXTRA :P40 { :P40 @<H> } <H> { :P1 . }", "L", {"Q42": ["too-few P40"], "Q43": ["reference P40", "too-few P40"]}),
+    ],
+)
+def test_reasons_along_references(entities, schema, label, want):
+    m = Matcher(entityschema.parse(P + schema, "http://x/"))
+    got = {r["id"]: r["reasons"] for r in m.reasons_graph(entities, "http://x/" + label).collect()}
+    assert got == want
+    held = {r["id"]: "http://x/" + label in r["ok_shapes"] for r in m.match_graph(entities).collect()}
+    assert held == {k: not v for k, v in got.items()}
+
+
 def test_entity_rdf(entities):
     t = {(r["s"].rsplit("/")[-1], r["p"].rsplit("/", 2)[-2] + "/" + r["p"].rsplit("/")[-1], r["o_lex"]) for r in entity_rdf.full(entities).collect()}
     assert ("Q42>", "direct/P734", "Adams") in t and ("Q42>", "direct/P734", "Noel") not in t
