@@ -1,4 +1,4 @@
-"""Cut points of iterative plans, in the folder that the cluster shares."""
+"""Cut points of iterative plans, in the folder that the cluster shares, and how rows are dealt over tasks."""
 
 from __future__ import annotations
 
@@ -29,3 +29,10 @@ def keep(df: DataFrame) -> DataFrame:
     """Write a table of an iteration to the shared folder and go on from there."""
     shared(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *by) -> DataFrame:
+    """Rows dealt over all cores before costly work on each, however few files they come from; those with equal ``by`` meet in one task, next to each other."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *by).sortWithinPartitions(*by) if by else df.repartition(tasks)
