@@ -229,7 +229,7 @@ _PATHS = {
 def shape_path_sets(spark, sf_dir):
     """How many nodes paths with axes and set operations select in the schema of every part."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    table = keep(tables.nodes(part.selectExpr("p_partkey AS key", f"{_VARIANT} AS text")))
+    table = keep(spread(tables.nodes(part.selectExpr("p_partkey AS key", f"{_VARIANT} AS text")), "key"))  # the joins by key start from here
     found = None
     for name, path in _PATHS.items():
         one = tables.evaluate(table, tables.parse(path, {"e": "http://e/"})).groupBy("key").agg(F.count("*").alias("nodes")).select(F.col("key").alias("p_partkey"), F.lit(name).alias("path"), "nodes")

@@ -26,9 +26,11 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import spread
 from ..schema.ast import EachOf, Inclusion, NodeConstraint, OneOf, SchemaError, Shape, ShapeAnd, ShapeExternal, ShapeNot, ShapeOr, ShapeRef, TripleConstraint
 from ..schema.shexc import parse as parse_schema
 
@@ -159,34 +161,51 @@ def numbered(text: str) -> list[tuple]:
     return out
 
 
-def nodes(schemas: DataFrame) -> DataFrame:
-    """(key, first, last, parent, kind, name) of schemas (key, text in the compact syntax)."""
-
-    def run(frames):
-        import pandas as pd
-
-        for pdf in frames:
-            rows = [(k, *n) for k, t in zip(pdf["key"], pdf["text"], strict=True) if t is not None for n in numbered(t)]
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in NODE.split(", ")])
-            yield out.astype({"parent": "Int32"})
+BATCH = 50_000  # rows that a task holds at a time
 
-    return schemas.select(F.col("key").cast("long").alias("key"), "text").mapInPandas(run, NODE)
 
-
-def _step(table: DataFrame, at: DataFrame, step: Step) -> DataFrame:
-    n, c = table.alias("n"), at.alias("c")
-    same = F.col("n.key") == F.col("c.key")
-    inside = (F.col("n.first") > F.col("c.first")) & (F.col("n.first") <= F.col("c.last"))
-    itself = F.col("n.first") == F.col("c.first")
-    where = {"child": same & (F.col("n.parent") == F.col("c.first")), "descendant": same & inside}.get(step.axis)
-    if where is None:
-        kinds = SHAPES if "shape" in step.axis else TRIPLES
-        where = same & (inside | itself) & F.col("n.kind").isin(*kinds)
+def nodes(schemas: DataFrame) -> DataFrame:
+    """(key, first, last, parent, kind, name) of schemas (key, text in the compact syntax); a task numbers equal texts once."""
+    schema = pa.schema([("key", pa.int64()), *((c, pa.int32()) for c in ("first", "last", "parent")), ("kind", pa.string()), ("name", pa.string())])
+
+    def run(batches):
+        seen, of = None, ()
+        for batch in batches:
+            out = [[] for _ in schema]
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if text != seen:
+                    seen, of = text, list(zip(*numbered(text), strict=True))
+                out[0] += [key] * len(of[0])
+                for mine, more in zip(out[1:], of, strict=True):
+                    mine += more
+                if len(out[0]) >= BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+                    out = [[] for _ in schema]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+
+    texts = schemas.select(F.col("key").cast("long").alias("key"), "text").where("text IS NOT NULL")
+    return spread(texts, "text", F.pmod(F.xxhash64("key"), F.lit(8))).mapInArrow(run, NODE)
+
+
+def _step(table: DataFrame, at: DataFrame | None, step: Step) -> DataFrame:
+    """Where a step leads from ``at``, or from the schemas themselves: everything is inside those, so that takes no join."""
+    column = (lambda x: F.col(f"n.{x}")) if at is not None else F.col
+    where = F.lit(True)
+    if step.axis.startswith("nested"):
+        where = column("kind").isin(*(SHAPES if "shape" in step.axis else TRIPLES))
     if step.kind is not None:
-        where = where & (F.col("n.kind") == step.kind)
+        where = where & (column("kind") == step.kind)
     if step.name is not None:
-        where = where & (F.col("n.name") == step.name)
-    return n.join(c, where).select("n.key", "n.first", "n.last").distinct()
+        where = where & (column("name") == step.name)
+    if at is None:
+        inside = {"child": F.col("parent") == 0}.get(step.axis, F.col("first") > 0)
+        return table.where(inside & where).select("key", "first", "last").distinct()
+    # both sides may be as large as the corpus: never sent to every task
+    n, c = table.alias("n"), at.hint("merge").alias("c")
+    inside = (F.col("n.first") > F.col("c.first")) & (F.col("n.first") <= F.col("c.last"))
+    itself = F.col("n.first") == F.col("c.first")
+    there = {"child": F.col("n.parent") == F.col("c.first"), "descendant": inside}.get(step.axis, inside | itself)
+    return n.join(c, (F.col("n.key") == F.col("c.key")) & there & where).select("n.key", "n.first", "n.last").distinct()
 
 
 def evaluate(table: DataFrame, expr) -> DataFrame:
@@ -195,5 +214,5 @@ def evaluate(table: DataFrame, expr) -> DataFrame:
         a, b = evaluate(table, expr.left), evaluate(table, expr.right)
         if expr.op == "union":
             return a.unionByName(b).distinct()
-        return a.join(b.select("key", "first"), ["key", "first"], "left_semi" if expr.op == "intersect" else "left_anti")
-    return reduce(lambda at, s: _step(table, at, s), expr.steps, table.where("first = 0").select("key", "first", "last").distinct())
+        return a.join(b.select("key", "first").hint("merge"), ["key", "first"], "left_semi" if expr.op == "intersect" else "left_anti")
+    return reduce(lambda at, s: _step(table, at, s), expr.steps, None)

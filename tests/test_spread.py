@@ -29,3 +29,13 @@ def test_equal_rows_meet_and_tasks_share(spark):
 def test_a_corpus_in_one_file_is_analysed_by_many_tasks(spark, one_file):
     found = queries_more.schema_corpus(spark, one_file)
     assert found.count() == 4000 and tasks(found) >= 4
+
+
+def test_paths_of_a_corpus_never_broadcast_it(spark, one_file):
+    """A schema's nodes are many times its text, so sizes guessed from files are no reason to send them everywhere."""
+    found = queries_more.shape_path_sets(spark, one_file)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    # the table lies by key: only the second side of a join moves, and no path from the schemas themselves joins anything
+    assert plan.count("SortMergeJoin") <= 9
+    assert found.where("path = 'constraints'").count() == 4000
