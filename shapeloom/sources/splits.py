@@ -10,16 +10,17 @@ string, or between brackets.  So it goes in three steps:
 2. The maps are composed along the blocks of a file (a prefix scan over one
    small row a block), so each block knows the state it begins in.
 3. Every block is cut after the dots that end statements.  What is before its
-   first one is handed to the statement that an earlier block began.  Prefix and base
-   declarations are gathered by place, and each chunk of statements is parsed
-   with those before it.
+   first one is handed to the statement that an earlier block began.  A chunk of
+   statements tells which declarations count after it (the last of every prefix);
+   these are composed along a file, too, and each chunk is parsed with the base and
+   the prefixes that hold where it begins.
 
 The driver sees one row a block (its file, offset, and end states) and no text.
 
 Defined results: triples are those of the whole document; blank nodes are named
 apart by file, unlabelled ones by chunk too; an empty file gives none; a line
-end inside a long string is one newline, whatever it was.  A file's declarations
-have to fit into a task's memory, and so does any one statement.
+end inside a long string is one newline, whatever it was.  What the chunks of a file
+declare, each prefix once a chunk, has to fit into a task's memory, and so does any one statement.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import TRIPLES, literal_id, term_row
-from ..plans.storage import keep
-from ..schema.ast import BNode
+from ..plans.storage import keep, spread
+from ..schema.ast import BNode, resolve_iri
+from ..schema.shexc import unescape
 from .graph import Graph
 
 PLAIN, DOUBLE, SINGLE = 0, 1, 2
@@ -142,6 +144,43 @@ def declarations(statement: str) -> list[str]:
     return out
 
 
+_DECLARED = re.compile(r"(?:prefix\s+([^\s:]*):|base)\s*<([^>]*)>", re.I)
+_ABSOLUTE = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
+
+
+def declared(declarations: list[str], base: str | None, prefixes: dict) -> tuple[str | None, dict]:
+    """(base, prefixes) after declarations, of those before."""
+    prefixes = dict(prefixes)
+    for d in declarations:
+        name, iri = _DECLARED.match(d).groups()
+        iri = resolve_iri(base, unescape(iri))
+        if name is None:
+            base = iri
+        else:
+            prefixes[name] = iri
+    return base, prefixes
+
+
+def effective(declarations: list[str]) -> list[str]:
+    """The declarations that still count at the end: the last of each prefix, and bases unless an absolute one follows that no prefix kept needs to come before."""
+    kept, names, later = [], set(), False  # from the last one back; later: an absolute base follows
+    needed = False  # a relative IRI that is kept further on hangs on the bases before it
+    for d in reversed(declarations):
+        name, iri = _DECLARED.match(d).groups()
+        absolute = bool(_ABSOLUTE.match(unescape(iri)))
+        if name is None:
+            if later and not needed:
+                continue
+            later, needed = later or absolute, not absolute
+        else:
+            if name in names:
+                continue
+            names.add(name)
+            needed = needed or not absolute
+        kept.append(d)
+    return kept[::-1]
+
+
 _PIECE = "file string, start long, seq long, kind string, text string, declared array<string>"
 _ARROW = pa.schema([("file", pa.string()), ("start", pa.int64()), ("seq", pa.int64()), ("kind", pa.string()), ("text", pa.string()), ("declared", pa.list_(pa.string()))])
 
@@ -177,7 +216,8 @@ class _Cutter:
                 yield self._piece("head", statement, [])
                 continue
             self.statements.append(statement)
-            self.declared += declarations(statement)
+            if here := declarations(statement):
+                self.declared = effective(self.declared + here)
             self.size += len(statement)
             if self.size >= self.chunk:
                 yield from self._whole()
@@ -234,20 +274,42 @@ def _stitched(pieces: DataFrame) -> DataFrame:
 
     def joined(batches):
         for batch in batches:
-            rows = [{"file": r["file"], "start": r["owner"], "seq": 1 << 60, "kind": "whole", "text": (text := "".join(p["text"] for p in sorted(r["parts"], key=lambda p: p["start"]))), "declared": declarations(text)} for r in batch.to_pylist()]
+            rows = [{"file": r["file"], "start": r["owner"], "seq": 1 << 60, "kind": "whole", "text": (text := "".join(p["text"] for p in sorted(r["parts"], key=lambda p: p["start"]))), "declared": effective(declarations(text))} for r in batch.to_pylist()]
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     parts = pieces.where("kind != 'whole'").mapInArrow(owner, _PIECE + ", owner long")
     return parts.groupBy("file", "owner").agg(F.collect_list(F.struct("start", "text")).alias("parts")).mapInArrow(joined, _PIECE)
 
 
+def _known(chunks: DataFrame, base: str | None) -> DataFrame:
+    """(file, start, seq, base, prefixes) that hold where a chunk begins: what chunks declare, composed along each file."""
+
+    def composed(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                now, prefixes, out = base, {}, []
+                for c in sorted(r["chunks"], key=lambda c: (c["start"], c["seq"])):
+                    out.append({"file": r["file"], "start": c["start"], "seq": c["seq"], "base": now, "prefixes": list(prefixes.items())})
+                    if c["declared"]:
+                        now, prefixes = declared(c["declared"], now, prefixes)
+                    if len(out) == 1000:
+                        yield pa.RecordBatch.from_pylist(out, schema=_HERE)
+                        out = []
+                yield pa.RecordBatch.from_pylist(out, schema=_HERE)
+
+    by_file = chunks.groupBy("file").agg(F.collect_list(F.struct("start", "seq", "declared")).alias("chunks"))
+    return by_file.mapInArrow(composed, "file string, start long, seq long, base string, prefixes map<string, string>")
+
+
+_HERE = pa.schema([("file", pa.string()), ("start", pa.int64()), ("seq", pa.int64()), ("base", pa.string()), ("prefixes", pa.map_(pa.string(), pa.string()))])
+
+
 def read_turtle(spark: SparkSession, path: str, base: str | None = None, chunk: int = CHUNK) -> Graph:
     """Triples of Turtle files of any size; see the module."""
     lines = _lines(spark, path)
     begins = entries(lines.mapInArrow(_maps, "file string, start long, ends array<int>, depths array<int>").collect())
     pieces = keep(lines.mapInArrow(_cut(begins, chunk), _PIECE))
     chunks = keep(pieces.where("kind = 'whole'").unionByName(_stitched(pieces)))
-    declared = chunks.where(F.size("declared") > 0).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("start", "seq", "declared"))).alias("known"))
     names = [c.split()[0] for c in TRIPLES.split(", ")]
 
     def parse(batches):
@@ -266,14 +328,16 @@ def read_turtle(spark: SparkSession, path: str, base: str | None = None, chunk:
             return BNode(f"_:{scope}_{t.value[2:]}") if isinstance(t, BNode) else t
 
         for batch in batches:
-            for r in batch.to_pylist():
-                here = (r["start"], r["seq"])
-                known = [d for k in r["known"] or [] if (k["start"], k["seq"]) < here for d in k["declared"]]
-                t = Chunk("\n".join([*known, r["text"]]), base)
+            for i in range(batch.num_rows):
+                (r,) = batch.slice(i, 1).to_pylist()
+                t = Chunk(r["text"], r["base"])
+                t.prefixes = dict(r["prefixes"] or [])
                 t.tag = f"{r['start'] + 1}-{r['seq']}"
                 rows = [(literal_id(named(s, r["scope"])), p, *term_row(named(o, r["scope"]))) for s, p, o in t.parse()]
-                for i in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_pandas(pd.DataFrame(rows[i : i + 10_000], columns=names), schema=pa.schema([(n, pa.string()) for n in names]), preserve_index=False)
+                for at in range(0, len(rows), 10_000):
+                    yield pa.RecordBatch.from_pandas(pd.DataFrame(rows[at : at + 10_000], columns=names), schema=pa.schema([(n, pa.string()) for n in names]), preserve_index=False)
 
-    met = chunks.join(declared, "file", "left").select("start", "seq", "text", "known", F.concat(F.lit("b"), F.md5("file")).alias("scope"))
-    return Graph(met.mapInArrow(parse, TRIPLES))
+    here = ["file", "start", "seq"]
+    # by place, so that chunks of one file go to many tasks
+    met = chunks.join(_known(chunks.select(*here, "declared"), base).hint("merge"), here).select("start", "seq", "text", "base", "prefixes", F.concat(F.lit("b"), F.md5("file")).alias("scope"))
+    return Graph(spread(met, "scope", "start", "seq").mapInArrow(parse, TRIPLES))

@@ -100,3 +100,39 @@ def test_a_large_file_is_parsed_by_many_tasks(spark, tmp_path):
 
 def test_bnode_type():
     assert isinstance(rdf.parse_turtle("_:x <http://e/p> 1 .")[0][0], BNode)
+
+
+def test_what_declarations_come_to():
+    lists = [
+        ["PREFIX a: <http://x/>", "PREFIX a: <rel>", "BASE <http://b/>", "PREFIX c: <d/>", "BASE <e/>", "PREFIX f: <g>", "PREFIX c: <h>"],
+        ["BASE <x/>", "PREFIX a: <r>", "BASE <y/>", "BASE <http://z/>", "BASE <http://w/>", "PREFIX : <>"],
+        ["BASE <http://1/>", "BASE <two/>", "PREFIX p: <q>", "BASE <http://3/>"],
+        ["prefix p: <http://e/>"] * 50,
+    ]
+    for a in lists:
+        for before in ((None, {}), ("http://base/x/", {"a": "http://old/", "k": "http://kept/"})):
+            for cut in range(len(a)):
+                whole = splits.declared(splits.effective(a[:cut]), *before)
+                assert splits.declared(splits.effective(a[cut:]), *whole) == splits.declared(a, *before)
+    assert splits.effective(lists[3]) == ["prefix p: <http://e/>"] and len(splits.effective(["BASE <http://b/>", "PREFIX c: <d>"] * 9)) == 2
+
+
+def test_declarations_before_every_statement_are_told_once_a_chunk(spark, tmp_path):
+    """Every document of a joined file declares its prefixes again: what is handed to chunks must not grow with them."""
+    n = 4000
+    (tmp_path / "l.ttl").write_text("".join(f"PREFIX : <http://e/{i % 3}/> :s{i} :p {i} .\n" for i in range(n)))
+    size = []
+    keep = splits._known
+
+    def measured(chunks, base):
+        known = keep(chunks, base)
+        size.append((chunks.agg(F.max(F.size("declared"))).first()[0], known.agg(F.max(F.size("prefixes"))).first()[0]))
+        return known
+
+    splits._known = measured
+    try:
+        got = read(spark, str(tmp_path), 20_000, 1000)
+    finally:
+        splits._known = keep
+    assert size == [(1, 1)]
+    assert sorted(r[0] for r in got) == sorted(f"<http://e/{i % 3}/s{i}>" for i in range(n))
