@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import TRIPLES, escaped, literal_id, term_at, term_id, term_row
+from ..plans.storage import spread
 from ..schema.ast import RDF, XSD, BNode, Iri, Literal, SchemaError, resolve_iri
 from ..schema.shexc import Tokens, unescape
 from . import jsonld, rdfxml
@@ -16,6 +17,9 @@ from .graph import Graph
 
 _LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|(_:[^\s.]\S*)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?)\s*\.\s*(?:#.*)?$'
 
+#: Groups of a line in the order they are cut out in, and what parts them: no group but the text may hold both a newline and a closing bracket before it.
+_PARTS, _CUT = (1, 2, 3, 4, 6, 7, 5), ">\n>"
+
 
 def _unescape(c):
     """N-Triples escapes, each decoded once from left to right: the text is cut at escapes and put together again."""
@@ -31,16 +35,19 @@ def _unescape(c):
 def ntriples_lines(lines: DataFrame, scope=None) -> DataFrame:
     """Triples of N-Triples lines (column ``value``); blank nodes are named apart per ``scope``; other lines are dropped if blank or comments, else raise."""
     scope = F.lit("") if scope is None else scope
-    rows = lines.where(~F.col("value").rlike(r"^\s*(#.*)?$"))
-    part = lambda i: F.nullif(F.regexp_extract("value", _LINE, i), F.lit(""))
+    # the line is matched once: its parts follow each other, the text last, parted by what none before it can hold
+    parts = F.split(F.regexp_replace("value", _LINE, _CUT.join(f"${i}" for i in _PARTS)), _CUT, len(_PARTS))
+    rows = lines.where(~F.col("value").rlike(r"^\s*(#.*)?$")).withColumn("_parts", parts)
+    raw = lambda i: F.get("_parts", F.lit(_PARTS.index(i)))
+    part = lambda i: F.nullif(raw(i), F.lit(""))
     name = lambda c: F.when(c.startswith("_:"), F.concat(F.lit("_:"), scope, F.substr(c, F.lit(3)))).otherwise(c)
-    ok = F.when(F.col("value").rlike(_LINE), part(1)).otherwise(F.raise_error(F.concat(F.lit("no N-Triples line: "), F.col("value"))))
+    ok = F.when(F.size("_parts") == len(_PARTS), part(1)).otherwise(F.raise_error(F.concat(F.lit("no N-Triples line: "), F.col("value"))))
     literal = part(3).isNull() & part(4).isNull()
-    iri_empty = F.col("value").rlike(r">\s+<>\s*\.")
+    iri_empty = (raw(3) == "") & (raw(4) == "") & (raw(5) == "") & F.col("value").rlike(r"^\s*(?:<[^>]*>|_:\S+)\s+<[^>]*>\s+<>")
     return rows.select(
         name(_unescape(ok)).alias("s"), _unescape(part(2)).alias("p"),
         F.when(part(3).isNotNull() | iri_empty, "iri").when(part(4).isNotNull(), "bnode").otherwise("literal").alias("o_kind"),
-        F.coalesce(_unescape(part(3)), name(part(4)), F.when(iri_empty, ""), _unescape(F.regexp_extract("value", _LINE, 5))).alias("o_lex"),
+        F.coalesce(_unescape(part(3)), name(part(4)), F.when(iri_empty, ""), _unescape(raw(5))).alias("o_lex"),
         F.when(literal & ~iri_empty, F.when(part(7).isNotNull(), RDF + "langString").otherwise(F.coalesce(_unescape(part(6)), F.lit(XSD + "string")))).alias("o_dt"),
         part(7).alias("o_lang"),
     )
@@ -89,7 +96,7 @@ def of_documents(documents: DataFrame, parse) -> Graph:
                 while part := list(islice(rows, 10_000)):
                     yield pd.DataFrame([(literal_id(s), *rest) for s, *rest in part], columns=names)
 
-    return Graph(documents.select("name", "value").mapInPandas(run, TRIPLES))
+    return Graph(spread(documents.select("name", "value"), "name").mapInPandas(run, TRIPLES))
 
 
 def _read_whole(spark: SparkSession, path: str, parse) -> Graph:

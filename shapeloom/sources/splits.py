@@ -340,4 +340,5 @@ def read_turtle(spark: SparkSession, path: str, base: str | None = None, chunk:
     here = ["file", "start", "seq"]
     # by place, so that chunks of one file go to many tasks
     met = chunks.join(_known(chunks.select(*here, "declared"), base).hint("merge"), here).select("start", "seq", "text", "base", "prefixes", F.concat(F.lit("b"), F.md5("file")).alias("scope"))
-    return Graph(spread(met, "scope", "start", "seq").mapInArrow(parse, TRIPLES))
+    parsed = Graph(spread(met, "scope", "start", "seq").mapInArrow(parse, TRIPLES))
+    return Graph(keep(parsed.df), distinct=False)  # a validation reads a graph several times

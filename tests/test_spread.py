@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shapeloom import queries_more
+from shapeloom import queries_forms, queries_more
 from shapeloom.plans.storage import spread
+from shapeloom.schema.ast import RDF, XSD
+from shapeloom.sources import rdf
 
 
 @pytest.fixture
@@ -39,3 +41,41 @@ def test_paths_of_a_corpus_never_broadcast_it(spark, one_file):
     # the table lies by key: only the second side of a join moves, and no path from the schemas themselves joins anything
     assert plan.count("SortMergeJoin") <= 9
     assert found.where("path = 'constraints'").count() == 4000
+
+
+def test_documents_in_one_file_are_parsed_by_many_tasks(spark):
+    documents = spark.range(400, numPartitions=1).selectExpr("concat('d', id) AS name", "concat('<http://e/', id, '> <http://e/p> [ <http://e/q> ', id, ' ] .') AS value")
+    g = rdf.of_documents(documents, rdf.parse_turtle)
+    assert g.df.count() == 800 and "Repartition" in g.df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_validation_parses_documents_once(spark):
+    plan = queries_forms.QUERIES["rdf_turtle"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "MapInPandas" not in plan
+
+
+LINES = [
+    ('<a\n> <p> <b\n> .', ("<a\n>", "p", "iri", "b\n", None, None)),
+    ('_:x> <p> _:y> .', ("_:x>", "p", "bnode", "_:y>", None, None)),
+    ('<a> <p> "x>\\n>y" . # <z> .', ("<a>", "p", "literal", "x>\n>y", XSD + "string", None)),
+    ('<a> <p> ">\n>"@en-GB .', ("<a>", "p", "literal", ">\n>", RDF + "langString", "en-GB")),
+    ('<a> <p> ""^^<t> .', ("<a>", "p", "literal", "", "t", None)),
+    ('<a> <p> "" .', ("<a>", "p", "literal", "", XSD + "string", None)),
+    ('<a> <p> <> .', ("<a>", "p", "iri", "", None, None)),
+    ('<a> <> "$1 \\\\ > <> ." .', ("<a>", None, "literal", "$1 \\ > <> .", XSD + "string", None)),
+]
+
+
+def test_lines_are_cut_where_their_parts_end(spark):
+    got = rdf.ntriples_lines(spark.createDataFrame([(x,) for x, _ in LINES], "value string")).collect()
+    assert [tuple(r) for r in got] == [want for _, want in LINES]
+
+
+def test_a_line_is_matched_once(spark):
+    plan = rdf.ntriples_lines(spark.range(1).selectExpr("concat('<a> <p> ', id, ' .') AS value"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?:[^") == 1
+
+
+def test_what_is_no_line_raises(spark):
+    with pytest.raises(Exception, match="no N-Triples line"):
+        rdf.ntriples_lines(spark.createDataFrame([("<a> <p> .",)], "value string")).collect()
