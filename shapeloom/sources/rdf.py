@@ -87,14 +87,19 @@ def of_documents(documents: DataFrame, parse) -> Graph:
     """
     names = [c.split()[0] for c in TRIPLES.split(", ")]
 
+    def triples(frames):
+        for pdf in frames:
+            for name, text in zip(pdf["name"], pdf["value"], strict=True):
+                for s, p, o in parse(text):
+                    yield literal_id(_scope_term(s, name)), p, *term_row(_scope_term(o, name))
+
     def run(frames):
         import pandas as pd
 
-        for pdf in frames:
-            for name, text in zip(pdf["name"], pdf["value"], strict=True):
-                rows = ((_scope_term(s, name), p, *term_row(_scope_term(o, name))) for s, p, o in parse(text))
-                while part := list(islice(rows, 10_000)):
-                    yield pd.DataFrame([(literal_id(s), *rest) for s, *rest in part], columns=names)
+        rows = triples(frames)
+        # full frames, however few triples a document has: a frame costs more than parsing a small document
+        while part := list(islice(rows, 10_000)):
+            yield pd.DataFrame(part, columns=names)
 
     return Graph(spread(documents.select("name", "value"), "name").mapInPandas(run, TRIPLES))
 

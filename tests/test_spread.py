@@ -1,5 +1,6 @@
 """Rows of few files are dealt over all tasks, and equal texts are worked out once."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,33 @@ def test_a_line_is_matched_once(spark):
 def test_what_is_no_line_raises(spark):
     with pytest.raises(Exception, match="no N-Triples line"):
         rdf.ntriples_lines(spark.createDataFrame([("<a> <p> .",)], "value string")).collect()
+
+
+def test_triples_of_small_documents_share_frames(spark):
+    """A frame of triples is filled from many documents."""
+    frames = []
+
+    class Documents:
+        """Stands for a table: runs the function on one frame of documents."""
+
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def repartition(self, *_):
+            return self
+
+        def sortWithinPartitions(self, *_):
+            return self
+
+        def distinct(self):
+            return self
+
+        def mapInPandas(self, run, _):
+            pdf = pd.DataFrame({"name": [f"d{i}" for i in range(3000)], "value": [f"<http://e/{i}> <http://e/p> 1 , 2 ." for i in range(3000)]})
+            frames.extend(run(iter([pdf])))
+            return self
+
+    rdf.of_documents(Documents(), rdf.parse_turtle)
+    assert [len(f) for f in frames] == [6000]
