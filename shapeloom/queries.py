@@ -216,8 +216,8 @@ def _arcs_of(spark, sf_dir):
     """All outgoing and incoming arcs of every nation, by direction and predicate."""
     g = graph(spark, sf_dir)
     nations = maps.all_of_type(g, BASE + "nation").select("node")
-    predicate = F.regexp_extract("p", r"([^/#]+)$", 1).alias("predicate")
-    return g.neighbours(nations).groupBy(key_of().alias("n_nationkey"), "direction", predicate).agg(F.count("*").alias("arcs"))
+    counts = g.neighbours(nations).groupBy("node", "direction", "p").agg(F.count("*").alias("n"))
+    return counts.groupBy(key_of().alias("n_nationkey"), "direction", F.regexp_extract("p", r"([^/#]+)$", 1).alias("predicate")).agg(F.sum("n").alias("arcs"))
 
 
 _register(
@@ -230,7 +230,8 @@ _register(
 
 def direct_mapping(spark, sf_dir):
     """Triples of all mapped tables, by predicate."""
-    return graph(spark, sf_dir).triples().groupBy(F.regexp_extract("p", r"([^/#]+)$", 1).alias("predicate")).agg(F.count("*").alias("triples"))
+    counts = graph(spark, sf_dir).triples().groupBy("p").agg(F.count("*").alias("n"))
+    return counts.groupBy(F.regexp_extract("p", r"([^/#]+)$", 1).alias("predicate")).agg(F.sum("n").alias("triples"))
 
 
 #: Columns that are mapped as they are, by table; the others are spelled out below.

@@ -42,11 +42,19 @@ class Graph:
     def subjects(self) -> DataFrame:
         return self.df.select("s").distinct()
 
+    def about(self, nodes: DataFrame) -> Graph:
+        """A part of the graph that holds all triples with nodes (column ``node``) as subjects."""
+        return self
+
+    def leading_to(self, nodes: DataFrame) -> Graph:
+        """A part of the graph that holds all triples with nodes (column ``node``) as objects."""
+        return self
+
     def neighbours(self, nodes: DataFrame | None = None) -> DataFrame:
         """(node, direction, p, kind, lex, dt, lang): arcs out of and into nodes (column ``node``), or all."""
-        t, s = self.triples(), resource(F.col("s"))
+        t, u, s = (self if nodes is None else self.about(nodes)).triples(), (self if nodes is None else self.leading_to(nodes)).triples(), resource(F.col("s"))
         out = t.select(F.col("s").alias("node"), F.lit("out").alias("direction"), "p", *(F.col(f"o_{x}").alias(x) for x in ("kind", "lex", "dt", "lang")))
-        back = t.select(term_id(term_at()).alias("node"), F.lit("in").alias("direction"), "p", s.kind.alias("kind"), s.lex.alias("lex"), s.dt.alias("dt"), s.lang.alias("lang"))
+        back = u.select(term_id(term_at()).alias("node"), F.lit("in").alias("direction"), "p", s.kind.alias("kind"), s.lex.alias("lex"), s.dt.alias("dt"), s.lang.alias("lang"))
         both = out.unionByName(back)
         return both if nodes is None else both.join(nodes.select("node"), "node", "left_semi")
 
@@ -135,14 +143,16 @@ class MappedGraph(Graph):
                 one = self._distinct(table, m, cols, kinds)
                 out = one if out is None else out.unionByName(one)
                 continue
-            objects = [self._object(c, kinds, self._value(c, kinds)) for c in cols]
+            objects = [(self._object(c, kinds, self._value(c, kinds)), self._raw(c).isNotNull()) for c in cols]
             if typed:
-                objects.append(_struct(F.lit(TYPE), "iri", F.lit(BASE + (m.cls or m.table)), None, None))
+                objects.append((_object_of(F.lit(TYPE), "iri", F.lit(BASE + (m.cls or m.table)), None, None), F.lit(True)))
             subject = F.expr(m.subject).alias("s")
-            if len(objects) == 1:  # no array: the null test can reach the scan
-                one = table.select(subject, objects[0].alias("o")).select("s", "o.*").where("o_lex IS NOT NULL")
-            else:
-                one = table.select(subject, F.explode(F.filter(F.array(*objects), lambda o: o["o_lex"].isNotNull())).alias("o")).select("s", "o.*")
+            if len(objects) == 1:  # the null test can reach the scan
+                one = table.where(objects[0][1]).select(subject, *objects[0][0])
+            else:  # a row a place and no nested values, so what is not asked for is never made; no name of a table's own columns starts so
+                rows = table.select(F.col("*"), subject.alias("_s_"), F.explode(F.array(*(F.lit(i) for i in range(len(objects))))).alias("_i_"))
+                picked = [_pick([o[k] for o, _ in objects]).alias(name) for k, name in enumerate(_OBJECT)]
+                one = rows.where(_pick([there for _, there in objects])).select(F.col("_s_").alias("s"), *picked)
             one = one.distinct() if m.distinct else one
             out = one if out is None else out.unionByName(one)
         if out is None:
@@ -165,39 +175,75 @@ class MappedGraph(Graph):
             out = one if out is None else out.unionByName(one)
         return out
 
+    def about(self, nodes: DataFrame) -> MappedGraph:
+        """Only tables that describe such subjects are read."""
+        spaces = list(dict.fromkeys(m.about or m.table for m in self.mappings))
+        found = self._any(nodes, [F.col("node").startswith(f"<{BASE}{x}/") for x in spaces])
+        mine = {x for x, there in zip(spaces, found, strict=True) if there}
+        return MappedGraph(self._spark, self.tables, [m for m in self.mappings if (m.about or m.table) in mine])
+
+    def leading_to(self, nodes: DataFrame) -> MappedGraph:
+        """Only columns whose values can be such objects are read: links by their table, literals by their quotes; a class is one IRI."""
+        node = F.col("node")
+        tests = {"iri": node.startswith("<"), "literal": node.startswith('"')}
+        tests |= {("link", c.to.table): node.startswith(f"<{BASE}{c.to.table}/") for m in self.mappings for c in m.columns if c.to is not None}
+        tests |= {("class", m.cls or m.table): node == f"<{BASE}{m.cls or m.table}>" for m in self.mappings if m.typed}
+        found = {k for k, there in zip(tests, self._any(nodes, list(tests.values())), strict=True) if there}
+        kind = lambda c: ("link", c.to.table) if c.to is not None else "iri" if c.iri else "literal"
+        mine = [replace(m, columns=[c for c in m.columns if kind(c) in found], typed=m.typed and ("class", m.cls or m.table) in found) for m in self.mappings]
+        return MappedGraph(self._spark, self.tables, [m for m in mine if m.columns or m.typed])
+
+    def _any(self, nodes: DataFrame, tests: list[Column]) -> list[bool]:
+        """Whether some node passes each test: one row of answers."""
+        if not tests:
+            return []
+        return [bool(x) for x in nodes.agg(*(F.max(x).alias(f"t{i}") for i, x in enumerate(tests))).first()]
+
     def _distinct(self, table: DataFrame, m: TableMapping, cols: list[Column_], kinds: dict) -> DataFrame:
         """Triples that several rows give: keys and values are made distinct before terms are built of them, so narrow rows are shuffled."""
         each = table.select(F.expr(m.key).alias("_k"), F.posexplode(F.array(*(self._value(c, kinds) for c in cols))).alias("_i", "_v"))
         rows = each.where("_v IS NOT NULL").distinct()
         objects = [self._object(c, kinds, F.col("_v")) for c in cols]
-        pick = objects[0]
-        for i, o in enumerate(objects[1:], 1):
-            pick = F.when(F.col("_i") == i, o).otherwise(pick)
         subject = F.expr(replace(m, key="_k").subject)
-        return rows.select(subject.alias("s"), pick.alias("o")).select("s", "o.*")
+        return rows.select(subject.alias("s"), *(_pick([o[k] for o in objects], "_i").alias(name) for k, name in enumerate(_OBJECT)))
+
+    def _raw(self, c: Column_) -> Column:
+        return F.expr(c.expr or f"`{c.name}`")
 
     def _value(self, c: Column_, kinds: dict) -> Column:
         """A column's value as text."""
-        value = F.expr(c.expr or f"`{c.name}`")
+        value = self._raw(c)
         if c.expr is None and kinds.get(c.name) == "timestamp" and c.to is None and not c.iri and c.lang is None:
             value = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
         return value.cast("string")
 
-    def _object(self, c: Column_, kinds: dict, value: Column) -> Column:
+    def _object(self, c: Column_, kinds: dict, value: Column) -> tuple[Column, ...]:
         p = F.lit(c.iri_of)
         if c.to is not None:
-            return _struct(p, "iri", F.when(value.isNotNull(), F.concat(F.lit(f"{BASE}{c.to.table}/"), value)), None, None)
+            return _object_of(p, "iri", F.when(value.isNotNull(), F.concat(F.lit(f"{BASE}{c.to.table}/"), value)), None, None)
         if c.iri:
-            return _struct(p, "iri", value, None, None)
+            return _object_of(p, "iri", value, None, None)
         if c.lang is not None:
-            return _struct(p, "literal", value, RDF + "langString", F.col(c.lang))
+            return _object_of(p, "literal", value, RDF + "langString", F.col(c.lang))
         kind = "string" if c.expr else kinds.get(c.name, "string")
-        return _struct(p, "literal", value, c.dt or XSD + DATATYPES.get(kind, "string"), None)
+        return _object_of(p, "literal", value, c.dt or XSD + DATATYPES.get(kind, "string"), None)
 
 
-def _struct(p: Column, kind: str, lex: Column, dt: str | None, lang: Column | None) -> Column:
+_OBJECT = ("p", "o_kind", "o_lex", "o_dt", "o_lang")
+
+
+def _object_of(p: Column, kind: str, lex: Column, dt: str | None, lang: Column | None) -> tuple[Column, ...]:
+    """Predicate and object of a triple, as ``_OBJECT`` names them."""
     none = F.lit(None).cast("string")
-    return F.struct(
+    return (
         p.alias("p"), F.lit(kind).alias("o_kind"), lex.alias("o_lex"),
         (F.lit(dt) if dt else none).alias("o_dt"), (none if lang is None else lang).alias("o_lang"),
     )
+
+
+def _pick(values: list[Column], at: str = "_i_") -> Column:
+    """The value whose number stands in a column."""
+    out = F.when(F.col(at) == 0, values[0])
+    for i, v in enumerate(values[1:], 1):
+        out = out.when(F.col(at) == i, v)
+    return out
