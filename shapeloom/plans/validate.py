@@ -40,7 +40,9 @@ from ..functions.nodeconstraint import compile_constraint
 from ..functions.terms import TermColumns, resource, term_at, term_id
 from ..schema import analyze
 from ..schema.ast import (
+    RDF,
     START,
+    XSD,
     Declaration,
     EachOf,
     NodeConstraint,
@@ -86,6 +88,10 @@ class Actions:
 HALL = 5
 #: Conditions on the node inside the bases of one shape; the solver answers for each combination of them.
 CONDITIONS = 10
+#: Classes of arcs that are counted in columns of their own; vectors of more are put together by a second aggregate.
+CLASSES = 64
+#: Vectors whose verdicts a task remembers.
+KNOWN = 100_000
 
 
 @dataclass
@@ -121,6 +127,14 @@ class Atom:
         most = max((len(self.of_path(p)) for p in self.paths), default=0)
         return self.dealt or most > (HALL if self.conjunction else 1)
 
+    def classes(self) -> list[tuple[int, int]]:
+        """(path, mask) of all classes that arcs can fall into, in order: paths by number and sets of their constraints as bits; none if those are too many."""
+        groups = [self.of_path(p) for p in self.paths]
+        if sum(1 << len(g) for g in groups) > CLASSES:
+            return []
+        found = [(k, _bits(some)) for k, g in enumerate(groups) for some in [*([()] if self.dealt else []), *_subsets(g)]]
+        return sorted(found)
+
     def on_nothing(self, flags: int = 0) -> bool:
         """The verdict for a node without arcs."""
         return parts.holds(self.expr, [], flags) if self.dealt else rbe.matches(self.expr, {})
@@ -511,10 +525,19 @@ class Validator:
 
     def _served(self, a: Atom, arcs: DataFrame, flags: DataFrame) -> DataFrame:
         """``arcs`` with ``constraint``: the one that each serves."""
-        if not a.dealt and all(len(a.of_path(path)) == 1 for path in a.paths):
-            return arcs.withColumn("constraint", F.log2("mask").cast("int"))
-        arcs = keep(arcs)
-        vectors = keep(_vectors(arcs).join(flags, "node"))
+        if not a.dealt:
+            # an arc that fits one constraint serves that one; the others wait for an assignment of all the node's arcs
+            one = F.bit_count("mask") == 1
+            plain = arcs.where(one).select("node", "p", "inverse", "target", F.log2("mask").cast("int").alias("constraint"))
+            if all(len(a.of_path(path)) == 1 for path in a.paths):
+                return plain
+            open_ = keep(arcs.where(~one))
+            vectors = _vectors(arcs.select("node", "path", "mask").join(open_.select("node").distinct(), "node", "left_semi"))
+            arcs = open_
+        else:
+            plain, arcs = None, keep(arcs)
+            vectors = _vectors(arcs)
+        vectors = keep(vectors.join(flags, "node"))
 
         def run(frames):
             import pandas as pd
@@ -529,7 +552,8 @@ class Validator:
         solved = vectors.select("k", "flags").distinct().mapInPandas(run, "k string, flags int, dealt array<struct<path: int, mask: long, constraint: int, first: long, n: long>>")
         shares = vectors.join(solved, ["k", "flags"]).select("node", F.explode("dealt").alias("d")).select("node", "d.*")
         met = _numbered(arcs).join(shares, ["node", "path", "mask"]).where("place >= first AND place < first + n")
-        return met.select("node", "p", "inverse", "target", "constraint")
+        met = met.select("node", "p", "inverse", "target", "constraint")
+        return met if plain is None else plain.unionByName(met)
 
     def _by_rounds(self, comp: list[str], known: dict, true: dict) -> dict[str, DataFrame]:
         """The greatest fixpoint of a stratum: what fails takes along what asks for it."""
@@ -603,7 +627,7 @@ class Validator:
         base = nodes
         if here - self.inline:
             base = _with_labels(base, "node", here - self.inline, true, "_here")
-        counted = self._counts(atoms, {r for refs in there.values() for r in refs}, true, nodes if narrow else None)
+        counted = self._counts(atoms, {r for refs in there.values() for r in refs}, true, nodes if narrow else None, nodes)
         for part in counted:
             base = base.join(part, "node", "left")
         t = TermColumns(*(F.col(c) for c in ("kind", "lex", "dt", "lang")))
@@ -650,19 +674,19 @@ class Validator:
             return self._conforms(se.label, t, "_labels")
         return compile_constraint(se, t)
 
-    def _counts(self, atoms: list[Atom], refs: set[str], true: dict, only: DataFrame | None = None) -> list[DataFrame]:
-        """Per node: counts of every atom; and verdicts of the solver for those that need one."""
+    def _counts(self, atoms: list[Atom], refs: set[str], true: dict, only: DataFrame | None = None, of: DataFrame | None = None) -> list[DataFrame]:
+        """Per node: counts of every atom; and verdicts of the solver for those that need one.  of: only these nodes matter, others may be left out."""
         if not atoms:
             return []
         direct = None if any(a.shape.closed for a in atoms) else {p for a in atoms for p in a.direct}
-        arcs = _arcs(self.graph, direct, {p for a in atoms for p in a.backward})
+        arcs = _arcs(self.graph, direct, {p for a in atoms for p in a.backward}, of)
         if only is not None:
             arcs = arcs.join(only.select("node"), "node", "left_semi")
         refs = refs - self.inline
         if refs:
             arcs = _with_labels(arcs.withColumn("_target", term_id(term_at(""))), "_target", refs, true, "_labels")
         t, p, inv = term_at(""), F.col("p"), F.col("inverse")
-        aggs, parts_ = [], []
+        aggs, parts_, in_line = [], [], []
         for a in atoms:
             mine = [F.when((p == c.predicate) & (inv == F.lit(c.inverse)), self._value(c, t)).otherwise(F.lit(False)) for c in a.constraints]
             mentioned = (~inv & p.isin(sorted(a.direct)) if a.direct else F.lit(False)) | (inv & p.isin(sorted(a.backward)) if a.backward else F.lit(False))
@@ -675,8 +699,13 @@ class Validator:
             if a.solved:
                 mask = reduce(lambda x, y: x.bitwiseOR(y), (F.when(m, 1 << i).otherwise(0).cast("long") for i, m in enumerate(mine)), F.lit(0).cast("long"))
                 at = reduce(lambda x, y: x.when(*y), [((p == name) & (inv == F.lit(turned)), k) for k, (name, turned) in enumerate(a.paths)][1:], F.when((p == a.paths[0][0]) & (inv == F.lit(a.paths[0][1])), 0)) if a.paths else F.lit(None)
+                if classes := a.classes():  # few: counted along with the rest, in one pass and without a shuffle of their own
+                    arcs = arcs.withColumn(f"{a.name}_path", F.when(mentioned, at.cast("int"))).withColumn(f"{a.name}_mask", mask)
+                    aggs += [F.count_if((F.col(f"{a.name}_path") == k) & (F.col(f"{a.name}_mask") == bits)).alias(f"{a.name}_n{i}") for i, (k, bits) in enumerate(classes)]
+                    in_line.append((a, classes))
+                    continue
                 rows = arcs.select("node", at.cast("int").alias("path"), mask.alias("mask")).where(mentioned if a.dealt else F.col("mask") > 0)
-                parts_.append(self._solved(a, rows))
+                parts_.append(_vectors(rows).select("node", self._solved(a, F.col("k")).alias(f"{a.name}_fits")))
                 continue
             for path in a.paths:
                 group = a.of_path(path)
@@ -687,21 +716,32 @@ class Validator:
                     inside = reduce(lambda x, y: x | y, (mine[i] for i in some))
                     beside = reduce(lambda x, y: x | y, (mine[i] for i in group if i not in some), F.lit(False))
                     aggs += [F.count_if(inside & ~beside).alias(f"{a.name}_only{_bits(some)}"), F.count_if(inside).alias(f"{a.name}_any{_bits(some)}")]
-        return [arcs.groupBy("node").agg(*aggs), *parts_]
-
-    def _solved(self, a: Atom, arcs: DataFrame) -> DataFrame:
-        """(node, <atom>_fits): arcs by path and the set of constraints they satisfy; each distinct vector of counts is solved once."""
-        vectors = _vectors(arcs)
-
-        def run(frames):
+        counted = arcs.groupBy("node").agg(*aggs)
+        for a, classes in in_line:
+            n = [F.col(f"{a.name}_n{i}") for i in range(len(classes))]
+            rows = (F.when(x > 0, F.concat(F.lit(f'{{"path":{k},"mask":{bits},"n":'), x.cast("string"), F.lit("}"))) for x, (k, bits) in zip(n, classes, strict=True))
+            counted = counted.withColumn(f"{a.name}_fits", self._solved(a, F.concat(F.lit("["), F.concat_ws(",", *rows), F.lit("]")))).drop(*(f"{a.name}_n{i}" for i in range(len(classes))))
+        return [counted, *parts_]
+
+    def _solved(self, a: Atom, k: Column) -> Column:
+        """Verdicts of the solver for vectors of counts, one for each combination of conditions; a task solves equal ones once."""
+        known: dict[str, list[bool]] = {}
+        paths, combinations_ = a.paths, range(1 << len(a.conditions))
+
+        def fits(ks):
             import pandas as pd
 
-            for pdf in frames:
-                fits = [[a.deal(_classes(k, a.paths), flags) is not None for flags in range(1 << len(a.conditions))] for k in pdf["k"]]
-                yield pd.DataFrame({"k": pdf["k"], f"{a.name}_fits": fits})
+            if len(known) > KNOWN:
+                known.clear()
+            at, different = pd.factorize(ks)
+            for x in different:
+                if x not in known:
+                    classes = _classes(x, paths)
+                    known[x] = [a.deal(classes, flags) is not None for flags in combinations_]
+            verdicts = [known[x] for x in different]
+            return pd.Series([verdicts[i] for i in at], dtype="object")
 
-        solved = vectors.select("k").distinct().mapInPandas(run, f"k string, {a.name}_fits array<boolean>")
-        return vectors.join(solved, "k").select("node", f"{a.name}_fits")
+        return F.pandas_udf(fits, "array<boolean>")(k)
 
     def _atom(self, a: Atom, t: TermColumns | None = None) -> Column:
         zero = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("long")
@@ -799,11 +839,12 @@ def _same_node(se):
         yield from _same_node(se.expr)
 
 
-def _arcs(graph: Graph, direct: set[str] | None, backward: set[str]) -> DataFrame:
-    """(node, p, inverse, kind, lex, dt, lang): arcs out of and into nodes."""
+def _arcs(graph: Graph, direct: set[str] | None, backward: set[str], of: DataFrame | None = None) -> DataFrame:
+    """(node, p, inverse, kind, lex, dt, lang): arcs out of and into nodes.  of: where all predicates are asked for, what cannot have these nodes as subjects is not read."""
     out = None
     if direct is None or direct:
-        out = graph.triples(direct).select(F.col("s").alias("node"), "p", F.lit(False).alias("inverse"), F.col("o_kind").alias("kind"), F.col("o_lex").alias("lex"), F.col("o_dt").alias("dt"), F.col("o_lang").alias("lang"))
+        source = graph if direct is not None or of is None else graph.about(of)
+        out = source.triples(direct).select(F.col("s").alias("node"), "p", F.lit(False).alias("inverse"), F.col("o_kind").alias("kind"), F.col("o_lex").alias("lex"), F.col("o_dt").alias("dt"), F.col("o_lang").alias("lang"))
     if backward:
         r = resource(F.col("s"))
         back = graph.triples(backward).select(term_id(term_at()).alias("node"), "p", F.lit(True).alias("inverse"), r.kind.alias("kind"), r.lex.alias("lex"), r.dt.alias("dt"), r.lang.alias("lang"))
@@ -828,7 +869,9 @@ def _union_nodes(parts: list[DataFrame]) -> DataFrame:
     out = parts[0].select("node", "kind", "lex", "dt", "lang")
     for p in parts[1:]:
         out = out.unionByName(p.select("node", "kind", "lex", "dt", "lang"))
-    return out.dropDuplicates(["node"])
+    # an id has one such form: rows that are distinct by node already need not be moved for it
+    dt = F.when(F.col("lang").isNotNull(), RDF + "langString").when(F.col("kind") == "literal", F.coalesce("dt", F.lit(XSD + "string")))
+    return out.select("node", "kind", "lex", dt.alias("dt"), F.lower("lang").alias("lang")).distinct()
 
 
 def validate(graph: Graph, schema: Schema, pairs: list[tuple[DataFrame, str, str]], resolver=None, actions: Actions | None = None, include_dependents: bool = False) -> DataFrame:

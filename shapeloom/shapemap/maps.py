@@ -260,7 +260,8 @@ def select(graph: Graph, selector) -> DataFrame:
         if isinstance(path, pp.Step):  # no join: subjects of the predicate's triples
             t = graph.triples({path.predicate}) if other is None else graph.triples_with(path.predicate, other)
             r = resource(F.col("s"))
-            return t.select(F.col("s").alias("node"), r.kind.alias("kind"), r.lex.alias("lex"), r.dt.alias("dt"), r.lang.alias("lang")).distinct()
+            # distinct by the id alone, of which the rest follows: rows lie by node then, and joins by node need not move them
+            return t.select("s").distinct().select(F.col("s").alias("node"), r.kind.alias("kind"), r.lex.alias("lex"), r.dt.alias("dt"), r.lang.alias("lang"))
         if other is None:
             return pp.ends(graph, path)
         path = pp.Inverse(path)
