@@ -7,8 +7,8 @@ touch blank nodes.  It ends when no colour splits any more.  Parts of a graph
 that hang together by blank nodes (``components``) are compared as wholes, so
 equal parts may stand for each other.  Where nodes of one part still share a
 colour, one of them is marked and its part refined again, and of all choices the
-least result counts; this is done part by part in tasks, for parts of up to
-``MOST`` arcs (larger ones with ties raise).
+least result counts; this is done part by part in tasks, small parts in
+batches, for parts of up to ``MOST`` arcs (larger ones with ties raise).
 
 Colours are 128 bits, so different parts are told apart but for a chance of
 about 2**-100 for a billion of them.
@@ -29,6 +29,8 @@ from ..plans.storage import keep
 from .reach import undirected
 
 MOST = 100_000
+#: Arcs of parts that are handed over in batches.
+SMALL = 16
 
 
 def _arcs(triples: DataFrame) -> DataFrame:
@@ -86,23 +88,45 @@ def labels(triples: DataFrame) -> DataFrame:
     done = nodes.join(plain, "component").select("node", F.col("colour").alias("label"), "part")
     if tied.isEmpty():
         return done
-    large = mine.join(tied, "component", "left_semi").groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > MOST)
-    if not large.isEmpty():
+    sizes = keep(mine.join(tied, "component", "left_semi").groupBy("component").agg(F.count("*").alias("n")))
+    if not sizes.where(F.col("n") > MOST).isEmpty():
         raise ValueError(f"a part of more than {MOST} arcs holds blank nodes that look alike")
-    solved = mine.join(tied, "component", "left_semi").groupBy("component").applyInPandas(_part, "node string, label string, part string")
-    return done.unionByName(solved)
+    # a small part is a row, so a task's parts come in batches; only a larger one gets a frame of its own
+    small, large = (mine.join(sizes.where(F.col("n") <= SMALL if few else F.col("n") > SMALL), "component", "left_semi") for few in (True, False))
+    rows = small.groupBy("component").agg(F.collect_list(F.struct("s", "p", "o", "sb", "ob", "cs", "co")).alias("arcs"))
+    done = done.unionByName(rows.select(F.explode(_solve()("arcs")).alias("r")).select("r.*"))
+    if sizes.where(F.col("n") > SMALL).isEmpty():
+        return done
+    return done.unionByName(large.groupBy("component").applyInPandas(_frame, "node string, label string, part string"))
 
 
-def _part(pdf):
-    """Labels of one part with ties: every choice of a marked node is tried, and the least form counts."""
+def _frame(pdf):
+    """Labels of one part, as a frame."""
     import pandas as pd
 
-    arcs = list(zip(pdf["s"], pdf["p"], pdf["o"], pdf["sb"], pdf["ob"], strict=True))
-    first = {}
-    for s, c, o, d in zip(pdf["s"], pdf["cs"], pdf["o"], pdf["co"], strict=True):
+    return pd.DataFrame(_part(pdf.to_dict("records")), columns=["node", "label", "part"])
+
+
+def _solve():
+    """A function from the arcs of parts with ties to the labels of their nodes: every choice of a marked node is tried, and the least form counts."""
+
+    def solve(parts):
+        import pandas as pd
+
+        return pd.Series([_part(arcs) for arcs in parts], dtype="object")
+
+    return F.pandas_udf(solve, "array<struct<node: string, label: string, part: string>>")
+
+
+def _part(rows) -> list[dict]:
+    """Labels of one part with ties."""
+    arcs, first = [], {}
+    for r in rows:
+        s, p, o, sb, ob, c, d = (r[x] for x in ("s", "p", "o", "sb", "ob", "cs", "co"))
+        arcs.append((s, p, o, sb, ob))
         first |= ({s: c} if isinstance(c, str) else {}) | ({o: d} if isinstance(d, str) else {})
     form, names = least_form(arcs, first)
-    return pd.DataFrame([(n, c, form) for n, c in names.items()], columns=["node", "label", "part"])
+    return [{"node": n, "label": c, "part": form} for n, c in names.items()]
 
 
 def _hash(x) -> str:
