@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import paths as pp
+from ..plans.storage import spread
 from ..schema.shexc import parse as plain
 from ..shapemap import maps
 from ..sources.graph import Graph
@@ -23,6 +24,7 @@ def entities(spark, sf_dir: str, more_links: tuple = ()):
     """
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     top = part.agg(F.max("p_partkey").alias("top"))
+    part = spread(part, "p_partkey")  # an entity is many times its row, so few files must not mean few tasks
     snak = lambda p, t, v: F.struct(F.lit(p).alias("property"), F.lit("value").alias("kind"), F.lit(t).alias("vtype"), v.cast("string").alias("value"))
     none = F.array().cast(f"ARRAY<{model.SNAK}>")
     no_refs = F.array().cast(f"ARRAY<ARRAY<{model.SNAK}>>")
@@ -110,8 +112,8 @@ def _truthy(spark, sf_dir):
 
 def _rdf(spark, sf_dir):
     """All triples of the entities, by predicate."""
-    t = rdf.full(entities(spark, sf_dir))
-    return t.groupBy(F.regexp_extract("p", r"([^/]+/[^/]+)$", 1).alias("predicate")).agg(F.count("*").alias("n"))
+    counts = rdf.full(entities(spark, sf_dir)).groupBy("p").agg(F.count("*").alias("n"))
+    return counts.groupBy(F.regexp_extract("p", r"([^/]+/[^/]+)$", 1).alias("predicate")).agg(F.sum("n").alias("n"))
 
 
 def _rdf_text(spark, sf_dir):
