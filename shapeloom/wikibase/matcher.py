@@ -42,6 +42,13 @@ from .entityschema import WD, StatementConstraint, TermConstraint, property_of
 
 
 SALTS = 8  # a target that many entities name is met in so many parts
+FEW = 100_000  # ids that may be sent to all tasks, so that a round of few changes moves no whole table
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """A kept table that joins send to all tasks, if it is small."""
+    ids = keep(ids)
+    return F.broadcast(ids) if ids.count() <= FEW else ids
 
 
 def _all(xs) -> Column:
@@ -399,11 +406,15 @@ class Matcher:
         mine = entities if self.check_closed else entities.withColumn("statements", F.filter("statements", lambda s: s["property"].isin(sorted(used))))
         mine = keep(mine.select("id", "labels", "descriptions", "aliases", "statements"))
         named = lambda s: F.transform(F.filter(F.concat(F.array(s["snak"]), s["qualifiers"], F.flatten(s["refs"])), lambda x: x["vtype"] == "entity"), lambda x: x["value"])
-        links = keep(mine.select("id", F.explode(F.array_distinct(F.flatten(F.transform("statements", named)))).alias("target"))) if any(asked.values()) else None
+        arcs = keep(mine.select("id", F.explode(F.array_distinct(F.flatten(F.transform("statements", named)))).alias("target"))) if any(asked.values()) else None
         typed = None
 
-        def known(labels: set[str]) -> DataFrame:
-            have = typed.where(F.col("label").isin(sorted(labels))).groupBy("id").agg(F.collect_set("label").alias("has")).withColumnRenamed("id", "target")
+        def known(labels: set[str], only: DataFrame | None = None) -> DataFrame:
+            links, have = arcs, typed
+            if only is not None:
+                links = keep(arcs.join(only, "id", "left_semi"))
+                have = typed.join(_few(links.select(F.col("target").alias("id")).distinct()), "id", "left_semi")
+            have = have.where(F.col("label").isin(sorted(labels))).groupBy("id").agg(F.collect_set("label").alias("has")).withColumnRenamed("id", "target")
             spread = have.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # many may name one entity
             return links.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(spread, ["target", "_salt"]).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("target", "has"))).alias("_known"))
 
@@ -413,7 +424,7 @@ class Matcher:
         def verdicts(labels: list[str], only: DataFrame | None = None) -> DataFrame:
             wanted = set().union(*(asked[x] for x in labels))
             rows = mine if only is None else mine.join(only, "id", "left_semi")
-            rows = rows.join(known(wanted), "id", "left") if wanted else rows
+            rows = rows.join(known(wanted, only), "id", "left") if wanted else rows
             holds = F.array_compact(F.array(*(F.when(F.coalesce(self._expr(self.exprs[x], (), refs), F.lit(False)), F.lit(x)) for x in labels)))
             return keep(rows.select("id", F.explode(holds).alias("label")))
 
@@ -424,13 +435,20 @@ class Matcher:
                 typed = self._with(done, before)
                 now = verdicts(group)
                 lost = keep(before.join(now, ["id", "label"], "left_anti"))
+                typed, gone = self._with(done, now), None
                 while not lost.isEmpty():  # only what names an entity that lost a label is looked at again
                     self.rounds += 1
-                    typed = self._with(done, now)
-                    near = keep(links.join(lost.select(F.col("id").alias("target")).distinct(), "target", "left_semi").select("id").distinct())
+                    near = _few(arcs.join(_few(lost.select(F.col("id").alias("target")).distinct()), "target", "left_semi").select("id").distinct())
                     again = verdicts(group, near)
-                    lost = keep(now.join(near, "id", "left_semi").join(again, ["id", "label"], "left_anti"))
-                    now = keep(now.join(lost, ["id", "label"], "left_anti"))
+                    held = now.join(near, "id", "left_semi")
+                    if gone is not None:
+                        held = held.join(gone.join(near, "id", "left_semi"), ["id", "label"], "left_anti")
+                    lost = keep(held.join(again, ["id", "label"], "left_anti"))
+                    gone = lost if gone is None else gone.unionByName(lost)
+                    if self.rounds % 8 == 0:  # what is lost is taken out now and then, not in every round
+                        now, gone = keep(now.join(gone, ["id", "label"], "left_anti")), None
+                    typed = self._with(done, now if gone is None else now.join(_few(gone), ["id", "label"], "left_anti"))
+                now = now if gone is None else keep(now.join(gone, ["id", "label"], "left_anti"))
                 typed = self._with(done, now)
             else:
                 typed = self._with(done, verdicts(group))
