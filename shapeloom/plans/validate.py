@@ -11,7 +11,7 @@ Every label is evaluated for all its nodes at once:
   more arcs that fit no others than it may hold, nor fewer that fit it than it
   needs, so this too is a condition on counts;
 * only other expressions over such arcs, and bases with conditions of their own
-  (``ShapeParts``), go to a solver, once per distinct vector of counts.
+  (``ShapeParts``), go to a solver, once a task per distinct vector of counts.
 
 Labels go in strata, dependencies first.  References are joins with the nodes
 that conform to the label; those to labels of node constraints only are
