@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, release, scratch
+from .common import checkpoint, release, scratch, small_batches
 from .tokens import DTYPE, EOD, TOKENIZER, Writer, attempt_mark, encode, filesystem, string_list
 
 LENGTH = 2048
@@ -102,7 +102,7 @@ def packed(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, eo
             flat = np.concatenate(held)
             yield block(np.append(flat, np.full(-len(flat) % length, eod, dtype)))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "part int, first long, n int, blob binary, doc_id array<long>, start array<long>, size array<long>")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "part int, first long, n int, blob binary, doc_id array<long>, start array<long>, size array<long>")
 
 
 def _write_wave(blocks: DataFrame, folder: str, begins: dict, total: int, low: int, high: int, length: int, per_shard: int, key: int, dtype: np.dtype) -> int:

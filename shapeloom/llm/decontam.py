@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import bit_filter, checkpoint, in_filter
+from .common import bit_filter, checkpoint, in_filter, small_batches
 
 WIDTH = 8
 RUN = 13
@@ -204,7 +204,7 @@ def windows_of(docs: DataFrame, widths: list[int], copies: list[int], bits: np.n
                         none = [None] * pairs.shape[1]
                         yield emit(pairs[0], pairs[1].view(np.uint64), none, none, np.zeros(pairs.shape[1]))
 
-    return docs.mapInArrow(run, _DOC)
+    return small_batches(docs).mapInArrow(run, _DOC)
 
 
 def long_run(ours, our_kind, theirs, their_kind, width: int, need: int) -> bool:

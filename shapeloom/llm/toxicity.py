@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan as ts
-from .common import checkpoint
+from .common import checkpoint, small_batches
 
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6)
@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, held:
                 out += [terms[cut[i] : cut[i + 1]].astype(np.uint32).tobytes() for i in range(b - a)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "toxic", "terms"])
 
-    sample = checkpoint(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(run, schema))
+    sample = checkpoint(small_batches(docs).select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(run, schema))
 
     def each(batches):
         for batch in batches:
@@ -230,7 +230,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 out[a:b] = m.scores(rows[kept >= 0], kept[kept >= 0], b - a)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:

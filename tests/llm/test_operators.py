@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shapeloom.llm import binaryoutput, chatformat, components, decontam, langid, mixing, ngramjoin, qualityrules, secretscan, textscan, tokencount, tokens, toxicity
-from shapeloom.llm.common import ranked, scratch
+from shapeloom.llm.common import BATCH_BYTES, ranked, scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, size int, `k` int, `_gone` int, target int"
@@ -244,6 +244,33 @@ def test_deduplicate_keeps_one_of_a_group(spark, docs, empty):
     assert ngramjoin.deduplicate(empty).count() == 0 and ngramjoin.similar_groups(empty).count() == 0
 
 
+def test_texts_reach_python_in_small_batches(spark):
+    import pyarrow as pa
+
+    def measured(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    fresh, own = spark.newSession(), spark.newSession()
+    assert fresh.conf.get(name, None) is None
+    # a session's own setting stays, and a row a batch gives the same rows
+    own.conf.set(name, "1")
+    got = []
+    for session in (fresh, own):
+        table = session.createDataFrame(make(), SCHEMA)
+        groups = ngramjoin.similar_groups(table.select("doc_id", "text"))
+        blocks = binaryoutput.packed(table, binaryoutput.LENGTH, binaryoutput.TOKENIZER, binaryoutput.EOD, binaryoutput.DTYPE)
+        got.append([sorted(map(str, frame.collect())) for frame in (groups, blocks)])
+    assert own.conf.get(name) == "1" and got[0] == got[1]
+    texts = fresh.range(0, 1500, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("w"), "id", F.lit(" ")), 2000).alias("text"))
+    sizes = texts.mapInArrow(measured, "n long, bytes long").collect()
+    assert sum(r["n"] for r in sizes) == 1500 and sum(r["bytes"] for r in sizes) > 3 * BATCH_BYTES
+    assert max(r["bytes"] for r in sizes) < 1.1 * BATCH_BYTES
+    assert spark.conf.get(name, None) == before
+
+
 def test_hash_is_spark_s(spark):
     x = np.array([0, -5, 2**62, 17], np.int64)
     y = np.array([3, 0, -(2**63), 9], np.int64)
